@@ -8,6 +8,7 @@ stays in the JVM, and a query that uses none of the results never runs it.
 from __future__ import annotations
 
 import ast
+import gc
 import sys
 import warnings
 
@@ -41,8 +42,12 @@ _FIELDS = [
     ("findings", pa.list_(_FINDING)),
 ]
 
-# Node kinds without anything to count below them.
-_LEAVES = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.Constant)
+# Node kinds without anything to count in or below them.
+_EMPTY = frozenset(
+    kind
+    for family in (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
+    for kind in family.__subclasses__()
+) | {ast.Constant, ast.Pass, ast.Break, ast.Continue}
 
 
 def inspect_code(code: str) -> tuple:
@@ -72,34 +77,44 @@ def inspect_code(code: str) -> tuple:
                 n_meaningful += 1
             continue
         if kind is ast.Attribute:
-            findings[("attribute", node.attr)] = None
+            findings["attribute", node.attr] = None
         elif kind is ast.Call:
             if type(node.func) is ast.Name:
-                findings[("call", node.func.id)] = None
+                findings["call", node.func.id] = None
         elif kind is ast.Import:
             has_import = True
             for item in node.names:
-                findings[("import", item.name.partition(".")[0])] = None
+                findings["import", item.name.partition(".")[0]] = None
         elif kind is ast.ImportFrom:
             has_import = True
             if node.module:
-                findings[("import", node.module.partition(".")[0])] = None
+                findings["import", node.module.partition(".")[0]] = None
         elif kind is ast.FunctionDef:
             has_function = True
         elif kind is ast.ClassDef:
             has_class = True
-        children = [child for child in ast.iter_child_nodes(node) if not isinstance(child, _LEAVES)]
-        children.reverse()
-        pending += children
+        # The first child has to end up on top of the stack.
+        for field in reversed(kind._fields):
+            below = getattr(node, field, None)
+            for child in reversed(below) if type(below) is list else (below,):
+                if isinstance(child, ast.AST) and type(child) not in _EMPTY:
+                    pending.append(child)
     return OK, None, has_function, has_class, has_import, n_names, n_meaningful, tuple(findings)
 
 
 def analyse_batch(codes: pa.Array) -> pa.Array:
     """Analyse one Arrow batch, parsing each distinct text in it once."""
     distinct = codes.dictionary_encode()
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        rows = [inspect_code(text or "") for text in distinct.dictionary.to_pylist()]
+    # Syntax trees have no cycles; collecting them one by one only costs time.
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            rows = [inspect_code(text or "") for text in distinct.dictionary.to_pylist()]
+    finally:
+        if collecting:
+            gc.enable()
     columns = list(zip(*rows)) or [()] * len(_FIELDS)
     arrays = [pa.array(values, kind) for values, (_, kind) in zip(columns[:-1], _FIELDS[:-1])]
 

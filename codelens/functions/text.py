@@ -1,8 +1,7 @@
 """Text measures as Spark columns.
 
 Generated code is judged by rules stated in terms of Python strings, so these
-columns give the results of ``str.strip``, ``str.split('\\n')``, ``len`` and
-``format(x, '.1f')``. Plain ``trim`` removes spaces only and Java's ``\\s`` is
+columns give the results of ``str.strip`` and ``format(x, '.1f')``. Plain ``trim`` removes spaces only and Java's ``\\s`` is
 ASCII only; neither is used.
 """
 
@@ -35,38 +34,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def lstrip(text: Column) -> Column:
-    return F.ltrim(text, F.lit(BLANKS))
-
-
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
     return strip(or_empty(text)) == F.lit("")
 
 
-def lines(text: Column) -> Column:
-    """All lines; trailing empty lines stay, and '' is one empty line."""
-    return F.split(text, "\n")
-
-
-def nonblank(line_array: Column) -> Column:
-    return F.filter(line_array, lambda line: strip(line) != F.lit(""))
-
-
-def indent_widths(nonblank_lines: Column) -> Column:
-    """The distinct indentation widths above zero."""
-    widths = F.transform(nonblank_lines, lambda line: F.length(line) - F.length(lstrip(line)))
-    return F.array_distinct(F.filter(widths, lambda width: width > 0))
-
-
-def has_comment_line(nonblank_lines: Column) -> Column:
-    return F.exists(nonblank_lines, lambda line: strip(line).startswith("#"))
-
-
-def count_longer_than(line_array: Column, width: int) -> Column:
-    return F.size(F.filter(line_array, lambda line: F.length(line) > width))
-
-
 def tokens_with_lead(text: Column) -> Column:
     """Whitespace tokens, each with the whitespace before it.
 

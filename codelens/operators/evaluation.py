@@ -6,48 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions import python_ast, text, vocab
-from codelens.functions.rules import contains_any, ladder, points
+from codelens.functions.rules import add, contains_any, ladder, literal, points
 from codelens.operators.analysis import ANALYSIS, analyse
+from codelens.operators.lines import add_line_facts
 
 COUNTS = ("syntax_valid", "keyword_match", "execution_success")
 
 
-def keyword_match(code: Column, keywords: Column) -> Column:
-    """Whether any keyword occurs, ignoring case; true if there are none."""
-    lowered = F.lower(text.or_empty(code))
-    some = F.exists(keywords, lambda word: F.contains(lowered, F.lower(word)))
-    return F.when(F.coalesce(F.size(keywords), F.lit(0)) <= 0, F.lit(True)).otherwise(some)
-
-
 def add_quality(
-    df: DataFrame,
-    code: str = "generated_code",
-    keywords: str = "expected_keywords",
+    df: DataFrame, code: str = "generated_code", keywords: str = "expected_keywords"
 ) -> DataFrame:
-    """Adds ``contains_keywords`` and ``estimated_quality``."""
-    df = df.withColumns({
-        "contains_keywords": keyword_match(F.col(code), F.col(keywords)),
-        "_code": text.or_empty(F.col(code)),
-    })
-    df = df.withColumns({
-        "_blank": text.is_blank(F.col("_code")),
-        "_n_nonblank": F.size(text.nonblank(text.lines(F.col("_code")))),
-    })
-    source = F.col("_code")
-    documented = F.when(contains_any(source, ('"""', "'''")), 2).when(
-        F.contains(source, F.lit("#")), 1
-    ).otherwise(0)
-    total = documented + points(
-        (contains_any(source, ("def ", "class ")), 2),
-        (contains_any(source, ("try:", "except:")), 1),
-        (F.col("_n_nonblank") >= 5, 1),
-        (F.col("_n_nonblank") >= 15, 1),
-        (F.col("contains_keywords"), 2),
-    )
-    quality = F.when(F.col("_blank"), F.lit(vocab.LOWEST_QUALITY)).otherwise(
-        ladder(total, vocab.QUALITY, vocab.LOWEST_QUALITY)
+    """Adds ``contains_keywords`` and ``estimated_quality``.
+
+    Keywords match if any of them occurs, ignoring case, or if there are none.
+    """
+    df = add_line_facts(df, code)
+    df = add(df, _lower="lower(_code)")
+    df = add(df, contains_keywords=(
+        f"coalesce(size({keywords}), 0) <= 0"
+        f" OR exists({keywords}, word -> contains(_lower, lower(word)))"
+    ))
+    documented = (
+        f"CASE WHEN {contains_any('_code', (chr(34) * 3, chr(39) * 3))} THEN 2"
+        " WHEN contains(_code, '#') THEN 1 ELSE 0 END"
     )
-    return df.withColumn("estimated_quality", quality).drop("_code", "_blank", "_n_nonblank")
+    gained = documented + " + " + points([
+        (contains_any("_code", ("def ", "class ")), 2),
+        (contains_any("_code", ("try:", "except:")), 1),
+        ("_n_nonblank >= 5", 1),
+        ("_n_nonblank >= 15", 1),
+        ("contains_keywords", 2),
+    ])
+    df = add(df, _points=gained)
+    df = add(df, estimated_quality=(
+        f"CASE WHEN _blank THEN {literal(vocab.LOWEST_QUALITY)}"
+        f" ELSE {ladder('_points', vocab.QUALITY, vocab.LOWEST_QUALITY)} END"
+    ))
+    return df.drop(*[name for name in df.columns if name.startswith("_")])
 
 
 def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:

@@ -9,74 +9,73 @@ scales gets a plan without the others' facts, down to leaving out the parser.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.functions import python_ast, text, vocab
-from codelens.functions.rules import contains_any, in_one_line, ladder, points, texts_that_hold
+from codelens.functions import python_ast, vocab
+from codelens.functions.rules import (
+    add,
+    contains_any,
+    in_one_line,
+    ladder,
+    literal,
+    points,
+    texts_that_hold,
+)
 from codelens.operators.analysis import ANALYSIS, analyse
+from codelens.operators.lines import add_line_facts
 
 SCALES = tuple(vocab.WEIGHTS)
 FEEDBACK = ("syntax_errors", "style_issues", "positive_features", "suggestions")
 
-
-def _scale(base: int, gained: Column) -> Column:
-    """Base plus points, between 0 and 100, and 0 for blank code."""
-    score = F.greatest(F.least(F.lit(base) + gained, F.lit(100)), F.lit(0)).cast("double")
-    return F.when(F.col("_blank"), F.lit(0.0)).otherwise(score)
-
-
-def grade_of(total: Column) -> Column:
-    return ladder(total, vocab.GRADES, vocab.LOWEST_GRADE)
-
-
-def complexity_of(n_nonblank: Column) -> Column:
-    return (
-        F.when(n_nonblank < vocab.COMPLEXITY_MEDIUM, "low")
-        .when(n_nonblank < vocab.COMPLEXITY_HIGH, "medium")
-        .otherwise("high")
+_PARSED = f"({ANALYSIS}.status = '{python_ast.OK}')"
+_REFUSED = f"({ANALYSIS}.status = '{python_ast.SYNTAX}')"
+_ASKED = {word: f"_asked_{word}" for word in vocab.CONCEPTS}
+_MET = {word: f"_met_{word}" for word in vocab.CONCEPTS}
+_PATTERNS = {
+    words: "_uses_" + re.sub(r"\W+", "_", words.lower())
+    for words in (*vocab.EFFICIENT, *vocab.INEFFICIENT)
+}
+_EFFICIENT = [(_PATTERNS[words], words) for words in vocab.EFFICIENT]
+_INEFFICIENT = [(_PATTERNS[words], words) for words in vocab.INEFFICIENT]
+
+
+def _scale(gained: str) -> str:
+    """A sum of points, kept between 0 and 100, and 0 for blank code."""
+    return f"CASE WHEN _blank THEN 0D ELSE CAST(greatest(least({gained}, 100), 0) AS DOUBLE) END"
+
+
+def _for_code(pairs: list[tuple[str, str]]) -> str:
+    return texts_that_hold((f"NOT _blank AND {flag}", words) for flag, words in pairs)
+
+
+def _add_facts(df: DataFrame, code: str, instruction: str) -> DataFrame:
+    df = add_line_facts(df, code)
+    df = add(df, _wish=f"lower(coalesce({instruction}, ''))", _lower="lower(_code)")
+    df = add(
+        df,
+        **{_ASKED[word]: contains_any("_wish", [word]) for word in vocab.CONCEPTS},
+        **{
+            _PATTERNS[words]: in_one_line("_code", pieces)
+            for words, pieces in {**vocab.EFFICIENT, **vocab.INEFFICIENT}.items()
+        },
     )
-
-
-def add_text_facts(df: DataFrame, code: str) -> DataFrame:
-    """Facts read off the text alone. Fact columns start with an underscore."""
-    df = df.withColumn("_code", text.or_empty(F.col(code)))
-    df = df.withColumns({"_blank": text.is_blank(F.col("_code")), "_lines": text.lines(F.col("_code"))})
-    df = df.withColumn("_nonblank", text.nonblank(F.col("_lines")))
-    return df.withColumns({
-        "_n_lines": F.size("_lines"),
-        "_n_nonblank": F.size("_nonblank"),
-        "_n_indents": F.size(text.indent_widths(F.col("_nonblank"))),
-        "_n_long": text.count_longer_than(F.col("_lines"), vocab.LINE_WIDTH),
-        "_commented": text.has_comment_line(F.col("_nonblank")),
-        "_docstring": contains_any(F.col("_code"), ('"""', "'''")),
-        "_hinted": F.contains(F.col("_code"), F.lit(":")) & F.contains(F.col("_code"), F.lit("->")),
-    })
-
-
-def _add_concept_facts(df: DataFrame, instruction: str) -> DataFrame:
-    df = df.withColumns({
-        "_wish": F.lower(text.or_empty(F.col(instruction))),
-        "_lower": F.lower(F.col("_code")),
-    })
-    df = df.withColumns({f"_asked_{word}": F.contains(F.col("_wish"), F.lit(word)) for word in vocab.CONCEPTS})
-    return df.withColumns({
-        f"_met_{word}": F.col(f"_asked_{word}") & contains_any(F.col("_lower"), shown)
+    df = add(df, **{
+        _MET[word]: f"{_ASKED[word]} AND {contains_any('_lower', shown)}"
         for word, shown in vocab.CONCEPTS.items()
     })
-
-
-def _add_pattern_facts(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        _pattern_fact(words): in_one_line(F.col("_code"), pieces)
-        for words, pieces in {**vocab.EFFICIENT, **vocab.INEFFICIENT}.items()
-    })
-
-
-def _pattern_fact(words: str) -> str:
-    return "_uses_" + re.sub(r"\W+", "_", words.lower())
+    return add(
+        df,
+        _n_asked=points((flag, 1) for flag in _ASKED.values()),
+        _n_met=points((flag, 1) for flag in _MET.values()),
+        _good_names=(
+            f"{_PARSED} AND {ANALYSIS}.n_meaningful > {ANALYSIS}.n_names * {vocab.MEANINGFUL_SHARE}D"
+        ),
+        _one_style=f"_n_indents BETWEEN 1 AND {vocab.INDENT_WIDTHS}",
+        _docstring=contains_any("_code", ('"""', "'''")),
+        _hinted="contains(_code, ':') AND contains(_code, '->')",
+    )
 
 
 def add_scores(
@@ -86,76 +85,64 @@ def add_scores(
     original = [name for name in df.columns if name != ANALYSIS]
     if ANALYSIS not in df.columns:
         df = analyse(df, code)
-    df = _add_pattern_facts(_add_concept_facts(add_text_facts(df, code), instruction))
-
-    parse = F.col(ANALYSIS)
-    parsed = parse["status"] == python_ast.OK
-    live = ~F.col("_blank")
-    asked = {word: F.col(f"_asked_{word}") for word in vocab.CONCEPTS}
-    met = {word: F.col(f"_met_{word}") for word in vocab.CONCEPTS}
-    n_asked, n_met = (points(*[(flag, 1) for flag in flags.values()]) for flags in (asked, met))
-    all_met = (n_asked > 0) & (n_asked == n_met)
-    good_names = parsed & (parse["n_meaningful"] > parse["n_names"] * F.lit(vocab.MEANINGFUL_SHARE))
-    one_style = F.col("_n_indents").between(1, vocab.INDENT_WIDTHS)
-    mixed_style = F.col("_n_indents") > vocab.INDENT_WIDTHS
-    short_lines = F.col("_n_long") == 0
-    many_long = F.col("_n_long") > F.col("_n_lines") * F.lit(vocab.LONG_LINE_SHARE)
-    efficient = [(F.col(_pattern_fact(words)), words) for words in vocab.EFFICIENT]
-    inefficient = [(F.col(_pattern_fact(words)), words) for words in vocab.INEFFICIENT]
-
-    syntax = F.when(
-        parsed,
-        F.lit(80) + points((parse["has_function"], 10), (parse["has_class"], 10), (parse["has_import"], 5)),
-    ).when(parse["status"] == python_ast.SYNTAX, 20).otherwise(10)
-
-    df = df.withColumns({
-        "syntax_score": _scale(0, syntax),
-        "functionality_score": _scale(50, n_met * 10 + points((all_met, 20))),
-        "style_score": _scale(60, points(
-            (one_style, 10), (good_names, 10), (F.col("_commented"), 10), (short_lines, 5)
-        )),
-        "efficiency_score": _scale(70, points(
-            *[(flag, 5) for flag, _ in efficient], *[(flag, -10) for flag, _ in inefficient]
-        )),
-        "documentation_score": _scale(40, points(
-            (F.col("_docstring"), 30), (F.col("_commented"), 20), (F.col("_hinted"), 10)
-        )),
-        "code_length": F.length("_code"),
-        "complexity_estimate": complexity_of(F.col("_n_nonblank")),
-        "syntax_errors": F.when(F.col("_blank"), F.array(F.lit(vocab.EMPTY_CODE)))
-        .when(parsed, F.array().cast("array<string>"))
-        .otherwise(F.array(F.concat(
-            F.when(parse["status"] == python_ast.SYNTAX, vocab.SYNTAX_ERROR).otherwise(vocab.PARSE_ERROR),
-            parse["error"],
-        ))),
-        "style_issues": texts_that_hold([
-            (live & mixed_style, vocab.INDENT_ISSUE),
-            (live & parsed & ~good_names, vocab.NAMES_ISSUE),
-            (live & many_long, vocab.WIDTH_ISSUE),
+    df = _add_facts(df, code, instruction)
+    all_met = "(_n_asked > 0 AND _n_asked = _n_met)"
+
+    syntax = points([
+        (f"{ANALYSIS}.has_function", 10), (f"{ANALYSIS}.has_class", 10), (f"{ANALYSIS}.has_import", 5),
+    ])
+    functionality = points([(all_met, 20)])
+    style = points([("_one_style", 10), ("_good_names", 10), ("_commented", 10), ("_n_long = 0", 5)])
+    efficiency = points(
+        [(flag, 5) for flag, _ in _EFFICIENT] + [(flag, -10) for flag, _ in _INEFFICIENT]
+    )
+    documentation = points([("_docstring", 30), ("_commented", 20), ("_hinted", 10)])
+
+    df = add(
+        df,
+        syntax_score=_scale(f"CASE WHEN {_PARSED} THEN 80 + {syntax} WHEN {_REFUSED} THEN 20 ELSE 10 END"),
+        functionality_score=_scale(f"50 + 10 * _n_met + {functionality}"),
+        style_score=_scale(f"60 + {style}"),
+        efficiency_score=_scale(f"70 + {efficiency}"),
+        documentation_score=_scale(f"40 + {documentation}"),
+        code_length="length(_code)",
+        complexity_estimate=(
+            f"CASE WHEN _n_nonblank < {vocab.COMPLEXITY_MEDIUM} THEN 'low'"
+            f" WHEN _n_nonblank < {vocab.COMPLEXITY_HIGH} THEN 'medium' ELSE 'high' END"
+        ),
+        syntax_errors=(
+            f"CASE WHEN _blank THEN array({literal(vocab.EMPTY_CODE)})"
+            f" WHEN {_PARSED} THEN CAST(array() AS ARRAY<STRING>)"
+            f" WHEN {_REFUSED} THEN array({literal(vocab.SYNTAX_ERROR)} || {ANALYSIS}.error)"
+            f" ELSE array({literal(vocab.PARSE_ERROR)} || {ANALYSIS}.error) END"
+        ),
+        style_issues=_for_code([
+            (f"_n_indents > {vocab.INDENT_WIDTHS}", vocab.INDENT_ISSUE),
+            (f"{_PARSED} AND NOT _good_names", vocab.NAMES_ISSUE),
+            (f"_n_long > _n_lines * {vocab.LONG_LINE_SHARE}D", vocab.WIDTH_ISSUE),
         ]),
-        "positive_features": texts_that_hold([(live & flag, words) for flag, words in [
-            (parse["has_function"], vocab.HAS_FUNCTIONS),
-            (parse["has_class"], vocab.HAS_CLASSES),
-            (parse["has_import"], vocab.HAS_IMPORTS),
-            *[(met[word], vocab.IMPLEMENTS + word) for word in vocab.CONCEPTS],
+        positive_features=_for_code([
+            (f"{ANALYSIS}.has_function", vocab.HAS_FUNCTIONS),
+            (f"{ANALYSIS}.has_class", vocab.HAS_CLASSES),
+            (f"{ANALYSIS}.has_import", vocab.HAS_IMPORTS),
+            *[(flag, vocab.IMPLEMENTS + word) for word, flag in _MET.items()],
             (all_met, vocab.ALL_MET),
-            (one_style, vocab.INDENT_OK),
-            (good_names, vocab.NAMES_OK),
-            (F.col("_commented"), vocab.COMMENTS_OK),
-            (short_lines, vocab.WIDTH_OK),
-            *efficient,
-            (F.col("_docstring"), vocab.DOCSTRINGS_OK),
-            (F.col("_commented"), vocab.INLINE_COMMENTS_OK),
-            (F.col("_hinted"), vocab.TYPE_HINTS_OK),
-        ]]),
-        "suggestions": texts_that_hold([(live & flag, words) for flag, words in [
-            *[(asked[word] & ~met[word], vocab.CONSIDER_CONCEPT + word) for word in vocab.CONCEPTS],
-            *inefficient,
-        ]]),
-    })
-    weighted = [F.col(scale) * F.lit(weight) for scale, weight in vocab.WEIGHTS.items()]
-    df = df.withColumn("total_score", reduce(lambda a, b: a + b, weighted))
-    df = df.withColumn("grade", grade_of(F.col("total_score")))
+            ("_one_style", vocab.INDENT_OK),
+            ("_good_names", vocab.NAMES_OK),
+            ("_commented", vocab.COMMENTS_OK),
+            ("_n_long = 0", vocab.WIDTH_OK),
+            *_EFFICIENT,
+            ("_docstring", vocab.DOCSTRINGS_OK),
+            ("_commented", vocab.INLINE_COMMENTS_OK),
+            ("_hinted", vocab.TYPE_HINTS_OK),
+        ]),
+        suggestions=_for_code([
+            *[(f"{_ASKED[word]} AND NOT {_MET[word]}", vocab.CONSIDER_CONCEPT + word) for word in _MET],
+            *_INEFFICIENT,
+        ]),
+    )
+    df = add(df, total_score=" + ".join(f"{scale} * {weight}D" for scale, weight in vocab.WEIGHTS.items()))
+    df = add(df, grade=ladder("total_score", vocab.GRADES, vocab.LOWEST_GRADE))
     return df.select(
         *original, *SCALES, "total_score", "grade", *FEEDBACK, "code_length", "complexity_estimate"
     )

@@ -17,6 +17,7 @@ from codelens.operators import (
     board,
     candidates,
     evaluation,
+    lines,
     outcomes,
     prompts,
     rows,
@@ -204,7 +205,7 @@ def _prose_column(*names: str) -> Query:
 
 
 def prose_style_lines(spark, folder):
-    facts = scoring.add_text_facts(inputs.prose(spark, folder), "generated_code")
+    facts = lines.add_line_facts(inputs.prose(spark, folder), "generated_code")
     return facts.select(
         "doc_id",
         *[F.col(f"_{name}").alias(name) for name in
