@@ -22,7 +22,7 @@ BLANKS = "".join(chr(point) for point in BLANK_CODE_POINTS)
 BLANK_CLASS = "".join(f"\\x{{{point:x}}}" for point in BLANK_CODE_POINTS)
 
 # One token together with the blanks in front of it.
-_TOKEN_WITH_LEAD = f"[{BLANK_CLASS}]*[^{BLANK_CLASS}]+"
+_TOKEN_WITH_LEAD = f"[{BLANK_CLASS}]*+[^{BLANK_CLASS}]++"
 
 
 def or_empty(text: Column) -> Column:
@@ -43,9 +43,11 @@ def tokens_with_lead(text: Column) -> Column:
     """Whitespace tokens, each with the whitespace before it.
 
     Joining a prefix of this array gives the text up to that token with its
-    layout intact, which matters for code.
+    layout intact, which matters for code. Blanks at the end are cut off first:
+    no token follows them, so the pattern would start anew at each one.
     """
-    return F.regexp_extract_all(text, F.lit(_TOKEN_WITH_LEAD), F.lit(0))
+    ended = F.rtrim(text, F.lit(BLANKS))
+    return F.regexp_extract_all(ended, F.lit(_TOKEN_WITH_LEAD), F.lit(0))
 
 
 def cut(text: Column, width: int) -> Column:

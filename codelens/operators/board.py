@@ -24,11 +24,17 @@ def top_scores(scored: DataFrame, k: int = vocab.TOP_SCORES) -> DataFrame:
 def top_stored_scores(history: DataFrame, k: int = vocab.TOP_SCORES) -> DataFrame:
     """The ``k`` best rows of a stored history, with all their columns.
 
-    Ranks (seq, total_score) first, so that no code text is sorted or moved,
-    then fetches the k rows by key. The broadcast side has k rows.
+    Ranks (seq, total_score) first, so that no code text is sorted or moved.
+    The k-th row then bounds a filter that the scan uses to skip row groups.
+    The ranking runs at once; k pairs of numbers reach the driver.
     """
-    keys = top_scores(history.select("seq", "total_score"), k).select("seq")
-    return top_scores(history.join(F.broadcast(keys), "seq", "left_semi"), k)
+    ranked = top_scores(history.select("seq", "total_score"), k).collect()
+    if not ranked:
+        return history.limit(0)
+    total, seq = F.col("total_score"), F.col("seq")
+    worst = ranked[-1]
+    kept = (total > worst["total_score"]) | ((total == worst["total_score"]) & (seq <= worst["seq"]))
+    return top_scores(history.filter(kept), k)
 
 
 def high_scores(

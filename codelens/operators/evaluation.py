@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelens import schemas
 from codelens.functions import python_ast, text, vocab
 from codelens.functions.rules import add, contains_any, ladder, literal, points
 from codelens.operators.analysis import ANALYSIS, analyse
@@ -55,7 +56,7 @@ def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
     No join hint is given: Spark broadcasts the cases if their size allows it
     and otherwise splits the skewed keys of a shuffled join.
     """
-    judged = add_quality(analyse(runs.join(cases, "case_id")))
+    judged = add_quality(analyse(runs.select(*schemas.RUNS.names).join(cases, "case_id")))
     status = F.col(f"{ANALYSIS}.status")
     problem = F.coalesce(
         F.col("generation_error"), F.when(status == python_ast.OTHER, F.col(f"{ANALYSIS}.error"))

@@ -7,24 +7,37 @@ from pyspark.sql import functions as F
 
 from codelens.functions import text, vocab
 
-# Up to this many rows a bounded top-n is cheapest: every task keeps n rows and
-# one task merges them. Larger samples are cut by key value instead.
-TOP_N_ROWS = 10_000
+# Up to this many keys per task are merged by one task; beyond, keys are counted.
+SMALL_SAMPLE = 100
 _BUCKETS = 1024
 
 
 def first_rows(df: DataFrame, n: int | None, key: str = "row_id") -> DataFrame:
     """The ``n`` rows with the smallest unique integer ``key``; None and 0 mean all.
 
-    A large sample is never funnelled through one task: its cut-off key is found
-    by counting, and the rows are taken by a filter the scan can push down.
+    Only keys are ranked. The rows themselves come from a filter on the cut-off
+    key, which the scan can push down, so their texts are neither sorted nor sent
+    through one task. Finding the cut-off runs at once, over the key column.
     """
     if not n:
         return df
-    if n <= TOP_N_ROWS:
-        return df.orderBy(key).limit(n)
-    cutoff = _nth_key(df, key, n)
-    return df if cutoff is None else df.filter(F.col(key) <= F.lit(cutoff))
+    small = n <= SMALL_SAMPLE
+    cutoff = _last_of(df, key, n) if small else _nth_key(df, key, n)
+    if cutoff is None:
+        return df
+    rows = df.filter(F.col(key) <= F.lit(cutoff))
+    return rows.orderBy(key).limit(n) if small else rows
+
+
+def last_rows(df: DataFrame, n: int, key: str = "seq") -> DataFrame:
+    """The ``n`` rows with the greatest key, for a small ``n``, found the same way."""
+    ranked = df.select(F.col(key).alias("key")).orderBy(F.desc("key")).limit(n)
+    cutoff = ranked.agg(F.min("key")).first()[0]
+    return df.filter(F.col(key) >= F.lit(cutoff)).orderBy(F.desc(key)).limit(n)
+
+
+def _last_of(df: DataFrame, key: str, n: int) -> int | None:
+    return df.select(F.col(key).alias("key")).orderBy("key").limit(n).agg(F.max("key")).first()[0]
 
 
 def _nth_key(df: DataFrame, key: str, n: int) -> int | None:
@@ -78,7 +91,7 @@ def category_or_default(category: Column) -> Column:
 
 def preview(df: DataFrame, key: str = "row_id", width: int = 100) -> DataFrame:
     """The first row as one (field, preview) row per column other than the key."""
-    first = df.orderBy(key).limit(1)
+    first = first_rows(df, 1, key)
     cells = [
         F.struct(
             F.lit(name).alias("field"),

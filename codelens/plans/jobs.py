@@ -27,16 +27,27 @@ class Scored:
 def score_submissions(submissions: DataFrame) -> Scored:
     """History rows of all submissions with code, and the refused rest.
 
-    Blank rows are refused before the parser sees them.
+    Rows without code are refused before the parser sees them.
     """
     placed = spread(submissions, "seq")
     named = placed.withColumn("category", rows.category_or_default(placed["category"]))
-    kept, refused = rows.split_blank(named, "instruction", "generated_code")
+    kept, refused = rows.split_blank(named, "generated_code")
     return Scored(scoring.score_rows(kept), refused)
 
 
+def evaluate_runs(runs: DataFrame, cases: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Judges all runs once into a Parquet table at ``path`` and reports on it.
+
+    Every part of the report reads the stored rows, and only the columns it
+    needs, so nothing is parsed twice and a lost executor costs no judging.
+    """
+    judged = evaluation.evaluate(spread(runs, "result_id"), cases)
+    judged.write.mode("errorifexists").parquet(path)
+    return evaluation_report(judged.sparkSession.read.schema(judged.schema).parquet(path))
+
+
 def evaluation_report(judged: DataFrame) -> dict[str, DataFrame]:
-    """The four parts of a report, with the summaries counted in one pass."""
+    """The four parts of a report on stored rows; the summaries share one pass."""
     cells = settle(evaluation.report_cells(judged))
     return {
         "summary": evaluation.summary(cells),

@@ -8,8 +8,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Code rows can be long; a smaller batch keeps Python workers small too.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
 }
 
 

@@ -38,14 +38,21 @@ def score_stream(
     checkpoint: str,
     available_now: bool = False,
     files_per_batch: int | None = None,
+    tasks: int | None = None,
 ) -> StreamingQuery:
-    """Scores submissions as their Parquet files arrive in ``source``."""
+    """Scores submissions as their Parquet files arrive in ``source``.
+
+    With ``tasks``, each micro-batch is spread over that many tasks by ``seq``;
+    give it if batches consist of fewer files than there are cores.
+    """
     reader = spark.readStream.schema(schemas.SUBMISSIONS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arriving = reader.parquet(source)
     named = arriving.withColumn("category", rows.category_or_default(arriving["category"]))
-    kept, _ = rows.split_blank(named, "instruction", "generated_code")
+    kept, _ = rows.split_blank(named, "generated_code")
+    if tasks:
+        kept = kept.repartition(tasks, "seq")
     writer = _writer(scoring.score_rows(kept), checkpoint, available_now)
     return writer.outputMode("append").format("parquet").option("path", history).start()
 
@@ -64,9 +71,17 @@ def _save_snapshot(rows_now: DataFrame, path: str, batch_id: int) -> None:
 def latest_snapshot(
     spark: SparkSession, path: str, schema, before: int | None = None
 ) -> DataFrame:
-    """The snapshot with the highest batch number, below ``before`` if given."""
+    """The snapshot with the highest batch number, below ``before`` if given.
+
+    Older snapshots are never read again and may be deleted.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
+    if before:
+        # Batches are numbered without gaps, so the folder is nearly always known.
+        previous = read_or_empty(spark, f"{path}/batch_id={before - 1}", schema)
+        if not previous.isEmpty():
+            return previous
     numbered = StructType(schema.fields + [StructField("batch_id", LongType())])
     snapshots = read_or_empty(spark, path, numbered)
     if before is not None:

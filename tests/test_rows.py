@@ -1,0 +1,94 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from codelens.operators import candidates, prompts, rows
+
+
+def keyed(spark, keys):
+    return spark.createDataFrame([(key, f"text {key}") for key in keys], "row_id long, text string").repartition(4)
+
+
+def picked(df):
+    return sorted(row["row_id"] for row in df.collect())
+
+
+@pytest.mark.parametrize("n", [1, 7, 99, 100, 101, 500, 1999, 2000, 5000])
+def test_first_rows_small_and_large(spark, n):
+    pick = random.Random(5)
+    keys = pick.sample(range(-10**6, 10**12), 1000) + list(range(10**15, 10**15 + 1000))
+    assert picked(rows.first_rows(keyed(spark, keys), n)) == sorted(keys)[:n]
+
+
+def test_first_rows_over_the_whole_key_range(spark):
+    keys = [-(2**63), -(2**63) + 1, -5, 0, 3, 2**62, 2**63 - 2, 2**63 - 1] + list(range(100, 300))
+    for n in (101, 202, 205, 207):
+        assert picked(rows.first_rows(keyed(spark, keys), n)) == sorted(keys)[:n]
+
+
+def test_none_and_zero_mean_all(spark):
+    frame = keyed(spark, range(5))
+    assert rows.first_rows(frame, None) is frame and rows.first_rows(frame, 0) is frame
+    assert picked(rows.first_rows(keyed(spark, []), 3)) == []
+
+
+def test_last_rows(spark):
+    assert picked(rows.last_rows(keyed(spark, range(50)), 3, "row_id")) == [47, 48, 49]
+    assert picked(rows.last_rows(keyed(spark, []), 3, "row_id")) == []
+
+
+def test_split_blank(spark):
+    frame = spark.createDataFrame(
+        [(1, "do", "x"), (2, " \u3000", "x"), (3, "do", "\n"), (4, None, None)], "id int, a string, b string"
+    )
+    kept, refused = rows.split_blank(frame, "a", "b")
+    assert [row["id"] for row in kept.collect()] == [1]
+    assert {row["id"]: row["reason"] for row in refused.collect()} == {2: "blank a", 3: "blank b", 4: "blank a"}
+
+
+def test_category_or_default(spark):
+    frame = spark.createDataFrame([("web",), (" ",), (None,)], "category string")
+    got = [row[0] for row in frame.select(rows.category_or_default(F.col("category"))).collect()]
+    assert got == ["web", "general", "general"]
+
+
+def test_preview_shows_the_first_row(spark):
+    frame = spark.createDataFrame([(9, "later", None), (2, "x" * 150, None)], "row_id long, a string, b string")
+    assert {r["field"]: r["preview"] for r in rows.preview(frame).collect()} == {"a": "x" * 100, "b": "None"}
+
+
+def test_prompts(spark):
+    frame = spark.createDataFrame(
+        [(1, "Add", "1 2", "3"), (2, "Add", " \u00a0", "3"), (3, None, None, None)],
+        "row_id long, instruction string, input string, output string",
+    )
+    texts = {row["row_id"]: row["text"] for row in prompts.format_rows(frame).collect()}
+    assert texts[1] == "### Instruction:\nAdd\n\n### Input:\n1 2\n\n### Response:\n3"
+    assert texts[2] == "### Instruction:\nAdd\n\n### Response:\n3"
+    assert texts[3] == "### Instruction:\n\n\n### Response:\n"
+
+
+def test_extract_response(spark):
+    frame = spark.createDataFrame([("ab \u00a0x\n", "ab"), ("xb", "ab"), ("ab", "ab")], "full string, prompt string")
+    got = [row[0] for row in frame.select(prompts.extract_response(F.col("full"), F.col("prompt"))).collect()]
+    assert got == ["x", None, ""]
+
+
+def test_limit_length_keeps_layout(spark):
+    frame = spark.createDataFrame([(1, "def f():\n    return 1\n"), (2, "one two "), (3, "")], "row_id long, text string")
+    got = {r["row_id"]: (r["n_tokens"], r["over_limit"], r["capped_text"])
+           for r in prompts.limit_length(frame, 3).collect()}
+    assert got == {1: (4, True, "def f():\n    return"), 2: (2, False, "one two "), 3: (0, False, "")}
+
+
+def test_candidates(spark):
+    frame = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, [])], "row_id long, candidates array<string>")
+    assert [tuple(r) for r in candidates.fan_out(frame).orderBy("row_id", "candidate_no").collect()] == [
+        (1, 1, "a"), (1, 2, "b"), (2, 1, "c")
+    ]
+    merged = {r["row_id"]: r["m"] for r in frame.select("row_id", candidates.merge(F.col("candidates")).alias("m")).collect()}
+    assert merged[1] == "\n\n" + "=" * 50 + "Output 1:\na\n\nOutput 2:\nb"
+    assert merged[2] == "c"

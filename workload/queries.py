@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens import schemas
+from codelens.functions import vocab
 from codelens.operators import (
     analysis,
     board,
@@ -297,7 +298,8 @@ def category_performance(spark, folder):
 
 
 def trend(spark, folder):
-    return board.recent_trend(_scored(spark, folder))
+    latest = rows.last_rows(_submissions(spark, folder), 2 * vocab.TREND_ROWS)
+    return board.recent_trend(scoring.add_scores(latest))
 
 
 def stats_view(spark, folder):
@@ -349,7 +351,10 @@ def history_export(spark, folder):
 
 def report_roundtrip(spark, folder):
     path = shared_folder(spark, "report")
-    reports.write_report(jobs.evaluation_report(_judged(spark, folder)), path)
+    report = jobs.evaluate_runs(
+        inputs.runs(spark, folder), tables.builtin_cases(spark), shared_folder(spark, "judged")
+    )
+    reports.write_report(report, path)
     schema = (
         "category string, total bigint, syntax_valid bigint, keyword_match bigint,"
         " execution_success bigint, avg_time double"
@@ -366,7 +371,7 @@ def _arrived(spark, folder):
     _submissions(spark, folder).repartitionByRange(4, "seq").write.parquet(f"{base}/arriving")
     query = live.score_stream(
         spark, f"{base}/arriving", f"{base}/history", f"{base}/score-state",
-        available_now=True, files_per_batch=2,
+        available_now=True, files_per_batch=2, tasks=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
     return base
