@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import gc
 import sys
+import typing
 import warnings
 
 import pyarrow as pa
@@ -42,12 +43,31 @@ _FIELDS = [
     ("findings", pa.list_(_FINDING)),
 ]
 
-# Node kinds without anything to count in or below them.
-_EMPTY = frozenset(
-    kind
-    for family in (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
-    for kind in family.__subclasses__()
-) | {ast.Constant, ast.Pass, ast.Break, ast.Continue}
+# Families of nodes without anything to count in or below them.
+_EMPTY = (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.type_ignore, ast.Constant)
+
+
+def _walked_fields(kind: type) -> tuple[str, ...]:
+    """The fields of a node kind that can lead to nodes worth a visit, last first.
+
+    Python 3.13 declares the types of fields; before, all fields are looked at.
+    """
+    declared = getattr(kind, "_field_types", {})
+
+    def leads_on(field: str) -> bool:
+        if field not in declared:
+            return True
+        kinds = typing.get_args(declared[field]) or (declared[field],)
+        return any(issubclass(k, ast.AST) and not issubclass(k, _EMPTY) for k in kinds)
+
+    return tuple(field for field in reversed(kind._fields) if leads_on(field))
+
+
+_WALKED = {
+    kind: _walked_fields(kind)
+    for kind in vars(ast).values()
+    if isinstance(kind, type) and issubclass(kind, ast.AST) and not issubclass(kind, _EMPTY)
+}
 
 
 def inspect_code(code: str) -> tuple:
@@ -93,12 +113,14 @@ def inspect_code(code: str) -> tuple:
             has_function = True
         elif kind is ast.ClassDef:
             has_class = True
-        # The first child has to end up on top of the stack.
-        for field in reversed(kind._fields):
+        # Pushed last to first, so that the first child is on top of the stack.
+        # Whatever is not a node of a listed kind has no fields here.
+        for field in _WALKED.get(kind, ()):
             below = getattr(node, field, None)
-            for child in reversed(below) if type(below) is list else (below,):
-                if isinstance(child, ast.AST) and type(child) not in _EMPTY:
-                    pending.append(child)
+            if type(below) is list:
+                pending += below[::-1]
+            else:
+                pending.append(below)
     return OK, None, has_function, has_class, has_import, n_names, n_meaningful, tuple(findings)
 
 

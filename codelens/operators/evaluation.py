@@ -53,10 +53,11 @@ def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
     another reason than a syntax error, counts as failed throughout. What a run
     printed or raised is only kept for code that parses.
 
-    No join hint is given: Spark broadcasts the cases if their size allows it
-    and otherwise splits the skewed keys of a shuffled join.
+    No join hint is given here: Spark broadcasts cases it knows to be small, as
+    the built-in ones, and otherwise splits the skewed keys of a shuffled join.
     """
-    judged = add_quality(analyse(runs.select(*schemas.RUNS.names).join(cases, "case_id")))
+    wanted = cases.select("case_id", "category", "instruction", "difficulty", "expected_keywords")
+    judged = add_quality(analyse(runs.select(*schemas.RUNS.names).join(wanted, "case_id")))
     status = F.col(f"{ANALYSIS}.status")
     problem = F.coalesce(
         F.col("generation_error"), F.when(status == python_ast.OTHER, F.col(f"{ANALYSIS}.error"))

@@ -77,7 +77,7 @@ def category_view(cells: DataFrame, categories: DataFrame) -> DataFrame:
     """Shown figures per category, in the order of the category table."""
     return (
         category_performance(cells)
-        .join(F.broadcast(categories), "category")
+        .join(categories, "category")
         .orderBy("position")
         .select(
             "position",

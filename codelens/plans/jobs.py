@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from codelens.operators import evaluation, prompts, rows, scoring
-from codelens.plans.layout import settle, spread
+from codelens.plans.layout import broadcast_if_small, settle
 
 
 def prepare_training_rows(
@@ -27,10 +27,10 @@ class Scored:
 def score_submissions(submissions: DataFrame) -> Scored:
     """History rows of all submissions with code, and the refused rest.
 
-    Rows without code are refused before the parser sees them.
+    Rows without code are refused before the parser sees them. There is no
+    shuffle; ``layout.spread`` the scan first if it has few splits.
     """
-    placed = spread(submissions, "seq")
-    named = placed.withColumn("category", rows.category_or_default(placed["category"]))
+    named = submissions.withColumn("category", rows.category_or_default(submissions["category"]))
     kept, refused = rows.split_blank(named, "generated_code")
     return Scored(scoring.score_rows(kept), refused)
 
@@ -41,7 +41,7 @@ def evaluate_runs(runs: DataFrame, cases: DataFrame, path: str) -> dict[str, Dat
     Every part of the report reads the stored rows, and only the columns it
     needs, so nothing is parsed twice and a lost executor costs no judging.
     """
-    judged = evaluation.evaluate(spread(runs, "result_id"), cases)
+    judged = evaluation.evaluate(runs, broadcast_if_small(cases))
     judged.write.mode("errorifexists").parquet(path)
     return evaluation_report(judged.sparkSession.read.schema(judged.schema).parquet(path))
 

@@ -6,21 +6,33 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(scan: DataFrame, key: str) -> DataFrame:
     """Shuffle by a unique key, only if the input has fewer tasks than cores.
 
     Small inputs often come as one file with one row group, which would leave
     all parsing to one task. Large inputs have many splits and are left alone.
-    Call it on a plain scan, and before columns are made larger.
+    Only for a plain scan, whose splits are known without running anything;
+    call it before columns are made larger.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, measured, are small enough.
+
+    For tables whose size Spark cannot know, such as one made from local rows:
+    a join would shuffle the other side by the few keys it has. A larger table
+    comes back without a hint and joins by shuffle, with skewed keys split.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= MAX_BROADCAST_BYTES else df
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -64,19 +64,19 @@ HISTORY_FILE = StructType([
 ])
 
 CASES = StructType([
-    StructField("case_id", LongType(), False),
-    StructField("category", StringType(), False),
-    StructField("instruction", StringType(), False),
-    StructField("input_text", StringType(), False),
+    StructField("case_id", LongType()),
+    StructField("category", StringType()),
+    StructField("instruction", StringType()),
+    StructField("input_text", StringType()),
     StructField("expected_keywords", ArrayType(StringType())),
-    StructField("difficulty", StringType(), False),
-    StructField("description", StringType(), False),
+    StructField("difficulty", StringType()),
+    StructField("description", StringType()),
 ])
 
 CATEGORY_TABLE = StructType([
-    StructField("position", IntegerType(), False),
-    StructField("category", StringType(), False),
-    StructField("title", StringType(), False),
+    StructField("position", IntegerType()),
+    StructField("category", StringType()),
+    StructField("title", StringType()),
 ])
 
 # What a model run and a code run left behind for one evaluation case.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from codelens import schemas
@@ -60,16 +61,22 @@ def read_submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return spark.read.schema(schemas.SUBMISSIONS).format(fmt).load(path)
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A table held in the plan itself, so that Spark knows how small it is.
+
+    Made from plain rows it would be a scan of unknown size, and every join with
+    it would shuffle the other side.
+    """
+    columns = dict(zip(schema.names, map(list, zip(*rows))))
+    return spark.createDataFrame(pa.table(columns)).to(schema)
+
+
 def builtin_cases(spark: SparkSession) -> DataFrame:
     """The 19 evaluation cases, numbered from 0."""
-    return spark.createDataFrame(
-        [(number, *case) for number, case in enumerate(CASES)], schemas.CASES
-    )
+    return _small_table(spark, [(number, *case) for number, case in enumerate(CASES)], schemas.CASES)
 
 
 def categories(spark: SparkSession) -> DataFrame:
     """The seven submission categories in display order."""
-    return spark.createDataFrame(
-        [(at, name, title) for at, (name, title) in enumerate(vocab.CATEGORIES.items(), 1)],
-        schemas.CATEGORY_TABLE,
-    )
+    rows = [(at, name, title) for at, (name, title) in enumerate(vocab.CATEGORIES.items(), 1)]
+    return _small_table(spark, rows, schemas.CATEGORY_TABLE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from codelens import schemas
 from codelens.operators import analysis, evaluation, rows, scoring, stats
-from codelens.plans import jobs
+from codelens.plans import jobs, layout
 from codelens.plans.layout import shared_folder, spread
 from codelens.sources import tables
 
@@ -56,13 +56,31 @@ def test_statistics_shuffle_cells_only(spark):
     assert text.count("Exchange") == 1 and "partial_count" in text
 
 
+def large_runs(spark):
+    """Runs whose size Spark takes to be far above any broadcast limit."""
+    return spark.range(10**9).selectExpr(
+        "id as result_id", "id % 19 as case_id", "'x' as generated_code", "1D as execution_time",
+        "true as execution_success", "'' as execution_output", "'' as execution_error",
+        "cast(null as int) as exit_code", "cast(null as string) as generation_error",
+    )
+
+
 def test_cases_are_broadcast_and_runs_stay_in_place(spark):
-    judged = evaluation.evaluate(stored(spark, schemas.RUNS), tables.builtin_cases(spark))
-    text = plan(judged)
+    text = plan(evaluation.evaluate(large_runs(spark), tables.builtin_cases(spark)))
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
     assert text.count("ArrowEvalPython") == 1
 
 
+def test_cases_of_unknown_size_are_measured(spark, monkeypatch):
+    rows = tables.builtin_cases(spark).collect()
+    unknown = spark.createDataFrame(rows, schemas.CASES)
+    assert "hashpartitioning" in plan(evaluation.evaluate(large_runs(spark), unknown))
+    text = plan(evaluation.evaluate(large_runs(spark), layout.broadcast_if_small(unknown)))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    monkeypatch.setattr(layout, "MAX_BROADCAST_BYTES", 100)
+    assert layout.broadcast_if_small(unknown) is unknown
+
+
 def test_samples_are_cut_by_a_pushed_filter(spark):
     path = shared_folder(spark, "sample")
     spark.range(0, 5000, 1, 4).selectExpr(

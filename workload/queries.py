@@ -388,7 +388,7 @@ def _running_cells(spark, folder):
     base = _arrived(spark, folder)
     query = live.statistics_stream(
         spark, f"{base}/history", f"{base}/cells", f"{base}/cells-state",
-        available_now=True, files_per_batch=2,
+        available_now=True, files_per_batch=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
     return live.running_cells(spark, f"{base}/cells")
@@ -412,7 +412,7 @@ def stream_top10(spark, folder):
     base = _arrived(spark, folder)
     query = live.top_stream(
         spark, f"{base}/history", f"{base}/top", f"{base}/top-state",
-        available_now=True, files_per_batch=2,
+        available_now=True, files_per_batch=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
     return rounded(live.running_top(spark, f"{base}/top"), "total_score").select(*TOP_COLUMNS)
