@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from codelens import schemas
 from codelens.operators import analysis, evaluation, rows, scoring, stats
 from codelens.plans import jobs, layout
@@ -10,7 +13,9 @@ from codelens.sources import tables
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    with contextlib.redirect_stdout(io.StringIO()) as printed:
+        df.explain()
+    return printed.getvalue()
 
 
 def stored(spark, schema, parts=8):

@@ -269,6 +269,16 @@ def names(kind: str, keep=None) -> str:
     return by_template([q(",".join(row)) for row in chosen])
 
 
+def leaderboard(width: int, limit: int) -> str:
+    return (
+        f"WITH {TOP} SELECT row_number() OVER (ORDER BY total DESC, seq) AS position, grade,"
+        f" {shown('total')} AS score, {title('category')} AS category,"
+        f" CASE WHEN length(instruction) > {width} THEN left(instruction, {width}) || '...'"
+        " ELSE instruction END AS instruction,"
+        f" left(ts, 10) AS date FROM top ORDER BY total DESC, seq LIMIT {limit}"
+    )
+
+
 def usage() -> str:
     values = ", ".join(
         f"({at}, {q(kind)}, {q(name)})"
@@ -328,6 +338,7 @@ def build() -> dict[str, str]:
         "sft_format": pairs + f"SELECT row_id, {text} AS text FROM pairs",
         "sft_prompt": pairs + f"SELECT row_id, {PROMPT} AS prompt FROM pairs",
         "sft_sample": pairs + "SELECT row_id, instruction, input, output FROM pairs ORDER BY row_id LIMIT 10",
+        "sft_max_samples": pairs + "SELECT row_id, instruction, input, output FROM pairs ORDER BY row_id LIMIT 150",
         "sft_preview": pairs + """, one AS (SELECT * FROM pairs ORDER BY row_id LIMIT 1)
             SELECT 'instruction' AS field, left(instruction, 100) AS preview FROM one
             UNION ALL SELECT 'input', left(input, 100) FROM one
@@ -431,10 +442,8 @@ def build() -> dict[str, str]:
         "high_scores": f"WITH {TOP} SELECT seq, category, grade, round(total, 6) AS total_score FROM top",
         "high_scores_category": f"WITH {TOP} SELECT seq, category, grade, round(total, 6) AS total_score"
         " FROM top WHERE category = 'functions' ORDER BY total DESC, seq LIMIT 5",
-        "leaderboard_view": f"WITH {TOP} SELECT row_number() OVER (ORDER BY total DESC, seq) AS position,"
-        f" grade, {shown('total')} AS score, {title('category')} AS category,"
-        " CASE WHEN length(instruction) > 50 THEN left(instruction, 50) || '...' ELSE instruction END AS instruction,"
-        " left(ts, 10) AS date FROM top",
+        "leaderboard_view": leaderboard(50, 10),
+        "leaderboard_top5": leaderboard(60, 5),
         "trend": scored + f", {TREND} SELECT recent_trend FROM trend",
         # Stores
         "history_roundtrip": f"WITH {kept()} SELECT seq, grade, round(total, 6) AS total_score,"

@@ -62,6 +62,11 @@ def sft_sample(spark, folder):
     return rows.first_rows(inputs.pairs(spark, folder), 10)
 
 
+def sft_max_samples(spark, folder):
+    """A sample too large for a top-n; its cut-off key is found by counting."""
+    return rows.first_rows(inputs.pairs(spark, folder), 150)
+
+
 def sft_preview(spark, folder):
     return rows.preview(inputs.pairs(spark, folder))
 
@@ -323,6 +328,10 @@ def leaderboard_view(spark, folder):
     return board.leaderboard_view(_scored(spark, folder))
 
 
+def leaderboard_top5(spark, folder):
+    return board.leaderboard_view(_scored(spark, folder), width=60, limit=5)
+
+
 # Stores. Each run writes to a new shared folder and reads it back.
 
 
@@ -422,6 +431,7 @@ QUERIES: dict[str, Query] = {
     "sft_format": sft_format,
     "sft_prompt": sft_prompt,
     "sft_sample": sft_sample,
+    "sft_max_samples": sft_max_samples,
     "sft_preview": sft_preview,
     "sft_count": sft_count,
     "sft_length": sft_length,
@@ -471,6 +481,7 @@ QUERIES: dict[str, Query] = {
     "high_scores": high_scores,
     "high_scores_category": high_scores_category,
     "leaderboard_view": leaderboard_view,
+    "leaderboard_top5": leaderboard_top5,
     "trend": trend,
     "history_roundtrip": history_roundtrip,
     "history_top": history_top,
