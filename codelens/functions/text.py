@@ -56,7 +56,14 @@ def cut(text: Column, width: int) -> Column:
 
 
 def title(text: Column) -> Column:
-    return F.initcap(F.replace(text, F.lit("_"), F.lit(" ")))
+    """Every run of cased letters with a capital first, as ``str.title`` does.
+
+    ``initcap`` starts words after spaces only, not after '_', '-' or digits.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(
+        F.transform(runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.lower(F.substr(run, F.lit(2))))), ""
+    )
 
 
 def one_decimal(value: Column) -> Column:

@@ -25,7 +25,7 @@ def add_quality(
     df = add(df, _lower="lower(_code)")
     df = add(df, contains_keywords=(
         f"coalesce(size({keywords}), 0) <= 0"
-        f" OR exists({keywords}, word -> contains(_lower, lower(word)))"
+        f" OR coalesce(exists({keywords}, word -> contains(_lower, lower(word))), false)"
     ))
     documented = (
         f"CASE WHEN {contains_any('_code', (chr(34) * 3, chr(39) * 3))} THEN 2"

@@ -69,7 +69,8 @@ def overall_view(cells: DataFrame, trend: DataFrame) -> DataFrame:
         _shown(F.col("highest_score")).alias("highest"),
         F.lit(1).alias("_one"),
     )
-    named = trend.select(text.title(F.col("recent_trend")).alias("trend"), F.lit(1).alias("_one"))
+    words = F.replace(F.col("recent_trend"), F.lit("_"), F.lit(" "))
+    named = trend.select(text.title(words).alias("trend"), F.lit(1).alias("_one"))
     return figures.join(F.broadcast(named), "_one").drop("_one")
 
 

@@ -25,7 +25,7 @@ EDGES = [
     "[ for in\u0085 ]", "[ for\u2029 in ]", "'''doc'''", '"""doc"""', "def f(a: int) -> int: return a",
     "a -> b : c", "try:\n    pass\nexcept:\n    pass", "x = {}\ny = []\nz = x.__class__.__mro__",
     "print(eval('1'))", "f(eval)", "x.eval()", "eval(open('f').read())", "getattr(os, 'x').__dict__",
-    "-" * 300 + "1", "a" + ".b" * 400, "f(" * 50 + ")" * 50, "ÀÉ = 'ß'\nprint(ÀÉ)", "x = '😀' * 80",
+    "-" * 300 + "1", "x = " + "-" * 100_000 + "1", "a" + ".b" * 400, "f(" * 50 + ")" * 50, "ÀÉ = 'ß'\nprint(ÀÉ)", "x = '😀' * 80",
     "def f():\n    '''Sort and search a list.'''\n    for item in []:\n        return sorted(item)",
 ]
 

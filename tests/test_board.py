@@ -48,7 +48,7 @@ def test_leaderboard_view(spark):
     frame = totals(spark, [72.25, 90.0, 72.35], ["web", "machine_learning", "data"])
     shown = board.leaderboard_view(frame, width=4, limit=2).collect()
     assert [tuple(row) for row in shown] == [
-        (1, "A", 90.0, "Machine Learning", "task...", "2024-01-02"),
+        (1, "A", 90.0, "Machine_Learning", "task...", "2024-01-02"),
         (2, "A", 72.3, "Data", "task...", "2024-01-02"),
     ]
 

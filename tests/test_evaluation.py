@@ -9,7 +9,7 @@ from codelens.plans import jobs
 from codelens.plans.layout import shared_folder
 from codelens.sources import reports, tables
 
-KEYWORDS = [["def", "RETURN"], [], None, ["zzz"], ["class"]]
+KEYWORDS = [["def", "RETURN"], [], None, ["zzz"], ["class", "for"]]
 
 
 def runs_of(spark, rows):

@@ -47,5 +47,5 @@ def test_many_trailing_blanks_take_no_time(spark):
 
 def test_cut_and_title(spark):
     assert column(spark, ["abcd", "abc", ""], "string", text.cut(F.col("x"), 3)) == ["abc...", "abc", ""]
-    words = ["insufficient_data", "stable", "web"]
-    assert column(spark, words, "string", text.title(F.col("x"))) == [w.replace("_", " ").title() for w in words]
+    words = ["insufficient_data", "stable", "WEB dev", "web-api", "3d art", "it's", "", "\u4e2da", "\u00e9t\u00e9"]
+    assert column(spark, words, "string", text.title(F.col("x"))) == [w.title() for w in words]

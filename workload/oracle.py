@@ -199,7 +199,7 @@ judged AS (
     CASE WHEN generation_error IS NULL AND status = 'ok' THEN success ELSE FALSE END AS success,
     CASE WHEN generation_error IS NULL AND status = 'ok' THEN output ELSE '' END AS output,
     CASE WHEN generation_error IS NULL AND status = 'ok' THEN err ELSE '' END AS err,
-    CASE WHEN generation_error IS NULL THEN length(code) ELSE 0 END AS code_length,
+    CAST(CASE WHEN generation_error IS NULL THEN length(code) ELSE 0 END AS INT) AS code_length,
     CASE WHEN generation_error IS NULL THEN '' ELSE 'Error: ' || generation_error END AS notes
   FROM classed)"""
 
@@ -271,7 +271,7 @@ def names(kind: str, keep=None) -> str:
 
 def leaderboard(width: int, limit: int) -> str:
     return (
-        f"WITH {TOP} SELECT row_number() OVER (ORDER BY total DESC, seq) AS position, grade,"
+        f"WITH {TOP} SELECT CAST(row_number() OVER (ORDER BY total DESC, seq) AS INT) AS position, grade,"
         f" {shown('total')} AS score, {title('category')} AS category,"
         f" CASE WHEN length(instruction) > {width} THEN left(instruction, {width}) || '...'"
         " ELSE instruction END AS instruction,"
@@ -345,12 +345,12 @@ def build() -> dict[str, str]:
             UNION ALL SELECT 'output', left(output, 100) FROM one""",
         "sft_count": pairs + "SELECT count(*) AS n_rows FROM pairs",
         "sft_length": pairs + f""", formatted AS (SELECT row_id, {text} AS text FROM pairs)
-            SELECT row_id, {count} AS n_tokens, {count} > 40 AS over_limit,
+            SELECT row_id, CAST({count} AS INT) AS n_tokens, {count} > 40 AS over_limit,
               CASE WHEN {count} > 40 THEN array_to_string({tokens('text')}[1:40], '') ELSE text END AS capped_text
             FROM formatted""",
         "response_extract": pairs + f"SELECT row_id, trim(output, {WS}) AS response FROM pairs",
         "candidate_rows": pairs + """, listed AS (SELECT row_id, string_split(output, chr(10)) AS c FROM pairs)
-            SELECT row_id, unnest(range(1, len(c) + 1)) AS candidate_no, unnest(c) AS candidate FROM listed""",
+            SELECT row_id, CAST(unnest(range(1, len(c) + 1)) AS INT) AS candidate_no, unnest(c) AS candidate FROM listed""",
         "candidate_merge": pairs + """, listed AS (SELECT row_id, string_split(output, chr(10)) AS c FROM pairs)
             SELECT row_id, CASE WHEN len(c) = 1 THEN c[1] ELSE chr(10) || chr(10) || repeat('=', 50) ||
               array_to_string(['Output ' || i || ':' || chr(10) || c[i] FOR i IN range(1, len(c) + 1)],
@@ -384,20 +384,21 @@ def build() -> dict[str, str]:
         "score_efficiency": facts + f"SELECT seq, {EFFICIENCY} AS efficiency_score FROM counted",
         "score_docs": facts + f"SELECT seq, {DOCUMENTATION} AS documentation_score FROM counted",
         "complexity": facts
-        + f"SELECT seq, {COMPLEXITY} AS complexity_estimate, length(code) AS code_length FROM counted",
+        + f"SELECT seq, {COMPLEXITY} AS complexity_estimate, CAST(length(code) AS INT) AS code_length FROM counted",
         "score_total": scored + f"SELECT seq, {SCORE_COLUMNS} FROM scored",
         "score_row": scored
         + f"""SELECT seq, instruction, code AS generated_code, ts AS timestamp, {SCORE_COLUMNS}, category,
-              complexity AS complexity_estimate, length(code) AS code_length FROM scored WHERE NOT blank""",
+              complexity AS complexity_estimate, CAST(length(code) AS INT) AS code_length FROM scored WHERE NOT blank""",
         "feedback": scored
         + f"""SELECT seq, {ERRORS} AS syntax_errors, {STYLE_ISSUES} AS style_issues,
               {POSITIVE} AS positive_features, {SUGGESTED} AS suggestions FROM scored""",
         "prose_efficiency": prose + f"SELECT doc_id, {EFFICIENCY} AS efficiency_score FROM facts",
         "prose_docs": prose + f"SELECT doc_id, {DOCUMENTATION} AS documentation_score FROM facts",
         "prose_complexity": prose
-        + f"SELECT doc_id, {COMPLEXITY} AS complexity_estimate, length(code) AS code_length FROM facts",
+        + f"SELECT doc_id, {COMPLEXITY} AS complexity_estimate, CAST(length(code) AS INT) AS code_length FROM facts",
         "prose_style_lines": prose
-        + "SELECT doc_id, n_lines, n_nonblank, n_indents, n_long, commented FROM facts",
+        + "SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(n_nonblank AS INT) AS n_nonblank,"
+        " CAST(n_indents AS INT) AS n_indents, CAST(n_long AS INT) AS n_long, commented FROM facts",
         # Evaluation
         "keyword_match": judged + "SELECT result_id, matched AS contains_keywords FROM classed",
         "quality_class": judged + "SELECT result_id, quality AS estimated_quality FROM classed",
