@@ -104,3 +104,14 @@ def test_spread_only_touches_small_inputs(spark):
     assert spread(many, "id") is many
     one = spark.read.parquet(path).coalesce(1)
     assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_shared_folders_lie_where_the_cluster_says(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    first, second = shared_folder(spark, "a"), shared_folder(spark, "a")
+    assert first.startswith(base + "/a-") and first != second
+
+
+def test_settled_rows_do_not_depend_on_their_input(spark):
+    settled = layout.settle(spark.range(10).selectExpr("id % 2 as k").groupBy("k").count())
+    assert "Range" not in plan(settled) and sorted(settled.collect()) == [(0, 5), (1, 5)]

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelens.operators import candidates, prompts, rows
+from codelens.plans import jobs
+from codelens.sources import tables
 
 
 def keyed(spark, keys):
@@ -71,6 +73,16 @@ def test_prompts(spark):
     assert texts[3] == "### Instruction:\n\n\n### Response:\n"
 
 
+def test_read_instructions_from_json_lines(spark, tmp_path):
+    (tmp_path / "rows.jsonl").write_text(
+        '{"row_id": 2, "instruction": "b", "output": "y"}\n{"row_id": 1, "instruction": "a", "input": "i", "output": "x"}\n'
+    )
+    instructions = tables.read_instructions(spark, str(tmp_path), "json")
+    made = {row["row_id"]: row["text"] for row in jobs.prepare_training_rows(instructions, 1).collect()}
+    assert made == {1: "### Instruction:\na\n\n### Input:\ni\n\n### Response:\nx"}
+    assert rows.row_count(instructions).collect() == [(2,)]
+
+
 def test_extract_response(spark):
     frame = spark.createDataFrame([("ab \u00a0x\n", "ab"), ("xb", "ab"), ("ab", "ab")], "full string, prompt string")
     got = [row[0] for row in frame.select(prompts.extract_response(F.col("full"), F.col("prompt"))).collect()]
