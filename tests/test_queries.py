@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__
 import compare
+from workload import oracle
+from workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+SQL = oracle.build()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,11 @@ def test_every_query_has_its_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_entry_point_registers_them():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, connection, name):
     assert compare.difference(QUERIES[name](spark, FOLDER), connection, SQL[name]) is None
