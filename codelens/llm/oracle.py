@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+# Five hexadecimal digits are four base-32 digits.
+WARC = r"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+)
+SELECT page_id,
+       CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(
+           list_transform(range(0, 32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)),
+           '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to
+FROM payloads
+WINDOW same AS (PARTITION BY payload)
+"""
+
 EXACT_DEDUP = r"""
 WITH normal AS (
     SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -19,5 +37,6 @@ WINDOW same AS (PARTITION BY text_sha256)
 
 def build() -> dict[str, str]:
     return {
+        "op3_warc": WARC,
         "op4_exact_dedup": EXACT_DEDUP,
     }
