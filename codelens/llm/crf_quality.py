@@ -33,7 +33,7 @@ from codelens.llm.common import columns, field_of, spans, utf8
 
 SAMPLE = 4000
 THRESHOLD = 0.3
-STEPS, RATE, SHRINK = 300, 0.05, 1e-3
+STEPS, RATE, SHRINK = 300, 0.1, 1e-5
 
 # Classes of bytes: each feature counts those of one class in a line.
 _SETS = {
