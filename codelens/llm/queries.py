@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, exact_dedup, token_files, warc
+from codelens.llm import crf_quality, exact_dedup, simhash, token_files, warc
 from codelens.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.report(table(spark, folder, "documents"))
 
 
+def op7_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.report(table(spark, folder, "documents"))
+
+
 def op8_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     return crf_quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op3_warc,
         op4_exact_dedup,
+        op7_simhash_trie,
         op8_line_crf_quality,
         op10_token_counts,
     )

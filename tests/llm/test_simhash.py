@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from codelens.llm import simhash
+from codelens.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_print(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(lowered)
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def plain_classes(prints, budget=4):
+    """Smallest row number reachable from each, by comparing all pairs."""
+    prints = np.array(prints, np.uint64)
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= budget) + i + 1:
+            a, b = find(i), find(int(j))
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_fingerprints():
+    long = " ".join(f"w{n % 977} Ünï{n}" for n in range(30_000))
+    for text in [None, "", " \t", "One", "one TWO three", "a b c d", "A b C d É Ü É", "x y " * 50, long, " x "]:
+        assert simhash.simhash(text) == plain_print(text)
+
+
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, n // 8, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n // 8, dtype=np.uint64)
+    prints = centres[rng.integers(0, len(centres), n)]
+    prints[: n // 3] = centres[0]  # a third lies around one centre
+    for _ in range(5):
+        flip = rng.random(n) < 0.55
+        prints[flip] ^= np.uint64(1) << rng.integers(0, 64, flip.sum(), dtype=np.uint64)
+    return np.concatenate([prints, np.array([0, 1, (1 << 64) - 1, 1 << 63], np.uint64)])
+
+
+@pytest.mark.parametrize("leaf", [1, 64])
+def test_trie_finds_every_link(monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "PAIRS", 512)
+    keys = np.unique(clustered(700, 5))
+    got = set()
+    for i, j in simhash.trie_links(keys, np.array([0]), np.array([len(keys)]), 4):
+        got |= {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    near = np.bitwise_count(keys[:, None] ^ keys[None, :]) <= 4
+    assert got == {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
+
+
+@pytest.mark.parametrize("group", [1 << 15, 20])
+def test_classes_equal_all_pairs(spark, group):
+    prints = clustered(900, 7)
+    order = np.random.default_rng(1).permutation(len(prints))
+    prints = prints[order]
+    rows = [(n, (n,), int(p)) for n, p in enumerate(prints.view(np.int64))]
+    frame = spark.createDataFrame(rows, "rid long, row struct<doc_id: long>, fingerprint long").repartition(5)
+    got = {r.rid: (r.component_id, r.kept) for r in simhash.classes(frame, group=group).collect()}
+    expected = plain_classes(prints)
+    assert got == {n: (root, root == n) for n, root in enumerate(expected)}
+    assert 5 < len(set(expected)) < 800
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = np.random.default_rng(2)
+    names = rng.permutation(2000)
+    pairs = [(n, n + 1) for n in range(0, 400) if n % 100 != 99] + [(500, n) for n in range(501, 900)] + [(7, 7), (None, 3), (3, 4)]
+    named = [(None if a is None else int(names[a]), int(names[b])) for a, b in pairs]
+    got = {r.node: r.root for r in components(spark.createDataFrame(named, "x long, y long")).collect()}
+    for members in (range(0, 100), range(100, 200), range(200, 300), range(300, 400), range(500, 900)):
+        own = sorted(int(names[n]) for n in members)
+        assert all(got.get(n, n) == own[0] for n in own)
+    assert len(got) == 99 * 4 + 399
+
+
+TEXTS = [
+    (5, "the quick brown fox jumps over the lazy dog again and again until night"), (3, "The quick brown fox jumps over the lazy dog AGAIN and again until night"),
+    (9, None), (8, ""), (7, "  "), (None, ""), (1, "something else entirely with many other words in it"), (None, "lonely text of nobody"),
+    (4, "x y z"), (4, "x y z"), (2, "w " * 200_000),
+]
+
+
+def test_rows(spark):
+    frame = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    got = simhash.report(frame).collect()
+    prints = [plain_print(t) for _, t in TEXTS]
+    roots = plain_classes(prints)
+    smallest = {r: min((d for (d, _), x in zip(TEXTS, roots) if x == r and d is not None), default=None) for r in roots}
+    expected = [(d, f"{p:016x}", smallest[r]) for (d, _), p, r in zip(TEXTS, prints, roots)]
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
+def test_stage_and_empty_table(spark):
+    docs = spark.createDataFrame([(d, t, 1, "r") for d, t in TEXTS], "doc_id long, text string, rid int, root string")
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 3, 4, 7, None]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.report(empty).collect() == []
