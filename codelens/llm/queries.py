@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, exact_dedup, simhash, token_files, warc
+from codelens.llm import crf_quality, exact_dedup, packing, simhash, token_files, warc
 from codelens.llm.common import table
 
 
+def op1_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(table(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -35,6 +39,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
+        op1_hilbert_packing,
         op3_warc,
         op4_exact_dedup,
         op7_simhash_trie,
