@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codelens.llm import licences
+
 # Five hexadecimal digits are four base-32 digits.
 WARC = r"""
 WITH payloads AS (
@@ -35,8 +37,59 @@ WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+
+
+def _licences() -> str:
+    """The sentences and rules are the operator's fixed values; the steps are written anew."""
+    known = ", ".join(f"('{licences.normalise(text)}', '{name}')" for name, text in licences.SENTENCES.items())
+    rules = ", ".join(f"('{licence}', '{rule}', {ids!r})" for licence, rule, ids in licences.RULES)
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+rules(licence, rule, ids) AS (VALUES {rules}),
+texts AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           list_filter(list_transform(string_split(lower(regexp_replace(
+               regexp_replace(
+                   regexp_replace(coalesce(text, ''), '[.;:!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n', chr(1), 'g'),
+                   '\n[\x20\x09-\x0D]*([A-Z][a-z]|[0-9*-])', chr(1) || '\1', 'g'),
+               '[^A-Za-z0-9\x01]+', ' ', 'g')), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS sentences
+    FROM documents
+),
+places AS (SELECT rid, doc_id, sentences, unnest(range(0, len(sentences))) AS place FROM texts),
+tried AS (
+    SELECT rid, doc_id, place, n, array_to_string(sentences[place + 1 : place + n], ' ') AS sentence
+    FROM places, (VALUES (1), (2), (3)) AS sizes(n)
+    WHERE place + n <= len(sentences)
+),
+hits AS (
+    SELECT rid, doc_id, place, max(n) AS n, arg_max(id, n) AS id,
+           row_number() OVER (PARTITION BY rid ORDER BY place) AS i
+    FROM tried JOIN known USING (sentence)
+    GROUP BY rid, doc_id, place
+),
+matches AS (
+    SELECT h.rid, h.doc_id, licence, rule, h.place AS first_sentence, max(e.place + e.n - 1) AS last_sentence, len(ids) AS n_known
+    FROM hits h
+    JOIN rules ON ids[1] = h.id
+    JOIN hits e ON e.rid = h.rid AND e.i BETWEEN h.i AND h.i + len(ids) - 1
+    LEFT JOIN hits f ON f.rid = e.rid AND f.i = e.i + 1 AND e.i < h.i + len(ids) - 1
+    GROUP BY h.rid, h.doc_id, licence, rule, h.place, ids
+    HAVING list(e.id ORDER BY e.i) = ids AND coalesce(min(f.place - e.place - e.n), 0) >= 0 AND coalesce(max(f.place - e.place - e.n), 0) <= 3
+)
+SELECT doc_id, licence, rule, CAST(first_sentence AS INT) AS first_sentence,
+       CAST(last_sentence AS INT) AS last_sentence, CAST(n_known AS INT) AS n_known
+FROM matches m
+WHERE NOT EXISTS (
+    SELECT 1 FROM matches o
+    WHERE o.rid = m.rid AND o.first_sentence <= m.first_sentence AND o.last_sentence >= m.last_sentence
+      AND (o.first_sentence < m.first_sentence OR o.last_sentence > m.last_sentence)
+)
+"""
+
+
 def build() -> dict[str, str]:
     return {
         "op3_warc": WARC,
         "op4_exact_dedup": EXACT_DEDUP,
+        "op9_licence_rules": _licences(),
     }

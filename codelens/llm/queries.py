@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, exact_dedup, packing, simhash, token_files, warc
+from codelens.llm import crf_quality, exact_dedup, licences, packing, simhash, token_files, warc
 from codelens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op8_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     return crf_quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_licence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_matches(table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_counts(table(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_exact_dedup,
         op7_simhash_trie,
         op8_line_crf_quality,
+        op9_licence_rules,
         op10_token_counts,
     )
 }
