@@ -4,6 +4,39 @@ from __future__ import annotations
 
 from codelens.llm import licences
 
+# All windows of all items against all windows of all documents, by their words.
+CONTAMINATION = r"""
+WITH lowered AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+),
+windows AS (
+    SELECT DISTINCT item_id, least(len(words), 13) AS size, words[place + 1 : place + least(len(words), 13)] AS run
+    FROM (SELECT item_id, words, unnest(range(0, len(words) - least(len(words), 13) + 1)) AS place FROM items WHERE len(words) > 0)
+),
+runs AS (
+    SELECT rid, size, place, words[place + 1 : place + size] AS run
+    FROM (SELECT rid, words, size, unnest(range(0, len(words) - size + 1)) AS place
+          FROM lowered, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)
+),
+hits AS (SELECT rid, place, size, item_id FROM runs JOIN windows USING (size, run)),
+hit_words AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(place, place + size)) AS word FROM hits) GROUP BY rid),
+listed AS (
+    SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+    FROM hits GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM lowered LEFT JOIN hit_words USING (rid) LEFT JOIN listed USING (rid)
+"""
+
 # Five hexadecimal digits are four base-32 digits.
 WARC = r"""
 WITH payloads AS (
@@ -89,6 +122,7 @@ WHERE NOT EXISTS (
 
 def build() -> dict[str, str]:
     return {
+        "op2_winnowing": CONTAMINATION,
         "op3_warc": WARC,
         "op4_exact_dedup": EXACT_DEDUP,
         "op9_licence_rules": _licences(),

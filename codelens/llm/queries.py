@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, exact_dedup, licences, packing, simhash, token_files, warc
+from codelens.llm import crf_quality, decontaminate, exact_dedup, licences, packing, simhash, token_files, warc
 from codelens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(table(spark, folder, "documents"))
 
 
+def op2_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_hilbert_packing,
+        op2_winnowing,
         op3_warc,
         op4_exact_dedup,
         op7_simhash_trie,
