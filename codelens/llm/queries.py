@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, decontaminate, exact_dedup, licences, packing, simhash, token_files, warc
+from codelens.llm import crf_quality, decontaminate, exact_dedup, licences, ngram_lm, packing, simhash, token_files, warc
 from codelens.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.report(table(spark, folder, "documents"))
 
 
+def op5_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_lm.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(table(spark, folder, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_winnowing,
         op3_warc,
         op4_exact_dedup,
+        op5_cross_entropy_difference,
         op7_simhash_trie,
         op8_line_crf_quality,
         op9_licence_rules,
