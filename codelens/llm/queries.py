@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, decontaminate, exact_dedup, licences, ngram_lm, packing, simhash, token_files, warc
+from codelens.llm import crf_quality, decontaminate, exact_dedup, licences, ngram_lm, packing, simhash, suffix_dedup, token_files, warc
 from codelens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_lm.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_suffix_lpf(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"))
+
+
 def op7_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(table(spark, folder, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_warc,
         op4_exact_dedup,
         op5_cross_entropy_difference,
+        op6_suffix_lpf,
         op7_simhash_trie,
         op8_line_crf_quality,
         op9_licence_rules,
