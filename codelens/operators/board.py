@@ -26,14 +26,14 @@ def top_stored_scores(history: DataFrame, k: int = vocab.TOP_SCORES) -> DataFram
 
     Ranks (seq, total_score) first, so that no code text is sorted or moved.
     The k-th row then bounds a filter that the scan uses to skip row groups.
-    The ranking runs at once; k pairs of numbers reach the driver.
+    The ranking runs at once; the k-th pair of numbers reaches the driver.
     """
-    ranked = top_scores(history.select("seq", "total_score"), k).collect()
-    if not ranked:
+    ranked = top_scores(history.select("seq", "total_score"), k)
+    worst = ranked.agg(F.min(F.struct("total_score", (-F.col("seq")).alias("back"))).alias("last")).first()["last"]
+    if worst is None:
         return history.limit(0)
     total, seq = F.col("total_score"), F.col("seq")
-    worst = ranked[-1]
-    kept = (total > worst["total_score"]) | ((total == worst["total_score"]) & (seq <= worst["seq"]))
+    kept = (total > worst["total_score"]) | ((total == worst["total_score"]) & (seq <= -worst["back"]))
     return top_scores(history.filter(kept), k)
 
 

@@ -21,6 +21,7 @@ def add_quality(
 
     Keywords match if any of them occurs, ignoring case, or if there are none.
     """
+    own = set(df.columns)
     df = add_line_facts(df, code)
     df = add(df, _lower="lower(_code)")
     df = add(df, contains_keywords=(
@@ -43,11 +44,11 @@ def add_quality(
         f"CASE WHEN _blank THEN {literal(vocab.LOWEST_QUALITY)}"
         f" ELSE {ladder('_points', vocab.QUALITY, vocab.LOWEST_QUALITY)} END"
     ))
-    return df.drop(*[name for name in df.columns if name.startswith("_")])
+    return df.drop(*[name for name in df.columns if name.startswith("_") and name not in own])
 
 
 def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
-    """One judged row per run whose case exists.
+    """One judged row per run whose case exists; ``unmatched`` has the others.
 
     A run whose generation failed, or whose code the parser gave up on for
     another reason than a syntax error, counts as failed throughout. What a run
@@ -92,6 +93,13 @@ def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+def unmatched(runs: DataFrame, cases: DataFrame) -> DataFrame:
+    """Runs that cannot be judged, with the reason."""
+    reason = F.when(F.col("case_id").isNull(), "no case number").otherwise("unknown case")
+    rest = runs.select("result_id", "case_id").join(cases.select("case_id"), "case_id", "left_anti")
+    return rest.select("result_id", "case_id", reason.alias("reason"))
+
+
 def details(judged: DataFrame) -> DataFrame:
     return judged.select(
         "result_id", "category", "instruction", "difficulty", "syntax_valid", "contains_keywords",
@@ -106,6 +114,7 @@ def report_cells(judged: DataFrame) -> DataFrame:
         F.count_if("syntax_valid").alias("syntax_valid"),
         F.count_if("contains_keywords").alias("keyword_match"),
         F.count_if("execution_success").alias("execution_success"),
+        F.count("execution_time").alias("timed"),
         F.sum("execution_time").alias("total_time"),
     )
 
@@ -113,7 +122,7 @@ def report_cells(judged: DataFrame) -> DataFrame:
 def _add_up(cells, *more: Column) -> DataFrame:
     return cells.agg(
         *[F.sum(name).alias(name) for name in ("total", *COUNTS)],
-        (F.sum("total_time") / F.sum("total")).alias("avg_time"),
+        F.try_divide(F.sum("total_time"), F.sum("timed")).alias("avg_time"),
         *more,
     )
 

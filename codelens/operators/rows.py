@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from codelens.functions import text, vocab
 
-# Up to this many keys per task are merged by one task; beyond, keys are counted.
-SMALL_SAMPLE = 100
-_BUCKETS = 1024
+_BUCKETS = 1 << 20
 
 
 def first_rows(df: DataFrame, n: int | None, key: str = "row_id") -> DataFrame:
-    """The ``n`` rows with the smallest unique integer ``key``; None and 0 mean all.
+    """``n`` rows with the smallest integer ``key``, in no order; None and 0 mean all.
 
-    Only keys are ranked. The rows themselves come from a filter on the cut-off
-    key, which the scan can push down, so their texts are neither sorted nor sent
-    through one task. Finding the cut-off runs at once, over the key column.
+    Rows without a key never count and are never picked. Of rows with the last
+    key picked, those go first whose columns hash lowest; equal rows are
+    alike. Only keys are counted, at once; the rows come from a filter on the
+    cut-off, which the scan can push down, so no text is sorted or moved.
     """
     if not n:
         return df
-    small = n <= SMALL_SAMPLE
-    cutoff = _last_of(df, key, n) if small else _nth_key(df, key, n)
+    number, known = F.col(f"`{key}`"), F.col(f"`{key}`").isNotNull()
+    cutoff, missing, at_cutoff = _nth(df.select(number.alias("key")).filter("key IS NOT NULL"), n)
     if cutoff is None:
-        return df
-    rows = df.filter(F.col(key) <= F.lit(cutoff))
-    return rows.orderBy(key).limit(n) if small else rows
+        return df.filter(known)
+    if missing == at_cutoff:
+        return df.filter(number <= F.lit(cutoff))
+    below, tied = df.filter(number < F.lit(cutoff)), df.filter(number == F.lit(cutoff))
+    mark = F.xxhash64(*[df[f"`{name}`"] for name in df.columns])
+    last, alike, _ = _nth(tied.select(mark.alias("key")), missing)
+    picked = tied.filter(mark < F.lit(last)).unionByName(tied.filter(mark == F.lit(last)).limit(alike))
+    return below.unionByName(picked)
 
 
 def last_rows(df: DataFrame, n: int, key: str = "seq") -> DataFrame:
@@ -36,42 +40,30 @@ def last_rows(df: DataFrame, n: int, key: str = "seq") -> DataFrame:
     return df.filter(F.col(key) >= F.lit(cutoff)).orderBy(F.desc(key)).limit(n)
 
 
-def _last_of(df: DataFrame, key: str, n: int) -> int | None:
-    return df.select(F.col(key).alias("key")).orderBy("key").limit(n).agg(F.max("key")).first()[0]
-
-
-def _nth_key(df: DataFrame, key: str, n: int) -> int | None:
-    """The n-th smallest key, or None if there are at most n rows.
+def _nth(keys: DataFrame, n: int) -> tuple[int | None, int, int]:
+    """The n-th smallest ``key``, which of the rows with that key it is, and their number.
 
-    Each pass counts rows in 1,024 equal key ranges and descends into the one
-    that holds the n-th row, so seven passes cover all 64-bit keys. Only the
-    counts reach the driver.
+    None if there are at most n. A pass counts rows in about a million equal key
+    ranges and descends into the one that holds the n-th, so two passes do for
+    keys within a million millions of each other, and four for any. One row
+    of each pass reaches the driver.
     """
-    keys = df.select(F.col(key).alias("key"))
-    low, high, total = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    low, high, total = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
     if total <= n:
-        return None
+        return None, 0, 0
     missing = n
-    while low < high:
+    while True:
         width = (high - low) // _BUCKETS + 1
         # Decimals, because the distance between two 64-bit keys needs 65 bits.
-        bucket = F.expr(
-            f"(cast(key as decimal(20, 0)) - cast('{low}' as decimal(20, 0)))"
-            f" div cast('{width}' as decimal(20, 0))"
-        )
-        counts = (
-            keys.filter(F.col("key").between(low, high))
-            .groupBy(bucket.alias("bucket"))
-            .count()
-            .collect()
-        )
-        for bucket, count in sorted((row["bucket"], row["count"]) for row in counts):
-            if missing <= count:
-                low = low + bucket * width
-                high = min(low + width - 1, high)
-                break
-            missing -= count
-    return low
+        bucket = f"(cast(key AS decimal(20, 0)) - cast('{low}' AS decimal(20, 0))) div cast('{width}' AS decimal(20, 0))"
+        counts = keys.filter(F.col("key").between(low, high)).groupBy(F.expr(bucket).alias("bucket")).agg(F.count("*").alias("n"))
+        sums = counts.withColumn("upto", F.expr("sum(n) OVER (ORDER BY bucket)"))  # at most a million rows
+        holds = sums.filter(F.col("upto") >= missing).agg(F.min(F.struct("bucket", "n", "upto")).alias("first")).first()["first"]
+        missing -= holds["upto"] - holds["n"]
+        low = low + int(holds["bucket"]) * width
+        if width == 1:
+            return low, missing, holds["n"]
+        high = min(low + width - 1, high)
 
 
 def split_blank(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:

@@ -62,16 +62,14 @@ def _shown(score: Column) -> Column:
 
 
 def overall_view(cells: DataFrame, trend: DataFrame) -> DataFrame:
-    """The overall figures as shown to a reader. Both inputs have one row."""
+    """The overall figures as shown to a reader. A trend of several rows is an error."""
     figures = overall(cells).select(
         "total_submissions",
         _shown(F.col("average_score")).alias("average"),
         _shown(F.col("highest_score")).alias("highest"),
-        F.lit(1).alias("_one"),
     )
     words = F.replace(F.col("recent_trend"), F.lit("_"), F.lit(" "))
-    named = trend.select(text.title(words).alias("trend"), F.lit(1).alias("_one"))
-    return figures.join(F.broadcast(named), "_one").drop("_one")
+    return figures.withColumn("trend", trend.select(text.title(words)).scalar())
 
 
 def category_view(cells: DataFrame, categories: DataFrame) -> DataFrame:

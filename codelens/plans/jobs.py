@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from codelens.operators import evaluation, prompts, rows, scoring
+from codelens.operators import evaluation, prompts, rows, scoring, stats
 from codelens.plans.layout import broadcast_if_small, settle
 
 
@@ -35,15 +36,25 @@ def score_submissions(submissions: DataFrame) -> Scored:
     return Scored(scoring.score_rows(kept), refused)
 
 
+def performance_by_category(submissions: DataFrame) -> DataFrame:
+    """Count, mean and best of every known category; other rows are not parsed."""
+    named = submissions.withColumn("category", rows.category_or_default(submissions["category"]))
+    known = named.filter(stats.known_category(F.col("category")))
+    return stats.category_performance(stats.score_cells(scoring.add_scores(known)))
+
+
 def evaluate_runs(runs: DataFrame, cases: DataFrame, path: str) -> dict[str, DataFrame]:
     """Judges all runs once into a Parquet table at ``path`` and reports on it.
 
     Every part of the report reads the stored rows, and only the columns it
-    needs, so nothing is parsed twice and a lost executor costs no judging.
+    needs, so nothing is parsed twice and a lost executor costs no judging. A
+    fifth part lists the runs that no case belongs to.
     """
-    judged = evaluation.evaluate(runs, broadcast_if_small(cases))
+    cases = broadcast_if_small(cases)
+    judged = evaluation.evaluate(runs, cases)
     judged.write.mode("errorifexists").parquet(path)
-    return evaluation_report(judged.sparkSession.read.schema(judged.schema).parquet(path))
+    report = evaluation_report(judged.sparkSession.read.schema(judged.schema).parquet(path))
+    return report | {"unmatched": evaluation.unmatched(runs, cases)}
 
 
 def evaluation_report(judged: DataFrame) -> dict[str, DataFrame]:

@@ -56,6 +56,9 @@ HISTORY = StructType(
     [StructField("seq", LongType())] + SCORE.fields + [StructField("scored_at", TimestampType())]
 )
 
+# Submissions that were not scored, and why.
+REFUSED = StructType(SUBMISSIONS.fields + [StructField("reason", StringType())])
+
 # The single-object history file: two lists and a time.
 HISTORY_FILE = StructType([
     StructField("scores_history", ArrayType(SCORE)),

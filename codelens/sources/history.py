@@ -1,34 +1,76 @@
-"""The stored score history: append-only Parquet, and import of history files."""
+"""The stored score history: runs that are written once, and import of history files.
+
+A history is one folder. ``runs/run=<id>`` holds what one job or one micro-batch
+added, ``refused/run=<id>`` what it refused. A run is written beside its place
+and moved there when complete, so readers see all of it or nothing, and a run
+that is there already is left alone: saving twice adds nothing.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens import schemas
 from codelens.operators import board
+from codelens.sources import files
 
+RUNS, REFUSED = "runs", "refused"
+_RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
+
+# What a saved score has where its file leaves something out.
+_DEFAULTS = {
+    "syntax_score": 0.0, "functionality_score": 0.0, "style_score": 0.0, "efficiency_score": 0.0,
+    "documentation_score": 0.0, "total_score": 0.0, "grade": "F", "code_length": 0,
+    "complexity_estimate": "low", "category": "general",
+}
 _LISTS = ("syntax_errors", "style_issues", "positive_features", "suggestions")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """A Parquet table, or no rows if nothing was ever written there."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def append_history(scored: DataFrame, path: str) -> None:
-    """Adds scored rows; what is stored already is neither read nor rewritten."""
-    scored.select(*schemas.HISTORY.names).write.mode("append").parquet(path)
+def _add_run(rows: DataFrame, folder: str, run: str) -> bool:
+    if not _RUN_ID.fullmatch(run):
+        raise ValueError(f"not a run id: {run!r}")
+    spark = rows.sparkSession
+    place, writing = f"{folder}/run={run}", f"{folder}/_writing-{run}"
+    if files.exists(spark, place):
+        return False
+    rows.write.mode("overwrite").parquet(writing)
+    files.move(spark, writing, place)
+    return True
+
+
+def append_history(scored: DataFrame, path: str, run: str) -> bool:
+    """Adds scored rows as the run ``run``, unless that run is stored already.
+
+    One job at a time may write a run; different runs may be written at once.
+    """
+    return _add_run(scored.select(*schemas.HISTORY.names), f"{path}/{RUNS}", run)
+
+
+def append_refused(refused: DataFrame, path: str, run: str) -> bool:
+    return _add_run(refused.select(*schemas.REFUSED.names), f"{path}/{REFUSED}", run)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, schemas.HISTORY)
+    """All rows, whether jobs or streams added them."""
+    return read_or_empty(spark, f"{path}/{RUNS}", schemas.HISTORY)
+
+
+def read_refused(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, f"{path}/{REFUSED}", schemas.REFUSED)
 
 
 def write_leaderboard(history: DataFrame, path: str) -> None:
@@ -36,28 +78,54 @@ def write_leaderboard(history: DataFrame, path: str) -> None:
     board.top_stored_scores(history).coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, path, schemas.HISTORY)
+
+
 def export_history(history: DataFrame, path: str) -> None:
     """The history as JSON Lines, written by all tasks in parallel."""
     history.write.mode("errorifexists").json(path)
 
 
-def import_history_file(spark: SparkSession, path: str, part: str = "scores_history") -> DataFrame:
-    """Rows of one single-object JSON history file, numbered in list order.
+def _with_defaults(rows: DataFrame) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    return rows.withColumns({
+        **{name: F.coalesce(F.col(name), F.lit(value).cast(kinds[name])) for name, value in _DEFAULTS.items()},
+        **{name: F.coalesce(F.col(name), F.array().cast("array<string>")) for name in _LISTS},
+        "scored_at": F.try_to_timestamp("timestamp"),
+    })
+
+
+def import_history_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of JSON Lines files, as exported, read in parallel; a bad line is an error."""
+    return _with_defaults(spark.read.schema(schemas.HISTORY).option("mode", "FAILFAST").json(path))
+
 
-    ``part`` is scores_history or high_scores. Such a file was written by one
-    process out of its memory and is read by one task; use it once, to move the
-    rows into the Parquet history. A file that is not valid gives no rows.
+def import_history_file(
+    spark: SparkSession, path: str, part: str = "scores_history", first_seq: int = 0
+) -> DataFrame:
+    """Rows of one single-object JSON history file, numbered from ``first_seq`` in list order.
+
+    ``part`` is scores_history or high_scores. Give a ``first_seq`` above what the
+    history has, so that ties and the trend keep their order. Such a file was
+    written by one process out of its memory and is read by one task; use it
+    once, to move the rows into the history. A missing file or a missing list
+    has no rows; a file that is no such object is an error.
     """
+    reader = spark.read.schema(schemas.HISTORY_FILE).option("multiLine", True).option("mode", "FAILFAST")
     try:
-        whole = spark.read.schema(schemas.HISTORY_FILE).option("multiLine", True).json(path)
+        whole = reader.json(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.HISTORY)
     rows = whole.select(F.posexplode(part).alias("at", "score")).select(
-        F.col("at").cast("long").alias("seq"), "score.*"
+        (F.col("at").cast("long") + first_seq).alias("seq"), "score.*"
     )
-    return rows.withColumns({
-        **{name: F.coalesce(F.col(name), F.array().cast("array<string>")) for name in _LISTS},
-        "scored_at": F.try_to_timestamp("timestamp"),
-    })
+    return _with_defaults(rows)
+
+
+def next_seq(history: DataFrame) -> int:
+    """The smallest number above all that are stored."""
+    last = history.agg(F.max("seq")).first()[0]
+    return 0 if last is None else last + 1

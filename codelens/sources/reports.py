@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("summary", "quality_distribution", "category_statistics", "detailed_results")
+PARTS = ("summary", "quality_distribution", "category_statistics", "detailed_results", "unmatched")
+_FEW_ROWS = ("summary", "quality_distribution")  # one and at most four
 
 
 def write_report(report: dict[str, DataFrame], path: str) -> None:
     """Each part of the report as JSON Lines in a folder of its own.
 
-    The details are written by all tasks; the other parts are a few rows each.
+    Only parts with a fixed number of rows are written as one file.
     """
-    for part in PARTS:
-        rows = report[part] if part == "detailed_results" else report[part].coalesce(1)
+    for part in (name for name in PARTS if name in report):
+        rows = report[part].coalesce(1) if part in _FEW_ROWS else report[part]
         rows.write.mode("errorifexists").json(f"{path}/{part}")
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codelens import schemas
-from codelens.functions import vocab
+from codelens.functions import text, vocab
+
+MALFORMED = "line string, reason string"
 
 # Evaluation cases: category, task, input, keywords, difficulty, what it tries.
 # Categories, inputs, keywords and difficulties. Texts are ours.
@@ -52,13 +56,30 @@ CASES = [
 ]
 
 
-def read_instructions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Instruction rows with ``row_id`` from Parquet or JSON Lines files."""
-    return spark.read.schema(schemas.INSTRUCTIONS).format(fmt).load(path)
+def _read(spark: SparkSession, path: str, schema, fmt: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the schema, and the lines that do not, with a reason.
+
+    Only text formats have such lines. Blank ones are no rows and not refused.
+    """
+    if fmt != "json":
+        return spark.read.schema(schema).format(fmt).load(path), spark.createDataFrame([], MALFORMED)
+    bad = "_malformed"
+    wide = StructType([*schema.fields, StructField(bad, StringType())])
+    lines = spark.read.text(path).filter(~text.is_blank(F.col("value")))
+    parsed = lines.select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": bad}).alias("row"))
+    fits = F.col("row").isNotNull() & F.col(f"row.{bad}").isNull()
+    refused = parsed.filter(~fits).select(F.col("value").alias("line"), F.lit("malformed").alias("reason"))
+    return parsed.filter(fits).select("row.*").drop(bad), refused
+
+
+def read_instructions(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Instruction rows with ``row_id`` from Parquet or JSON Lines files, and refused lines."""
+    return _read(spark, path, schemas.INSTRUCTIONS, fmt)
 
 
-def read_submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(schemas.SUBMISSIONS).format(fmt).load(path)
+def read_submissions(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Submissions from Parquet or JSON Lines files, and refused lines."""
+    return _read(spark, path, schemas.SUBMISSIONS, fmt)
 
 
 def _small_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:

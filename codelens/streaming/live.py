@@ -1,24 +1,30 @@
 """Three streaming queries around one stored history.
 
-``score_stream`` parses and scores each arriving row once and appends it to the
-history. The statistics and the high-score list are streams over that history,
-so neither parses again. Their results are a few rows, kept as one snapshot per
-micro-batch: a replayed batch overwrites its own snapshot with the same rows.
-Each query continues from its checkpoint folder after a restart.
+``score_stream`` parses and scores each arriving row once and adds each
+micro-batch to the history as a run of its own; a replayed batch finds its run
+stored and adds nothing. What it refuses is stored too. The statistics and the
+high-score list are streams over that history, which also see what batch jobs
+add, and neither parses again. Their results are a few rows, kept as one snapshot
+per micro-batch: a replayed batch overwrites its own, and all but the last few
+are deleted. Each query continues from its checkpoint folder after a restart.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from codelens import schemas
 from codelens.functions import vocab
 from codelens.operators import board, rows, scoring, stats
+from codelens.sources import files, history as stored
 from codelens.sources.history import read_or_empty
 
+SNAPSHOTS_KEPT = 3
+
 CELLS = "category string, grade string, n_rows bigint, sum_score double, best_score double, worst_score double"
 BOARD = StructType([
     field for field in schemas.HISTORY.fields
@@ -42,52 +48,62 @@ def score_stream(
 ) -> StreamingQuery:
     """Scores submissions as their Parquet files arrive in ``source``.
 
+    The runs it adds are named after the checkpoint folder and the micro-batch:
+    a stream that starts anew needs a new checkpoint folder, not an emptied one.
     With ``tasks``, each micro-batch is spread over that many tasks by ``seq``;
     give it if batches consist of fewer files than there are cores.
     """
     reader = spark.readStream.schema(schemas.SUBMISSIONS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arriving = reader.parquet(source)
-    named = arriving.withColumn("category", rows.category_or_default(arriving["category"]))
-    kept, _ = rows.split_blank(named, "generated_code")
-    if tasks:
-        kept = kept.repartition(tasks, "seq")
-    writer = _writer(scoring.score_rows(kept), checkpoint, available_now)
-    return writer.outputMode("append").format("parquet").option("path", history).start()
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        named = batch.withColumn("category", rows.category_or_default(batch["category"]))
+        kept, refused = rows.split_blank(named, "generated_code")
+        if tasks:
+            kept = kept.repartition(tasks, "seq")
+        run = f"stream-{name}-{batch_id}"
+        stored.append_refused(refused, history, run)
+        stored.append_history(scoring.score_rows(kept), history, run)
+
+    return _writer(reader.parquet(source), checkpoint, available_now).foreachBatch(save).start()
 
 
 def _history_stream(spark: SparkSession, history: str, files_per_batch: int | None) -> DataFrame:
-    reader = spark.readStream.schema(schemas.HISTORY)
+    folder = f"{history}/{stored.RUNS}"
+    files.make_folder(spark, folder)
+    reader = spark.readStream.schema(schemas.HISTORY).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(history)
+    return reader.parquet(folder)
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    prefix = "batch_id="
+    found = [name.removeprefix(prefix) for name in files.names(spark, path) if name.startswith(prefix)]
+    return sorted(int(number) for number in found if number.isdigit())
 
 
 def _save_snapshot(rows_now: DataFrame, path: str, batch_id: int) -> None:
+    """Writes a few rows, then deletes snapshots that no replay can ask for."""
+    spark = rows_now.sparkSession
     rows_now.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    for old in _batches(spark, path):
+        if old <= batch_id - SNAPSHOTS_KEPT:
+            files.delete(spark, f"{path}/batch_id={old}")
 
 
 def latest_snapshot(
     spark: SparkSession, path: str, schema, before: int | None = None
 ) -> DataFrame:
-    """The snapshot with the highest batch number, below ``before`` if given.
-
-    Older snapshots are never read again and may be deleted.
-    """
+    """The snapshot with the highest batch number, below ``before`` if given."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    if before:
-        # Batches are numbered without gaps, so the folder is nearly always known.
-        previous = read_or_empty(spark, f"{path}/batch_id={before - 1}", schema)
-        if not previous.isEmpty():
-            return previous
-    numbered = StructType(schema.fields + [StructField("batch_id", LongType())])
-    snapshots = read_or_empty(spark, path, numbered)
-    if before is not None:
-        snapshots = snapshots.filter(F.col("batch_id") < before)
-    newest = snapshots.agg(F.max("batch_id")).first()[0]
-    return snapshots.filter(F.col("batch_id") == F.lit(newest)).drop("batch_id")
+    found = [number for number in _batches(spark, path) if before is None or number < before]
+    if not found:
+        return spark.createDataFrame([], schema)
+    return read_or_empty(spark, f"{path}/batch_id={found[-1]}", schema)
 
 
 def statistics_stream(

@@ -124,14 +124,14 @@ def test_history_appends_and_top_is_found_by_key(spark):
     assert history.read_history(spark, path).collect() == []
     codes = [f"def name{n}():\n    return {n}" if n % 3 else f"x{n} = = 1" for n in range(60)]
     scored = scored_history(spark, codes).cache()
-    history.append_history(scored.filter("seq < 30"), path)
-    history.append_history(scored.filter("seq >= 30"), path)
+    history.append_history(scored.filter("seq < 30"), path, "one")
+    history.append_history(scored.filter("seq >= 30"), path, "two")
     stored = history.read_history(spark, path)
     assert sorted(stored.collect()) == sorted(scored.collect())
     assert board.top_stored_scores(stored).collect() == board.top_scores(stored).collect()
     assert board.top_stored_scores(stored.filter("seq < 0")).collect() == []
     history.write_leaderboard(stored, path + "-top")
-    assert len(history.read_history(spark, path + "-top").collect()) == 10
+    assert len(history.read_leaderboard(spark, path + "-top").collect()) == 10
 
 
 def test_history_file_import(spark, tmp_path):
@@ -145,9 +145,29 @@ def test_history_file_import(spark, tmp_path):
     )
     first, second = history.import_history_file(spark, str(file)).orderBy("seq").collect()
     assert (first["seq"], first["total_score"], first["style_issues"], first["code_length"]) == (0, 61.5, [], 5)
+    assert (second["category"], second["complexity_estimate"], second["code_length"], second["style_score"]) == ("general", "low", 0, 0.0)
     assert second["seq"] == 1 and second["syntax_errors"] == ["Empty code"] and second["scored_at"] is None
     assert history.import_history_file(spark, str(file), "high_scores").collect() == []
     assert history.import_history_file(spark, str(tmp_path / "none.json")).collect() == []
     broken = tmp_path / "broken.json"
     broken.write_text("{ not json")
-    assert history.import_history_file(spark, str(broken)).collect() == []
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        history.import_history_file(spark, str(broken)).collect()
+    later = history.import_history_file(spark, str(file), first_seq=7)
+    assert sorted(row["seq"] for row in later.collect()) == [7, 8]
+    assert history.next_seq(later) == 9 and history.next_seq(later.limit(0)) == 0
+
+
+def test_history_lines_import(spark):
+    path = shared_folder(spark, "lines")
+    scored = scored_history(spark, ["x = 1", "y = = 2"]).cache()
+    history.export_history(scored, path)
+    assert sorted(history.import_history_lines(spark, path).collect()) == sorted(scored.collect())
+    bare = shared_folder(spark, "bare")
+    spark.createDataFrame([('{"seq": 3, "instruction": "a"}',)], "value string").write.text(bare)
+    row = history.import_history_lines(spark, bare).first()
+    assert (row["seq"], row["grade"], row["total_score"], row["suggestions"]) == (3, "F", 0.0, [])
+    bad = shared_folder(spark, "bad")
+    spark.createDataFrame([('{"seq": 3',)], "value string").write.text(bad)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        history.import_history_lines(spark, bad).collect()

@@ -43,14 +43,20 @@ def test_case_table(spark):
 
 def test_gates(spark):
     deep = "x = " + "-" * 100_000 + "1"
-    judged = {r["result_id"]: r for r in evaluation.evaluate(runs_of(spark, [
+    runs = runs_of(spark, [
         (1, 0, "def factorial(n): return n", 1.0, True, "out", "", None, None),
         (2, 0, "def factorial(:", 1.0, True, "out", "err", None, None),
         (3, 0, "def factorial(n): return n", 2.5, True, "out", "", None, "no model"),
         (4, 0, deep, 1.0, True, "out", "", None, None),
         (5, 0, "def f(): pass", 1.0, None, None, None, None, None),
         (6, 999, "x", 1.0, True, "", "", None, None),
-    ]), tables.builtin_cases(spark)).collect()}
+        (7, None, "x", 1.0, True, "", "", None, None),
+    ])
+    cases = tables.builtin_cases(spark)
+    judged = {r["result_id"]: r for r in evaluation.evaluate(runs, cases).collect()}
+    assert sorted(tuple(row) for row in evaluation.unmatched(runs, cases).collect()) == [
+        (6, 999, "unknown case"), (7, None, "no case number"),
+    ]
     assert set(judged) == {1, 2, 3, 4, 5}
     assert judged[1]["syntax_valid"] and judged[1]["execution_success"] and judged[1]["execution_output"] == "out"
     assert not judged[2]["syntax_valid"] and not judged[2]["execution_success"]
@@ -67,8 +73,10 @@ def test_gates(spark):
 def test_report_adds_up_with_a_hot_case(spark):
     rows = [(n, 0 if n % 3 else n % 19, "def f():\n    return 1" if n % 4 else "x = =", n % 8 / 8,
              n % 2 == 0, "", "", None, None) for n in range(400)]
+    lost = [(n, 19 + n % 4, "x", 1.0, True, "", "", None, None) for n in range(400, 411)]
     path = shared_folder(spark, "judged")
-    report = jobs.evaluate_runs(runs_of(spark, rows), tables.builtin_cases(spark), path)
+    report = jobs.evaluate_runs(runs_of(spark, rows + lost), tables.builtin_cases(spark), path)
+    assert sorted(row["result_id"] for row in report["unmatched"].collect()) == list(range(400, 411))
     details = report["detailed_results"].collect()
     summary = report["summary"].collect()
     assert len(details) == 400 and len(summary) == 1
@@ -90,6 +98,20 @@ def test_report_adds_up_with_a_hot_case(spark):
     assert sorted(again.collect()) == sorted(details)
 
 
+def test_the_mean_time_is_over_known_times(spark):
+    rows = [(n, n % 2, "x = 1", seconds, True, "", "", None, None) for n, seconds in enumerate([1.0, None, 1.0, None, 4.0, None])]
+    cells = evaluation.report_cells(evaluation.evaluate(runs_of(spark, rows), tables.builtin_cases(spark)))
+    assert cells.agg({"timed": "sum"}).first()[0] == 3
+    assert evaluation.summary(cells).first()["avg_execution_time"] == 2.0
+    untimed = evaluation.report_cells(evaluation.evaluate(runs_of(spark, rows[1:2]), tables.builtin_cases(spark)))
+    assert evaluation.summary(untimed).first()["avg_execution_time"] is None
+
+
+def test_quality_keeps_the_callers_columns(spark):
+    frame = spark.createDataFrame([(1, "x = 1", ["x"])], "_id int, generated_code string, expected_keywords array<string>")
+    assert evaluation.add_quality(frame).columns == [*frame.columns, "contains_keywords", "estimated_quality"]
+
+
 def test_empty_report_has_no_summary_row(spark):
     judged = evaluation.evaluate(runs_of(spark, []), tables.builtin_cases(spark))
     cells = evaluation.report_cells(judged)

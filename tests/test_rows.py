@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from codelens.operators import candidates, prompts, rows
 from codelens.plans import jobs
@@ -31,6 +33,29 @@ def test_first_rows_over_the_whole_key_range(spark):
         assert picked(rows.first_rows(keyed(spark, keys), n)) == sorted(keys)[:n]
 
 
+@pytest.mark.parametrize("n", [1, 50, 99, 100, 101, 150, 350])
+def test_null_and_equal_keys(spark, n):
+    """Nulls never count, and of rows with one key as many are picked as are missing."""
+    rows_in = [(None, f"none {at}") for at in range(60)] + [(5, f"five {at}") for at in range(98)]
+    rows_in += [(5, "alike")] * 60 + [(at, f"text {at}") for at in range(6, 100)] + [(-3, "first")]
+    frame = spark.createDataFrame(rows_in, "row_id long, text string").repartition(5)
+    known = [row for row in rows_in if row[0] is not None]
+    got = [tuple(row) for row in rows.first_rows(frame, n).collect()]
+    assert len(got) == min(n, len(known))
+    assert sorted(key for key, _ in got) == sorted(key for key, _ in known)[:n]
+    assert not Counter(got) - Counter(known)
+    again = [tuple(row) for row in rows.first_rows(frame.repartition(2), n).collect()]
+    assert sorted(again) == sorted(got)
+
+
+@pytest.mark.parametrize("n", [7, 1500])
+def test_a_sample_takes_three_passes_over_the_keys(spark, monkeypatch, n):
+    frame = keyed(spark, [at * 1000 for at in range(2000)])
+    passes, first = [], DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda self: passes.append(1) or first(self))
+    assert len(picked(rows.first_rows(frame, n))) == n and len(passes) <= 3
+
+
 def test_none_and_zero_mean_all(spark):
     frame = keyed(spark, range(5))
     assert rows.first_rows(frame, None) is frame and rows.first_rows(frame, 0) is frame
@@ -75,9 +100,13 @@ def test_prompts(spark):
 
 def test_read_instructions_from_json_lines(spark, tmp_path):
     (tmp_path / "rows.jsonl").write_text(
-        '{"row_id": 2, "instruction": "b", "output": "y"}\n{"row_id": 1, "instruction": "a", "input": "i", "output": "x"}\n'
+        '{"row_id": 2, "instruction": "b", "output": "y"}\n\n{"row_id": 1, "instruction": "a", "input": "i", "output": "x"}\n'
+        '{"row_id": 3, "instruction": "c"\n not json \n{"row_id": "four", "instruction": "d"}\n7\n'
     )
-    instructions = tables.read_instructions(spark, str(tmp_path), "json")
+    instructions, refused = tables.read_instructions(spark, str(tmp_path), "json")
+    assert sorted(tuple(row) for row in refused.collect()) == sorted((line, "malformed") for line in (
+        '{"row_id": 3, "instruction": "c"', " not json ", '{"row_id": "four", "instruction": "d"}', "7"
+    ))
     made = {row["row_id"]: row["text"] for row in jobs.prepare_training_rows(instructions, 1).collect()}
     assert made == {1: "### Instruction:\na\n\n### Input:\ni\n\n### Response:\nx"}
     assert rows.row_count(instructions).collect() == [(2,)]

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
+
 from codelens import schemas
 from codelens.operators import board, scoring, stats
+from codelens.plans import jobs
 from codelens.plans.layout import shared_folder
 from codelens.sources import history
 from codelens.streaming import live
@@ -84,6 +87,49 @@ def test_a_replayed_batch_changes_nothing(spark):
     assert state() == before
 
 
+def test_one_history_for_batch_and_stream_in_either_order(spark):
+    for order in ("batch stream", "stream batch"):
+        base = shared_folder(spark, "mixed")
+        arrive(spark, base, 0, 30)
+        scored = jobs.score_submissions(submissions(spark, 30, 60))
+        for step in order.split():
+            if step == "batch":
+                for _ in range(2):  # a job that is run again adds nothing
+                    history.append_history(scored.history, f"{base}/history", "job-1")
+                    history.append_refused(scored.refused, f"{base}/history", "job-1")
+            else:
+                advance(spark, base)
+        advance(spark, base)
+        expected = jobs.score_submissions(submissions(spark, 0, 60))
+        stored = history.read_history(spark, f"{base}/history")
+        assert sorted(stored.collect()) == sorted(expected.history.collect())
+        refused = history.read_refused(spark, f"{base}/history")
+        assert sorted(refused.collect()) == sorted(expected.refused.select(*refused.columns).collect())
+        assert sorted(live.running_cells(spark, f"{base}/cells").collect()) == sorted(stats.score_cells(expected.history).collect())
+
+
+def test_an_unfinished_run_is_not_seen_and_is_written_again(spark):
+    path = shared_folder(spark, "unfinished")
+    scored = jobs.score_submissions(submissions(spark, 0, 12)).history
+    scored.write.parquet(f"{path}/runs/_writing-a")  # what a lost job leaves
+    assert history.read_history(spark, path).collect() == []
+    assert history.append_history(scored, path, "a") and not history.append_history(scored, path, "a")
+    assert history.read_history(spark, path).count() == scored.count()
+    with pytest.raises(ValueError):
+        history.append_history(scored, path, "../b")
+
+
+def test_fifty_batches_leave_a_few_snapshots(spark):
+    base = shared_folder(spark, "long")
+    scored = jobs.score_submissions(submissions(spark, 0, 50)).history.coalesce(1).cache()
+    for n in range(50):
+        history.append_history(scored.filter(f"seq = {n}"), f"{base}/history", f"job-{n}")
+    query = live.statistics_stream(spark, f"{base}/history", f"{base}/cells", f"{base}/state", True, 1)
+    query.awaitTermination()
+    assert len(list(Path(f"{base}/cells").glob("batch_id=*"))) <= live.SNAPSHOTS_KEPT
+    assert sorted(live.running_cells(spark, f"{base}/cells").collect()) == sorted(stats.score_cells(scored).collect())
+
+
 def test_snapshots_of_nothing(spark):
     path = shared_folder(spark, "nothing")
     assert live.running_top(spark, path).collect() == []
