@@ -91,7 +91,7 @@ def test_samples_are_cut_by_a_pushed_filter(spark):
     spark.range(0, 5000, 1, 4).selectExpr(
         "id as row_id", "'a' as instruction", "'' as input", "'b' as output"
     ).write.parquet(path)
-    instructions = tables.read_instructions(spark, path)
+    instructions, _ = tables.read_instructions(spark, path)
     text = plan(rows.first_rows(instructions, 1000))
     assert "LessThanOrEqual(row_id,999)" in text and "Exchange" not in text and "Limit" not in text
     assert rows.first_rows(instructions, 1000).count() == 1000
@@ -115,3 +115,29 @@ def test_shared_folders_lie_where_the_cluster_says(spark):
 def test_settled_rows_do_not_depend_on_their_input(spark):
     settled = layout.settle(spark.range(10).selectExpr("id % 2 as k").groupBy("k").count())
     assert "Range" not in plan(settled) and sorted(settled.collect()) == [(0, 5), (1, 5)]
+
+
+def test_instruction_pairs_take_one_scan_and_one_shuffle(spark):
+    from workload import inputs
+
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(inputs.pairs(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_pairs_cross_blocks_of_turns(spark, monkeypatch):
+    from workload import inputs
+
+    before = sorted(tuple(r) for r in inputs.pairs(spark, "/root/testdata/sf0.001").collect())
+    for size in (1, 2, 3):
+        monkeypatch.setattr(inputs, "BLOCK", size)
+        assert sorted(tuple(r) for r in inputs.pairs(spark, "/root/testdata/sf0.001").collect()) == before
+
+
+def test_unknown_categories_are_not_parsed(spark):
+    text = plan(jobs.performance_by_category(stored(spark, schemas.SUBMISSIONS)))
+    assert text.index("ArrowEvalPython") < text.rindex("Filter")

@@ -1,0 +1,73 @@
+"""The derived inputs reach every branch of the rules: no flag holds for no row or for all."""
+
+from __future__ import annotations
+
+import pytest
+
+import compare
+from workload import oracle
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return compare.connect(FOLDER)
+
+
+def shares(connection, with_part, source, **flags):
+    columns = ", ".join(f"count(*) FILTER ({flag}) AS {name}" for name, flag in flags.items())
+    result = connection.execute(f"WITH {with_part} SELECT count(*) AS _all, {columns} FROM {source}")
+    row = dict(zip([column[0] for column in result.description], result.fetchone()))
+    total = row.pop("_all")
+    return {name: n for name, n in row.items() if not 0 < n < total}
+
+
+FACTS = [
+    "blank", "has_function", "has_class", "has_import", "docstring", "hinted", "commented", "e_list", "e_gen", "e_enum",
+    "e_zip", "e_join", "e_set", "i_concat", "i_nested", "n_asked > 0 AND n_asked = n_met", "n_long = 0",
+    "n_long > n_lines * 0.3e0", "n_indents = 0", "n_indents BETWEEN 1 AND 2", "n_indents > 2", oracle.GOOD_NAMES,
+    f"trim(instruction, {oracle.WS}) = ''",
+]
+
+
+def test_facts_of_code(connection):
+    flags = {f"f{at}": flag for at, flag in enumerate(FACTS)}
+    flags |= {f"met_{word}": met for word, met in oracle.MET.items()}
+    flags |= {f"unmet_{word}": f"{oracle.ASKED[word]} AND NOT {met}" for word, met in oracle.MET.items()}
+    flags |= {name: f"status = '{name}'" for name in ("ok", "syntax_error", "other_error")}
+    # Words that nearly any code shows: a letter of punctuation or three of a name are enough.
+    easily_met = {f"unmet_{word}" for word in oracle.MET}
+    missed = shares(connection, oracle.FACTS, "counted", **flags)
+    assert set(missed) <= easily_met and len(missed) <= 3, missed
+
+
+def test_scores_and_grades(connection):
+    grades = {f"g{at}": f"grade = '{name}'" for at, name in enumerate(
+        ("A+", "A", "A-", "B+", "B", "B-", "C+", "C", "C-", "D+", "D", "F"))}
+    levels = {name: f"complexity = '{name}'" for name in ("low", "medium", "high")}
+    assert shares(connection, oracle.SCORED, "scored", **grades, **levels) == {}
+    n = connection.execute(f"WITH {oracle.SCORED} SELECT count(DISTINCT eff), count(DISTINCT doc), count(DISTINCT sty) FROM scored").fetchone()
+    assert min(n) >= 4, n
+    long = connection.execute(f"WITH {oracle.TOP} SELECT count(*) FROM top WHERE length(instruction) > 60").fetchone()[0]
+    assert 0 < long < 10
+
+
+def test_prose(connection):
+    flags = {"commented": "commented", "docstring": "docstring", "hinted": "hinted", "none": "n_indents = 0", "one": "n_indents = 1", "more": "n_indents > 1"}
+    assert shares(connection, oracle.PROSE, "facts", **flags) == {}
+
+
+def test_evaluation(connection):
+    flags = {name: f"quality = '{name}'" for name in ("excellent", "good", "fair", "poor")}
+    flags |= {"valid": "valid", "keyword": "keyword", "success": "success", "noted": "notes <> ''", "untimed": "execution_time IS NULL"}
+    flags |= {"gave_up": "starts_with(notes, 'Error: Parser')"}
+    assert shares(connection, oracle.JUDGED, "judged", **flags) == {}
+    more = {"no_keyword": "len(words) = 0", "guarded": "contains(code, 'try:')"}
+    assert shares(connection, oracle.JUDGED, "classed", **more) == {}
+    assert shares(connection, oracle.RUNS, "runs", unknown="case_id NOT IN (SELECT case_id FROM cases)") == {}
+
+
+def test_outcomes(connection):
+    classes = connection.execute(f"SELECT outcome, count(*) FROM ({oracle.build()['outcome_class']}) GROUP BY outcome").fetchall()
+    assert len(classes) == 8 and min(n for _, n in classes) > 0

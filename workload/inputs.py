@@ -7,11 +7,23 @@ evaluated one, ``pairs`` every answered user turn into an instruction row, and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codelens import schemas
 from codelens.plans.layout import spread
-from workload.templates import CATEGORIES, GENERATION_ERROR, INSTRUCTIONS, OUTCOMES, TEMPLATES
+from codelens.sources import tables
+from workload.templates import (
+    CATEGORIES,
+    FREE_CASE,
+    GENERATION_ERROR,
+    INSTRUCTIONS,
+    N_CASE_NUMBERS,
+    OUTCOMES,
+    TEMPLATES,
+)
+
+BLOCK = 1000  # turns of one conversation that are put in order together
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,9 +73,9 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     )
     return rows.select(
         F.col("seq").alias("result_id"),
-        (block % 19).alias("case_id"),
+        (block % N_CASE_NUMBERS).alias("case_id"),
         "generated_code",
-        ((F.col("seq") % 100) / F.lit(8.0)).alias("execution_time"),
+        F.when(F.col("seq") % 50 != 49, (F.col("seq") % 100) / F.lit(8.0)).alias("execution_time"),
         F.col("picked.success").alias("execution_success"),
         _filled(F.col("picked.output")).alias("execution_output"),
         _filled(F.col("picked.error")).alias("execution_error"),
@@ -72,34 +84,53 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cases(spark: SparkSession) -> DataFrame:
+    """The built-in cases and one that asks for no keyword."""
+    return tables.builtin_cases(spark).unionByName(spark.createDataFrame([FREE_CASE], schemas.CASES))
+
+
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Instruction rows: a user turn, the system turn before, the answer after.
 
-    Turns are numbered without gaps, so neighbours meet by an equi-join on
-    (conversation, turn). A conversation of any length spreads over all tasks,
-    and both joins use the same partitioning.
+    Turns of a conversation are dealt out in blocks, and a block's first and last
+    turn go to the neighbouring block too, so a window over one block sees every
+    neighbour. That is one scan and one shuffle, and a conversation of any length
+    spreads over all tasks. The key leaves room for the longest conversation.
     """
-    turns = table(spark, folder, "conversations")
-
-    def shifted(role: str, by: int, name: str) -> DataFrame:
-        return turns.filter(F.col("role") == role).select(
-            "conv_id", (F.col("turn") + by).alias("turn"), F.col("text").alias(name)
-        )
-
-    joined = (
-        shifted("user", 0, "instruction")
-        .join(shifted("assistant", -1, "output"), ["conv_id", "turn"])
-        .join(shifted("system", 1, "before"), ["conv_id", "turn"], "left")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    longest = turns.agg(F.max("turn")).first()[0] or 0
+    own = F.expr(f"turn div {BLOCK}")
+    neighbours = F.array_compact(F.array(
+        own,
+        F.when(F.col("turn") % BLOCK == 0, own - 1),
+        F.when(F.col("turn") % BLOCK == BLOCK - 1, own + 1),
+    ))
+    in_block = Window.partitionBy("conv_id", "block").orderBy("turn")
+    row = F.struct("turn", "role", "text")
+    seen = turns.withColumn("block", F.explode(neighbours)).select(
+        "*", F.lead(row).over(in_block).alias("after"), F.lag(row).over(in_block).alias("before")
     )
-    return joined.select(
-        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("row_id"),
-        "instruction",
-        F.coalesce("before", F.lit("")).alias("input"),
-        "output",
+    answered = (F.col("after.turn") == F.col("turn") + 1) & (F.col("after.role") == "assistant")
+    led = (F.col("before.turn") == F.col("turn") - 1) & (F.col("before.role") == "system")
+    return seen.filter((F.col("role") == "user") & (F.col("block") == own) & answered).select(
+        (F.col("conv_id") * (longest + 1) + F.col("turn")).alias("row_id"),
+        F.col("text").alias("instruction"),
+        F.when(led, F.col("before.text")).otherwise("").alias("input"),
+        F.col("after.text").alias("output"),
     )
 
 
 def prose(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's whole text as code, with an empty instruction."""
+    """Every document's whole text as code, most with comments, quotes or indents added."""
     documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return documents.select("doc_id", F.col("text").alias("generated_code"), F.lit("").alias("instruction"))
+    text, kind = F.col("text"), F.col("doc_id") % 6
+    indented = F.replace(text, F.lit("\n"), F.lit("\n  "))
+    code = (
+        F.when(kind == 1, F.concat(F.lit("# "), text))
+        .when(kind == 2, F.concat(F.lit('"""'), text, F.lit('"""')))
+        .when(kind == 3, F.replace(text, F.lit("\n"), F.lit("\n    ")))
+        .when(kind == 4, F.concat(F.lit("note: text -> "), text))
+        .when(kind == 5, F.replace(indented, F.lit(". "), F.lit(".\n    # ")))
+        .otherwise(text)
+    )
+    return documents.select("doc_id", code.alias("generated_code"), F.lit("").alias("instruction"))

@@ -6,10 +6,77 @@ parser finds; everything else is computed from the text.
 
 from __future__ import annotations
 
-from codelens.functions import vocab
-from codelens.functions.text import BLANK_CLASS, BLANKS
-from codelens.sources.tables import CASES
-from workload.templates import CATEGORIES, GENERATION_ERROR, INSTRUCTIONS, OUTCOMES, TEMPLATES
+from workload.templates import (
+    CATEGORIES,
+    FREE_CASE,
+    GENERATION_ERROR,
+    INSTRUCTIONS,
+    N_CASE_NUMBERS,
+    OUTCOMES,
+    TEMPLATES,
+)
+
+# Fixed values, stated here once more so that a wrong word on one side shows: what
+# counts as blank, the known categories, the concepts, the refused names, the cases.
+BLANK_POINTS = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200,
+ 8201, 8202, 8232, 8233, 8239, 8287, 12288)
+KNOWN_CATEGORIES = ('functions', 'classes', 'algorithms', 'web', 'data', 'advanced', 'general')
+CONCEPTS = {'function': ['def ', 'function'],
+ 'class': ['class ', 'object'],
+ 'loop': ['for ', 'while ', 'loop'],
+ 'condition': ['if ', 'elif ', 'else:', 'condition'],
+ 'list': ['list', 'array', '[]'],
+ 'dict': ['dict', 'dictionary', '{}'],
+ 'file': ['file', 'open(', 'read', 'write'],
+ 'sort': ['sort', 'sorted'],
+ 'search': ['search', 'find', 'index'],
+ 'calculate': ['calculate', 'compute', '+', '-', '*', '/'],
+ 'return': ['return'],
+ 'print': ['print(']}
+BLOCKED_IMPORTS = ('os', 'subprocess', 'sys', 'shutil', 'glob', 'socket', 'urllib', 'requests', 'http', 'ftplib', 'smtplib',
+ 'telnetlib', 'webbrowser', 'ctypes', 'multiprocessing', 'threading', 'asyncio', 'concurrent', 'importlib',
+ '__import__', 'eval', 'exec', 'compile', 'open', 'file', 'input', 'raw_input')
+BLOCKED_BUILTINS = ('eval', 'exec', 'compile', '__import__', 'open', 'file', 'input', 'raw_input', 'reload', 'vars', 'locals',
+ 'globals', 'dir', 'getattr', 'setattr', 'delattr', 'hasattr')
+BLOCKED_ATTRIBUTES = ('__class__', '__bases__', '__subclasses__', '__mro__', '__globals__', '__code__', '__func__', '__self__',
+ '__module__', '__dict__')
+# Category, task, keywords, difficulty.
+CASES = [('Basic Functions', 'Define a function returning n factorial', ['def', 'factorial', 'return'], 'easy'),
+ ('Basic Functions', 'Define a function that tells whether n is prime', ['def', 'prime', 'return', 'for'],
+  'easy'),
+ ('Basic Functions', 'Define a function that turns a text around', ['def', 'reverse', 'return'], 'easy'),
+ ('Data Structures', 'Build a stack type that can push, pop and peek',
+  ['class', 'Stack', 'push', 'pop', 'peek'], 'medium'),
+ ('Data Structures', 'Build a search tree type that can insert and search',
+  ['class', 'BinarySearchTree', 'insert', 'search'], 'hard'),
+ ('Data Structures', 'Build a queue out of a pair of stacks',
+  ['class', 'Queue', 'enqueue', 'dequeue', 'stack'], 'medium'),
+ ('Algorithms', 'Find a value in a sorted list by halving', ['def', 'binary_search', 'while', 'return'],
+  'medium'),
+ ('Algorithms', 'Order a list with quicksort', ['def', 'quicksort', 'partition', 'return'], 'hard'),
+ ('Algorithms', 'Compute Fibonacci numbers from a table of earlier ones',
+  ['def', 'fibonacci', 'dp', 'return'], 'medium'),
+ ('OOP', 'Build a calculator type for the four basic operations',
+  ['class', 'Calculator', 'add', 'subtract', 'multiply', 'divide'], 'easy'),
+ ('OOP', 'Build a bank account type that tracks its balance',
+  ['class', 'BankAccount', 'deposit', 'withdraw', 'balance'], 'medium'),
+ ('OOP', 'Derive dogs and cats from a common animal type', ['class', 'Animal', 'Dog', 'Cat', 'inherit'],
+  'medium'),
+ ('Advanced', 'Build a decorator that reports how long a call takes', ['def', 'decorator', 'time', 'wrapper'],
+  'hard'),
+ ('Advanced', 'Build a context manager that opens and closes a file',
+  ['class', '__enter__', '__exit__', 'with'], 'hard'),
+ ('Advanced', 'Yield Fibonacci numbers one at a time', ['def', 'yield', 'fibonacci', 'generator'], 'medium'),
+ ('Practical', 'Check with a pattern whether a text is a mail address',
+  ['def', 'email', 'regex', 're', 'return'], 'medium'),
+ ('Practical', 'Turn CSV text into a list of records', ['def', 'csv', 'parse', 'return'], 'medium'),
+ ('Practical', 'Fetch a page with requests and pick out its content', ['import', 'requests', 'def', 'scrape'],
+  'medium'),
+ ('Error Handling', 'Divide two numbers without failing on zero',
+  ['def', 'try', 'except', 'ZeroDivisionError'], 'easy')]
+
+BLANKS = "".join(chr(point) for point in BLANK_POINTS)
+BLANK_CLASS = "".join(f"\\x{{{point:x}}}" for point in BLANK_POINTS)
 
 
 def q(text: str | None) -> str:
@@ -81,10 +148,10 @@ facts AS (
   FROM stripped)"""
 
 
-ASKED = {word: f"contains(li, {q(word)})" for word in vocab.CONCEPTS}
+ASKED = {word: f"contains(li, {q(word)})" for word in CONCEPTS}
 MET = {
     word: f"({ASKED[word]} AND (" + " OR ".join(f"contains(lc, {q(k)})" for k in shown) + "))"
-    for word, shown in vocab.CONCEPTS.items()
+    for word, shown in CONCEPTS.items()
 }
 N_ASKED = " + ".join(f"CAST({flag} AS INT)" for flag in ASKED.values())
 N_MET = " + ".join(f"CAST({flag} AS INT)" for flag in MET.values())
@@ -136,7 +203,16 @@ totalled AS (
   FROM scaled),
 scored AS (SELECT *, {GRADE} AS grade FROM totalled)"""
 
-PROSE = "prose AS (SELECT doc_id, text AS code, '' AS instruction FROM documents)," + text_facts("prose")
+PROSE = """
+prose AS (
+  SELECT doc_id, '' AS instruction, CASE doc_id % 6
+    WHEN 1 THEN '# ' || text
+    WHEN 2 THEN '\"\"\"' || text || '\"\"\"'
+    WHEN 3 THEN replace(text, chr(10), chr(10) || '    ')
+    WHEN 4 THEN 'note: text -> ' || text
+    WHEN 5 THEN replace(replace(text, chr(10), chr(10) || '  '), '. ', '.' || chr(10) || '    # ')
+    ELSE text END AS code
+  FROM documents),""" + text_facts("prose")
 
 PAIRS = """
 turns AS (
@@ -144,7 +220,7 @@ turns AS (
     lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS (
-  SELECT conv_id * 1000000 + turn AS row_id, text AS instruction,
+  SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS row_id, text AS instruction,
     CASE WHEN prev_role = 'system' THEN prev_text ELSE '' END AS input, next_text AS output
   FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
 
@@ -156,8 +232,8 @@ PROMPT = (
 )
 
 CASE_TABLE = "cases AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({at}, {q(category)}, {q(task)}, [{', '.join(map(q, words))}], {q(difficulty)})"
-    for at, (category, task, _, words, difficulty, _) in enumerate(CASES)
+    f"({at}, {q(category)}, {q(task)}, CAST([{', '.join(map(q, words))}] AS VARCHAR[]), {q(difficulty)})"
+    for at, (category, task, words, difficulty) in enumerate([*CASES, (FREE_CASE[1], FREE_CASE[2], FREE_CASE[4], FREE_CASE[5])])
 ) + ") AS t(case_id, case_category, task, words, difficulty))"
 
 
@@ -167,8 +243,8 @@ def by_outcome(at: int, quote) -> str:
 
 RUNS = PARSED + ",\n" + CASE_TABLE + f""",
 runs AS (
-  SELECT seq AS result_id, (seq // 16) % 19 AS case_id, code, status,
-    (seq % 100) / 8e0 AS execution_time, {by_outcome(0, str)} AS success,
+  SELECT seq AS result_id, (seq // 16) % {N_CASE_NUMBERS} AS case_id, code, status, error,
+    CASE WHEN seq % 50 <> 49 THEN (seq % 100) / 8e0 END AS execution_time, {by_outcome(0, str)} AS success,
     {filled(by_outcome(1, q))} AS output, {filled(by_outcome(2, q))} AS err,
     CAST({by_outcome(3, lambda code: 'NULL' if code is None else str(code))} AS INT) AS exit_code,
     CASE WHEN (seq // 16) % 11 = 10 THEN {q(GENERATION_ERROR)} END AS generation_error
@@ -190,17 +266,19 @@ pointed AS (
     + {plus("contains(code, 'try:') OR contains(code, 'except:')", 1)}
     + {plus("n >= 5", 1)} + {plus("n >= 15", 1)} + {plus("matched", 2)} AS points
   FROM matched),
-classed AS (SELECT *, {QUALITY} AS quality FROM pointed),
+classed AS (
+  SELECT *, {QUALITY} AS quality, coalesce(generation_error, CASE WHEN status = 'other_error' THEN error END) AS problem
+  FROM pointed),
 judged AS (
   SELECT result_id, case_category AS category, task, difficulty, execution_time,
-    generation_error IS NULL AND status = 'ok' AS valid,
-    generation_error IS NULL AND matched AS keyword,
-    CASE WHEN generation_error IS NULL THEN quality ELSE 'poor' END AS quality,
-    CASE WHEN generation_error IS NULL AND status = 'ok' THEN success ELSE FALSE END AS success,
-    CASE WHEN generation_error IS NULL AND status = 'ok' THEN output ELSE '' END AS output,
-    CASE WHEN generation_error IS NULL AND status = 'ok' THEN err ELSE '' END AS err,
-    CAST(CASE WHEN generation_error IS NULL THEN length(code) ELSE 0 END AS INT) AS code_length,
-    CASE WHEN generation_error IS NULL THEN '' ELSE 'Error: ' || generation_error END AS notes
+    problem IS NULL AND status = 'ok' AS valid,
+    problem IS NULL AND matched AS keyword,
+    CASE WHEN problem IS NULL THEN quality ELSE 'poor' END AS quality,
+    CASE WHEN problem IS NULL AND status = 'ok' THEN success ELSE FALSE END AS success,
+    CASE WHEN problem IS NULL AND status = 'ok' THEN output ELSE '' END AS output,
+    CASE WHEN problem IS NULL AND status = 'ok' THEN err ELSE '' END AS err,
+    CAST(CASE WHEN problem IS NULL THEN length(code) ELSE 0 END AS INT) AS code_length,
+    CASE WHEN problem IS NULL THEN '' ELSE 'Error: ' || problem END AS notes
   FROM classed)"""
 
 
@@ -239,7 +317,10 @@ STYLE_ISSUES = feedback([
     (f"status = 'ok' AND NOT {GOOD_NAMES}", "Consider more descriptive variable names"),
     ("n_long > n_lines * 0.3e0", "Some lines are too long (>79 characters)"),
 ])
-ERRORS = "CASE WHEN blank THEN 'Empty code' WHEN status = 'ok' THEN '' ELSE 'Syntax error: ' || error END"
+ERRORS = (
+    "CASE WHEN blank THEN 'Empty code' WHEN status = 'ok' THEN ''"
+    " WHEN status = 'syntax_error' THEN 'Syntax error: ' || error ELSE 'Parse error: ' || error END"
+)
 
 TOP = SCORED + ", top AS (SELECT * FROM scored ORDER BY total DESC, seq LIMIT 10)"
 TREND = """
@@ -250,7 +331,7 @@ trend AS (
     WHEN sum(total) FILTER (back <= 5) / 5 < sum(total) FILTER (back BETWEEN 6 AND 10) / 5 - 5 THEN 'declining'
     ELSE 'stable' END AS recent_trend
   FROM numbered WHERE back <= 10)"""
-KNOWN = "category IN (" + ", ".join(q(name) for name in vocab.CATEGORIES) + ")"
+KNOWN = "category IN (" + ", ".join(q(name) for name in KNOWN_CATEGORIES) + ")"
 
 
 def shown(value: str) -> str:
@@ -295,8 +376,9 @@ def usage() -> str:
 def scan(violation: str) -> str:
     text = by_template([q(getattr(t, violation)) for t in TEMPLATES])
     return (
-        f"WITH {SUBMISSIONS} SELECT seq, {text} IS NULL AS is_safe, {text} AS violation,"
-        f" 'Security violation: ' || {text} AS scan_error FROM submissions"
+        f"WITH {PARSED} SELECT seq, {text} IS NULL AND status <> 'other_error' AS is_safe, {text} AS violation,"
+        f" CASE WHEN status = 'other_error' THEN 'Sandbox error: ' || error"
+        f" ELSE 'Security violation: ' || {text} END AS scan_error FROM parsed"
     )
 
 
@@ -322,6 +404,18 @@ BY_CATEGORY = (
 )
 
 
+DETAILS = """SELECT result_id, category, task AS instruction, difficulty, valid AS syntax_valid,
+              keyword AS contains_keywords, quality AS estimated_quality, execution_time,
+              code_length, notes FROM judged"""
+SUMMARY = """SELECT count(*) AS total_tests, count(*) FILTER (valid) AS syntax_valid,
+              round(count(*) FILTER (valid) / count(*) * 100, 6) AS syntax_valid_rate,
+              count(*) FILTER (keyword) AS keyword_match,
+              round(count(*) FILTER (keyword) / count(*) * 100, 6) AS keyword_match_rate,
+              count(*) FILTER (success) AS execution_success,
+              round(count(*) FILTER (success) / count(*) * 100, 6) AS execution_success_rate,
+              round(avg(execution_time), 6) AS avg_execution_time FROM judged"""
+
+
 def kept(source: str = SCORED) -> str:
     """The scored rows that are not refused as blank."""
     return source + f", kept AS (SELECT * FROM scored WHERE trim(code, {WS}) <> '')"
@@ -332,7 +426,7 @@ def build() -> dict[str, str]:
     submissions, parsed, prose = (f"WITH {part} " for part in (SUBMISSIONS, PARSED, PROSE))
     text = f"{PROMPT} || output"
     count = f"len({tokens('text')})"
-    position = "list_position([" + ", ".join(map(q, vocab.CATEGORIES)) + "], category)"
+    position = "list_position([" + ", ".join(map(q, KNOWN_CATEGORIES)) + "], category)"
     return {
         # Instruction rows
         "sft_format": pairs + f"SELECT row_id, {text} AS text FROM pairs",
@@ -356,7 +450,8 @@ def build() -> dict[str, str]:
               array_to_string(['Output ' || i || ':' || chr(10) || c[i] FOR i IN range(1, len(c) + 1)],
                               chr(10) || chr(10)) END AS merged FROM listed""",
         "reject_blank": submissions
-        + f"SELECT seq, 'blank generated_code' AS reason FROM submissions WHERE trim(code, {WS}) = ''",
+        + f"""SELECT seq, CASE WHEN trim(instruction, {WS}) = '' THEN 'blank instruction' ELSE 'blank generated_code' END AS reason
+              FROM submissions WHERE trim(instruction, {WS}) = '' OR trim(code, {WS}) = ''""",
         "default_category": submissions + "SELECT seq, category FROM submissions",
         # Code analysis
         "code_features": parsed
@@ -368,12 +463,13 @@ def build() -> dict[str, str]:
               {names('attributes')} AS attributes FROM submissions""",
         "security_scan": scan("violation"),
         "security_scan_networking": scan("violation_networking"),
+        "security_scan_allowed": scan("violation_allowed"),
         "blocked_imports": submissions
-        + f"SELECT seq, {names('imports', vocab.BLOCKED_IMPORTS)} AS blocked FROM submissions",
+        + f"SELECT seq, {names('imports', BLOCKED_IMPORTS)} AS blocked FROM submissions",
         "blocked_calls": submissions
-        + f"SELECT seq, {names('calls', vocab.BLOCKED_BUILTINS)} AS blocked FROM submissions",
+        + f"SELECT seq, {names('calls', BLOCKED_BUILTINS)} AS blocked FROM submissions",
         "blocked_attributes": submissions
-        + f"SELECT seq, {names('attributes', vocab.BLOCKED_ATTRIBUTES)} AS blocked FROM submissions",
+        + f"SELECT seq, {names('attributes', BLOCKED_ATTRIBUTES)} AS blocked FROM submissions",
         "violation_counts": f"SELECT violation, count(*) AS n_rows FROM ({scan('violation')})"
         " WHERE violation IS NOT NULL GROUP BY violation",
         "usage_counts": usage(),
@@ -409,18 +505,10 @@ def build() -> dict[str, str]:
         "eval_gate": judged
         + """SELECT result_id, valid AS syntax_valid, success AS execution_success,
               output AS execution_output, err AS execution_error, notes FROM judged""",
-        "eval_detail": judged
-        + """SELECT result_id, category, task AS instruction, difficulty, valid AS syntax_valid,
-              keyword AS contains_keywords, quality AS estimated_quality, execution_time,
-              code_length, notes FROM judged""",
-        "eval_summary": judged
-        + """SELECT count(*) AS total_tests, count(*) FILTER (valid) AS syntax_valid,
-              round(count(*) FILTER (valid) / count(*) * 100, 6) AS syntax_valid_rate,
-              count(*) FILTER (keyword) AS keyword_match,
-              round(count(*) FILTER (keyword) / count(*) * 100, 6) AS keyword_match_rate,
-              count(*) FILTER (success) AS execution_success,
-              round(count(*) FILTER (success) / count(*) * 100, 6) AS execution_success_rate,
-              round(avg(execution_time), 6) AS avg_execution_time FROM judged""",
+        "eval_detail": judged + DETAILS,
+        "eval_unmatched": f"WITH {RUNS} SELECT result_id, case_id, 'unknown case' AS reason FROM runs"
+        " WHERE case_id NOT IN (SELECT case_id FROM cases)",
+        "eval_summary": judged + SUMMARY,
         "eval_categories": judged + f"SELECT category, {CASE_STATS} FROM judged GROUP BY category",
         "eval_rates": judged
         + """SELECT category, round(count(*) FILTER (valid) / count(*) * 100, 6) AS syntax_rate,
@@ -452,7 +540,22 @@ def build() -> dict[str, str]:
         "history_top": f"WITH {kept()} SELECT seq, code AS generated_code, grade FROM kept ORDER BY total DESC, seq LIMIT 10",
         "history_export": f"WITH {kept()} SELECT seq, category, grade, round(total, 6) AS total_score FROM kept",
         "report_roundtrip": judged + f"SELECT category, {CASE_STATS} FROM judged GROUP BY category",
+        "history_mixed": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
+        "history_mixed_stats": f"WITH {kept()} SELECT {OVERALL} FROM kept",
+        "history_retry": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
+        "history_refused": submissions
+        + f"SELECT seq, 'blank generated_code' AS reason FROM submissions WHERE trim(code, {WS}) = ''",
+        "history_import": f"WITH {kept()} SELECT seq + 1000 AS seq, round(total, 6) AS total_score, 'F' AS grade,"
+        " 'low' AS complexity_estimate, 'general' AS category, 0e0 AS style_score, CAST(0 AS INT) AS code_length FROM kept",
+        "sft_malformed": pairs + """SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'malformed' ELSE 'read' END AS status FROM pairs""",
+        "report_summary_stored": judged + SUMMARY,
+        "report_quality_stored": judged
+        + "SELECT quality AS estimated_quality, count(*) AS n_rows FROM judged GROUP BY quality",
+        "report_details_stored": judged + DETAILS,
+        "report_unmatched_stored": f"WITH {RUNS} SELECT result_id, case_id, 'unknown case' AS reason FROM runs"
+        " WHERE case_id NOT IN (SELECT case_id FROM cases)",
         # Streams
+        "stream_restart": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
         "stream_scores": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
         "stream_stats": f"WITH {kept()} SELECT category, count(*) AS n_rows, round(avg(total), 6) AS average,"
         f" round(max(total), 6) AS best FROM kept WHERE {KNOWN} GROUP BY category",

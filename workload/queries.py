@@ -159,6 +159,10 @@ def _blocked(spark, folder, column):
     return found.select("seq", F.array_join(column, ",").alias("blocked"))
 
 
+def security_scan_allowed(spark, folder):
+    return _scanned(spark, folder, analysis.Policy(allow_imports=("os", "urllib")))
+
+
 def blocked_imports(spark, folder):
     return _blocked(spark, folder, analysis.blocked_imports(F.col("imports")))
 
@@ -223,12 +227,12 @@ def prose_style_lines(spark, folder):
 
 
 def _judged(spark, folder):
-    return evaluation.evaluate(inputs.runs(spark, folder), tables.builtin_cases(spark))
+    return evaluation.evaluate(inputs.runs(spark, folder), inputs.cases(spark))
 
 
 def _with_quality(spark, folder):
     return evaluation.add_quality(
-        inputs.runs(spark, folder).join(tables.builtin_cases(spark), "case_id")
+        inputs.runs(spark, folder).join(inputs.cases(spark), "case_id")
     )
 
 
@@ -254,6 +258,10 @@ def eval_detail(spark, folder):
     return evaluation.details(_judged(spark, folder))
 
 
+def eval_unmatched(spark, folder):
+    return evaluation.unmatched(inputs.runs(spark, folder), inputs.cases(spark))
+
+
 def _cells(spark, folder):
     return evaluation.report_cells(_judged(spark, folder))
 
@@ -299,7 +307,7 @@ def grade_distribution(spark, folder):
 
 
 def category_performance(spark, folder):
-    return rounded(stats.category_performance(_score_cells(spark, folder)), "average", "best")
+    return rounded(jobs.performance_by_category(_submissions(spark, folder)), "average", "best")
 
 
 def trend(spark, folder):
@@ -337,10 +345,40 @@ def leaderboard_top5(spark, folder):
 
 def _history(spark, folder):
     path = shared_folder(spark, "history")
-    history.append_history(jobs.score_submissions(_submissions(spark, folder)).history, path)
+    history.append_history(jobs.score_submissions(_submissions(spark, folder)).history, path, "all")
     return history.read_history(spark, path)
 
 
+def history_retry(spark, folder):
+    """The same job twice: its run is stored once."""
+    path = shared_folder(spark, "retried")
+    for _ in range(2):
+        history.append_history(jobs.score_submissions(_submissions(spark, folder)).history, path, "job")
+    return rounded(history.read_history(spark, path), "total_score").select("seq", "total_score", "grade")
+
+
+def history_import(spark, folder):
+    """Exported rows of which only a few fields are left, moved behind what is stored."""
+    path = shared_folder(spark, "fields")
+    scored = jobs.score_submissions(_submissions(spark, folder)).history
+    left = scored.select((F.col("seq") + 1000).alias("seq"), "instruction", "generated_code", "timestamp", "total_score")
+    left.write.json(path)
+    return rounded(history.import_history_lines(spark, path), "total_score").select(
+        "seq", "total_score", "grade", "complexity_estimate", "category", "style_score", "code_length"
+    )
+
+
+def sft_malformed(spark, folder):
+    """Every third line is cut short before it is read."""
+    path = shared_folder(spark, "lines")
+    line = F.to_json(F.struct("row_id", "instruction", "input", "output"))
+    cut = F.when(F.col("row_id") % 3 == 0, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    inputs.pairs(spark, folder).select(cut.alias("value")).write.text(path)
+    kept, refused = tables.read_instructions(spark, path, "json")
+    number = F.regexp_extract("line", '"row_id":([0-9]+)', 1).cast("long")
+    return kept.select("row_id", F.lit("read").alias("status")).union(refused.select(number, "reason"))
+
+
 def history_roundtrip(spark, folder):
     stored = rounded(_history(spark, folder), "total_score")
     return joined(stored, " | ", "style_issues").select("seq", "grade", "total_score", "style_issues", "timestamp")
@@ -349,7 +387,7 @@ def history_roundtrip(spark, folder):
 def history_top(spark, folder):
     path = shared_folder(spark, "leaderboard")
     history.write_leaderboard(_history(spark, folder), path)
-    return history.read_history(spark, path).select("seq", "generated_code", "grade")
+    return history.read_leaderboard(spark, path).select("seq", "generated_code", "grade")
 
 
 def history_export(spark, folder):
@@ -358,34 +396,76 @@ def history_export(spark, folder):
     return rounded(spark.read.schema(schemas.HISTORY).json(path), "total_score").select(*TOP_COLUMNS)
 
 
-def report_roundtrip(spark, folder):
-    path = shared_folder(spark, "report")
-    report = jobs.evaluate_runs(
-        inputs.runs(spark, folder), tables.builtin_cases(spark), shared_folder(spark, "judged")
-    )
-    reports.write_report(report, path)
-    schema = (
-        "category string, total bigint, syntax_valid bigint, keyword_match bigint,"
-        " execution_success bigint, avg_time double"
-    )
-    return rounded(reports.read_report_part(spark, path, "category_statistics", schema), "avg_time")
+def _stored_part(part: str, *means: str) -> Query:
+    """One part of a report that was written and is read again."""
+
+    def query(spark, folder):
+        path = shared_folder(spark, "report")
+        report = jobs.evaluate_runs(inputs.runs(spark, folder), inputs.cases(spark), shared_folder(spark, "judged"))
+        reports.write_report(report, path)
+        return rounded(reports.read_report_part(spark, path, part, report[part].schema), *means)
+
+    return query
 
 
 # Streams: the submissions arrive as several files, in several micro-batches.
 
 
-def _arrived(spark, folder):
-    """Runs the scoring stream over all submissions; returns its history folder."""
-    base = shared_folder(spark, "stream")
-    _submissions(spark, folder).repartitionByRange(4, "seq").write.parquet(f"{base}/arriving")
+def _arrive(spark, base, rows):
+    """Files of ``rows`` arrive, and the scoring stream runs until it has seen them."""
+    rows.repartitionByRange(4, "seq").write.mode("append").parquet(f"{base}/arriving")
     query = live.score_stream(
         spark, f"{base}/arriving", f"{base}/history", f"{base}/score-state",
         available_now=True, files_per_batch=2, tasks=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
+
+
+def _arrived(spark, folder):
+    """Runs the scoring stream over all submissions; returns its folder."""
+    base = shared_folder(spark, "stream")
+    _arrive(spark, base, _submissions(spark, folder))
+    return base
+
+
+def stream_restart(spark, folder):
+    """Two runs of one query: the second goes on where the first ended."""
+    base = shared_folder(spark, "restart")
+    for half in (0, 1):
+        _arrive(spark, base, _submissions(spark, folder).filter(F.col("seq") % 2 == half))
+    return rounded(history.read_history(spark, f"{base}/history"), "total_score").select("seq", "total_score", "grade")
+
+
+def _mixed(spark, folder):
+    """Half of the submissions scored by a job, half by the stream."""
+    base = shared_folder(spark, "mixed")
+    rows_in = _submissions(spark, folder)
+    scored = jobs.score_submissions(rows_in.filter("seq % 2 = 0"))
+    history.append_history(scored.history, f"{base}/history", "job")
+    _arrive(spark, base, rows_in.filter("seq % 2 = 1"))
     return base
 
 
+def history_mixed(spark, folder):
+    stored = history.read_history(spark, f"{_mixed(spark, folder)}/history")
+    return rounded(stored, "total_score").select("seq", "total_score", "grade")
+
+
+def history_mixed_stats(spark, folder):
+    """Running statistics over a history that a job and a stream wrote."""
+    base = _mixed(spark, folder)
+    query = live.statistics_stream(
+        spark, f"{base}/history", f"{base}/cells", f"{base}/cells-state",
+        available_now=True, files_per_batch=spark.sparkContext.defaultParallelism,
+    )
+    query.awaitTermination()
+    return rounded(stats.overall(live.running_cells(spark, f"{base}/cells")), "average_score", "highest_score", "lowest_score")
+
+
+def history_refused(spark, folder):
+    return history.read_refused(spark, f"{_arrived(spark, folder)}/history").select("seq", "reason")
+
+
 def stream_scores(spark, folder):
     base = _arrived(spark, folder)
     return rounded(history.read_history(spark, f"{base}/history"), "total_score").select(
@@ -445,6 +525,7 @@ QUERIES: dict[str, Query] = {
     "code_inventory": code_inventory,
     "security_scan": security_scan,
     "security_scan_networking": security_scan_networking,
+    "security_scan_allowed": security_scan_allowed,
     "blocked_imports": blocked_imports,
     "blocked_calls": blocked_calls,
     "blocked_attributes": blocked_attributes,
@@ -468,6 +549,7 @@ QUERIES: dict[str, Query] = {
     "outcome_class": outcome_class,
     "eval_gate": eval_gate,
     "eval_detail": eval_detail,
+    "eval_unmatched": eval_unmatched,
     "eval_summary": eval_summary,
     "eval_categories": eval_categories,
     "eval_rates": eval_rates,
@@ -486,7 +568,20 @@ QUERIES: dict[str, Query] = {
     "history_roundtrip": history_roundtrip,
     "history_top": history_top,
     "history_export": history_export,
-    "report_roundtrip": report_roundtrip,
+    "report_roundtrip": _stored_part("category_statistics", "avg_time"),
+    "report_summary_stored": _stored_part(
+        "summary", "syntax_valid_rate", "keyword_match_rate", "execution_success_rate", "avg_execution_time"
+    ),
+    "report_quality_stored": _stored_part("quality_distribution"),
+    "report_details_stored": _stored_part("detailed_results"),
+    "report_unmatched_stored": _stored_part("unmatched"),
+    "history_retry": history_retry,
+    "history_mixed": history_mixed,
+    "history_mixed_stats": history_mixed_stats,
+    "history_refused": history_refused,
+    "history_import": history_import,
+    "sft_malformed": sft_malformed,
+    "stream_restart": stream_restart,
     "stream_scores": stream_scores,
     "stream_stats": stream_stats,
     "stream_overall": stream_overall,

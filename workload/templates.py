@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from codelens.functions import vocab
-
 
 @dataclass(frozen=True)
 class Template:
@@ -26,6 +24,7 @@ class Template:
     attributes: tuple[str, ...] = ()
     violation: str | None = None
     violation_networking: str | None = None
+    violation_allowed: str | None = None  # with os and urllib allowed
     error: str | None = None
 
 
@@ -59,6 +58,7 @@ TEMPLATES = [
         status="syntax_error", error="invalid syntax (<unknown>, line 1)",
         violation="Syntax error: invalid syntax (<unknown>, line 1)",
         violation_networking="Syntax error: invalid syntax (<unknown>, line 1)",
+        violation_allowed="Syntax error: invalid syntax (<unknown>, line 1)",
     ),
     # 4: empty
     Template(""),
@@ -68,6 +68,7 @@ TEMPLATES = [
         status="syntax_error", error="invalid non-printable character U+00A0 (<unknown>, line 1)",
         violation="Syntax error: invalid non-printable character U+00A0 (<unknown>, line 1)",
         violation_networking="Syntax error: invalid non-printable character U+00A0 (<unknown>, line 1)",
+        violation_allowed="Syntax error: invalid non-printable character U+00A0 (<unknown>, line 1)",
     ),
     # 6: nested comprehension in one line
     Template(
@@ -99,6 +100,7 @@ TEMPLATES = [
         names=5, meaningful=5, calls=("Worker", "eval", "print"), attributes=("eval",),
         violation="Blocked builtin function: eval",
         violation_networking="Blocked builtin function: eval",
+        violation_allowed="Blocked builtin function: eval",
     ),
     # 10: chained refused attributes, the outer one is met first
     Template(
@@ -106,6 +108,7 @@ TEMPLATES = [
         names=5, meaningful=5, calls=("print",), attributes=("__class__", "__mro__"),
         violation="Blocked attribute access: __mro__",
         violation_networking="Blocked attribute access: __mro__",
+        violation_allowed="Blocked attribute access: __mro__",
     ),
     # 11: one long line among short ones
     Template(
@@ -140,6 +143,78 @@ TEMPLATES = [
         'value_@a@ = """[one for\u2028two in\rthree] and some more words to make this line a long one"""',
         names=1, meaningful=1,
     ),
+    # 16: the efficient calls
+    Template(
+        'words = ["one", "two"]\n'
+        "for place, word in enumerate(words):\n"
+        "    print(place, word)\n"
+        "table = dict(zip(words, set(words)))\n"
+        'print(",".join(words), table, @a@)\n',
+        names=17, meaningful=17, calls=("dict", "enumerate", "print", "set", "zip"), attributes=("join",),
+    ),
+    # 17: a text built up in the line of its loop
+    Template(
+        'text = ""\nfor item in range(@a@): text = text + str(item)\n',
+        names=7, meaningful=7, calls=("range", "str"),
+    ),
+    # 18: between ten and thirty lines
+    Template(
+        "first = @a@\n" + "".join(f"value{n} = first * {n}\n" for n in range(14)),
+        names=29, meaningful=29,
+    ),
+    # 19: documented, guarded and long enough for the best quality
+    Template(
+        "def divide_@a@(upper, lower):\n"
+        '    """Divide, and return None for a zero."""\n'
+        "    result = None\n"
+        "    try:\n"
+        "        result = upper / lower\n"
+        "    except:\n"
+        "        result = None\n"
+        "    if result is None:\n"
+        "        return None\n"
+        "    rounded = round(result)\n"
+        "    if rounded > 10:\n"
+        "        return 10\n"
+        "    if rounded < 0:\n"
+        "        return 0\n"
+        "    return rounded\n",
+        function=True, names=12, meaningful=12, calls=("round",),
+    ),
+    # 20: nearly everything that earns points
+    Template(
+        "import json\n"
+        "# a ledger of amounts\n"
+        "class Ledger@a@:\n"
+        '    """Keep a list of amounts."""\n'
+        "    def total(self, amounts: list) -> int:\n"
+        '        """Calculate, sort, search and return; also print(...) it."""\n'
+        "        known = [amount for amount in amounts if amount in set(amounts)]\n"
+        "        for place, amount in enumerate(sorted(known)):\n"
+        '            print(place + amount, ",".join(map(str, known)))\n'
+        "        both = list(zip(known, amounts))\n"
+        "        return sum(amount for amount in known) + known.index(both[0][0])\n",
+        function=True, cls=True, imported=True, names=31, meaningful=31, imports=("json",),
+        calls=("enumerate", "list", "map", "print", "set", "sorted", "sum", "zip"), attributes=("index", "join"),
+    ),
+    # 21: nested too deeply for the parser, which is no syntax error
+    Template(
+        "x = " + "-" * 6500 + "@a@\n",
+        status="other_error", error="Parser stack overflowed - Python source too complex to parse",
+    ),
+    # 22: a dictionary, a file, something sorted and something searched
+    Template(
+        "records = {}\n"
+        'records["found"] = sorted([@a@, 3])\n'
+        'place = "haystack".find("n")\n'
+        "handle = None\n"
+        "if handle:\n"
+        '    records["text"] = handle.read()\n'
+        "print(records, place)\n",
+        names=11, meaningful=11, calls=("print", "sorted"), attributes=("find", "read"),
+    ),
+    # 23: a comment only
+    Template("# still to do: @a@\n"),
 ]
 
 INSTRUCTIONS = [
@@ -155,9 +230,11 @@ INSTRUCTIONS = [
     "Return the smallest item",
     "Explain recursion briefly to someone who knows other languages",
     "Write a function to sort and search the records of a very large archive",
+    "",
+    "\u00a0 ",
 ]
 
-CATEGORIES = [*vocab.CATEGORIES, "mystery"]
+CATEGORIES = ["functions", "classes", "algorithms", "web", "data", "advanced", "general", "mystery"]
 
 # Outcome class -> success, output, error, exit code.
 OUTCOMES = {
@@ -168,5 +245,10 @@ OUTCOMES = {
     "subprocess_error": (False, "", "Subprocess execution error: no interpreter", None),
     "exception": (False, "part @a@", "ValueError: bad value @a@\nTraceback (most recent call last):", None),
     "nonzero_exit": (False, "", "Traceback (most recent call last):\nKeyError: @a@", 1),
+    "unknown": (False, "", "it went wrong somehow", None),
 }
 GENERATION_ERROR = "model unavailable"
+
+# One case more than the built-in ones: no keyword is asked for.
+FREE_CASE = (19, "Basic Functions", "Write whatever you like", "", [], "easy", "Anything goes")
+N_CASE_NUMBERS = 21  # runs also name a case that does not exist
