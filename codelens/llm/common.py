@@ -38,6 +38,12 @@ def columns(df: DataFrame) -> list:
     return [df[f"`{name}`"] for name in df.columns]
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals out few but heavy rows by key. A fixed number of tasks keeps Spark from
+    joining tasks whose rows look small."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def ordered_id(doc_id, *ties):
     """Sorts as ``doc_id`` does, null after all others; then by ``ties``."""
     return F.struct(doc_id.isNull().alias("unknown"), doc_id.alias("doc_id"), *ties)
@@ -96,6 +102,13 @@ def spans(starts: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]
         first = min(last, n)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, where each row grows into something larger."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def field_of(batch: pa.RecordBatch, name: str, column: str = "row") -> pa.Array:
     return batch.column(batch.schema.get_field_index(column)).field(name)
 

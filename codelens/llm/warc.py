@@ -13,7 +13,8 @@ Of records with equal payloads, of at least ``least_bytes``, the one with the
 largest page id is a response; the others are revisits, which have the HTTP
 header with the payload's length but not the payload. Smaller ones are all
 responses. Null html counts as empty. A null page id ranks below all others, and
-among repeated rows with the largest id one is the response. A null address
+among rows with the largest id the one with the last address is the response,
+and among repeated rows the first written. A null address
 leaves its header out; control characters and spaces in one are percent-encoded.
 Other columns are not written. A single record may exceed ``file_bytes``. An
 empty table gives an empty manifest and no files.
@@ -30,13 +31,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.common import running_totals, store
+from codelens.llm.common import running_totals, spread_out, store
 from codelens.plans.layout import shared_folder
 
-SHARD_BYTES, FILE_BYTES = 32 << 20, 8 << 20
+SHARD_BYTES, FILE_BYTES = 16 << 20, 8 << 20
 HEADER_BYTES = 512  # a record's weight besides its payload
 DATE = "1970-01-01T00:00:00Z"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace of addresses
@@ -52,8 +54,8 @@ def record_id(page_id, url, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id} {url} {digest}')}>"
 
 
-def record(page_id, url, payload: bytes, n_bytes: int, digest: str, refers_to, is_revisit: bool) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+def record(page_id, url, payload: bytes, digest: str, refers_to, is_revisit: bool) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if is_revisit else "response"),
@@ -73,37 +75,45 @@ def record(page_id, url, payload: bytes, n_bytes: int, digest: str, refers_to, i
 
 
 def planned(pages: DataFrame, least_bytes: int, shard_bytes: int) -> DataFrame:
-    """Each row with its html, its kind of record and its place in the archive."""
+    """Each row with its payload, its kind of record and its place in the archive.
+
+    Pages are read twice: for the order, which needs digests only, and for the
+    payloads, which find their place by page, address and digest. They move
+    compressed, once to be joined and once to their shard. Repeated rows have
+    one place, where the first is what ``is_revisit`` says and the others
+    are revisits of ``last_id``.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col("page_id").cast("long").alias("page_id"),
-        "url",
-        html.alias("html"),
-        F.sha2(html, 256).alias("content"),
-        F.octet_length(html).cast("long").alias("n_bytes"),
+        F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(html, 256).alias("content"), F.octet_length(html).cast("long").alias("n_bytes"), "html"
     )
-    rows = store(rows, "pages")
-    narrow = rows.drop("html")
-    equal = (
-        narrow.filter(F.col("n_bytes") >= least_bytes)
-        .groupBy("content", "n_bytes")
-        .agg(F.max(F.struct("page_id", "rid")).alias("last"), F.count("*").alias("n"))
-        .filter("n > 1")
+    keys = ["page_id", "url", "content"]
+    distinct = store(rows.groupBy(*keys, "n_bytes").agg(F.count("*").alias("copies")), "page-keys")
+    equal = distinct.filter(F.col("n_bytes") >= least_bytes).groupBy("content", "n_bytes")
+    equal = equal.agg(F.max(F.struct("page_id", "url")).alias("last"), F.sum("copies").alias("n")).filter("n > 1")
+    is_last = F.col("last.page_id").eqNullSafe(F.col("page_id")) & F.col("last.url").eqNullSafe(F.col("url"))
+    kinds = distinct.join(equal, ["content", "n_bytes"], "left").select(
+        *keys,
+        (F.col("last").isNotNull() & ~is_last).alias("is_revisit"),
+        F.col("last").isNotNull().alias("has_equals"),
+        F.col("last.page_id").alias("last_id"),
+        (F.col("copies") * HEADER_BYTES + F.when(F.col("last").isNotNull() & ~is_last, 0).otherwise(F.col("n_bytes"))).alias("weight"),
     )
-    is_revisit = F.coalesce(F.col("last.rid") != F.col("rid"), F.lit(False))
-    kinds = narrow.join(equal, ["content", "n_bytes"], "left").select(
-        "rid",
-        "page_id",
-        "url",
-        "content",
-        is_revisit.alias("is_revisit"),
-        F.when(is_revisit, F.col("last.page_id")).alias("refers_to"),
-        (HEADER_BYTES + F.when(is_revisit, 0).otherwise(F.col("n_bytes"))).alias("weight"),
-    )
-    places = running_totals(kinds, ["page_id", "url", "content", "rid"], "weight", "place")
-    places = places.select("rid", "is_revisit", "refers_to", "place", F.floor(F.col("place") / shard_bytes).alias("shard"))
-    return rows.drop("content").join(places, "rid")
+    places = running_totals(kinds, keys, "weight", "place").withColumn("shard", F.floor(F.col("place") / shard_bytes))
+    places = places.drop("weight").withColumnsRenamed({name: f"{name}2" for name in keys})
+
+    schema = "page_id long, url string, content string, n_bytes long, payload binary"
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            payloads = [compressor.compress((text.as_py() or "").encode()) for text in batch.column(4)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(payloads, pa.binary())], names=["page_id", "url", "content", "n_bytes", "payload"]
+            )
+
+    same = [F.col(name).eqNullSafe(F.col(f"{name}2")) for name in keys]
+    return rows.mapInArrow(shrink, schema).join(places, same).drop(*(f"{name}2" for name in keys))
 
 
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -113,7 +123,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
         from pyarrow.fs import FileSystem
 
         files, inner = FileSystem.from_uri(folder)
-        attempt, out, now, at = uuid.uuid4().hex, None, None, {}
+        attempt, out, now, at, before = uuid.uuid4().hex, None, None, {}, None
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -124,8 +134,10 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
                             ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
         for batch in batches:
             for row in batch.to_pylist():
-                payload = row["html"].encode()
-                raw = record(row["page_id"], row["url"], payload, row["n_bytes"], digest32(payload), row["refers_to"], row["is_revisit"])
+                payload = zstandard.decompress(row["payload"], max_output_size=row["n_bytes"])
+                key = row["page_id"], row["url"], row["content"]
+                is_revisit, before = row["has_equals"] and (row["is_revisit"] or key == before), key
+                raw = record(row["page_id"], row["url"], payload, digest32(payload), row["last_id"], is_revisit)
                 member = gzip.compress(raw, 6, mtime=0)
                 full = out is not None and at["n_bytes"] + len(member) > file_bytes
                 if now != row["shard"] or full:
@@ -158,7 +170,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
 
     dealt = planned(pages, least_bytes, shard_bytes).repartition("shard").sortWithinPartitions("shard", "place")
     written = store(dealt.mapInArrow(write, MANIFEST), "warc-attempts")
-    written.repartition("file").mapInArrow(commit, MANIFEST).drop("temporary").write.parquet(f"{folder}/_manifest")
+    spread_out(written, "file").mapInArrow(commit, MANIFEST).drop("temporary").write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest").drop("temporary")
 
 
@@ -209,7 +221,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                     })
                 yield pa.RecordBatch.from_pylist(out, schema=target)
 
-    return manifest.select("file", "sha256").repartition("file").mapInArrow(read, schema)
+    return spread_out(manifest.select("file", "sha256"), "file").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
