@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions import python_ast, text, vocab
+from codelens.plans.layout import settle
 
 ANALYSIS = "analysis"
 
@@ -45,6 +46,18 @@ def analyse(df: DataFrame, code: str = "generated_code") -> DataFrame:
     return df.withColumn(ANALYSIS, python_ast.analysis(text.or_empty(F.col(code))))
 
 
+def analyse_distinct(df: DataFrame, code: str = "generated_code") -> DataFrame:
+    """As ``analyse``, but each distinct text of the whole table is parsed once.
+
+    It costs two shuffles of the texts, so it only pays where most rows repeat a
+    text of another task; a task's batches parse a repeated text once anyway.
+    The parsed texts are stored, so that a text many rows share can be split.
+    """
+    keyed = df.withColumn("_distinct_code", text.or_empty(F.col(code)))
+    parsed = settle(analyse(keyed.select("_distinct_code").distinct(), "_distinct_code"))
+    return keyed.join(parsed, "_distinct_code").drop("_distinct_code")
+
+
 def features(analysed: DataFrame) -> DataFrame:
     """The analysis fields as columns next to the others."""
     return analysed.select(

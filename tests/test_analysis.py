@@ -114,3 +114,11 @@ def test_usage_and_violation_counts(spark):
     assert usage == {("import", "os"): 30, ("call", "print"): 31}
     counts = {r["violation"]: r["n_rows"] for r in analysis.violation_counts(analysis.scan(frame)).collect()}
     assert counts["Blocked import: os"] == 30 and sum(counts.values()) == 31
+
+
+def test_parsing_distinct_texts_gives_the_same_rows(spark):
+    codes = ["import os", "x = = 1", None, ""] + ["def shared(): pass"] * 40
+    frame = spark.createDataFrame(list(enumerate(codes)), "seq long, generated_code string").repartition(4)
+    once, each = analysis.analyse_distinct(frame), analysis.analyse(frame)
+    assert once.columns == each.columns
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect()))
