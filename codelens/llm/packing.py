@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import running_totals, store
+from codelens.llm.common import few_rows, running_totals, store
 from codelens.llm.tokens import encode, vocabulary
 
 LENGTH, END = 2048, 1
@@ -75,7 +75,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("curve", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             ids = [np.append(encode(text.as_py() or "", path), end).astype("<u2") for text in batch.column(2)]
             places = np.array([project(own[:-1]) for own in ids]).reshape(len(ids), AXES)
             yield pa.RecordBatch.from_arrays(
@@ -104,30 +104,28 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end:
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):  # ids grow to twice their size here
-                part = batch.slice(first, 1000)
-                size, place = (part.column(at).to_numpy() for at in (2, 4))
-                sequence = place // length
-                counts = (place + size - 1) // length - sequence + 1
-                doc = np.repeat(np.arange(len(size)), counts)
-                sequence = np.repeat(sequence, counts) + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-                begin = np.maximum(sequence * length, place[doc])
-                stop = np.minimum((sequence + 1) * length, (place + size)[doc])
-                ids = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u2").astype("<u4")  # pieces are in stream order
-                edges = np.concatenate([[0], np.cumsum(stop - begin)]) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(1).take(pa.array(doc)),
-                        pa.array(begin - place[doc]),
-                        pa.array(stop - begin),
-                        pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary()),
-                        pa.array(size[doc]),
-                        pa.array(sequence),
-                        pa.array(begin - sequence * length),
-                    ],
-                    names=names,
-                )
+        for batch in few_rows(batches):
+            size, place = (batch.column(at).to_numpy() for at in (2, 4))
+            sequence = place // length
+            counts = (place + size - 1) // length - sequence + 1
+            doc = np.repeat(np.arange(len(size)), counts)
+            sequence = np.repeat(sequence, counts) + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = np.maximum(sequence * length, place[doc])
+            stop = np.minimum((sequence + 1) * length, (place + size)[doc])
+            ids = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").astype("<u4")  # a text's pieces are in its order
+            edges = (np.concatenate([[0], np.cumsum(stop - begin)]) * 4).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1).take(pa.array(doc)),
+                    pa.array(begin - place[doc]),
+                    pa.array(stop - begin),
+                    pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edges), pa.py_buffer(ids)]),
+                    pa.array(size[doc]),
+                    pa.array(sequence),
+                    pa.array(begin - sequence * length),
+                ],
+                names=names,
+            )
 
     return rows.mapInArrow(cut, schema)
 
