@@ -140,7 +140,8 @@ class Models:
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Stored: ``text`` and whether the document is labelled good."""
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    rows = docs.select("doc_id", "text").join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    # Labels grow with the corpus, so both sides are shuffled at any size.
+    rows = docs.select("doc_id", "text").join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
     return store(rows.select("text", F.coalesce("good", F.lit(False)).alias("in_target")), "marked")
 
 
