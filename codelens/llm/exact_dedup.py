@@ -148,6 +148,7 @@ def decisions(cut: DataFrame) -> DataFrame:
     rows = identified(cut.select("rid", F.struct("row.doc_id", "row.text").alias("row"), "text_sha256", "recipe"))
     rows = rows.select("rid", F.col("row.doc_id").alias("doc_id"), "text_sha256", "ids")
     groups = rows.groupBy("ids").agg(F.min(ordered_id(F.col("doc_id"), F.col("rid"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = store(groups, "groups")  # so that the join shuffles both sides and can split a large group
     return rows.join(groups, "ids", "left").select(
         "rid",
         "doc_id",
