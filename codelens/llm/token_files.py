@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.common import running_totals, store
+from codelens.llm.common import running_totals, spread_out, store
 from codelens.llm.tokens import encode, vocabulary
 from codelens.plans.layout import shared_folder
 
@@ -114,8 +114,8 @@ def scan(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS) ->
                     names=["file", "block", "is_open", "n_ends", "ends"],
                 )
 
-    blocks = _blocks(files.select("file").distinct(), block_tokens).repartition("file", "block")
-    found = store(blocks.mapInArrow(search, "file string, block long, is_open boolean, n_ends long, ends array<long>"), "separators")
+    blocks = _blocks(files.select("file").distinct(), block_tokens)
+    found = store(spread_out(blocks, "file", "block").mapInArrow(search, "file string, block long, is_open boolean, n_ends long, ends array<long>"), "separators")
     # Blocks without a separator are part of a text; the numbers pass over them.
     counts = running_totals(found.select("file", "block", "n_ends"), ["file", "block"], "n_ends", "before")
     counts = store(counts, "separator-counts")
