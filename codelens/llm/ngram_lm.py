@@ -1,14 +1,20 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model is counted over the documents labelled good, the background
-model over all documents. Both share one vocabulary: tokens that make up at
-least ``WORD_SHARE`` of the target's or of the background's tokens, all others
-being one unknown token. Both keep the same bigrams, those with at least
-``PAIR_SHARE`` of either's, and fall back to the unigrams for the rest, with the
-same smoothing. So the models have at most ``2 / WORD_SHARE`` tokens and
-``2 / PAIR_SHARE`` bigrams, whatever the corpus: that is what is broadcast.
-Counts and totals are over every token of every document; tasks hand on sums of
-what they saw.
+model over all documents. Both share one vocabulary and one set of bigrams and
+have the same smoothing. ``report`` keeps every token and every bigram: each
+block of texts sends the bigrams it has once, with the texts they are in, to the
+part of the corpus their last word falls in. A part thus has all that is needed
+to count its words and bigrams, and hands back, a row for each block, its share
+of the texts' losses, which are added up by block.
+The number of parts grows with the corpus; words too frequent for one part, of
+which there are at most eight for each part, are dealt out by bigram, and only
+their counts and the totals reach the driver.
+
+``fit`` and ``scored`` are for models that shall fit in memory and be applied to
+other tables: tokens that make up at least ``word_share`` of the target's or of
+the background's tokens, all others being one unknown token, and bigrams with at
+least ``pair_share`` of either's.
 
 A token is a run of ASCII letters, digits and non-ASCII bytes, in lower case
 (A-Z only), or a single other visible character; it is told by a 64-bit hash. A
@@ -24,6 +30,7 @@ background only. Repeated rows count each time. Empty tables give no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +45,9 @@ from codelens.llm.common import columns, field_of, spans, store, utf8
 WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
 PRIOR = 10.0  # how many tokens the unigrams count as in each context
 HELD = 1 << 20  # sums a task holds before it hands them on
+PART = 1 << 22  # tokens for each part of the corpus
+BLOCK = 1 << 20  # tokens that a task sends to the parts at a time
+BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # stand before and after a text
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -138,11 +148,11 @@ class Models:
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored: ``text`` and whether the document is labelled good."""
+    """Stored: ``rid, doc_id, text`` and whether the document is labelled good."""
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
     # Labels grow with the corpus, so both sides are shuffled at any size.
-    rows = docs.select("doc_id", "text").join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
-    return store(rows.select("text", F.coalesce("good", F.lit(False)).alias("in_target")), "marked")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
+    return store(rows.select("rid", "doc_id", "text", F.coalesce("good", F.lit(False)).alias("in_target")), "marked")
 
 
 def _counts(rows: DataFrame, keys_of) -> DataFrame:
@@ -174,7 +184,7 @@ def _frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    rows = marked(docs, labels)
+    rows = marked(docs, labels).select("text", "in_target")
     words, counts, totals = _frequent(_counts(rows, lambda text, hashes: hashes), word_share)
     word_counts = np.concatenate([(totals - counts.sum(axis=1))[:, None], counts], axis=1)
     empty = Models(words, word_counts, np.zeros(0, np.int64), np.zeros((2, 0), np.int64))
@@ -209,7 +219,219 @@ def scored(docs: DataFrame, models: Models) -> DataFrame:
     return rows.mapInArrow(score, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = before * np.uint64(0xD6E8FEB86659FD93)
+    key ^= key >> np.uint64(32)
+    key = (key + word) * np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(29))
+
+
+def _pairs(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token, then of each text's end: the bigram's key, the text, and the word (at an end, the text's last)."""
+    starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
+    last = np.append(starts[1:], len(text))[: len(starts)] - 1
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[starts] = BEGIN
+    keys = np.concatenate([_mixed(before, hashes), _mixed(np.full(len(last), END), hashes[last])])
+    return keys, np.concatenate([text, text[last]]), np.concatenate([hashes, hashes[last]])
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """Stored: how often each word occurs, and ends a text, in target and background."""
+    names = ["word", "target", "background", "target_end", "background_end"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> list[np.ndarray]:
+            words, place = np.unique(np.concatenate([own[0] for own in held]), return_inverse=True)
+            return [words, *(np.bincount(place, np.concatenate([own[at] for own in held]), len(words)).astype(np.int64) for at in range(1, 5))]
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for at in range(0, size, 1 << 16):
+                cut = [own[at : at + (1 << 16)] for own in held[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(cut[0].view(np.int64)), *map(pa.array, cut[1:])], names=names)
+
+        for batch in batches:
+            data, starts = utf8(batch.column(0))
+            in_target = batch.column(1).to_numpy(zero_copy_only=False)
+            for at, end in spans(starts, 1 << 21):
+                text, hashes = tokens(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
+                words, place = np.unique(hashes, return_inverse=True)
+                last = np.append(text[1:] != text[:-1], True)[: len(text)]
+                good = in_target[at:end][text]
+                held.append([words, *(np.bincount(place, own, len(words)) for own in (good, np.ones(len(text)), good & last, last))])
+                size += len(words)
+                if size > 2 * HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD:
+                        yield from handed()
+                        held, size = [], 0
+        if held:
+            held = [merged()]
+            size = len(held[0][0])
+            yield from handed()
+
+    partial = rows.mapInArrow(count, ", ".join(f"{name} long" for name in names))
+    return store(partial.groupBy("word").agg(*(F.sum(name).alias(name) for name in names[1:])), "words")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def _unpacked(value: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(value.as_buffer()), kind)
+
+
+def _dealt(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
+    """Of each block of texts and part a row: its bigrams' ``keys``, their ``words``, for each key in ``flags`` whether the
+    next word begins and whether it is a text's end, the ``texts`` that have some, and as ``entries`` key, text and count."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def part_of(keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+
+    def block(texts: np.ndarray, keys: np.ndarray, text: np.ndarray, word: np.ndarray, is_end: np.ndarray) -> pa.RecordBatch:
+        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        word, is_end = word[first], is_end[first]
+        part = np.where(np.isin(word, shared.value), part_of(keys), part_of(word))
+        order = np.lexsort((word, part))
+        nth = np.empty(len(keys), np.int64)
+        nth[order] = np.arange(len(keys))
+        keys, part, word, is_end = keys[order], part[order], word[order], is_end[order]
+        code, n = np.unique(nth[place] * len(texts) + text, return_counts=True)  # by key, so by part
+        key, text = code // len(texts), code % len(texts)
+        edges = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+        cuts = np.searchsorted(key, edges)
+        out = []
+        for own in np.flatnonzero(np.diff(edges)):
+            at, mine = slice(edges[own], edges[own + 1]), slice(cuts[own], cuts[own + 1])
+            new = np.append(True, word[at][1:] != word[at][:-1])
+            having, local = np.unique(text[mine], return_inverse=True)
+            entries = np.concatenate([np.diff(key[mine], prepend=edges[own]), local, n[mine]]).astype("<u4")
+            flags = np.concatenate([new, is_end[at]]).astype(np.uint8)
+            out.append((int(own), int(texts[0] >> 1), keys[at].tobytes(), word[at][new].tobytes(), *map(_packed, (flags, texts[having], entries))))
+        own, first, *blobs = zip(*out)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int32()), pa.array(first), *(pa.array(blob, pa.binary()) for blob in blobs)], names=["part", "block", "keys", "words", "flags", "texts", "entries"]
+        )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n_texts = [], 0, 0
+
+        def joined() -> pa.RecordBatch:
+            return block(*(np.concatenate(column) for column in zip(*held)))
+
+        for batch in batches:
+            data, starts = utf8(batch.column(1))
+            marks = batch.column(0).to_numpy() * 2 + batch.column(2).to_numpy(zero_copy_only=False)
+            for at, end in spans(starts, 1 << 21):
+                text, hashes = tokens(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
+                if len(text):
+                    keys, in_text, word = _pairs(text, hashes)
+                    held.append((marks[at:end], keys, in_text + n_texts, word, np.arange(len(keys)) >= len(text)))
+                    n_texts, size = n_texts + end - at, size + len(keys)
+                if size >= BLOCK:
+                    yield joined()
+                    held, size, n_texts = [], 0, 0
+        if held:
+            yield joined()
+
+    return rows.select("rid", "text", "in_target").mapInArrow(deal, "part int, block long, keys binary, words binary, flags binary, texts binary, entries binary")
+
+
+def whole_losses(rows: DataFrame, part_tokens: int = PART) -> DataFrame:
+    """``rid, n_tokens, target_sum, background_sum`` of every text in ``marked`` rows that has tokens; target_sum is null without a target."""
+    counts = _word_counts(rows.select("text", "in_target"))
+    names = ["target", "background", "target_end", "background_end"]
+    size, *totals = counts.agg(F.count("*"), *(F.sum(name) for name in names)).first()
+    totals = [total or 0 for total in totals]
+    parts = totals[1] // part_tokens + 1
+    frequent = counts.filter(F.col("background") > part_tokens // 8).orderBy("word").toPandas()
+    frequent_words = frequent["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(frequent_words)
+    frequent_words, frequent_counts = frequent_words[order], frequent[names].to_numpy(np.int64).reshape(-1, 4).T[:, order]
+    shared = rows.sparkSession.sparkContext.broadcast((frequent_words, frequent_counts))
+
+    def losses(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        parts_of = [[] for _ in range(7)]
+        n_keys = n_texts = 0
+        for _, keys, words, flags, texts, entries in rows:
+            keys, words = (np.frombuffer(x.as_buffer(), "<u8") for x in (keys, words))
+            new, is_end = _unpacked(flags, "u1").reshape(2, -1)
+            texts, (key, text, n) = _unpacked(texts, "<i8"), _unpacked(entries, "<u4").reshape(3, -1)
+            own = keys, words[np.cumsum(new, dtype=np.int64) - 1], is_end, texts, np.cumsum(key, dtype=np.int64) + n_keys, text.astype(np.int64) + n_texts, n
+            for column, value in zip(parts_of, own):
+                column.append(value)
+            n_keys, n_texts = n_keys + len(keys), n_texts + len(texts)
+        keys, words, is_end, texts, key, text, n = map(np.concatenate, parts_of)
+        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        key, is_end = place[key], is_end[first].astype(bool)
+        words, word = np.unique(words[first], return_inverse=True)
+        at = np.searchsorted(shared.value[0], words)
+        known = at < len(shared.value[0])
+        known[known] = shared.value[0][at[known]] == words[known]
+        sums = []
+        for side, weight in enumerate((n * (texts[text] & 1), n)):
+            seen = np.bincount(key, weight, len(first))
+            own, ends = (np.bincount(word, seen * chosen, len(words)) for chosen in (~is_end, is_end))
+            own[known], ends[known] = (shared.value[1][row][at[known]] for row in (side, side + 2))
+            before = np.log(own - ends + PRIOR)[word]  # for the token after this one, which the text's last word has not
+            alone = ((own + 1) / (totals[side] + size))[word]
+            loss = np.where(is_end, -before, before - np.log(seen + PRIOR * alone))
+            sums.append(np.bincount(text, n * loss[key], len(texts)))
+        sums.append(np.bincount(text, n * ~is_end[key], len(texts)))
+        cuts = np.cumsum([0, *map(len, parts_of[3])])
+        for (block, *_), at, end in zip(rows, cuts[:-1], cuts[1:]):
+            values = [pa.array([x.tobytes()], pa.binary()) for x in (texts[at:end] >> 1, np.stack([own[at:end] for own in sums]))]
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *values], names=["block", "texts", "sums"])
+
+    def part_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                if part != now and held:
+                    yield from losses(held)
+                    held = []
+                now = part
+                held.append(tuple(batch.column(at)[row] for at in range(1, 7)))
+        if held:
+            yield from losses(held)
+
+    def block_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def added() -> pa.RecordBatch:
+            texts, place = np.unique(np.concatenate([np.frombuffer(own, "<i8") for own, _ in held]), return_inverse=True)
+            sums = np.concatenate([np.frombuffer(own, "<f8").reshape(3, -1) for _, own in held], axis=1)
+            target, background, n = (np.bincount(place, own, len(texts)) for own in sums)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (texts, n.astype(np.int64), target, background)], names=["rid", "n_tokens", "target", "background"])
+
+        for batch in batches:
+            for block, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if block != now and held:
+                    yield added()
+                    held = []
+                now = block
+                held.append(row)
+        if held:
+            yield added()
+
+    dealt = _dealt(rows, parts, frequent_words).repartition(parts, "part").sortWithinPartitions("part")
+    shares = dealt.mapInArrow(part_losses, "block long, texts binary, sums binary").repartition("block").sortWithinPartitions("block")
+    found = shares.mapInArrow(block_losses, "rid long, n_tokens long, target double, background double")
+    begin = [float(np.log(total + PRIOR)) for total in totals[2:]]  # each text that has tokens has one end
+    target = F.col("target") + F.lit(begin[0]) if totals[0] else F.lit(None).cast("double")
+    return found.select("rid", "n_tokens", target.alias("target_sum"), (F.col("background") + F.lit(begin[1])).alias("background_sum"))
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row."""
-    rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
-    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", "score")
+    """``doc_id, n_tokens, target_loss, background_loss, score`` of every row, by models of every token and bigram."""
+    rows = marked(docs, labels)
+    sums = store(whole_losses(rows), "losses")
+    means = [(F.col(f"{name}_sum") / F.col("n_tokens")).alias(f"{name}_loss") for name in ("target", "background")]
+    found = rows.select("rid", "doc_id").join(sums, "rid", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *means)
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))

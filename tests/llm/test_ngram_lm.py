@@ -94,3 +94,44 @@ def test_no_target_and_empty_tables(spark):
     got = {r.doc_id: r for r in ngram_lm.report(docs, none).collect()}
     assert got[1].target_loss is None and got[1].score is None and got[1].background_loss > 0 and got[2].n_tokens == 0
     assert ngram_lm.report(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
+
+
+@pytest.mark.parametrize("held, part", [(1 << 20, 1 << 22), (50, 700)])
+def test_report_keeps_every_token_and_bigram(spark, monkeypatch, held, part):
+    monkeypatch.setattr(ngram_lm, "HELD", held)
+    docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(40).collect()]
+    docs += [(None, "the end"), (1000, None), (1001, " \n"), (1003, "x"), (1003, "x"), (1004, "the of " * 60_000), (1005, "seldom seen words"), (1006, "seldom seen words")]
+    good = {doc_id for doc_id, _ in docs[::3]} | {1005}
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    right = spark.createDataFrame([(doc_id, int(doc_id in good)) for doc_id in {i for i, _ in docs}], "doc_id long, quality int")
+    own_losses = ngram_lm.whole_losses
+    monkeypatch.setattr(ngram_lm, "whole_losses", lambda rows: own_losses(rows, part))
+    rows = [tuple(r)[:4] for r in ngram_lm.report(left, right).collect()]
+    expected = whole(docs, good - {None})
+    key = lambda row: (repr(row[0]), row[1])
+    assert len(rows) == len(docs)
+    for got, own in zip(sorted(rows, key=key), sorted(expected, key=key)):
+        assert got[:2] == own[:2]
+        assert np.allclose([x or 0 for x in got[2:]], [x or 0 for x in own[2:]]) and (got[3] is None) == (own[1] == 0)
+
+
+def whole(docs, good):
+    """Losses by models of all tokens and bigrams, none of them unknown."""
+    texts = [plain_tokens(text) for _, text in docs]
+    chosen = [[own for (doc_id, _), own in zip(docs, texts) if doc_id in good], texts]
+    words = [Counter(w for own in side for w in own) for side in chosen]
+    pairs = [Counter(pair for own in side for pair in zip(["<begin>", *own], own)) for side in chosen]
+    contexts = [Counter() for _ in chosen]
+    for at in (0, 1):
+        for pair, n in pairs[at].items():
+            contexts[at][pair[0]] += n
+    rows = []
+    for (doc_id, _), own in zip(docs, texts):
+        losses = []
+        for at in (0, 1):
+            total, loss = sum(words[at].values()) + len(words[1]), 0.0
+            for pair in zip(["<begin>", *own], own):
+                loss -= math.log((pairs[at][pair] + 10 * (words[at][pair[1]] + 1) / total) / (contexts[at][pair[0]] + 10))
+            losses.append(loss / len(own) if own else None)
+        rows.append((doc_id, len(own), *losses))
+    return rows
