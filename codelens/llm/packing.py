@@ -7,6 +7,9 @@ place, and their ids, each text's followed by the end id, form one long stream
 in that order, cut every ``length`` ids. Neighbours in a sequence are thus
 neighbours on the curve, and only the last sequence is padded.
 
+Ids are those that the vocabulary's own library gives, so a text that quotes an
+added token, such as ``<|endoftext|>``, has that token's id there.
+
 Only narrow rows are sorted: running totals of the token counts give each text
 its place in the stream; the ids move once, to be cut. Null text counts as empty
 and is the end id alone. Texts on one place of the curve are ordered by id, null
@@ -76,7 +79,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            ids = [np.append(encode(text.as_py() or "", path), end).astype("<u2") for text in batch.column(2)]
+            ids = [np.append(encode(text.as_py() or "", path, added=True), end).astype("<u2") for text in batch.column(2)]
             places = np.array([project(own[:-1]) for own in ids]).reshape(len(ids), AXES)
             yield pa.RecordBatch.from_arrays(
                 [

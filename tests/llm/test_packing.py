@@ -65,3 +65,16 @@ def test_empty_table_and_other_columns(spark):
     assert packing.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     odd = spark.createDataFrame([(1, "a", 5, "x")], "doc_id long, text string, rid int, ids string")
     assert [r.doc_tokens for r in packing.report(odd).collect()] == [2]
+
+
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(f"{tokens.vocabulary()}.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  <|endoftext|>  <|endoftext", "<|ENDOFTEXT|> \u00e9<|endoftext|>'s", "no"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {p.doc_id: np.frombuffer(bytes(p.ids), "<u4").tolist() for p in packing.packed(docs, 1 << 16).collect()}
+    expected = {at: plain.encode(text, add_special_tokens=False).ids for at, text in enumerate(texts)}
+    assert expected[0] == [64, 220, 50256, 275]
+    assert got == {at: [*ids, packing.END] for at, ids in expected.items()}
+    assert [tokens._slow(tokens.vocabulary(), True).encode(text, add_special_tokens=False).ids for text in texts] == list(expected.values())
