@@ -3,12 +3,14 @@
 A text is cut into sentences: after a sentence mark and a blank, at an empty
 line, and at a line that begins with a capitalised word, a digit or a bullet. A
 sentence is normalised to lower-case ASCII letters and digits with
-single spaces; sentences without any are skipped. One to ``JOINED`` neighbouring
-sentences, joined, are looked up among the known licence sentences, so a known
-sentence is also found if line breaks before such words cut it. At each place
-the longest counts. The identifiers found are matched against rules: a licence's
-sentences in their order, with no other known sentence and at most ``GAP``
-unknown ones between two. A match within a longer one is dropped.
+single spaces, which also drops the leaders of comment lines; sentences without
+any are skipped. Within a sentence every other line break may be a cut, too: a
+known sentence is found wherever it begins with a line or sentence and ends with
+one, over as many of them as it has words at most. At each place the longest
+counts, and none within a longer one before. The identifiers found are matched
+against rules: a licence's sentences in their order, with no other known
+sentence and at most ``GAP`` unknown ones between two. A match within a longer
+one is dropped. Places are numbers of sentences.
 
 The result has a row for each match; texts without one have none. Null and empty
 texts have no sentences; repeated rows are scanned each; a null id is kept. The
@@ -23,7 +25,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-JOINED, GAP = 3, 3
+GAP = 3
 
 # Sentences of public licences and of common notices.
 SENTENCES = {
@@ -126,8 +128,8 @@ RULES = [
 BLANK = r"[\x20\x09-\x0D]"
 MARK_OR_EMPTY_LINE = rf"[.;:!?]{BLANK}+|\n{BLANK}*\n"
 NEW_LINE = rf"\n{BLANK}*([A-Z][a-z]|[0-9*-])"
-CUT = "\x01"
-NOT_KEPT = f"[^A-Za-z0-9{CUT}]+"
+CUT, LINE = "\x01", "\x02"
+NOT_KEPT = f"[^A-Za-z0-9{CUT}{LINE}]+"
 
 
 def normalise(sentence: str) -> str:
@@ -144,33 +146,66 @@ def known_rules(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(licence, rule, first, ids)")
 
 
-def sentences(text):
-    """Normalised sentences of a text column."""
+def longest() -> int:
+    """Words of the longest known sentence."""
+    return max(len(normalise(text).split()) for text in SENTENCES.values())
+
+
+def beginnings() -> str:
+    """A pattern for what a known sentence can begin with: its first words, up to all."""
+    words = [normalise(text).split() for text in SENTENCES.values()]
+
+    def following(depth: int, own: list[list[str]]) -> str:
+        nexts: dict[str, list[list[str]]] = {}
+        for sentence in own:
+            if len(sentence) > depth:
+                nexts.setdefault(sentence[depth], []).append(sentence)
+        each = [(" " if depth else "") + word + following(depth + 1, those) for word, those in nexts.items()]
+        return f"(?:{'|'.join(each)}){'?' if depth else ''}" if each else ""
+
+    return f"^{following(0, words)}$"
+
+
+def lines(text):
+    """Normalised lines of a text column, each as ``line`` with ``at``, the number of the sentence it is in."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(MARK_OR_EMPTY_LINE), F.lit(CUT))
     marked = F.regexp_replace(marked, F.lit(NEW_LINE), F.lit(CUT + "$1"))
-    cut = F.split(F.lower(F.regexp_replace(marked, F.lit(NOT_KEPT), F.lit(" "))), CUT)
-    return F.filter(F.transform(cut, lambda sentence: F.trim(sentence)), lambda sentence: sentence != "")
+    marked = F.regexp_replace(F.translate(marked, "\n\r", LINE + LINE), F.lit(NOT_KEPT), F.lit(" "))
+    cut = F.filter(F.split(F.lower(marked), CUT), lambda sentence: sentence.rlike("[a-z0-9]"))
+
+    def own_lines(sentence, at):
+        return F.transform(F.split(sentence, LINE), lambda line: F.struct(F.trim(line).alias("line"), at.alias("at")))
+
+    return F.filter(F.flatten(F.transform(cut, own_lines)), lambda line: line["line"] != "")
 
 
 def licence_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, licence, rule, first_sentence, last_sentence, n_known`` of every match."""
     spark = docs.sparkSession
-    cut = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", sentences(F.col("text")).alias("sentences"))
-    each = cut.select("rid", "doc_id", "sentences", F.posexplode("sentences").alias("at", "sentence"))
-    joined = [F.struct(F.lit(1).alias("n"), F.col("sentence").alias("sentence"))]
-    for n in range(2, JOINED + 1):
-        longer = F.concat_ws(" ", F.slice("sentences", F.col("at") + 1, F.lit(n)))
-        joined.append(F.struct(F.lit(n).alias("n"), F.when(F.col("at") + n <= F.size("sentences"), longer).alias("sentence")))
-    tried = each.select("rid", "doc_id", "at", F.inline(F.array(*joined)))
-    hits = tried.join(F.broadcast(known_sentences(spark)), "sentence")
-    found = hits.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "id"))).alias("hits"))
+    cut = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", lines(F.col("text")).alias("lines"))
+    # Only lines that a known sentence can begin with get a row, with as many lines as the longest can have.
+    numbers = F.transform("lines", lambda line, k: F.when(line["line"].rlike(beginnings()), k))
+    places = F.filter(numbers, lambda k: k.isNotNull())
+    ahead = F.transform(places, lambda k: F.struct(k.alias("k"), F.slice("lines", k + 1, F.lit(longest())).alias("ahead")))
+    each = cut.select("rid", "doc_id", F.inline(ahead))
+    each = each.withColumn("tail", F.concat_ws(" ", "ahead.line")).withColumn("word", F.substring_index("tail", " ", 1))
+    known = known_sentences(spark).withColumn("word", F.substring_index("sentence", " ", 1))
+    hits = each.join(F.broadcast(known), "word").filter("startswith(concat(tail, ' '), concat(sentence, ' '))")
+    n_lines = "array_position(transform(sequence(1, size(ahead)), n -> length(concat_ws(' ', slice(ahead.line, 1, n)))), length(sentence))"
+    hits = hits.withColumn("n", F.expr(f"cast({n_lines} AS int)")).filter("n > 0")
+    hits = hits.select("rid", "doc_id", "k", "n", "id", F.expr("ahead[0].at").alias("at"), F.expr("ahead[n - 1].at").alias("last"))
+    found = hits.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "n", "id", "at", "last"))).alias("hits"))
     # Sorted by place and length, the longest at a place is the last there.
-    longest = F.expr("filter(hits, (hit, i) -> i = size(hits) - 1 OR get(hits, i + 1).at <> hit.at)")
-    found = found.select("rid", "doc_id", longest.alias("hits"))
+    ending = F.expr("filter(hits, (hit, i) -> i = size(hits) - 1 OR get(hits, i + 1).k <> hit.k)")
+    found = found.select("rid", "doc_id", ending.alias("hits"))
+    # A hit that another one holds begins at most the longest sentence's lines after it.
+    held = f"slice(hits, greatest(i - {longest()} + 1, 1), least(i, {longest()}))"
+    outer = F.expr(f"filter(hits, (hit, i) -> i = 0 OR NOT exists({held}, before -> before.k + before.n >= hit.k + hit.n))")
+    found = found.select("rid", "doc_id", outer.alias("hits"))
     starts = found.select("rid", "doc_id", "hits", F.posexplode("hits").alias("i", "hit")).withColumn("first", F.col("hit.id"))
     matches = starts.join(F.broadcast(known_rules(spark)), "first").filter("transform(slice(hits, i + 1, size(ids)), hit -> hit.id) = ids").filter(
         f"""forall(zip_with(slice(hits, i + 2, size(ids) - 1), slice(hits, i + 1, size(ids) - 1),
-                            (later, hit) -> later.at - hit.at - hit.n), gap -> gap BETWEEN 0 AND {GAP})"""
+                            (later, hit) -> later.k >= hit.k + hit.n AND later.at - hit.last - 1 <= {GAP}), fits -> fits)"""
     )
     matches = matches.select(
         "rid",
@@ -178,9 +213,11 @@ def licence_matches(docs: DataFrame) -> DataFrame:
         "licence",
         "rule",
         F.col("hit.at").alias("first_sentence"),
-        F.expr("element_at(hits, i + size(ids)).at + element_at(hits, i + size(ids)).n - 1").alias("last_sentence"),
+        F.expr("element_at(hits, i + size(ids)).last").alias("last_sentence"),
         F.size("ids").alias("n_known"),
+        F.col("hit.k").alias("first_line"),
+        F.expr("element_at(hits, i + size(ids)).k + element_at(hits, i + size(ids)).n - 1").alias("last_line"),
     )
-    longer_before = "max(last_sentence) OVER (PARTITION BY rid ORDER BY first_sentence, last_sentence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    kept = matches.withColumn("covered", F.expr(longer_before)).filter("covered IS NULL OR last_sentence > covered")
-    return kept.drop("rid", "covered")
+    longer_before = "max(last_line) OVER (PARTITION BY rid ORDER BY first_line, last_line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    kept = matches.withColumn("covered", F.expr(longer_before)).filter("covered IS NULL OR last_line > covered")
+    return kept.drop("rid", "covered", "first_line", "last_line")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 import pytest
 
@@ -57,3 +58,30 @@ def test_hostile_texts_take_linear_time(spark, text):
 def test_no_python_in_the_plan(spark, capsys):
     licences.licence_matches(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def comment(text, leader, width=70):
+    return "\n".join(leader + line for line in textwrap.wrap(text, width))
+
+
+GPL = S["gpl_free"] + ": " + S["gpl3_modify"] + ". " + S["gpl_hope"] + "; " + text_of("gpl_implied", "gpl_see")
+COMMENTS = [
+    ("/*\n" + comment(text_of(*MIT), " * ") + "\n */\nint main() {}", ["MIT full text"]),
+    ("/*\n" + comment(text_of(*MIT), " * ", 20) + "\n */", ["MIT full text"]),
+    (comment(text_of(*BSD3), "# "), ["BSD-3-Clause full text"]),
+    ("\r\n".join(comment(text_of("isc_grant", "isc_as_is"), "// ", 40).split("\n")), ["ISC full text"]),
+    (comment(GPL, "-- ", 60), ["GPL-3.0-or-later file header"]),
+    (comment(GPL, "* ", 20), ["GPL-3.0-or-later file header"]),
+    ("Released under the MIT License\nall rights reserved\n", ["MIT released notice"]),
+    ("Released under the MIT License\nCOPYRIGHT SOMEONE", ["MIT released notice"]),
+    ("see below\nreleased under the\nMIT License\n\u00c9t\u00e9", ["MIT released notice"]),
+    ("Licensed under CC BY 4.0\nlicensed under cc by-sa 4.0\nx", ["CC-BY-4.0 notice", "CC-BY-SA-4.0 notice"]),
+    ("it was released under the MIT License\nlong ago", []),
+    ("Released under the MIT License of\nsome kind", []),
+]
+
+
+def test_comments_and_plain_line_breaks(spark):
+    docs = spark.createDataFrame([(at, text) for at, (text, _) in enumerate(COMMENTS)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, f"{r.licence} {r.rule}") for r in licences.licence_matches(docs).collect())
+    assert got == sorted((at, name) for at, (_, names) in enumerate(COMMENTS) for name in names)
