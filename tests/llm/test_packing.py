@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from codelens.llm import packing, tokens
 
@@ -14,8 +15,11 @@ TEXTS = [
 ]
 
 
+PLAIN = Tokenizer.from_file(f"{tokens.vocabulary()}.json")
+
+
 def ids_of(text):
-    return [*tokens._slow(tokens.vocabulary()).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*PLAIN.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_curve_visits_every_cell_in_steps_of_one():
@@ -68,13 +72,10 @@ def test_empty_table_and_other_columns(spark):
 
 
 def test_added_tokens_have_their_ids(spark):
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(f"{tokens.vocabulary()}.json")
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny  <|endoftext|>  <|endoftext", "<|ENDOFTEXT|> \u00e9<|endoftext|>'s", "no"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {p.doc_id: np.frombuffer(bytes(p.ids), "<u4").tolist() for p in packing.packed(docs, 1 << 16).collect()}
-    expected = {at: plain.encode(text, add_special_tokens=False).ids for at, text in enumerate(texts)}
+    expected = {at: PLAIN.encode(text, add_special_tokens=False).ids for at, text in enumerate(texts)}
     assert expected[0] == [64, 220, 50256, 275]
     assert got == {at: [*ids, packing.END] for at, ids in expected.items()}
     assert [tokens._slow(tokens.vocabulary(), True).encode(text, add_special_tokens=False).ids for text in texts] == list(expected.values())
