@@ -69,7 +69,63 @@ FROM normal
 WINDOW same AS (PARTITION BY text_sha256)
 """
 
+# Every query term against every document that holds it.
+RANKED = r"""
+WITH counted AS (
+    SELECT rid, doc_id, len(terms) AS n, unnest(map_entries(histogram)) AS entry
+    FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, list_histogram(terms) AS histogram
+          FROM documents WHERE text IS NOT NULL)
+    WHERE len(terms) > 0
+),
+entries AS (SELECT rid, doc_id, CAST(n AS BIGINT) AS n, entry.key AS term, CAST(entry.value AS BIGINT) AS tf FROM counted),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM (SELECT DISTINCT rid, n FROM entries)),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM entries, totals GROUP BY term, documents
+),
+asked AS (
+    SELECT item, item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark WHERE text IS NOT NULL)
+),
+scored AS (
+    SELECT item, item_id, rid, doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // totals.terms)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN entries USING (term), totals
+    GROUP BY item, item_id, rid, doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
 
+# Every anchor against every row.
+NEGATIVES = """
+WITH rows AS (
+    SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same,
+           CAST(list_sum(list_transform(range(1, len(a.vector) + 1), lambda i: a.vector[i] * b.vector[i])) AS BIGINT) AS score
+    FROM rows a, rows b WHERE a.vec_id % 100 = 0 AND a.rid <> b.rid
+),
+positives AS (
+    SELECT * FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5
+),
+ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id, n.rid) AS place
+    FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+     AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE place <= 10
+"""
 
 
 def _licences() -> str:
@@ -126,4 +182,6 @@ def build() -> dict[str, str]:
         "op3_warc": WARC,
         "op4_exact_dedup": EXACT_DEDUP,
         "op9_licence_rules": _licences(),
+        "op11_nra_search": RANKED,
+        "op12_bond_negatives": NEGATIVES,
     }

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelens.llm import crf_quality, decontaminate, exact_dedup, licences, ngram_lm, packing, simhash, suffix_dedup, token_files, warc
+from codelens.llm import (
+    crf_quality,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    licences,
+    ngram_lm,
+    packing,
+    personal_data,
+    ranked_search,
+    simhash,
+    suffix_dedup,
+    token_files,
+    warc,
+)
 from codelens.llm.common import table
 
 
@@ -52,6 +66,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_counts(table(spark, folder, "documents"))
 
 
+def op11_nra_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_bond_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.report(table(spark, folder, "embeddings"))
+
+
+def op13_deobfuscated_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -65,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_crf_quality,
         op9_licence_rules,
         op10_token_counts,
+        op11_nra_search,
+        op12_bond_negatives,
+        op13_deobfuscated_pii,
     )
 }
