@@ -70,25 +70,34 @@ def leaderboard_view(
     )
 
 
+def trend_rows(scored: DataFrame) -> DataFrame:
+    """The rows that the trend is made of: the last ten totals."""
+    return scored.select("seq", "total_score").orderBy(F.desc("seq")).limit(2 * vocab.TREND_ROWS)
+
+
 def recent_trend(scored: DataFrame) -> DataFrame:
     """One row: how the last five totals compare with the five before them."""
-    n = vocab.TREND_ROWS
-    last = scored.select("seq", "total_score").orderBy(F.desc("seq")).limit(2 * n)
+    last = trend_rows(scored)
     # At most ten rows are collected here, put in order so that sums are exact
     # repeats of adding them one after the other.
     ordered = last.agg(F.array_sort(F.collect_list(F.struct("seq", "total_score"))).alias("rows"))
     totals = ordered.select(F.transform("rows", lambda row: row["total_score"]).alias("totals"))
+    return totals.select(trend_name(F.col("totals")).alias("recent_trend"))
+
+
+def trend_name(totals: Column) -> Column:
+    """The trend of a list of the last ten totals, the oldest first."""
+    n = vocab.TREND_ROWS
 
     def mean(start: int) -> Column:
-        part = F.slice("totals", start, n)
+        part = F.slice(totals, start, n)
         return F.aggregate(part, F.lit(0.0), lambda total, value: total + value) / F.lit(float(n))
 
     older, recent = mean(1), mean(n + 1)
     unknown, better, worse, same = vocab.TREND_NAMES
-    return totals.select(
-        F.when(F.size("totals") < 2 * n, unknown)
+    return (
+        F.when(F.size(totals) < 2 * n, unknown)
         .when(recent > older + F.lit(vocab.TREND_STEP), better)
         .when(recent < older - F.lit(vocab.TREND_STEP), worse)
         .otherwise(same)
-        .alias("recent_trend")
     )

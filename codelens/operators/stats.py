@@ -21,10 +21,13 @@ def known_category(category: Column) -> Column:
     return category.isin(*vocab.CATEGORIES)
 
 
+def cell_category(category: Column) -> Column:
+    return F.when(known_category(category), category).otherwise(OTHER_CATEGORIES)
+
+
 def score_cells(scored: DataFrame) -> DataFrame:
     """At most 96 rows: 8 category cells times 12 grades."""
-    kept = F.when(known_category(F.col("category")), F.col("category")).otherwise(OTHER_CATEGORIES)
-    return scored.groupBy(kept.alias("category"), "grade").agg(
+    return scored.groupBy(cell_category(F.col("category")).alias("category"), "grade").agg(
         F.count("*").alias("n_rows"),
         F.sum("total_score").alias("sum_score"),
         F.max("total_score").alias("best_score"),
@@ -32,6 +35,16 @@ def score_cells(scored: DataFrame) -> DataFrame:
     )
 
 
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """Cells of several parts of the data as cells of them all."""
+    return cells.groupBy("category", "grade").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("sum_score").alias("sum_score"),
+        F.max("best_score").alias("best_score"),
+        F.min("worst_score").alias("worst_score"),
+    )
+
+
 def overall(cells: DataFrame) -> DataFrame:
     """One row of count, mean, best and worst; no row without submissions."""
     return cells.agg(

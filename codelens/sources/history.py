@@ -1,25 +1,23 @@
-"""The stored score history: runs that are written once, and import of history files.
+"""The stored score history: runs that are saved once, and import of history files.
 
-A history is one folder. ``runs/run=<id>`` holds what one job or one micro-batch
-added, ``refused/run=<id>`` what it refused. A run is written beside its place
-and moved there when complete, so readers see all of it or nothing, and a run
-that is there already is left alone: saving twice adds nothing.
+A history is one folder with two tables of runs (``runlog``): ``runs`` has what each
+job or micro-batch added, ``refused`` what it refused. Saving a run twice adds
+nothing, a save that was cut off is finished by saving it again, and readers see all
+of a run or nothing.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens import schemas
 from codelens.operators import board
-from codelens.sources import files
+from codelens.sources import jsonlists
+from codelens.sources.runlog import RunLog
 
 RUNS, REFUSED = "runs", "refused"
-_RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
 # What a saved score has where its file leaves something out.
 _DEFAULTS = {
@@ -40,37 +38,32 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _add_run(rows: DataFrame, folder: str, run: str) -> bool:
-    if not _RUN_ID.fullmatch(run):
-        raise ValueError(f"not a run id: {run!r}")
-    spark = rows.sparkSession
-    place, writing = f"{folder}/run={run}", f"{folder}/_writing-{run}"
-    if files.exists(spark, place):
-        return False
-    rows.write.mode("overwrite").parquet(writing)
-    files.move(spark, writing, place)
-    return True
+def run_log(spark: SparkSession, path: str) -> RunLog:
+    """The table of scored runs, to read at a version, compact or clean."""
+    return RunLog(spark, f"{path}/{RUNS}", schemas.HISTORY)
 
 
 def append_history(scored: DataFrame, path: str, run: str) -> bool:
-    """Adds scored rows as the run ``run``, unless that run is stored already.
+    """Adds scored rows as the run ``run``, unless that run is stored already."""
+    return run_log(scored.sparkSession, path).add(scored, run)
 
-    One job at a time may write a run; different runs may be written at once.
-    """
-    return _add_run(scored.select(*schemas.HISTORY.names), f"{path}/{RUNS}", run)
+
+def correct_history(scored: DataFrame, path: str, run: str) -> bool:
+    """Adds rows that replace the stored rows with the same ``seq``; new ones are added."""
+    return run_log(scored.sparkSession, path).add(scored, run, corrects=True)
 
 
 def append_refused(refused: DataFrame, path: str, run: str) -> bool:
-    return _add_run(refused.select(*schemas.REFUSED.names), f"{path}/{REFUSED}", run)
+    return RunLog(refused.sparkSession, f"{path}/{REFUSED}", schemas.REFUSED).add(refused, run)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """All rows, whether jobs or streams added them."""
-    return read_or_empty(spark, f"{path}/{RUNS}", schemas.HISTORY)
+def read_history(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """All rows that count, whether jobs or streams added them, now or at an earlier version."""
+    return run_log(spark, path).rows(version)
 
 
 def read_refused(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, f"{path}/{REFUSED}", schemas.REFUSED)
+    return RunLog(spark, f"{path}/{REFUSED}", schemas.REFUSED).rows()
 
 
 def write_leaderboard(history: DataFrame, path: str) -> None:
@@ -106,23 +99,24 @@ def import_history_file(
 ) -> DataFrame:
     """Rows of one single-object JSON history file, numbered from ``first_seq`` in list order.
 
-    ``part`` is scores_history or high_scores. Give a ``first_seq`` above what the
-    history has, so that ties and the trend keep their order. Such a file was
-    written by one process out of its memory and is read by one task; use it
-    once, to move the rows into the history. A missing file or a missing list
-    has no rows; a file that is no such object is an error.
+    ``part`` is scores_history or high_scores. All tasks read the file at once, in
+    two passes that run now. Give a ``first_seq`` above what the history has, so
+    that ties and the trend keep their order; ``import_into_history`` does. A missing
+    file or a missing list has no rows; a file that is no such object is an error.
     """
-    reader = spark.read.schema(schemas.HISTORY_FILE).option("multiLine", True).option("mode", "FAILFAST")
     try:
-        whole = reader.json(path)
+        found = jsonlists.list_elements(spark, path, part)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.HISTORY)
-    rows = whole.select(F.posexplode(part).alias("at", "score")).select(
-        (F.col("at").cast("long") + first_seq).alias("seq"), "score.*"
-    )
-    return _with_defaults(rows)
+    score = F.from_json("value", schemas.SCORE, {"mode": "FAILFAST"})
+    return _with_defaults(found.select((F.col("position") + first_seq).alias("seq"), score.alias("score")).select("seq", "score.*"))
+
+
+def import_into_history(spark: SparkSession, file: str, path: str, run: str) -> bool:
+    """Adds a history file's rows behind what is stored, as the run ``run``."""
+    return append_history(import_history_file(spark, file, first_seq=next_seq(read_history(spark, path))), path, run)
 
 
 def next_seq(history: DataFrame) -> int:

@@ -1,19 +1,25 @@
-"""Three streaming queries around one stored history.
+"""Streaming queries around one stored history.
 
 ``score_stream`` parses and scores each arriving row once and adds each
 micro-batch to the history as a run of its own; a replayed batch finds its run
-stored and adds nothing. What it refuses is stored too. The statistics and the
-high-score list are streams over that history, which also see what batch jobs
-add, and neither parses again. Their results are a few rows, kept as one snapshot
-per micro-batch: a replayed batch overwrites its own, and all but the last few
-are deleted. Each query continues from its checkpoint folder after a restart.
+stored and adds nothing. What it refuses is stored too. The statistics, the
+high-score list and the trend follow the history's log: their offsets are versions
+of it, so they see what any job or stream added, corrected or compacted, each once,
+whatever its age, and neither parse again nor list what they have seen. Corrected
+rows are taken out: only what they touched is made anew from the history.
+
+Their results are a few rows, kept as one snapshot per micro-batch: a replayed
+batch overwrites its own, and all but the last few are deleted. Each query continues
+from its checkpoint folder after a restart.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -22,8 +28,10 @@ from codelens.functions import vocab
 from codelens.operators import board, rows, scoring, stats
 from codelens.sources import files, history as stored
 from codelens.sources.history import read_or_empty
+from codelens.sources.runlog import RunLog, RunLogSource
 
 SNAPSHOTS_KEPT = 3
+ANY_AGE = "36500d"  # else files much older than the newest would be left out
 
 CELLS = "category string, grade string, n_rows bigint, sum_score double, best_score double, worst_score double"
 BOARD = StructType([
@@ -31,6 +39,8 @@ BOARD = StructType([
     if field.name in ("seq", "instruction", "timestamp", "category", "grade", "total_score")
 ])
 
+TREND = "seq bigint, total_score double"
+
 
 def _writer(stream: DataFrame, checkpoint: str, available_now: bool):
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
@@ -53,7 +63,7 @@ def score_stream(
     With ``tasks``, each micro-batch is spread over that many tasks by ``seq``;
     give it if batches consist of fewer files than there are cores.
     """
-    reader = spark.readStream.schema(schemas.SUBMISSIONS)
+    reader = spark.readStream.schema(schemas.SUBMISSIONS).option("maxFileAge", ANY_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
@@ -70,13 +80,20 @@ def score_stream(
     return _writer(reader.parquet(source), checkpoint, available_now).foreachBatch(save).start()
 
 
-def _history_stream(spark: SparkSession, history: str, files_per_batch: int | None) -> DataFrame:
-    folder = f"{history}/{stored.RUNS}"
-    files.make_folder(spark, folder)
-    reader = spark.readStream.schema(schemas.HISTORY).option("recursiveFileLookup", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+def _follow(
+    spark: SparkSession, history: str, checkpoint: str, available_now: bool, update: Callable[[RunLog, int, int, int], None]
+) -> StreamingQuery:
+    """Calls ``update`` with the log, the versions after and up to which there is news, and the batch."""
+    log = stored.run_log(spark, history)
+    spark.dataSource.register(RunLogSource)
+    positions = spark.readStream.format(RunLogSource.name()).option("path", log.folder).load()
+
+    def pass_on(batch: DataFrame, batch_id: int) -> None:
+        after, upto = batch.agg(F.min("after"), F.max("upto")).first()
+        if upto is not None:
+            update(stored.run_log(batch.sparkSession, history), after, upto, batch_id)
+
+    return _writer(positions, checkpoint, available_now).foreachBatch(pass_on).start()
 
 
 def _batches(spark: SparkSession, path: str) -> list[int]:
@@ -107,20 +124,26 @@ def latest_snapshot(
 
 
 def statistics_stream(
-    spark: SparkSession,
-    history: str,
-    snapshots: str,
-    checkpoint: str,
-    available_now: bool = False,
-    files_per_batch: int | None = None,
+    spark: SparkSession, history: str, snapshots: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Keeps the score cells; the state is at most 96 rows however long it runs."""
-    cells = stats.score_cells(_history_stream(spark, history, files_per_batch))
+    """Keeps the score cells, at most 96 rows however long it runs.
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        _save_snapshot(batch, snapshots, batch_id)
+    A corrected row leaves its cell; as that cell's best and worst may have been
+    its own, the cells that lost rows are made anew.
+    """
 
-    return _writer(cells, checkpoint, available_now).outputMode("complete").foreachBatch(save).start()
+    def update(log: RunLog, after: int, upto: int, batch_id: int) -> None:
+        added, replaced = log.changes(after, upto)
+        cells = latest_snapshot(log.spark, snapshots, CELLS, before=batch_id)
+        if replaced is None:
+            return _save_snapshot(stats.merge_cells(cells.unionByName(stats.score_cells(added))), snapshots, batch_id)
+        touched = F.broadcast(replaced.select(stats.cell_category(F.col("category")).alias("category"), "grade").distinct())
+        others = stats.score_cells(added).unionByName(cells).join(touched, ["category", "grade"], "left_anti")
+        named = log.rows(upto).withColumn("category", stats.cell_category(F.col("category")))
+        anew = stats.score_cells(named.join(touched, ["category", "grade"], "left_semi"))
+        _save_snapshot(stats.merge_cells(others).unionByName(anew), snapshots, batch_id)
+
+    return _follow(spark, history, checkpoint, available_now, update)
 
 
 def running_cells(spark: SparkSession, snapshots: str) -> DataFrame:
@@ -128,24 +151,42 @@ def running_cells(spark: SparkSession, snapshots: str) -> DataFrame:
     return latest_snapshot(spark, snapshots, CELLS)
 
 
+def _keep_rows(
+    spark: SparkSession, history: str, snapshots: str, checkpoint: str, available_now: bool, schema: StructType,
+    choose: Callable[[DataFrame], DataFrame], afresh: Callable[[DataFrame], DataFrame],
+) -> StreamingQuery:
+    """Keeps the few rows that ``choose`` takes; made ``afresh`` when one of them was corrected."""
+
+    def update(log: RunLog, after: int, upto: int, batch_id: int) -> None:
+        added, replaced = log.changes(after, upto)
+        before = latest_snapshot(log.spark, snapshots, schema, before=batch_id)
+        if replaced is not None and replaced.join(F.broadcast(before), "seq", "left_semi").limit(1).count():
+            kept = choose(afresh(log.rows(upto)))
+        else:
+            kept = choose(before.unionByName(choose(added.select(*schema.names))))
+        _save_snapshot(kept, snapshots, batch_id)
+
+    return _follow(spark, history, checkpoint, available_now, update)
+
+
 def top_stream(
-    spark: SparkSession,
-    history: str,
-    snapshots: str,
-    checkpoint: str,
-    k: int = vocab.TOP_SCORES,
-    available_now: bool = False,
-    files_per_batch: int | None = None,
+    spark: SparkSession, history: str, snapshots: str, checkpoint: str, k: int = vocab.TOP_SCORES, available_now: bool = False
 ) -> StreamingQuery:
     """Keeps the ``k`` best rows seen so far."""
-    arriving = _history_stream(spark, history, files_per_batch).select(*BOARD.names)
+    return _keep_rows(
+        spark, history, snapshots, checkpoint, available_now, BOARD,
+        lambda rows_now: board.top_scores(rows_now, k), lambda whole: board.top_stored_scores(whole, k).select(*BOARD.names),
+    )
+
+
+def trend_stream(spark: SparkSession, history: str, snapshots: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keeps the last rows by ``seq``, also those that arrive late, for the trend."""
+    schema = StructType.fromDDL(TREND)
+    return _keep_rows(spark, history, snapshots, checkpoint, available_now, schema, board.trend_rows, lambda whole: whole.select(*schema.names))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = latest_snapshot(batch.sparkSession, snapshots, BOARD, before=batch_id)
-        best = board.top_scores(before.unionByName(board.top_scores(batch, k)), k)
-        _save_snapshot(best, snapshots, batch_id)
 
-    return _writer(arriving, checkpoint, available_now).foreachBatch(merge).start()
+def running_trend(spark: SparkSession, snapshots: str) -> DataFrame:
+    return board.recent_trend(latest_snapshot(spark, snapshots, TREND))
 
 
 def running_top(spark: SparkSession, snapshots: str) -> DataFrame:

@@ -534,6 +534,16 @@ def build() -> dict[str, str]:
         "leaderboard_view": leaderboard(50, 10),
         "leaderboard_top5": leaderboard(60, 5),
         "trend": scored + f", {TREND} SELECT recent_trend FROM trend",
+        "trend_history": scored
+        + """, windows AS (SELECT seq, list(total) OVER (ORDER BY seq ROWS 9 PRECEDING) AS t FROM scored),
+              means AS (SELECT seq, len(t) AS n, (t[1] + t[2] + t[3] + t[4] + t[5]) / 5e0 AS older,
+                               (t[6] + t[7] + t[8] + t[9] + t[10]) / 5e0 AS recent FROM windows)
+              SELECT seq, CASE WHEN n < 10 THEN 'insufficient_data' WHEN recent > older + 5 THEN 'improving'
+                               WHEN recent < older - 5 THEN 'declining' ELSE 'stable' END AS recent_trend FROM means""",
+        "high_score_entries": scored
+        + """, places AS (SELECT s.seq, s.total, 1 + (SELECT count(*) FROM scored e WHERE e.seq < s.seq AND e.total >= s.total) AS place FROM scored s)
+              SELECT seq, round(total, 6) AS total_score, CAST(place AS INT) AS position FROM places WHERE place <= 10""",
+        "empty_report": "SELECT unnest(['overall', 'grades', 'categories', 'summary', 'quality', 'cases']) AS part, CAST(0 AS BIGINT) AS n_rows",
         # Stores
         "history_roundtrip": f"WITH {kept()} SELECT seq, grade, round(total, 6) AS total_score,"
         f" {STYLE_ISSUES} AS style_issues, ts AS timestamp FROM kept",
@@ -543,6 +553,15 @@ def build() -> dict[str, str]:
         "history_mixed": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
         "history_mixed_stats": f"WITH {kept()} SELECT {OVERALL} FROM kept",
         "history_retry": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
+        "history_interrupted": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
+        "history_compacted": f"WITH {kept()} SELECT {OVERALL} FROM kept",
+        "history_corrected": f"WITH {kept()} SELECT seq, category, round(total, 6) AS total_score, grade FROM kept",
+        "stream_corrected": f"WITH {kept()} SELECT category, count(*) AS n_rows, round(avg(total), 6) AS average,"
+        f" round(max(total), 6) AS best FROM kept WHERE {KNOWN} GROUP BY category",
+        "stream_late_files": f"WITH {kept()} SELECT seq, round(total, 6) AS total_score, grade FROM kept",
+        "stream_trend": f"WITH {kept()}, {TREND.replace('scored', 'kept')} SELECT recent_trend FROM trend",
+        "history_import_file": f"WITH {kept()} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, round(total, 6) AS total_score,"
+        " grade, category, ts AS timestamp, CAST(length(code) AS INT) AS code_length FROM kept",
         "history_refused": submissions
         + f"SELECT seq, 'blank generated_code' AS reason FROM submissions WHERE trim(code, {WS}) = ''",
         "history_import": f"WITH {kept()} SELECT seq + 1000 AS seq, round(total, 6) AS total_score, 'F' AS grade,"

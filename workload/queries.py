@@ -7,6 +7,7 @@ results compare exactly with those of another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from codelens.operators import (
     candidates,
     evaluation,
     lines,
+    ordered,
     outcomes,
     prompts,
     rows,
@@ -27,7 +29,7 @@ from codelens.operators import (
 )
 from codelens.plans import jobs
 from codelens.plans.layout import shared_folder
-from codelens.sources import history, reports, tables
+from codelens.sources import files, history, reports, tables
 from codelens.streaming import live
 from workload import inputs
 
@@ -340,6 +342,30 @@ def leaderboard_top5(spark, folder):
     return board.leaderboard_view(_scored(spark, folder), width=60, limit=5)
 
 
+def high_score_entries(spark, folder):
+    """Which submissions entered the ten best when they arrived."""
+    return rounded(ordered.high_score_entries(_scored(spark, folder)), "total_score")
+
+
+def trend_history(spark, folder):
+    """The trend as it was after each submission."""
+    return ordered.trend_history(_scored(spark, folder))
+
+
+def empty_report(spark, folder):
+    """How many rows each report has on no submissions and no runs."""
+    cells = stats.score_cells(scoring.add_scores(_submissions(spark, folder).filter("seq < 0")))
+    judged = evaluation.evaluate(inputs.runs(spark, folder).filter("result_id < 0"), inputs.cases(spark))
+    reported = evaluation.report_cells(judged)
+    parts = {
+        "overall": stats.overall(cells), "grades": stats.grade_distribution(cells), "categories": stats.category_performance(cells),
+        "summary": evaluation.summary(reported), "quality": evaluation.quality_distribution(reported),
+        "cases": evaluation.category_statistics(reported),
+    }
+    counts = [rows.agg(F.lit(name).alias("part"), F.count("*").alias("n_rows")) for name, rows in parts.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # Stores. Each run writes to a new shared folder and reads it back.
 
 
@@ -368,6 +394,21 @@ def history_import(spark, folder):
     )
 
 
+def history_import_file(spark, folder):
+    """All scored rows as one JSON object in one file, read by all tasks."""
+    path = shared_folder(spark, "object")
+    scored = jobs.score_submissions(_submissions(spark, folder)).history
+    line = F.to_json(F.struct(*[name for name in scored.columns if name not in ("seq", "scored_at")]))
+    # One file is the feature: its lines are put in order by one task.
+    rows_out = scored.select("seq", line.alias("value")).coalesce(1).sortWithinPartitions("seq").select("value")
+    first = F.monotonically_increasing_id() == 0
+    listed = rows_out.select(F.concat(F.when(first, F.lit('{"scores_history": [')).otherwise(F.lit(", ")), "value").alias("value"))
+    listed.union(spark.createDataFrame([('], "high_scores": [], "timestamp": "now"}',)], "value string")).coalesce(1).write.text(path)
+    name = next(name for name in files.names(spark, path) if name.endswith(".txt"))
+    imported = history.import_history_file(spark, f"{path}/{name}")
+    return rounded(imported, "total_score").select("seq", "total_score", "grade", "category", "timestamp", "code_length")
+
+
 def sft_malformed(spark, folder):
     """Every third line is cut short before it is read."""
     path = shared_folder(spark, "lines")
@@ -411,14 +452,17 @@ def _stored_part(part: str, *means: str) -> Query:
 # Streams: the submissions arrive as several files, in several micro-batches.
 
 
-def _arrive(spark, base, rows):
-    """Files of ``rows`` arrive, and the scoring stream runs until it has seen them."""
-    rows.repartitionByRange(4, "seq").write.mode("append").parquet(f"{base}/arriving")
-    query = live.score_stream(
+def _score(spark, base):
+    """Runs the scoring stream until it has seen all files that arrived."""
+    live.score_stream(
         spark, f"{base}/arriving", f"{base}/history", f"{base}/score-state",
         available_now=True, files_per_batch=2, tasks=spark.sparkContext.defaultParallelism,
-    )
-    query.awaitTermination()
+    ).awaitTermination()
+
+
+def _arrive(spark, base, rows):
+    rows.repartitionByRange(4, "seq").write.mode("append").parquet(f"{base}/arriving")
+    _score(spark, base)
 
 
 def _arrived(spark, folder):
@@ -451,15 +495,88 @@ def history_mixed(spark, folder):
     return rounded(stored, "total_score").select("seq", "total_score", "grade")
 
 
+def _cells_of(spark, base):
+    """Runs the statistics stream over what it has not seen; returns its cells."""
+    live.statistics_stream(spark, f"{base}/history", f"{base}/cells", f"{base}/cells-state", available_now=True).awaitTermination()
+    return live.running_cells(spark, f"{base}/cells")
+
+
+def _overall(cells):
+    return rounded(stats.overall(cells), "average_score", "highest_score", "lowest_score")
+
+
 def history_mixed_stats(spark, folder):
     """Running statistics over a history that a job and a stream wrote."""
-    base = _mixed(spark, folder)
-    query = live.statistics_stream(
-        spark, f"{base}/history", f"{base}/cells", f"{base}/cells-state",
-        available_now=True, files_per_batch=spark.sparkContext.defaultParallelism,
-    )
-    query.awaitTermination()
-    return rounded(stats.overall(live.running_cells(spark, f"{base}/cells")), "average_score", "highest_score", "lowest_score")
+    return _overall(_cells_of(spark, _mixed(spark, folder)))
+
+
+def _parts(spark, folder, n=4):
+    """Scored submissions in several parts, as several jobs would save them."""
+    return [jobs.score_submissions(_submissions(spark, folder).filter(F.col("seq") % n == part)).history for part in range(n)]
+
+
+def history_interrupted(spark, folder):
+    """Saves that end after writing their files, then are made again."""
+    path = shared_folder(spark, "interrupted")
+    log = history.run_log(spark, path)
+    for number, part in enumerate(_parts(spark, folder)):
+        part.write.parquet(f"{log.folder}/data/job-{number}-cut-off")
+        history.append_history(part, path, f"job-{number}")
+    return rounded(history.read_history(spark, path), "total_score").select("seq", "total_score", "grade")
+
+
+def stream_late_files(spark, folder):
+    """Half of the files that arrive are dated long before the others."""
+    base = shared_folder(spark, "late")
+    for half, days in ((0, 0), (1, 9)):
+        part = f"{base}/part-{half}"
+        _submissions(spark, folder).filter(F.col("seq") % 2 == half).write.parquet(part)
+        files.make_folder(spark, f"{base}/arriving")
+        for name in files.names(spark, part):
+            if name.endswith(".parquet"):
+                files.move(spark, f"{part}/{name}", f"{base}/arriving/{half}-{name}")
+                files.set_age(spark, f"{base}/arriving/{half}-{name}", days)
+    _score(spark, base)
+    return rounded(history.read_history(spark, f"{base}/history"), "total_score").select("seq", "total_score", "grade")
+
+
+def history_compacted(spark, folder):
+    """Statistics that go on while runs are merged and their files deleted."""
+    base = shared_folder(spark, "compacted")
+    log = history.run_log(spark, f"{base}/history")
+    for number, part in enumerate(_parts(spark, folder)):
+        history.append_history(part, f"{base}/history", f"job-{number}")
+        if number == 0:
+            _cells_of(spark, base)
+        if number == 2:
+            log.compact()
+            log.clean(hours=0)
+    return _overall(_cells_of(spark, base))
+
+
+def _corrected(spark, folder):
+    """A history of which a third has a wrong score and category, and the right rows."""
+    path = shared_folder(spark, "corrected")
+    scored = jobs.score_submissions(_submissions(spark, folder)).history
+    wrong = scored.withColumn("total_score", F.when(F.col("seq") % 3 == 0, 200.0).otherwise(F.col("total_score")))
+    wrong = wrong.withColumn("category", F.when(F.col("seq") % 3 == 0, "web").otherwise(F.col("category")))
+    history.append_history(wrong, f"{path}/history", "first")
+    return path, scored.filter("seq % 3 = 0")
+
+
+def history_corrected(spark, folder):
+    """What readers see once a third of the rows was corrected."""
+    base, right = _corrected(spark, folder)
+    history.correct_history(right, f"{base}/history", "second")
+    return rounded(history.read_history(spark, f"{base}/history"), "total_score").select("seq", "category", "total_score", "grade")
+
+
+def stream_corrected(spark, folder):
+    """Running statistics that saw the wrong rows before the right ones."""
+    base, right = _corrected(spark, folder)
+    _cells_of(spark, base)
+    history.correct_history(right, f"{base}/history", "second")
+    return rounded(stats.category_performance(_cells_of(spark, base)), "average", "best")
 
 
 def history_refused(spark, folder):
@@ -474,13 +591,7 @@ def stream_scores(spark, folder):
 
 
 def _running_cells(spark, folder):
-    base = _arrived(spark, folder)
-    query = live.statistics_stream(
-        spark, f"{base}/history", f"{base}/cells", f"{base}/cells-state",
-        available_now=True, files_per_batch=spark.sparkContext.defaultParallelism,
-    )
-    query.awaitTermination()
-    return live.running_cells(spark, f"{base}/cells")
+    return _cells_of(spark, _arrived(spark, folder))
 
 
 def stream_stats(spark, folder):
@@ -488,9 +599,7 @@ def stream_stats(spark, folder):
 
 
 def stream_overall(spark, folder):
-    return rounded(
-        stats.overall(_running_cells(spark, folder)), "average_score", "highest_score", "lowest_score"
-    )
+    return _overall(_running_cells(spark, folder))
 
 
 def stream_grades(spark, folder):
@@ -499,14 +608,16 @@ def stream_grades(spark, folder):
 
 def stream_top10(spark, folder):
     base = _arrived(spark, folder)
-    query = live.top_stream(
-        spark, f"{base}/history", f"{base}/top", f"{base}/top-state",
-        available_now=True, files_per_batch=spark.sparkContext.defaultParallelism,
-    )
-    query.awaitTermination()
+    live.top_stream(spark, f"{base}/history", f"{base}/top", f"{base}/top-state", available_now=True).awaitTermination()
     return rounded(live.running_top(spark, f"{base}/top"), "total_score").select(*TOP_COLUMNS)
 
 
+def stream_trend(spark, folder):
+    base = _arrived(spark, folder)
+    live.trend_stream(spark, f"{base}/history", f"{base}/trend", f"{base}/trend-state", available_now=True).awaitTermination()
+    return live.running_trend(spark, f"{base}/trend")
+
+
 QUERIES: dict[str, Query] = {
     "sft_format": sft_format,
     "sft_prompt": sft_prompt,
@@ -565,6 +676,9 @@ QUERIES: dict[str, Query] = {
     "leaderboard_view": leaderboard_view,
     "leaderboard_top5": leaderboard_top5,
     "trend": trend,
+    "trend_history": trend_history,
+    "high_score_entries": high_score_entries,
+    "empty_report": empty_report,
     "history_roundtrip": history_roundtrip,
     "history_top": history_top,
     "history_export": history_export,
@@ -579,7 +693,11 @@ QUERIES: dict[str, Query] = {
     "history_mixed": history_mixed,
     "history_mixed_stats": history_mixed_stats,
     "history_refused": history_refused,
+    "history_interrupted": history_interrupted,
+    "history_compacted": history_compacted,
+    "history_corrected": history_corrected,
     "history_import": history_import,
+    "history_import_file": history_import_file,
     "sft_malformed": sft_malformed,
     "stream_restart": stream_restart,
     "stream_scores": stream_scores,
@@ -587,4 +705,7 @@ QUERIES: dict[str, Query] = {
     "stream_overall": stream_overall,
     "stream_grades": stream_grades,
     "stream_top10": stream_top10,
+    "stream_trend": stream_trend,
+    "stream_late_files": stream_late_files,
+    "stream_corrected": stream_corrected,
 }
