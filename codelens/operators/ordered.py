@@ -8,9 +8,11 @@ far. So no task sees more than its own part, however long the history.
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from codelens.functions import vocab
 from codelens.operators.board import trend_name
 from codelens.plans.layout import shared_folder
 
+# Workers get these functions by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _placed(scored: DataFrame) -> DataFrame:
     """``seq, total_score`` and the number of the range they lie in, stored."""

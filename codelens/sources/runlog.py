@@ -29,10 +29,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import time
 import uuid
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -45,6 +47,9 @@ _RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 FILE_BYTES = 128 * 1024 * 1024
 VERSION, REPLACED = "_version", "_replaced"
 
+# Workers get these functions by value, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _entry_name(folder: str, version: int) -> str:
     return f"{folder}/log/{version:020d}.json"
