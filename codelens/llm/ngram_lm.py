@@ -1,36 +1,37 @@
 """Cross-entropy difference of two matched bigram models.
 
 The target model is counted over the documents labelled good, the background
-model over all documents. Both share one vocabulary and one set of bigrams and
-have the same smoothing. ``report`` keeps every token and every bigram: each
-block of texts sends the bigrams it has once, with the texts they are in, to the
-part of the corpus their last word falls in. A part thus has all that is needed
-to count its words and bigrams, and hands back, a row for each block, its share
-of the texts' losses, which are added up by block.
-The number of parts grows with the corpus; words too frequent for one part, of
-which there are at most eight for each part, are dealt out by bigram, and only
-their counts and the totals reach the driver.
-
-``fit`` and ``scored`` are for models that shall fit in memory and be applied to
-other tables: tokens that make up at least ``word_share`` of the target's or of
-the background's tokens, all others being one unknown token, and bigrams with at
-least ``pair_share`` of either's.
+model over all documents. Both share one vocabulary and one set of bigrams, all
+that occur, and have the same smoothing. A text is scored by models that lack its
+own counts, so that it cannot vouch for itself; its copies can.
+
+Texts are stored in blocks. A block asks for the counts of its distinct bigrams,
+words and contexts, each told by a 64-bit key, and sends what it has of them
+itself: a row for each part of the keys. A part adds up what all blocks have and
+answers each with the sums for its keys. With the answers, a block scores its
+texts. However often a bigram occurs, a block asks for it once, so no key and no
+text is hot, and nothing but three totals reaches the driver.
+
+The number of parts grows with the corpus. Above ``FAN`` parts, blocks ask only
+``FAN`` larger parts; groups of blocks are added up there and ask the final
+parts, and the answers go back the same way. So rows stay few and long.
 
 A token is a run of ASCII letters, digits and non-ASCII bytes, in lower case
-(A-Z only), or a single other visible character; it is told by a 64-bit hash. A
-text's losses are its tokens' mean negative log-probabilities in nats, each
-after the token before it or the beginning; ``score`` is target less background
-loss, so lower is more like the target.
+(A-Z only), or a single other visible character. A text's losses are its tokens'
+mean negative log-probabilities in nats, each after the token before it or the
+beginning; ``score`` is target less background loss, so lower is more like the
+target.
 
 Null, empty and blank texts have no tokens and null losses; so has the target
 loss of everything if no document is labelled good. Null and repeated labels:
 null is ignored, the largest of several counts. Rows with a null id are in the
-background only. Repeated rows count each time. Empty tables give no rows.
+background only. Repeated rows count each time. A long text is a block of its
+own. Only the named columns are read, so others may have any names. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,14 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import columns, field_of, spans, store, utf8
+from codelens.llm.common import store, utf8
 
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
 PRIOR = 10.0  # how many tokens the unigrams count as in each context
-HELD = 1 << 20  # sums a task holds before it hands them on
-PART = 1 << 22  # tokens for each part of the corpus
-BLOCK = 1 << 20  # tokens that a task sends to the parts at a time
-BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # stand before and after a text
+PART = 1 << 24  # bytes of text for each part of the keys
+FAN = 4096  # parts that a block asks, and blocks that ask together above that
+BLOCK = 1 << 22  # bytes of text in a block
+BEGIN, WORD, ANY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+ONE = np.uint64(1)
+
+ASKED = "part long, block long, keys binary, counts binary"
+ANSWERED = "block long, part long, keys binary, counts binary, n_words long, n_target long, n_background long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,152 +77,6 @@ def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(starts, at, "right") - 1, np.add.reduceat(mixed, at)
 
 
-class Sums:
-    """Sums of two counts by key, within a bounded number of keys."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, in_target: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, place, count = np.unique(keys, return_inverse=True, return_counts=True)
-        self.parts.append((keys, np.stack([np.bincount(place, in_target, len(keys)).astype(np.int64), count], axis=1)))
-        self.size += len(keys)
-        if self.size > 2 * HELD:
-            self._merge()
-            if self.size > HELD:
-                yield from self.flush()
-
-    def _merge(self) -> None:
-        keys, place = np.unique(np.concatenate([keys for keys, _ in self.parts]), return_inverse=True)
-        counts = np.concatenate([counts for _, counts in self.parts])
-        sums = np.stack([np.bincount(place, counts[:, at], len(keys)).astype(np.int64) for at in (0, 1)], axis=1)
-        self.parts, self.size = [(keys, sums)], len(keys)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            self._merge()
-            keys, sums = self.parts[0]
-            for at in range(0, len(keys), 1 << 16):
-                block = sums[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(block[:, 0].copy()), pa.array(block[:, 1].copy())],
-                    names=["key", "target", "background"],
-                )
-        self.parts, self.size = [], 0
-
-
-@dataclass(frozen=True)
-class Models:
-    """The shared vocabulary and bigrams; of both models, target first, their counts."""
-
-    words: np.ndarray  # sorted hashes; number 0 is unknown, the words follow, the last number begins a text
-    word_counts: np.ndarray  # [2, words + 1]
-    pairs: np.ndarray  # sorted: context number * (words + 1) + word number
-    pair_counts: np.ndarray  # [2, pairs]
-
-    def numbers(self, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's number, and the pair it makes with the one before."""
-        at = np.searchsorted(self.words, hashes)
-        known = at < len(self.words)
-        known[known] = self.words[at[known]] == hashes[known]
-        number = np.where(known, at + 1, 0)
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[np.flatnonzero(np.append(True, text[1:] != text[:-1]))] = len(self.words) + 1
-        return number, before * (len(self.words) + 1) + number
-
-    def losses(self, text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Of each token the negative log-probability under both models: [2, tokens]."""
-        if not len(text):
-            return np.zeros((2, 0))
-        number, pair = self.numbers(text, hashes)
-        at = np.searchsorted(self.pairs, pair)
-        known = at < len(self.pairs)
-        known[known] = self.pairs[at[known]] == pair[known]
-        context = pair // (len(self.words) + 1)
-        out = []
-        for words, pairs in zip(self.word_counts, self.pair_counts):
-            alone = (words + 1) / (words.sum() + len(words))
-            in_context = np.bincount(self.pairs // (len(self.words) + 1), pairs, len(self.words) + 2)
-            seen = np.zeros(len(pair))
-            seen[known] = pairs[at[known]]
-            out.append(-np.log((seen + PRIOR * alone[number]) / (in_context[context] + PRIOR)))
-        return np.stack(out)
-
-
-def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored: ``rid, doc_id, text`` and whether the document is labelled good."""
-    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    # Labels grow with the corpus, so both sides are shuffled at any size.
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
-    return store(rows.select("rid", "doc_id", "text", F.coalesce("good", F.lit(False)).alias("in_target")), "marked")
-
-
-def _counts(rows: DataFrame, keys_of) -> DataFrame:
-    """Stored: of each key of each token, how often it occurs in target and background."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for batch in batches:
-            data, starts = utf8(batch.column(0))
-            in_target = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, end in spans(starts, 1 << 21):
-                text, hashes = tokens(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
-                if len(text):
-                    yield from sums.add(keys_of(text, hashes), in_target[at:end][text])
-        yield from sums.flush()
-
-    partial = rows.mapInArrow(count, "key long, target long, background long")
-    return store(partial.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "counts")
-
-
-def _frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys with at least a share of either total, at most ``2 / share``; their counts; the totals."""
-    totals = counts.agg(F.sum("target"), F.sum("background")).first()
-    totals = np.array([total or 0 for total in totals], np.int64)
-    wanted = [(F.col(name) >= F.lit(share * int(total))) & (F.col(name) > 0) for name, total in zip(("target", "background"), totals)]
-    rows = counts.filter(wanted[0] | wanted[1]).toPandas()
-    rows = rows.assign(key=rows["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-    return rows["key"].to_numpy(), rows[["target", "background"]].to_numpy(np.int64).T.reshape(2, -1), totals
-
-
-def fit(docs: DataFrame, labels: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    rows = marked(docs, labels).select("text", "in_target")
-    words, counts, totals = _frequent(_counts(rows, lambda text, hashes: hashes), word_share)
-    word_counts = np.concatenate([(totals - counts.sum(axis=1))[:, None], counts], axis=1)
-    empty = Models(words, word_counts, np.zeros(0, np.int64), np.zeros((2, 0), np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(empty)
-    pairs, pair_counts, _ = _frequent(_counts(rows, lambda text, hashes: shared.value.numbers(text, hashes)[1].astype(np.uint64)), pair_share)
-    return Models(words, word_counts, pairs.view(np.int64), pair_counts)
-
-
-def scored(docs: DataFrame, models: Models) -> DataFrame:
-    """``row`` with all columns of ``docs``, ``n_tokens, target_loss, background_loss, score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    rows = docs.select(F.struct(*columns(docs)).alias("row"))
-    added = [T.StructField("n_tokens", T.LongType()), *(T.StructField(name, T.DoubleType()) for name in ("target_loss", "background_loss"))]
-    schema = T.StructType([*rows.schema.fields, *added])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has_target = bool(shared.value.word_counts[0].sum())
-        for batch in batches:
-            data, starts = utf8(field_of(batch, "text"))
-            counts, sums = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
-            for at, end in spans(starts, 1 << 21):
-                text, hashes = tokens(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
-                counts.append(np.bincount(text, minlength=end - at))
-                losses = shared.value.losses(text, hashes)
-                sums.append(np.stack([np.bincount(text, own, end - at) for own in losses]))
-            n, total = np.concatenate(counts), np.concatenate(sums, axis=1)
-            mean = total / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n), pa.array(mean[0], mask=(n == 0) | (not has_target)), pa.array(mean[1], mask=n == 0)], names=schema.names
-            )
-
-    return rows.mapInArrow(score, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
 def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     key = before * np.uint64(0xD6E8FEB86659FD93)
     key ^= key >> np.uint64(32)
@@ -226,212 +84,280 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
-def _pairs(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token, then of each text's end: the bigram's key, the text, and the word (at an end, the text's last)."""
-    starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])
-    last = np.append(starts[1:], len(text))[: len(starts)] - 1
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[starts] = BEGIN
-    keys = np.concatenate([_mixed(before, hashes), _mixed(np.full(len(last), END), hashes[last])])
-    return keys, np.concatenate([text, text[last]]), np.concatenate([hashes, hashes[last]])
-
-
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """Stored: how often each word occurs, and ends a text, in target and background."""
-    names = ["word", "target", "background", "target_end", "background_end"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def merged() -> list[np.ndarray]:
-            words, place = np.unique(np.concatenate([own[0] for own in held]), return_inverse=True)
-            return [words, *(np.bincount(place, np.concatenate([own[at] for own in held]), len(words)).astype(np.int64) for at in range(1, 5))]
+@dataclass(frozen=True)
+class Keyed:
+    """A block's distinct keys: bigrams, then words, then contexts (words, and the beginning).
+
+    Words' keys are odd, all others even. Entries are the distinct bigrams of each
+    text, with their numbers of occurrences.
+    """
+
+    keys: np.ndarray
+    n_pairs: int
+    n_words: int
+    text: np.ndarray
+    pair: np.ndarray
+    n: np.ndarray
+    word: np.ndarray  # of each entry
+    context: np.ndarray
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Occurrences of each key, a text's with the text's weight."""
+        n = self.n * weight[self.text]
+        parts = ((self.pair, self.n_pairs), (self.word, self.n_words), (self.context, self.n_words + 1))
+        return np.concatenate([np.bincount(at, n, size) for at, size in parts]).astype(np.int64)
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """Of each entry, how often its text has the word or context ``at``."""
+        _, place = np.unique(self.text * (self.n_words + 1) + at, return_inverse=True)
+        return np.bincount(place, self.n)[place]
+
+
+def keyed(text: np.ndarray, hashes: np.ndarray) -> Keyed:
+    words, word = np.unique(hashes, return_inverse=True)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[np.flatnonzero(np.append(True, text[1:] != text[:-1])[: len(text)])] = len(words)
+    pairs, pair = np.unique(before * max(len(words), 1) + word, return_inverse=True)
+    codes, n = np.unique(text * max(len(pairs), 1) + pair, return_counts=True)
+    text, pair = codes // max(len(pairs), 1), codes % max(len(pairs), 1)
+    contexts = np.append(words, BEGIN)
+    context_of, word_of = pairs // max(len(words), 1), pairs % max(len(words), 1)
+    keys = [_mixed(contexts[context_of], words[word_of]) & ~ONE, _mixed(np.full(len(words), WORD), words) | ONE, _mixed(contexts, ANY) & ~ONE]
+    return Keyed(np.concatenate(keys), len(pairs), len(words), text, pair, n, word_of[pair], context_of[pair])
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest takes, of two, four and eight."""
+    top = int(counts.max(initial=0))
+    return counts.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def _wide(counts: bytes, n: int) -> np.ndarray:
+    """Two rows, target and background, of ``n`` counts."""
+    return np.frombuffer(counts, f"<u{len(counts) // (2 * n)}" if n else "<u2").astype(np.int64).reshape(2, n)
+
+
+def _batch(columns: dict, kinds: str) -> pa.RecordBatch:
+    kind = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [(name, kind[one]) for name, one in (field.split() for field in kinds.split(", "))]
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * n), one) for name, one in fields], names=[name for name, _ in fields])
+
+
+def _requests(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part with its keys in order; its keys' numbers in that order are ``np.lexsort((keys, part))``."""
+    order = np.lexsort((keys, part))
+    keys, counts, part = keys[order], counts[:, order], part[order]
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else [0]
+    spans = list(zip(edges[:-1], edges[1:]))
+    for first in range(0, len(spans), 256):
+        own = spans[first : first + 256]
+        yield _batch({
+            "part": [int(part[a]) for a, _ in own], "block": [block] * len(own), "keys": [keys[a:b].tobytes() for a, b in own],
+            "counts": [_narrow(counts[:, a:b]) for a, b in own],
+        }, ASKED)
+
+
+def blocked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored: ``block, ids, in_target, starts, data`` of texts that lie one after another."""
+    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    # Labels grow with the corpus, so both sides are shuffled at any size.
+    rows = docs.select("doc_id", "text").join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
+    rows = rows.select("doc_id", F.coalesce("good", F.lit(False)).alias("in_target"), "text")
+    names = ["block", "ids", "in_target", "starts", "data"]
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            for at in range(0, size, 1 << 16):
-                cut = [own[at : at + (1 << 16)] for own in held[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(cut[0].view(np.int64)), *map(pa.array, cut[1:])], names=names)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        for batch in batches:
-            data, starts = utf8(batch.column(0))
-            in_target = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, end in spans(starts, 1 << 21):
-                text, hashes = tokens(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
-                words, place = np.unique(hashes, return_inverse=True)
-                last = np.append(text[1:] != text[:-1], True)[: len(text)]
-                good = in_target[at:end][text]
-                held.append([words, *(np.bincount(place, own, len(words)) for own in (good, np.ones(len(text)), good & last, last))])
-                size += len(words)
-                if size > 2 * HELD:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > HELD:
-                        yield from handed()
-                        held, size = [], 0
-        if held:
-            held = [merged()]
-            size = len(held[0][0])
-            yield from handed()
-
-    partial = rows.mapInArrow(count, ", ".join(f"{name} long" for name in names))
-    return store(partial.groupBy("word").agg(*(F.sum(name).alias(name) for name in names[1:])), "words")
-
-
-def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.tobytes(), 1)
-
-
-def _unpacked(value: pa.Scalar, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(value.as_buffer()), kind)
-
-
-def _dealt(rows: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
-    """Of each block of texts and part a row: its bigrams' ``keys``, their ``words``, for each key in ``flags`` whether the
-    next word begins and whether it is a text's end, the ``texts`` that have some, and as ``entries`` key, text and count."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
-
-    def part_of(keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-
-    def block(texts: np.ndarray, keys: np.ndarray, text: np.ndarray, word: np.ndarray, is_end: np.ndarray) -> pa.RecordBatch:
-        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        word, is_end = word[first], is_end[first]
-        part = np.where(np.isin(word, shared.value), part_of(keys), part_of(word))
-        order = np.lexsort((word, part))
-        nth = np.empty(len(keys), np.int64)
-        nth[order] = np.arange(len(keys))
-        keys, part, word, is_end = keys[order], part[order], word[order], is_end[order]
-        code, n = np.unique(nth[place] * len(texts) + text, return_counts=True)  # by key, so by part
-        key, text = code // len(texts), code % len(texts)
-        edges = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
-        cuts = np.searchsorted(key, edges)
-        out = []
-        for own in np.flatnonzero(np.diff(edges)):
-            at, mine = slice(edges[own], edges[own + 1]), slice(cuts[own], cuts[own + 1])
-            new = np.append(True, word[at][1:] != word[at][:-1])
-            having, local = np.unique(text[mine], return_inverse=True)
-            entries = np.concatenate([np.diff(key[mine], prepend=edges[own]), local, n[mine]]).astype("<u4")
-            flags = np.concatenate([new, is_end[at]]).astype(np.uint8)
-            out.append((int(own), int(texts[0] >> 1), keys[at].tobytes(), word[at][new].tobytes(), *map(_packed, (flags, texts[having], entries))))
-        own, first, *blobs = zip(*out)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.int32()), pa.array(first), *(pa.array(blob, pa.binary()) for blob in blobs)], names=["part", "block", "keys", "words", "flags", "texts", "entries"]
-        )
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n_texts = [], 0, 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def joined() -> pa.RecordBatch:
-            return block(*(np.concatenate(column) for column in zip(*held)))
+            ids, good, texts = (pa.concat_arrays([own.column(at) for own in held]) for at in range(3))
+            parts = [utf8(own.column(2)) for own in held]
+            starts = np.cumsum(np.concatenate([[0], *(np.diff(own) for _, own in parts)]))
+            row = [[number], None, [good.to_numpy(zero_copy_only=False).tobytes()], [starts.astype("<i8").tobytes()], [np.concatenate([data for data, _ in parts]).tobytes()]]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([listed if at == 1 else pa.array(value) for at, value in enumerate(row)], names=names)
 
         for batch in batches:
-            data, starts = utf8(batch.column(1))
-            marks = batch.column(0).to_numpy() * 2 + batch.column(2).to_numpy(zero_copy_only=False)
-            for at, end in spans(starts, 1 << 21):
-                text, hashes = tokens(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
-                if len(text):
-                    keys, in_text, word = _pairs(text, hashes)
-                    held.append((marks[at:end], keys, in_text + n_texts, word, np.arange(len(keys)) >= len(text)))
-                    n_texts, size = n_texts + end - at, size + len(keys)
-                if size >= BLOCK:
+            _, starts = utf8(batch.column(2))
+            first = 0
+            while first < batch.num_rows:
+                # As many texts as the block has room for, at least one in an empty block.
+                last = int(np.searchsorted(starts, starts[first] + BLOCK - size, "right")) - 1
+                last = min(max(last, first + (not held)), batch.num_rows)
+                if last > first:
+                    held.append(batch.slice(first, last - first))
+                    size += int(starts[last] - starts[first])
+                first = last
+                if first < batch.num_rows or size >= BLOCK:
                     yield joined()
-                    held, size, n_texts = [], 0, 0
+                    number, held, size = number + 1, [], 0
         if held:
             yield joined()
 
-    return rows.select("rid", "text", "in_target").mapInArrow(deal, "part int, block long, keys binary, words binary, flags binary, texts binary, entries binary")
-
-
-def whole_losses(rows: DataFrame, part_tokens: int = PART) -> DataFrame:
-    """``rid, n_tokens, target_sum, background_sum`` of every text in ``marked`` rows that has tokens; target_sum is null without a target."""
-    counts = _word_counts(rows.select("text", "in_target"))
-    names = ["target", "background", "target_end", "background_end"]
-    size, *totals = counts.agg(F.count("*"), *(F.sum(name) for name in names)).first()
-    totals = [total or 0 for total in totals]
-    parts = totals[1] // part_tokens + 1
-    frequent = counts.filter(F.col("background") > part_tokens // 8).orderBy("word").toPandas()
-    frequent_words = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent_words)
-    frequent_words, frequent_counts = frequent_words[order], frequent[names].to_numpy(np.int64).reshape(-1, 4).T[:, order]
-    shared = rows.sparkSession.sparkContext.broadcast((frequent_words, frequent_counts))
-
-    def losses(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        parts_of = [[] for _ in range(7)]
-        n_keys = n_texts = 0
-        for _, keys, words, flags, texts, entries in rows:
-            keys, words = (np.frombuffer(x.as_buffer(), "<u8") for x in (keys, words))
-            new, is_end = _unpacked(flags, "u1").reshape(2, -1)
-            texts, (key, text, n) = _unpacked(texts, "<i8"), _unpacked(entries, "<u4").reshape(3, -1)
-            own = keys, words[np.cumsum(new, dtype=np.int64) - 1], is_end, texts, np.cumsum(key, dtype=np.int64) + n_keys, text.astype(np.int64) + n_texts, n
-            for column, value in zip(parts_of, own):
-                column.append(value)
-            n_keys, n_texts = n_keys + len(keys), n_texts + len(texts)
-        keys, words, is_end, texts, key, text, n = map(np.concatenate, parts_of)
-        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        key, is_end = place[key], is_end[first].astype(bool)
-        words, word = np.unique(words[first], return_inverse=True)
-        at = np.searchsorted(shared.value[0], words)
-        known = at < len(shared.value[0])
-        known[known] = shared.value[0][at[known]] == words[known]
-        sums = []
-        for side, weight in enumerate((n * (texts[text] & 1), n)):
-            seen = np.bincount(key, weight, len(first))
-            own, ends = (np.bincount(word, seen * chosen, len(words)) for chosen in (~is_end, is_end))
-            own[known], ends[known] = (shared.value[1][row][at[known]] for row in (side, side + 2))
-            before = np.log(own - ends + PRIOR)[word]  # for the token after this one, which the text's last word has not
-            alone = ((own + 1) / (totals[side] + size))[word]
-            loss = np.where(is_end, -before, before - np.log(seen + PRIOR * alone))
-            sums.append(np.bincount(text, n * loss[key], len(texts)))
-        sums.append(np.bincount(text, n * ~is_end[key], len(texts)))
-        cuts = np.cumsum([0, *map(len, parts_of[3])])
-        for (block, *_), at, end in zip(rows, cuts[:-1], cuts[1:]):
-            values = [pa.array([x.tobytes()], pa.binary()) for x in (texts[at:end] >> 1, np.stack([own[at:end] for own in sums]))]
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), *values], names=["block", "texts", "sums"])
-
-    def part_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for row, part in enumerate(batch.column(0).to_pylist()):
-                if part != now and held:
-                    yield from losses(held)
-                    held = []
-                now = part
-                held.append(tuple(batch.column(at)[row] for at in range(1, 7)))
-        if held:
-            yield from losses(held)
-
-    def block_losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["doc_id"].dataType)),
+        *(T.StructField(name, T.BinaryType()) for name in names[2:]),
+    ])
+    return store(rows.mapInArrow(pack, schema), "blocks")
+
+
+def _texts_of(starts: bytes, data: bytes) -> tuple[Keyed, int]:
+    starts = np.frombuffer(starts, "<i8")
+    return keyed(*tokens(np.frombuffer(data, np.uint8), starts)), len(starts) - 1
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield {name: column[at].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[dict]]:
+    """Rows that are equal in ``names`` and follow one another."""
+    held: list[dict] = []
+    for row in _rows(batches):
+        if held and any(row[name] != held[0][name] for name in names):
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of some requests, their counts, and where each request's keys are among them."""
+    keys = [np.frombuffer(row["keys"], "<u8") for row in rows]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_wide(row["counts"], len(own)) for row, own in zip(rows, keys)], axis=1)
+    sums = np.stack([np.bincount(place, own, len(distinct)) for own in counts]).astype(np.int64)
+    return distinct, sums, np.split(place, np.cumsum([len(own) for own in keys])[:-1])
+
+
+def _answered(requests: DataFrame, parts: int, with_keys: bool) -> DataFrame:
+    """Stored: for each request the sums of all requests for its keys; and, with block -1, the part's totals."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "part"):
+            keys, sums, places = _added(rows)
+            is_word = (keys & ONE) == 1
+            totals = [int(is_word.sum()), *map(int, sums[:, is_word].sum(axis=1))]
+            yield _batch({"block": [-1], "part": [rows[0]["part"]], **{name: [value] for name, value in zip(("n_words", "n_target", "n_background"), totals)}}, ANSWERED)
+            for row, place in zip(rows, places):
+                yield _batch({"block": [row["block"]], "part": [row["part"]], "keys": [row["keys"] if with_keys else None], "counts": [_narrow(sums[:, place])]}, ANSWERED)
+
+    return store(requests.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(answer, ANSWERED), "answers")
+
+
+def _answered_in_two(requests: DataFrame, parts: int, fan: int, n_blocks: int) -> DataFrame:
+    """The same by way of groups of blocks, which ask together; ``part`` of ``requests`` is the larger one."""
+    within = -(-parts // fan)
+    group = F.pmod(F.xxhash64("block"), F.lit(-(-n_blocks // fan)))
+    requests = store(requests.withColumn("group", group), "requests")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "part", "group"):
+            keys, sums, _ = _added(rows)
+            yield from _requests(keys, sums, _part_of(keys, parts), rows[0]["group"])
+
+    names = "part", "group"
+    merged = requests.repartition(*names).sortWithinPartitions(*names, "block").mapInArrow(together, ASKED)
+    answers = _answered(merged, parts, True)
+
+    def hand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "part", "group"):
+            got = [row for row in rows if row["is_answer"]]
+            keys = np.concatenate([np.frombuffer(row["keys"], "<u8") for row in got])
+            counts = np.concatenate([_wide(row["counts"], len(row["keys"]) // 8) for row in got], axis=1)
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[:, order]
+            for row in rows:
+                if not row["is_answer"]:
+                    place = np.searchsorted(keys, np.frombuffer(row["keys"], "<u8"))
+                    yield _batch({"block": [row["block"]], "part": [row["part"]], "counts": [_narrow(counts[:, place])]}, ANSWERED)
+
+    columns = ["part", "group", "block", "keys", "counts", "is_answer"]
+    back = answers.filter("block >= 0").select(F.expr(f"part div {within}").alias("part"), F.col("block").alias("group"), F.lit(-1).cast("long").alias("block"), "keys", "counts", F.lit(True).alias("is_answer"))
+    both = requests.withColumn("is_answer", F.lit(False)).select(columns).union(back.select(columns))
+    returned = both.repartition(*names).sortWithinPartitions(*names, "is_answer", "block").mapInArrow(hand_back, ANSWERED)
+    return store(returned.union(answers.filter("block < 0")), "answers")
+
+
+def whole_losses(blocks: DataFrame, part_bytes: int = PART, fan: int = FAN) -> DataFrame:
+    """``doc_id, n_tokens, target_sum, background_sum`` of every text; sums are null without tokens, target_sum without a target."""
+    n_blocks, size = blocks.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
+    parts = (size or 0) // part_bytes + 1
+    two = parts > fan
+    within = -(-parts // fan)
+
+    def asked_part(keys: np.ndarray) -> np.ndarray:
+        return _part_of(keys, parts) // within if two else _part_of(keys, parts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            own, n_texts = _texts_of(row["starts"], row["data"])
+            if len(own.n):
+                counts = np.stack([own.sums(np.frombuffer(row["in_target"], bool)), own.sums(np.ones(n_texts, bool))])
+                yield from _requests(own.keys, counts, asked_part(own.keys), row["block"])
+
+    requests = blocks.select("block", "in_target", "starts", "data").mapInArrow(ask, ASKED)
+    answers = _answered_in_two(requests, parts, fan, n_blocks) if two else _answered(requests, parts, False)
+    totals = answers.agg(*(F.coalesce(F.sum(name), F.lit(0)) for name in ("n_words", "n_target", "n_background"))).first()
 
-        def added() -> pa.RecordBatch:
-            texts, place = np.unique(np.concatenate([np.frombuffer(own, "<i8") for own, _ in held]), return_inverse=True)
-            sums = np.concatenate([np.frombuffer(own, "<f8").reshape(3, -1) for _, own in held], axis=1)
-            target, background, n = (np.bincount(place, own, len(texts)) for own in sums)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (texts, n.astype(np.int64), target, background)], names=["rid", "n_tokens", "target", "background"])
-
-        for batch in batches:
-            for block, *row in zip(*(column.to_pylist() for column in batch.columns)):
-                if block != now and held:
-                    yield added()
-                    held = []
-                now = block
-                held.append(row)
-        if held:
-            yield added()
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "block"):
+            block, got = rows[0], rows[1:]
+            own, n_texts = _texts_of(block["starts"], block["data"])
+            n_tokens = np.bincount(own.text, own.n, n_texts).astype(np.int64)
+            sums = [np.zeros(n_texts)] * 2
+            if got:
+                order = np.lexsort((own.keys, asked_part(own.keys)))
+                edges = np.flatnonzero(np.append(True, np.diff(asked_part(own.keys)[order]) != 0))
+                sizes = np.diff(np.append(edges, len(order)))
+                counts = np.empty((2, len(order)), np.int64)
+                counts[:, order] = np.concatenate([_wide(row["counts"], n) for row, n in zip(got, sizes)], axis=1)
+                sums = losses(own, counts, np.frombuffer(block["in_target"], bool), n_tokens, totals)
+            none = n_tokens == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block["ids"], ids_kind), pa.array(n_tokens), pa.array(sums[0], mask=none | (totals[1] == 0)), pa.array(sums[1], mask=none)],
+                names=["doc_id", "n_tokens", "target_sum", "background_sum"],
+            )
 
-    dealt = _dealt(rows, parts, frequent_words).repartition(parts, "part").sortWithinPartitions("part")
-    shares = dealt.mapInArrow(part_losses, "block long, texts binary, sums binary").repartition("block").sortWithinPartitions("block")
-    found = shares.mapInArrow(block_losses, "rid long, n_tokens long, target double, background double")
-    begin = [float(np.log(total + PRIOR)) for total in totals[2:]]  # each text that has tokens has one end
-    target = F.col("target") + F.lit(begin[0]) if totals[0] else F.lit(None).cast("double")
-    return found.select("rid", "n_tokens", target.alias("target_sum"), (F.col("background") + F.lit(begin[1])).alias("background_sum"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = blocks.schema["ids"].dataType.elementType
+    ids_kind = to_arrow_type(kind)
+    asking = blocks.select("*", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("counts"))
+    replies = answers.filter("block >= 0").select(
+        "block", *(F.lit(None).cast(blocks.schema[name].dataType).alias(name) for name in ("ids", "in_target", "starts", "data")), "part", "counts"
+    )
+    n_tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, min(n_blocks, (size or 0) // (1 << 24) + 1))
+    met = asking.union(replies).repartition(n_tasks, "block").sortWithinPartitions("block", "part")
+    return met.mapInArrow(score, T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("n_tokens long, target_sum double, background_sum double").fields]))
+
+
+def losses(own: Keyed, counts: np.ndarray, in_target: np.ndarray, n_tokens: np.ndarray, totals: tuple) -> list[np.ndarray]:
+    """Of each text the sum of its tokens' losses under both models, without its own counts."""
+    n_words, *sizes = totals
+    own_word, own_context = own.own(own.word), own.own(own.context)
+    out = []
+    for side, size in enumerate(sizes):
+        mine = in_target[own.text].astype(np.int64) if side == 0 else 1
+        pairs, words, contexts = np.split(counts[side], [own.n_pairs, own.n_pairs + own.n_words])
+        alone = (words[own.word] - mine * own_word + 1) / (size - mine * n_tokens[own.text] + n_words)
+        seen, after = pairs[own.pair] - mine * own.n, contexts[own.context] - mine * own_context
+        out.append(np.bincount(own.text, own.n * (np.log(after + PRIOR) - np.log(seen + PRIOR * alone)), len(n_tokens)))
+    return out
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every row, by models of every token and bigram."""
-    rows = marked(docs, labels)
-    sums = store(whole_losses(rows), "losses")
     means = [(F.col(f"{name}_sum") / F.col("n_tokens")).alias(f"{name}_loss") for name in ("target", "background")]
-    found = rows.select("rid", "doc_id").join(sums, "rid", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), *means)
+    found = whole_losses(blocked(docs, labels)).select("doc_id", "n_tokens", *means)
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
