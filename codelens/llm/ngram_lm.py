@@ -5,12 +5,13 @@ model over all documents. Both share one vocabulary and one set of bigrams, all
 that occur, and have the same smoothing. A text is scored by models that lack its
 own counts, so that it cannot vouch for itself; its copies can.
 
-Texts are stored in blocks. A block asks for the counts of its distinct bigrams,
-words and contexts, each told by a 64-bit key, and sends what it has of them
-itself: a row for each part of the keys. A part adds up what all blocks have and
-answers each with the sums for its keys. With the answers, a block scores its
-texts. However often a bigram occurs, a block asks for it once, so no key and no
-text is hot, and nothing but three totals reaches the driver.
+Texts are stored in blocks, in the order they are read. A block asks for the counts
+of its distinct bigrams, words and contexts, each told by a hash, and sends what it
+has of them itself: a row for each part of the keys. A part adds up what all blocks
+have and answers each with the sums for its keys. The answers are stored in a folder
+for each task's blocks, which look them up to score their texts. However often a
+bigram occurs, a block asks for it once, so no key and no text is hot, and nothing
+but three totals reaches the driver. Texts are never shuffled.
 
 The number of parts grows with the corpus. Above ``FAN`` parts, blocks ask only
 ``FAN`` larger parts; groups of blocks are added up there and ask the final
@@ -26,22 +27,25 @@ Null, empty and blank texts have no tokens and null losses; so has the target
 loss of everything if no document is labelled good. Null and repeated labels:
 null is ignored, the largest of several counts. Rows with a null id are in the
 background only. Repeated rows count each time. A long text is a block of its
-own. Only the named columns are read, so others may have any names. Empty tables
+own. A key is told by 48 bits within its part (64 above ``FAN`` parts). Only the named columns are read, so others may have any names. Empty tables
 give no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import store, utf8
+from codelens.llm.common import Lookup, in_folders, store, utf8
 
 PRIOR = 10.0  # how many tokens the unigrams count as in each context
 PART = 1 << 24  # bytes of text for each part of the keys
@@ -50,8 +54,8 @@ BLOCK = 1 << 22  # bytes of text in a block
 BEGIN, WORD, ANY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 ONE = np.uint64(1)
 
-ASKED = "part long, block long, keys binary, counts binary"
-ANSWERED = "block long, part long, keys binary, counts binary, n_words long, n_target long, n_background long"
+ASKED = "part long, home long, block long, keys binary, counts binary"
+ANSWERED = "home long, block long, part long, keys binary, counts binary, n_words long, n_target long, n_background long"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -132,16 +136,34 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest takes, of two, four and eight."""
+    """Counts in as few bytes each as the largest takes, of two, four and eight, and those compressed."""
     top = int(counts.max(initial=0))
-    return counts.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+    return zlib.compress(counts.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes(), 1)
 
 
 def _wide(counts: bytes, n: int) -> np.ndarray:
     """Two rows, target and background, of ``n`` counts."""
+    counts = zlib.decompress(counts)
     return np.frombuffer(counts, f"<u{len(counts) // (2 * n)}" if n else "<u2").astype(np.int64).reshape(2, n)
 
 
+def _packed(keys: np.ndarray, width: int) -> bytes:
+    """Keys of ``width`` bytes in their order: steps of the first two bytes, which are small, then the others."""
+    planes = keys.astype("<u8").view("<u2").reshape(-1, 4).T[: width // 2]
+    steps = zlib.compress(np.diff(planes[-1].astype(np.int64), prepend=0).astype("<u2").tobytes(), 1)
+    return len(steps).to_bytes(4, "little") + steps + np.ascontiguousarray(planes[:-1]).tobytes()
+
+
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    size = int.from_bytes(packed[:4], "little")
+    top = np.cumsum(np.frombuffer(zlib.decompress(packed[4 : 4 + size]), "<u2"), dtype=np.uint64) & np.uint64(0xFFFF)
+    rest = np.frombuffer(packed[4 + size :], "<u2").reshape(width // 2 - 1, len(top)).astype(np.uint64)
+    keys = top << np.uint64(8 * width - 16)
+    for at, plane in enumerate(rest):
+        keys |= plane << np.uint64(16 * at)
+    return keys
+
+
 def _batch(columns: dict, kinds: str) -> pa.RecordBatch:
     kind = {"long": pa.int64(), "binary": pa.binary()}
     fields = [(name, kind[one]) for name, one in (field.split() for field in kinds.split(", "))]
@@ -149,43 +171,46 @@ def _batch(columns: dict, kinds: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * n), one) for name, one in fields], names=[name for name, _ in fields])
 
 
-def _requests(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
-    """A row for each part with its keys in order; its keys' numbers in that order are ``np.lexsort((keys, part))``."""
-    order = np.lexsort((keys, part))
+def _order(keys: np.ndarray, part: np.ndarray, width: int) -> np.ndarray:
+    """The keys' order in requests: by part, then by what is sent of them."""
+    return np.lexsort((keys & np.uint64((1 << 8 * width) - 1) if width < 8 else keys, part))
+
+
+def _requests(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, block: int, home: int, width: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part with its keys."""
+    order = _order(keys, part, width)
     keys, counts, part = keys[order], counts[:, order], part[order]
-    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else [0]
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
     spans = list(zip(edges[:-1], edges[1:]))
     for first in range(0, len(spans), 256):
         own = spans[first : first + 256]
         yield _batch({
-            "part": [int(part[a]) for a, _ in own], "block": [block] * len(own), "keys": [keys[a:b].tobytes() for a, b in own],
-            "counts": [_narrow(counts[:, a:b]) for a, b in own],
+            "part": [int(part[a]) for a, _ in own], "home": [home] * len(own), "block": [block] * len(own),
+            "keys": [_packed(keys[a:b], width) for a, b in own], "counts": [_narrow(counts[:, a:b]) for a, b in own],
         }, ASKED)
 
 
-def blocked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored: ``block, ids, in_target, starts, data`` of texts that lie one after another."""
-    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    # Labels grow with the corpus, so both sides are shuffled at any size.
-    rows = docs.select("doc_id", "text").join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
-    rows = rows.select("doc_id", F.coalesce("good", F.lit(False)).alias("in_target"), "text")
-    names = ["block", "ids", "in_target", "starts", "data"]
+def blocked(docs: DataFrame) -> DataFrame:
+    """Stored: ``part, block, ids, starts, data`` of texts that lie one after another; ``part`` is the task that read them."""
+    rows = docs.select("doc_id", "text")
+    names = ["part", "block", "ids", "starts", "data"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def joined() -> pa.RecordBatch:
-            ids, good, texts = (pa.concat_arrays([own.column(at) for own in held]) for at in range(3))
-            parts = [utf8(own.column(2)) for own in held]
-            starts = np.cumsum(np.concatenate([[0], *(np.diff(own) for _, own in parts)]))
-            row = [[number], None, [good.to_numpy(zero_copy_only=False).tobytes()], [starts.astype("<i8").tobytes()], [np.concatenate([data for data, _ in parts]).tobytes()]]
+            ids = pa.concat_arrays([own.column(0) for own in held])
+            parts = [utf8(own.column(1)) for own in held]
+            starts = np.cumsum(np.concatenate([[0], *(np.diff(own) for _, own in parts)])).astype("<i8")
+            data = np.concatenate([data for data, _ in parts])
             listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([listed if at == 1 else pa.array(value) for at, value in enumerate(row)], names=names)
+            columns = [pa.array([part], pa.int64()), pa.array([(part << 32) + number]), listed, pa.array([starts.tobytes()]), pa.array([data.tobytes()])]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            _, starts = utf8(batch.column(2))
+            _, starts = utf8(batch.column(1))
             first = 0
             while first < batch.num_rows:
                 # As many texts as the block has room for, at least one in an empty block.
@@ -202,12 +227,26 @@ def blocked(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield joined()
 
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["doc_id"].dataType)),
-        *(T.StructField(name, T.BinaryType()) for name in names[2:]),
+        T.StructField("part", T.LongType()), T.StructField("block", T.LongType()),
+        T.StructField("ids", T.ArrayType(rows.schema["doc_id"].dataType)), *(T.StructField(name, T.BinaryType()) for name in names[3:]),
     ])
     return store(rows.mapInArrow(pack, schema), "blocks")
 
 
+def good_texts(blocks: DataFrame, labels: DataFrame) -> str:
+    """The folder of ``block, at`` of the texts labelled good, by part. Only ids are shuffled, at any size."""
+    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    ids = blocks.select("part", "block", F.posexplode("ids").alias("at", "doc_id"))
+    return in_folders(ids.join(good.hint("merge"), "doc_id", "left_semi").select("part", "block", "at"), "good-texts")
+
+
+def _in_target(good: Lookup, part: int, block: int, n_texts: int) -> np.ndarray:
+    flags, known = np.zeros(n_texts, bool), good.of(part)
+    if known is not None:
+        flags[known.column("at").to_numpy()[known.column("block").to_numpy() == block]] = True
+    return flags
+
+
 def _texts_of(starts: bytes, data: bytes) -> tuple[Keyed, int]:
     starts = np.frombuffer(starts, "<i8")
     return keyed(*tokens(np.frombuffer(data, np.uint8), starts)), len(starts) - 1
@@ -231,28 +270,28 @@ def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[dict]
         yield held
 
 
-def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _added(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The distinct keys of some requests, their counts, and where each request's keys are among them."""
-    keys = [np.frombuffer(row["keys"], "<u8") for row in rows]
+    keys = [_unpacked(row["keys"], width) for row in rows]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([_wide(row["counts"], len(own)) for row, own in zip(rows, keys)], axis=1)
     sums = np.stack([np.bincount(place, own, len(distinct)) for own in counts]).astype(np.int64)
     return distinct, sums, np.split(place, np.cumsum([len(own) for own in keys])[:-1])
 
 
-def _answered(requests: DataFrame, parts: int, with_keys: bool) -> DataFrame:
-    """Stored: for each request the sums of all requests for its keys; and, with block -1, the part's totals."""
+def _answered(requests: DataFrame, parts: int, width: int, with_keys: bool) -> DataFrame:
+    """For each request the sums of all requests for its keys; and, of no home, the part's totals."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "part"):
-            keys, sums, places = _added(rows)
+            keys, sums, places = _added(rows, width)
             is_word = (keys & ONE) == 1
             totals = [int(is_word.sum()), *map(int, sums[:, is_word].sum(axis=1))]
-            yield _batch({"block": [-1], "part": [rows[0]["part"]], **{name: [value] for name, value in zip(("n_words", "n_target", "n_background"), totals)}}, ANSWERED)
+            yield _batch({"home": [-1], "part": [rows[0]["part"]], **{name: [value] for name, value in zip(("n_words", "n_target", "n_background"), totals)}}, ANSWERED)
             for row, place in zip(rows, places):
-                yield _batch({"block": [row["block"]], "part": [row["part"]], "keys": [row["keys"] if with_keys else None], "counts": [_narrow(sums[:, place])]}, ANSWERED)
+                yield _batch({**{name: [row[name]] for name in ("home", "block", "part")}, "keys": [row["keys"] if with_keys else None], "counts": [_narrow(sums[:, place])]}, ANSWERED)
 
-    return store(requests.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(answer, ANSWERED), "answers")
+    return requests.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(answer, ANSWERED)
 
 
 def _answered_in_two(requests: DataFrame, parts: int, fan: int, n_blocks: int) -> DataFrame:
@@ -263,69 +302,85 @@ def _answered_in_two(requests: DataFrame, parts: int, fan: int, n_blocks: int) -
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "part", "group"):
-            keys, sums, _ = _added(rows)
-            yield from _requests(keys, sums, _part_of(keys, parts), rows[0]["group"])
+            keys, sums, _ = _added(rows, 8)
+            yield from _requests(keys, sums, _part_of(keys, parts), rows[0]["group"], 0, 8)
 
     names = "part", "group"
     merged = requests.repartition(*names).sortWithinPartitions(*names, "block").mapInArrow(together, ASKED)
-    answers = _answered(merged, parts, True)
+    answers = store(_answered(merged, parts, 8, True), "group-answers")
 
     def hand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "part", "group"):
             got = [row for row in rows if row["is_answer"]]
-            keys = np.concatenate([np.frombuffer(row["keys"], "<u8") for row in got])
-            counts = np.concatenate([_wide(row["counts"], len(row["keys"]) // 8) for row in got], axis=1)
+            keys = [_unpacked(row["keys"], 8) for row in got]
+            counts = np.concatenate([_wide(row["counts"], len(own)) for row, own in zip(got, keys)], axis=1)
+            keys = np.concatenate(keys)
             order = np.argsort(keys)
             keys, counts = keys[order], counts[:, order]
             for row in rows:
                 if not row["is_answer"]:
-                    place = np.searchsorted(keys, np.frombuffer(row["keys"], "<u8"))
-                    yield _batch({"block": [row["block"]], "part": [row["part"]], "counts": [_narrow(counts[:, place])]}, ANSWERED)
+                    place = np.searchsorted(keys, _unpacked(row["keys"], 8))
+                    yield _batch({**{name: [row[name]] for name in ("home", "block", "part")}, "counts": [_narrow(counts[:, place])]}, ANSWERED)
 
-    columns = ["part", "group", "block", "keys", "counts", "is_answer"]
-    back = answers.filter("block >= 0").select(F.expr(f"part div {within}").alias("part"), F.col("block").alias("group"), F.lit(-1).cast("long").alias("block"), "keys", "counts", F.lit(True).alias("is_answer"))
-    both = requests.withColumn("is_answer", F.lit(False)).select(columns).union(back.select(columns))
+    columns = ["part", "group", "home", "block", "keys", "counts", "is_answer"]
+    back = answers.filter("home >= 0").select(
+        F.expr(f"part div {within}").alias("part"), F.col("block").alias("group"), "home", "block", "keys", "counts", F.lit(True).alias("is_answer")
+    )
+    both = requests.withColumn("is_answer", F.lit(False)).select(columns).union(back)
     returned = both.repartition(*names).sortWithinPartitions(*names, "is_answer", "block").mapInArrow(hand_back, ANSWERED)
-    return store(returned.union(answers.filter("block < 0")), "answers")
+    return returned.union(answers.filter("home < 0"))
 
 
-def whole_losses(blocks: DataFrame, part_bytes: int = PART, fan: int = FAN) -> DataFrame:
+def whole_losses(blocks: DataFrame, labels: DataFrame, part_bytes: int = PART, fan: int = FAN) -> DataFrame:
     """``doc_id, n_tokens, target_sum, background_sum`` of every text; sums are null without tokens, target_sum without a target."""
+    spark = blocks.sparkSession
+    good = good_texts(blocks, labels)
     n_blocks, size = blocks.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
     parts = (size or 0) // part_bytes + 1
     two = parts > fan
-    within = -(-parts // fan)
+    within, width = (-(-parts // fan), 8) if two else (1, 6)
 
     def asked_part(keys: np.ndarray) -> np.ndarray:
-        return _part_of(keys, parts) // within if two else _part_of(keys, parts)
+        return _part_of(keys, parts) // within
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lookup(good)
         for row in _rows(batches):
             own, n_texts = _texts_of(row["starts"], row["data"])
             if len(own.n):
-                counts = np.stack([own.sums(np.frombuffer(row["in_target"], bool)), own.sums(np.ones(n_texts, bool))])
-                yield from _requests(own.keys, counts, asked_part(own.keys), row["block"])
-
-    requests = blocks.select("block", "in_target", "starts", "data").mapInArrow(ask, ASKED)
-    answers = _answered_in_two(requests, parts, fan, n_blocks) if two else _answered(requests, parts, False)
-    totals = answers.agg(*(F.coalesce(F.sum(name), F.lit(0)) for name in ("n_words", "n_target", "n_background"))).first()
+                weights = _in_target(known, row["part"], row["block"], n_texts), np.ones(n_texts, bool)
+                yield from _requests(own.keys, np.stack([own.sums(weight) for weight in weights]), asked_part(own.keys), row["block"], row["part"], width)
+
+    requests = blocks.select("part", "block", "starts", "data").mapInArrow(ask, ASKED)
+    answers = _answered_in_two(requests, parts, fan, n_blocks) if two else _answered(requests, parts, width, False)
+    answered = in_folders(answers.withColumnsRenamed({"part": "asked", "home": "part"}), "answers")
+    names = "n_words", "n_target", "n_background"
+    try:  # a row for each part, in a folder of their own
+        of_parts = spark.read.schema(", ".join(f"{name} long" for name in names)).parquet(f"{answered}/part=-1")
+        totals = of_parts.agg(*(F.sum(name) for name in names)).first()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        totals = 0, 0, 0  # no text has a token
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "block"):
-            block, got = rows[0], rows[1:]
-            own, n_texts = _texts_of(block["starts"], block["data"])
+        flags, found = Lookup(good), Lookup(answered)
+        for row in _rows(batches):
+            own, n_texts = _texts_of(row["starts"], row["data"])
             n_tokens = np.bincount(own.text, own.n, n_texts).astype(np.int64)
             sums = [np.zeros(n_texts)] * 2
-            if got:
-                order = np.lexsort((own.keys, asked_part(own.keys)))
-                edges = np.flatnonzero(np.append(True, np.diff(asked_part(own.keys)[order]) != 0))
-                sizes = np.diff(np.append(edges, len(order)))
+            if len(own.n):
+                part = asked_part(own.keys)
+                order = _order(own.keys, part, width)
+                sizes = np.bincount(part)
+                got = found.of(row["part"])
+                got = got.filter(pc.equal(got.column("block"), row["block"])).select(["asked", "counts"]).to_pylist()
                 counts = np.empty((2, len(order)), np.int64)
-                counts[:, order] = np.concatenate([_wide(row["counts"], n) for row, n in zip(got, sizes)], axis=1)
-                sums = losses(own, counts, np.frombuffer(block["in_target"], bool), n_tokens, totals)
+                counts[:, order] = np.concatenate([_wide(one["counts"], sizes[one["asked"]]) for one in sorted(got, key=lambda one: one["asked"])], axis=1)
+                sums = losses(own, counts, _in_target(flags, row["part"], row["block"], n_texts), n_tokens, totals)
             none = n_tokens == 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block["ids"], ids_kind), pa.array(n_tokens), pa.array(sums[0], mask=none | (totals[1] == 0)), pa.array(sums[1], mask=none)],
+                [pa.array(row["ids"], ids_kind), pa.array(n_tokens), pa.array(sums[0], mask=none | (totals[1] == 0)), pa.array(sums[1], mask=none)],
                 names=["doc_id", "n_tokens", "target_sum", "background_sum"],
             )
 
@@ -333,13 +388,7 @@ def whole_losses(blocks: DataFrame, part_bytes: int = PART, fan: int = FAN) -> D
 
     kind = blocks.schema["ids"].dataType.elementType
     ids_kind = to_arrow_type(kind)
-    asking = blocks.select("*", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("counts"))
-    replies = answers.filter("block >= 0").select(
-        "block", *(F.lit(None).cast(blocks.schema[name].dataType).alias(name) for name in ("ids", "in_target", "starts", "data")), "part", "counts"
-    )
-    n_tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, min(n_blocks, (size or 0) // (1 << 24) + 1))
-    met = asking.union(replies).repartition(n_tasks, "block").sortWithinPartitions("block", "part")
-    return met.mapInArrow(score, T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL("n_tokens long, target_sum double, background_sum double").fields]))
+    return blocks.mapInArrow(score, T.StructType([T.StructField("doc_id", kind), *(T.StructField(name, one) for name, one in (("n_tokens", T.LongType()), ("target_sum", T.DoubleType()), ("background_sum", T.DoubleType())))]))
 
 
 def losses(own: Keyed, counts: np.ndarray, in_target: np.ndarray, n_tokens: np.ndarray, totals: tuple) -> list[np.ndarray]:
@@ -359,5 +408,5 @@ def losses(own: Keyed, counts: np.ndarray, in_target: np.ndarray, n_tokens: np.n
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every row, by models of every token and bigram."""
     means = [(F.col(f"{name}_sum") / F.col("n_tokens")).alias(f"{name}_loss") for name in ("target", "background")]
-    found = whole_losses(blocked(docs, labels)).select("doc_id", "n_tokens", *means)
+    found = whole_losses(blocked(docs), labels).select("doc_id", "n_tokens", *means)
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -40,8 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import columns, spans, store, utf8
-from codelens.plans.layout import shared_folder
+from codelens.llm.common import Lookup, columns, in_folders, spans, store, utf8
 
 LENGTH, GRAM = 100, 24
 CROWD = 4096
@@ -109,33 +108,6 @@ def _by_part(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
         yield int(part[at]), batch.slice(at, end - at)
 
 
-class Lookup:
-    """Rows of one part at a time, from a table stored in a folder for each part."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder, self.part, self.rows = folder, None, None
-
-    def of(self, part: int) -> pa.Table | None:
-        if part != self.part:
-            from pyarrow import parquet
-            from pyarrow.fs import FileSelector, FileSystem, FileType
-
-            files, inner = FileSystem.from_uri(self.folder)
-            where = f"{inner}/part={part}"
-            self.part, self.rows = part, None
-            if files.get_file_info(where).type == FileType.Directory:
-                names = [x.path for x in files.get_file_info(FileSelector(where)) if x.base_name.startswith("part-")]
-                self.rows = pa.concat_tables([parquet.ParquetFile(files.open_input_file(name)).read() for name in sorted(names)])
-        return self.rows
-
-
-def _for_parts(rows: DataFrame, purpose: str) -> str:
-    """Stores ``rows`` in one folder for each ``part``."""
-    folder = shared_folder(rows.sparkSession, purpose)
-    rows.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(folder)
-    return folder
-
-
 def numbered_parts(docs: DataFrame) -> DataFrame:
     """Stored: ``part, rid, rank, row``; ``rank`` and then ``rid`` give the documents' order."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
@@ -400,8 +372,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> D
         raise ValueError(f"strings of less than {GRAM} bytes have no anchor")
     parts = numbered_parts(docs)
     texts = parts.select("part", "rid", "rank", F.col("row.text").alias("text"))
-    repeated = _for_parts(repeated_anchors(texts, length), "repeated")
-    found = _for_parts(repeats(segments(texts, repeated, length), length, crowd), "spans")
+    repeated = in_folders(repeated_anchors(texts, length), "repeated")
+    found = in_folders(repeats(segments(texts, repeated, length), length, crowd), "spans")
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     row = parts.schema["row"]
     schema = T.StructType([row, T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])

@@ -36,7 +36,7 @@ def test_no_target_and_empty_tables(spark):
 ODD = [(None, "the end"), (1000, None), (1001, " \n"), (1002, "Éa-b\x00c É É"), (1003, "x"), (1003, "x"), (1004, "the of " * 60_000), (1005, "seldom seen words"), (1006, "seldom seen words")]
 
 
-@pytest.mark.parametrize("block, part, fan", [(1 << 22, 1 << 24, 4096), (3000, 4000, 4096), (3000, 4000, 7), (1, 1000, 2)])
+@pytest.mark.parametrize("block, part, fan", [(1 << 22, 1 << 24, 4096), (3000, 4000, 4096), (3000, 4000, 7), (1, 6000, 3)])
 def test_report_keeps_every_token_and_bigram(spark, monkeypatch, block, part, fan):
     monkeypatch.setattr(ngram_lm, "BLOCK", block)
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(40).collect()] + ODD
@@ -44,7 +44,7 @@ def test_report_keeps_every_token_and_bigram(spark, monkeypatch, block, part, fa
     left = spark.createDataFrame([(*row, 1, "x") for row in docs], "doc_id long, text string, block int, data string").repartition(3)
     right = spark.createDataFrame([(doc_id, int(doc_id in good), 9) for doc_id in {i for i, _ in docs}] + [(1005, 0, 1), (7, None, 1)], "doc_id long, quality int, text int")
     own_losses = ngram_lm.whole_losses
-    monkeypatch.setattr(ngram_lm, "whole_losses", lambda rows: own_losses(rows, part, fan))
+    monkeypatch.setattr(ngram_lm, "whole_losses", lambda rows, labels: own_losses(rows, labels, part, fan))
     rows = [tuple(r)[:4] for r in ngram_lm.report(left, right).collect()]
     expected = whole(docs, good - {None})
     key = lambda row: (repr(row[0]), row[1])
@@ -81,7 +81,7 @@ def whole(docs, good):
 def test_texts_that_begin_alike_make_no_large_part(spark):
     """However many texts have a bigram, a block asks for it once."""
     docs = spark.range(6000).selectExpr("id AS doc_id", "concat('all texts begin alike ', id, ' then ', id * 7 % 1000, ' differ') AS text")
-    blocks = ngram_lm.blocked(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    blocks = ngram_lm.blocked(docs)
     sizes = []
     for row in blocks.collect():
         own, n_texts = ngram_lm._texts_of(row.starts, row.data)
@@ -94,7 +94,7 @@ def test_rows_grow_in_proportion(spark, monkeypatch):
     """With groups of blocks, rows between them and the parts are far fewer than blocks times parts."""
     monkeypatch.setattr(ngram_lm, "BLOCK", 400)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(120)
-    blocks = ngram_lm.blocked(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    blocks, labels = ngram_lm.blocked(docs), spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     stored = {}
     keep = ngram_lm.store
 
@@ -103,6 +103,14 @@ def test_rows_grow_in_proportion(spark, monkeypatch):
         return stored[purpose]
 
     monkeypatch.setattr(ngram_lm, "store", kept)
-    ngram_lm.whole_losses(blocks, 400, 12).count()
+    ngram_lm.whole_losses(blocks, labels, 400, 12).count()
     n_blocks, parts = blocks.count(), blocks.selectExpr("sum(octet_length(data)) div 400 + 1").first()[0]
     assert parts > 12 and stored["requests"].count() <= 12 * n_blocks < n_blocks * parts / 10
+
+
+@pytest.mark.parametrize("width", [6, 8])
+def test_keys_are_packed_and_unpacked(width):
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 8 * width, 5000, dtype=np.uint64, endpoint=False) if width < 8 else np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    for own in (keys, keys[:1], keys[:0]):
+        assert (ngram_lm._unpacked(ngram_lm._packed(own, width), width) == own).all()
+    assert len(ngram_lm._packed(keys, width)) < (width - 0.8) * len(keys)
