@@ -78,7 +78,7 @@ def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     place = (np.arange(1, len(data) + 1) - at[np.cumsum(begins) - 1]).astype(np.uint64)
     mixed = np.where(blank, np.uint64(0), _MIX[0][data] * place * place + _MIX[1][data])
-    return np.searchsorted(starts, at, "right") - 1, np.add.reduceat(mixed, at)
+    return np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(at, starts))), np.add.reduceat(mixed, at)
 
 
 def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -173,7 +173,10 @@ def _batch(columns: dict, kinds: str) -> pa.RecordBatch:
 
 def _order(keys: np.ndarray, part: np.ndarray, width: int) -> np.ndarray:
     """The keys' order in requests: by part, then by what is sent of them."""
-    return np.lexsort((keys & np.uint64((1 << 8 * width) - 1) if width < 8 else keys, part))
+    if width == 8:
+        return np.lexsort((keys, part))
+    sent = np.uint64(8 * width)  # parts are few enough for the other bits
+    return np.argsort(part.astype(np.uint64) << sent | keys & ((ONE << sent) - ONE))
 
 
 def _requests(keys: np.ndarray, counts: np.ndarray, part: np.ndarray, block: int, home: int, width: int) -> Iterator[pa.RecordBatch]:
