@@ -5,17 +5,22 @@ before and after it; the field labels each line good or bad. A document's score
 is the mean of its lines' forward-backward marginals for good, weighted by their
 lengths in bytes.
 
-The field is fitted to a bounded sample: of the labelled rows that may be
-learned from, the ``sample`` rows whose ids hash lowest, whole texts. All lines
-of such a document carry its label. Only line features reach the driver. Scoring
-is one pass over all rows without a shuffle.
+The field is fitted to a bounded sample: of the labelled documents that may be
+learned from, the ``sample`` ones whose ids hash lowest, whole texts, one for each
+id, as long as they have ``LINES`` lines together; one that has more than are left
+is passed over. Lines are latent: a document's label is a noisy witness of each of
+its lines, right with probability ``AGREE``, so a good document may have bad lines,
+and the field learns how labels change from line to line. Only line features reach
+the driver. Scoring is one pass over all rows without a shuffle.
 
 A text without a visible character (null, empty, blank) scores the share of good
 labels in the sample. Without any labelled row everything scores one half; with
 one kind of label only, its share. Null and repeated labels: null is ignored,
 the largest of several counts. A null id counts as held out. Language, source,
 id and labels are never inputs of a score. Repeated rows are scored each; a text
-of one line is a chain of one; an empty table gives no rows.
+of one line is a chain of one, a very long one is scored in a run of its own;
+labels of any whole number type count; other columns are carried along under any
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import columns, field_of, spans, utf8
+from codelens.llm.common import columns, field_of, spans, store, utf8
 
-SAMPLE = 4000
+SAMPLE, LINES = 4000, 400_000
+AGREE = 0.99
+CHAIN = 512  # lines of one chain in fitting; scoring has no such cut
 THRESHOLD = 0.3
 STEPS, RATE, SHRINK = 300, 0.1, 1e-5
 
@@ -133,15 +140,17 @@ class Field:
     prior: float
 
 
-def marginals(field: Field, text: np.ndarray, wide: np.ndarray, pairs: bool = False):
+def marginals(field: Field, text: np.ndarray, wide: np.ndarray, pairs: bool = False, witness: np.ndarray | None = None):
     """Of each line the probability of good; with ``pairs`` also the expected moves of all lines.
 
+    ``witness`` has the probability of what is known of each line if it is bad, and if it is good.
     All texts advance together, line by line; texts with more lines come first.
     """
     if not len(text):
         return (np.zeros(0), np.zeros((2, 2))) if pairs else np.zeros(0)
     good = 1 / (1 + np.exp(-np.clip(wide @ field.weights, -30, 30)))
     emit = np.stack([1 - good, good], axis=1)
+    emit = emit if witness is None else emit * witness
     move = np.exp(field.moves)
     first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     n_lines = np.diff(np.append(first, len(text)))
@@ -169,18 +178,23 @@ def marginals(field: Field, text: np.ndarray, wide: np.ndarray, pairs: bool = Fa
 
 
 def fit_field(text: np.ndarray, features: np.ndarray, label_of_text: np.ndarray, prior: float) -> Field:
-    """Gradient ascent on the mean log-likelihood of the sample's lines, weights shrunk."""
+    """Gradient ascent on the mean log-likelihood of what the labels say of the sample's lines, weights shrunk."""
     wide = with_neighbours(text, features).astype(np.float64)
+    label_of_line = label_of_text[text]
+    # Chains advance together line by line, so a very long one is fitted as several.
+    nth = np.arange(len(text)) - np.searchsorted(text, text)
+    text = np.cumsum(np.append(True, (text[1:] != text[:-1]) | (nth[1:] % CHAIN == 0))[: len(text)]) - 1
     weights, moves = np.zeros(wide.shape[1]), np.zeros((2, 2))
     if not len(text) or label_of_text.min() == label_of_text.max():
         return Field(np.zeros(3 * N_FEATURES), moves, prior)
-    label = label_of_text[text].astype(float)
-    inside = text[1:] == text[:-1]
-    seen = np.diag([(inside & (label[1:] == kind)).sum() for kind in (0, 1)]).astype(float)
+    good = label_of_line == 1
+    witness = np.stack([np.where(good, 1 - AGREE, AGREE), np.where(good, AGREE, 1 - AGREE)], axis=1)
     state = [np.zeros(len(weights) + 4), np.zeros(len(weights) + 4)]
     for step in range(1, STEPS + 1):
-        p_good, expected = marginals(Field(weights, moves, prior), text, wide, pairs=True)
-        slope = np.concatenate([wide.T @ (label - p_good), (seen - expected).ravel()]) / len(text)
+        field = Field(weights, moves, prior)
+        p_good, expected = marginals(field, text, wide, pairs=True)
+        p_known, seen = marginals(field, text, wide, pairs=True, witness=witness)
+        slope = np.concatenate([wide.T @ (p_known - p_good), (seen - expected).ravel()]) / len(text)
         slope -= SHRINK * np.concatenate([weights, moves.ravel()])
         state = [0.9 * state[0] + 0.1 * slope, 0.99 * state[1] + 0.01 * slope**2]
         change = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
@@ -196,21 +210,31 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Fits a field to at most ``sample`` labelled documents."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    chosen = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Of rows with one id the first text counts, so there are at most ``sample``.
+    rows = store(met.groupBy("doc_id", "quality").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")), "sample")
+    sizes = rows.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n"), F.xxhash64("doc_id").alias("hash")).collect()
+    left, fitting = LINES, []
+    for row in sorted(sizes, key=lambda row: (row.hash, row.doc_id)):
+        if row.n <= left:
+            left -= row.n
+            fitting.append(row.doc_id)
+    rows = rows if len(fitting) == len(sizes) else rows.filter(F.col("doc_id").isin(fitting))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = utf8(batch.column(1))
+            data, starts = utf8(batch.column(2))
             for at, end in spans(starts, 1 << 21):
                 text, _, features = line_features(data[starts[at] : starts[end]], starts[at : end + 1] - starts[at])
                 lines = np.split(features, np.searchsorted(text, np.arange(1, end - at)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.array([x.tobytes() for x in lines], pa.binary())],
+                    [batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array([x.tobytes() for x in lines], pa.binary())],
                     names=["doc_id", "quality", "lines"],
                 )
 
-    measured = rows.mapInArrow(measure, "doc_id long, quality int, lines binary").collect()
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("lines", T.BinaryType())])
+    measured = rows.mapInArrow(measure, schema).collect()
     measured.sort(key=lambda row: (row.doc_id, row.quality, row.lines))
     blocks = [np.frombuffer(row.lines, np.float32).reshape(-1, N_FEATURES) for row in measured]
     label = np.array([row.quality for row in measured], np.int64)

@@ -85,3 +85,38 @@ def test_stage_keeps_columns(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     kept = crf.good_documents(docs, none)
     assert kept.columns == docs.columns and kept.count() == 2
+
+
+def test_the_sample_is_bounded_in_rows_and_lines(spark, monkeypatch):
+    monkeypatch.setattr(crf, "STEPS", 5)
+    reached = []
+    fit = crf.fit_field
+    monkeypatch.setattr(crf, "fit_field", lambda text, features, label, prior: reached.append((len(label), len(text))) or fit(text, features, label, prior))
+    docs = [(7, "a line\n" * 12)] * 3000 + [(n, "one line\nand another") for n in range(100, 160)] + [(n, "long\n" * 5000) for n in range(200, 210)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(n, n % 2) for n in (7, *range(100, 160), *range(200, 210))], "doc_id long, quality long")
+    crf.fit(frame, labels, sample=10)
+    monkeypatch.setattr(crf, "LINES", 700)
+    crf.fit(frame, labels)
+    (rows, _), (all_rows, lines) = reached
+    assert 0 < rows <= 10 and 30 < all_rows <= 61 and lines <= 700
+
+
+def test_lines_are_latent(spark):
+    """A good document may have bad lines, which the field thinks less of, so labels change within a text."""
+    good, bad = "Plain words stand here in a row.", "!!! *** BUY || NOW ||| ### !!!"
+    docs = [(n, "\n".join([good] * 8 + [bad] * (n % 3) + [good] * 4)) for n in range(0, 200, 2)] + [(n, "\n".join([bad] * 9 + [good] * (n % 2))) for n in range(1, 200, 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    field = crf.fit(frame, spark.createDataFrame([(n, 1 - n % 2) for n, _ in docs], "doc_id long, quality short"))
+    marginal = [row.p_good for row in crf.label_lines(frame.filter("doc_id = 2"), field).orderBy("line").collect()]
+    assert max(marginal[8:10]) < min(marginal[:7] + marginal[11:])
+    assert np.exp(field.moves).min() > 1e-3  # moves from good to bad and back have weight
+
+
+def test_long_chains_are_fitted_in_pieces(monkeypatch):
+    monkeypatch.setattr(crf, "STEPS", 2)
+    seen = []
+    own = crf.marginals
+    monkeypatch.setattr(crf, "marginals", lambda field, text, *more, **named: seen.append(np.bincount(text)) or own(field, text, *more, **named))
+    crf.fit_field(np.repeat([0, 1], [1300, 3]), np.random.default_rng(1).random((1303, crf.N_FEATURES), np.float32), np.array([0, 1]), 0.5)
+    assert seen[0].tolist() == [512, 512, 276, 3]
