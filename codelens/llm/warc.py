@@ -9,14 +9,18 @@ payload. Files get temporary names that hold the attempt; the stored manifest
 names one attempt for each shard, and only those files are renamed. A commit
 that is interrupted can be run again. Files of lost attempts are never read.
 
+Every file begins with a record that describes it; ``n_records`` counts the others.
 Of records with equal payloads, of at least ``least_bytes``, the one with the
 largest page id is a response; the others are revisits, which have the HTTP
-header with the payload's length but not the payload. Smaller ones are all
+header with the payload's length but not the payload, and name the response by its
+record id, address, date and page. Smaller ones are all
 responses. Null html counts as empty. A null page id ranks below all others, and
 among rows with the largest id the one with the last address is the response,
 and among repeated rows the first written. A null address
 leaves its header out; control characters and spaces in one are percent-encoded.
-Other columns are not written. A single record may exceed ``file_bytes``. An
+Other columns are not written. A single record may exceed ``file_bytes``. Repeated
+rows (equal page, address and content) share one place, so all of them lie in one
+shard, as revisits of a few hundred bytes each. An
 empty table gives an empty manifest and no files.
 """
 
@@ -54,28 +58,56 @@ def record_id(page_id, url, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id} {url} {digest}')}>"
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, is_revisit: bool) -> bytes:
+def uri(url: str | None) -> str | None:
+    return None if url is None else UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def framed(fields: list[tuple], block: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in fields if value is not None) + "\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def file_record(name: str) -> bytes:
+    """The first record of a file, which describes it."""
+    block = b"software: codelens\r\nformat: WARC File Format 1.1\r\n"
+    fields = [
+        ("WARC-Type", "warcinfo"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMES, name)}>"),
+        ("WARC-Date", DATE),
+        ("WARC-Filename", name),
+        ("Content-Type", "application/warc-fields"),
+        ("Content-Length", len(block)),
+    ]
+    return framed(fields, block)
+
+
+def record(page_id, url, payload: bytes, digest: str, response: tuple | None) -> bytes:
+    """A response, or a revisit of the ``response`` with that page id and address."""
+    is_revisit = response is not None
+    refers_to, refers_to_url = response or (None, None)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if is_revisit else "response"),
         ("WARC-Record-ID", record_id(page_id, url, digest)),
         ("WARC-Date", DATE),
-        ("WARC-Target-URI", None if url is None else UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)),
+        ("WARC-Target-URI", uri(url)),
         ("WARC-Page-ID", page_id),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if is_revisit else None),
-        ("WARC-Refers-To-Page-ID", refers_to if is_revisit else None),
+        ("WARC-Refers-To", record_id(refers_to, refers_to_url, digest) if is_revisit else None),
+        ("WARC-Refers-To-Target-URI", uri(refers_to_url)),
+        ("WARC-Refers-To-Date", DATE if is_revisit else None),
+        ("WARC-Refers-To-Page-ID", refers_to),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{digest32(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block)),
     ]
-    head = "WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in fields if value is not None) + "\r\n"
-    return head.encode() + block + b"\r\n\r\n"
+    return framed(fields, block)
 
 
-def planned(pages: DataFrame, least_bytes: int, shard_bytes: int) -> DataFrame:
-    """Each row with its payload, its kind of record and its place in the archive.
+def planned(pages: DataFrame, least_bytes: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """The number of shards, and each row with its payload, its kind of record and its place in the archive.
 
     Pages are read twice: for the order, which needs digests only, and for the
     payloads, which find their place by page, address and digest. They move
@@ -97,6 +129,7 @@ def planned(pages: DataFrame, least_bytes: int, shard_bytes: int) -> DataFrame:
         (F.col("last").isNotNull() & ~is_last).alias("is_revisit"),
         F.col("last").isNotNull().alias("has_equals"),
         F.col("last.page_id").alias("last_id"),
+        F.when(~is_last, F.col("last.url")).alias("last_url"),
         (F.col("copies") * HEADER_BYTES + F.when(F.col("last").isNotNull() & ~is_last, 0).otherwise(F.col("n_bytes"))).alias("weight"),
     )
     places = running_totals(kinds, keys, "weight", "place").withColumn("shard", F.floor(F.col("place") / shard_bytes))
@@ -113,7 +146,8 @@ def planned(pages: DataFrame, least_bytes: int, shard_bytes: int) -> DataFrame:
             )
 
     same = [F.col(name).eqNullSafe(F.col(f"{name}2")) for name in keys]
-    return rows.mapInArrow(shrink, schema).join(places, same).drop(*(f"{name}2" for name in keys))
+    last = places.agg(F.max("shard")).first()[0]
+    return rows.mapInArrow(shrink, schema).join(places, same).drop(*(f"{name}2" for name in keys)), (last or 0) + 1
 
 
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -127,8 +161,15 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
 
         def close() -> pa.RecordBatch:
             out.close()
-            name = f"{at['shard']:08d}-{at['seq']:05d}.warc.gz"
-            return pa.RecordBatch.from_pylist([at | {"file": name, "sha256": at["sha256"].hexdigest()}], schema=target)
+            return pa.RecordBatch.from_pylist([at | {"file": name_of(at), "sha256": at["sha256"].hexdigest()}], schema=target)
+
+        def name_of(file: dict) -> str:
+            return f"{file['shard']:08d}-{file['seq']:05d}.warc.gz"
+
+        def put(member: bytes) -> None:
+            out.write(member)
+            at["sha256"].update(member)
+            at["n_bytes"] += len(member)
 
         target = pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("temporary", pa.string()), ("file", pa.string()),
                             ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
@@ -137,7 +178,9 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
                 payload = zstandard.decompress(row["payload"], max_output_size=row["n_bytes"])
                 key = row["page_id"], row["url"], row["content"]
                 is_revisit, before = row["has_equals"] and (row["is_revisit"] or key == before), key
-                raw = record(row["page_id"], row["url"], payload, digest32(payload), row["last_id"], is_revisit)
+                # A repeated row is a revisit of its own first copy, or of what that one is a revisit of.
+                response = (row["last_id"], row["last_url"] if row["is_revisit"] else row["url"]) if is_revisit else None
+                raw = record(row["page_id"], row["url"], payload, digest32(payload), response)
                 member = gzip.compress(raw, 6, mtime=0)
                 full = out is not None and at["n_bytes"] + len(member) > file_bytes
                 if now != row["shard"] or full:
@@ -149,9 +192,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
                     temporary = f"_temporary/{now:08d}-{seq:05d}-{attempt}"
                     out = files.open_output_stream(f"{inner}/{temporary}")
                     at = {"shard": now, "seq": seq, "temporary": temporary, "n_bytes": 0, "n_records": 0, "sha256": hashlib.sha256()}
-                out.write(member)
-                at["sha256"].update(member)
-                at["n_bytes"] += len(member)
+                    put(gzip.compress(file_record(name_of(at)), 6, mtime=0))
+                put(member)
                 at["n_records"] += 1
         if out is not None:
             yield close()
@@ -168,7 +210,9 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
                     raise OSError(f"{row['file']} is not the file that was written")
             yield batch
 
-    dealt = planned(pages, least_bytes, shard_bytes).repartition("shard").sortWithinPartitions("shard", "place")
+    rows, n_shards = planned(pages, least_bytes, shard_bytes)
+    # As many tasks as shards, so that what a task reads does not grow with the input.
+    dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "place")
     written = store(dealt.mapInArrow(write, MANIFEST), "warc-attempts")
     spread_out(written, "file").mapInArrow(commit, MANIFEST).drop("temporary").write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest").drop("temporary")
@@ -185,6 +229,11 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["Content-Length"])]
 
 
+def pages_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of pages, without the one that describes the file."""
+    return (record for record in records(content) if record[0]["WARC-Type"] != "warcinfo")
+
+
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of the manifest's files, digests checked against the content."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
@@ -205,7 +254,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
                 if hashlib.sha256(content).hexdigest() != row["sha256"]:
                     raise OSError(f"{row['file']} is damaged")
                 out = []
-                for fields, block in records(content):
+                for fields, block in pages_of(content):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if fields["WARC-Block-Digest"] != f"sha1:{digest32(block)}" or (kind == "response" and digest != digest32(payload)):

@@ -70,3 +70,25 @@ def test_empty_table_and_other_columns(spark):
     assert warc.round_trip(frame(spark, [])).collect() == []
     odd = spark.createDataFrame([(1, "u", "x", 5, "y")], "page_id long, url string, html string, rid int, shard string")
     assert rows_of(warc.round_trip(odd)) == brute([(1, "u", "x")])
+
+
+def test_files_are_what_the_standard_says(spark, tmp_path):
+    """Read as any reader would: file records first, revisits that name a response which is there."""
+    warc.write_warc(frame(spark), f"{tmp_path}/w", file_bytes=3_000, shard_bytes=60_000).collect()
+    files = {name: list(warc.records(data)) for name, data in content(f"{tmp_path}/w").items()}
+    assert len(files) > 1
+    for name, found in files.items():
+        fields, block = found[0]
+        assert (fields["WARC-Type"], fields["WARC-Filename"], fields["Content-Type"]) == ("warcinfo", name, "application/warc-fields")
+        assert b"format: WARC File Format 1.1\r\n" in block
+        assert all(fields["WARC-Type"] in ("response", "revisit") for fields, _ in found[1:])
+    pages = [fields for found in files.values() for fields, _ in found[1:]]
+    assert len(pages) == len(PAGES) and len({fields["WARC-Record-ID"] for fields in pages if fields["WARC-Type"] == "response"}) == 7
+    responses = {fields["WARC-Record-ID"]: fields for fields in pages if fields["WARC-Type"] == "response"}
+    for fields in pages:
+        if fields["WARC-Type"] == "revisit":
+            meant = responses[fields["WARC-Refers-To"]]
+            assert meant["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"] and meant["WARC-Date"] == fields["WARC-Refers-To-Date"]
+            assert meant.get("WARC-Target-URI") == fields.get("WARC-Refers-To-Target-URI")
+            assert meant.get("WARC-Page-ID") == fields.get("WARC-Refers-To-Page-ID")
+            assert fields["WARC-Profile"].endswith("/revisit/identical-payload-digest")
