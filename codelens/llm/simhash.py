@@ -7,8 +7,8 @@ part, and each part's groups are tries over the sorted fingerprints. Pairs of
 nodes go down the trie together, add up the bits in which they differ, and are
 dropped once they exceed the budget; small pairs of nodes are compared directly.
 A group hands on only a forest of its links, so a dense group of n texts
-gives fewer than n rows. Groups above ``GROUP`` fingerprints are dealt out once
-more by the parts of their other bits. Equal fingerprints are joined first, so
+gives fewer than n rows. Groups above ``GROUP`` fingerprints are dealt out again
+by the parts of their other bits, until none is larger. Equal fingerprints are joined first, so
 copies cost nothing here.
 
 Null and empty texts have the fingerprint zero and are linked like any other.
@@ -140,66 +140,71 @@ def forest(keys: np.ndarray, begins: np.ndarray, ends: np.ndarray, budget: int)
     return root
 
 
-def _parts(bits: list[int], budget: int) -> list[list[int]]:
-    """The bits in budget + 1 runs, of which one is equal if at most ``budget`` bits differ."""
-    return [run.tolist() for run in np.array_split(np.array(bits), budget + 1)]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _part_keys(bits: list[int], budget: int):
-    """Each part's number, and the fingerprint with all other bits unset."""
-    masks = [int(np.array([sum(1 << bit for bit in run)], np.uint64).view(np.int64)[0]) for run in _parts(bits, budget)]
-    return F.array(
-        *(
-            F.struct(F.lit(number).alias("part"), F.col("fingerprint").bitwiseAND(F.lit(mask).cast("long")).alias("value"))
-            for number, mask in enumerate(masks)
-        )
+def finer(mask: int, budget: int) -> list[int]:
+    """The masks that add one of budget + 1 parts of the other bits, of which one is equal if at most ``budget`` bits differ."""
+    bits = [bit for bit in range(64) if not mask >> bit & 1]
+    return [mask | sum(1 << bit for bit in part.tolist()) for part in np.array_split(bits, budget + 1)] if len(bits) > budget else []
+
+
+def _dealt(prints: DataFrame, masks: set[int], budget: int) -> DataFrame:
+    """``fingerprint, mask``, dealt out by each of the finer masks, with the masked ``value``."""
+    spark, steps = prints.sparkSession, [(mask, child) for mask in sorted(masks) for child in finer(mask, budget)]
+    table = spark.createDataFrame([(_signed(mask), _signed(child)) for mask, child in steps], "mask long, child long")
+    return prints.join(F.broadcast(table), "mask").select(
+        "fingerprint", F.col("child").alias("mask"), F.col("fingerprint").bitwiseAND(F.col("child")).alias("value")
     )
 
 
+def groups(prints: DataFrame, budget: int, group: int) -> DataFrame:
+    """``mask, value, fingerprint``: groups in which any two linked fingerprints meet, none above ``group``."""
+    group = max(group, 2 << budget)  # more than can differ in the last bits, so that a larger one can be split
+    dealt = _dealt(prints.withColumn("mask", F.lit(0).cast("long")), {0}, budget)
+    small = None
+    while True:
+        sizes = store(dealt.groupBy("mask", "value").count(), "group-sizes")
+        heavy = sizes.filter(F.col("count") > group).select("mask", "value")
+        again = {row["mask"] & (1 << 64) - 1 for row in heavy.select("mask").distinct().collect()}  # of few masks
+        if not again:
+            return dealt if small is None else small.unionByName(dealt)
+        light = dealt.join(heavy, ["mask", "value"], "left_anti")
+        small = light if small is None else small.unionByName(light)
+        dealt = _dealt(dealt.join(heavy, ["mask", "value"], "left_semi").select("fingerprint", "mask"), again, budget)
+        dealt = store(dealt.distinct(), "dealt-again")
+
+
 def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
     """A forest that joins what links join, from distinct ``fingerprint``: ``a, b``."""
-    dealt = prints.select("fingerprint", F.explode(_part_keys(list(range(64)), budget)).alias("at")).select("fingerprint", "at.*")
-    dealt = dealt.select("fingerprint", "part", "value", F.lit(-1).alias("part2"), F.lit(0).cast("long").alias("value2"))
-    sizes = store(dealt.groupBy("part", "value").count(), "group-sizes")
-    heavy = sizes.filter(F.col("count") > group).select("part", "value")
-    if not heavy.isEmpty():  # large groups are dealt out again by the parts of their other bits
-        runs = _parts(list(range(64)), budget)
-        again = [
-            dealt.filter(F.col("part") == number)
-            .join(heavy, ["part", "value"], "left_semi")
-            .select("fingerprint", "part", "value", F.explode(_part_keys([b for b in range(64) if b not in run], budget)).alias("at"))
-            .select("fingerprint", "part", "value", F.col("at.part").alias("part2"), F.col("at.value").alias("value2"))
-            for number, run in enumerate(runs)
-        ]
-        dealt = dealt.join(heavy, ["part", "value"], "left_anti").select(again[0].columns)
-        for more in again:
-            dealt = dealt.union(more)
-    names = ["part", "value", "part2", "value2"]
 
     def join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(rows: np.ndarray) -> pa.RecordBatch:
-            changes = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+            changes = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
             begins = np.concatenate([[0], changes])
-            keys = rows[:, 4].copy().view(np.uint64)
+            keys = rows[:, 2].copy().view(np.uint64)
             order = np.lexsort((keys, np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))))
             keys = keys[order]
             root = forest(keys, begins, np.append(begins[1:], len(rows)), budget)
             child = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(keys[child].view(np.int64)), pa.array(keys[root[child]].view(np.int64))], names=["a", "b"])
 
-        waiting = np.zeros((0, 5), np.int64)
+        waiting, size = [], 0
         for batch in batches:
-            rows = np.stack([column.to_numpy().astype(np.int64) for column in batch.columns], axis=1)
-            waiting = np.concatenate([waiting, rows])
-            if len(waiting) >= KEYS:  # all groups but the last are complete
-                last = np.flatnonzero((waiting[1:, :4] != waiting[:-1, :4]).any(axis=1))
-                if len(last):
-                    yield joined(waiting[: last[-1] + 1])
-                    waiting = waiting[last[-1] + 1 :]
-        if len(waiting):
-            yield joined(waiting)
-
-    sorted_groups = dealt.select(*names, "fingerprint").repartition(*names).sortWithinPartitions(*names, "fingerprint")
+            waiting.append(np.stack([column.to_numpy().astype(np.int64) for column in batch.columns], axis=1))
+            size += len(waiting[-1])
+            if size >= KEYS:  # all groups but the last are complete
+                rows = np.concatenate(waiting)
+                last = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield joined(rows[:cut])
+                waiting, size = [rows[cut:]], len(rows) - cut
+        if size:
+            yield joined(np.concatenate(waiting))
+
+    sorted_groups = groups(prints, budget, group).select("mask", "value", "fingerprint").repartition("mask", "value").sortWithinPartitions("mask", "value", "fingerprint")
     return sorted_groups.mapInArrow(join_tries, "a long, b long")
 
 

@@ -115,3 +115,16 @@ def test_stage_and_empty_table(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 3, 4, 7, None]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.report(empty).collect() == []
+
+
+def test_dense_groups_are_dealt_out_until_none_is_large(spark):
+    """Fingerprints that share most of their bits: two rounds would leave groups far above the limit."""
+    pick = np.random.default_rng(9)
+    dense = np.unique(np.array([int(x) << 20 for x in pick.integers(0, 1 << 11, 4000)], np.uint64) | np.uint64(0xABCD << 40))
+    frame = spark.createDataFrame([(int(x),) for x in dense.view(np.int64)], "fingerprint long").repartition(4)
+    dealt = simhash.groups(frame, 2, 100)
+    assert dealt.groupBy("mask", "value").count().agg({"count": "max"}).first()[0] <= 100
+    met = {(r.a, r.b) for r in dealt.withColumnRenamed("fingerprint", "a").join(dealt.withColumnRenamed("fingerprint", "b"), ["mask", "value"]).filter("a < b").select("a", "b").distinct().collect()}
+    own = dense.view(np.int64).tolist()
+    near = {(a, b) for a in own for b in own if a < b and (a ^ b).bit_count() <= 2}
+    assert near and near <= met
