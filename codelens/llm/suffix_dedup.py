@@ -17,10 +17,12 @@ of ``GRAM`` bytes in it whose hash is least. Equal strings have equal anchors.
 Texts are read three times and never shuffled. Rows are numbered in stored parts
 as large as a task's input, and what a part needs to know (its repeated anchors,
 its spans) is written beside it, one folder for each part, which tasks look up.
-Equal segments of a batch are one row. Anchors with more than ``CROWD`` segments,
-as at the edge of a passage that very many documents share, do not meet in one
-task: each of their strings is told by a 128-bit digest of all its bytes, of
-which the first is found by a pre-aggregated minimum.
+Equal segments of a batch are one row. An anchor with more than ``CROWD`` distinct
+segments, as at the edge of a passage that very many documents share, is split by
+further bytes: its strings are told by their second least gram too, then by their
+third, at last by all their bytes, and cut into segments anew. Equal segments are
+told apart from their first by a pre-aggregated minimum over their bytes; the
+distinct ones of each part are sorted as above. So no group that is sorted is larger.
 
 Null text counts as empty. Texts shorter than ``length`` keep every byte. A null
 id ranks last; rows with one id, repeated or not, follow one another in the
@@ -40,10 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import Lookup, columns, in_folders, spans, store, utf8
+from codelens.llm.common import Lookup, columns, few_rows, in_folders, spans, store, utf8
 
 LENGTH, GRAM = 100, 24
 CROWD = 4096
+FURTHER = 2  # further least grams that split a crowd, before all bytes do
 STARTS = 1 << 17  # strings sorted at a time, more only if one group has more
 BLOCK = 1 << 21  # bytes whose anchors are found at a time
 
@@ -307,11 +310,57 @@ def _span_batch(part, rid, start, stop) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (part, rid, start, stop)], names=names)
 
 
+def split_segments(pieces: list[bytes], hashes: np.ndarray, length: int, further: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts segments by the ``further`` least gram of their strings after the anchor, or by all bytes (-1).
+
+    Returns each new segment's old one, its hash, and its first and last string there.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(piece) for piece in pieces], np.int64)
+    counts = sizes - length + 1
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(sizes) - sizes)[owner] + nth
+    if further < 0:
+        raw = data.tobytes()
+        own = np.array([xxhash.xxh3_64_intdigest(raw[a : a + length]) for a in at.tolist()], np.uint64)
+    else:
+        grams, nth_least = gram_hashes(data), min(further, length - GRAM)
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([grams, np.zeros(length, np.uint64)]), length - GRAM + 1)
+        own = np.concatenate([np.partition(windows[at[a : a + (1 << 16)]], nth_least, axis=1)[:, nth_least] for a in range(0, len(at), 1 << 16)] or [np.zeros(0, np.uint64)])
+    mixed = (hashes.view(np.uint64)[owner] ^ (own * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(_BASE)
+    mixed ^= mixed >> np.uint64(32)
+    begins = np.flatnonzero(np.append(True, (mixed[1:] != mixed[:-1]) | (owner[1:] != owner[:-1]))[: len(mixed)])
+    lasts = np.append(begins[1:], len(mixed))[: len(begins)] - 1
+    return owner[begins], mixed[begins].view(np.int64), nth[begins], nth[lasts]
+
+
+def _resplit(rows: DataFrame, length: int, further: int) -> DataFrame:
+    """Stored: the distinct new segments of crowded ones, and, without bytes, spans of later equal ones."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches, 2000):
+            pieces = batch.column(6).to_pylist()
+            hashes, part, rid, rank, start = (batch.column(at).to_numpy() for at in range(5))
+            old, new, first, last = split_segments(pieces, hashes, length, further)
+            stops = last + length
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new), pa.array(part[old]), pa.array(rid[old]), pa.array(rank[old]), pa.array(start[old] + first), pa.array(start[old] + stops),
+                 pa.array([pieces[one][a:b] for one, a, b in zip(old.tolist(), first.tolist(), stops.tolist())], pa.binary())],
+                schema=_SEGMENT,
+            )
+
+    cut = store(rows.mapInArrow(split, SEGMENT), "split")
+    firsts = store(cut.groupBy("hash", "bytes").agg(F.min(F.struct("rank", "rid", "start", "part", "stop")).alias("first"), F.count("*").alias("n")), "split-firsts")
+    distinct = firsts.select("hash", "first.part", "first.rid", "first.rank", "first.start", "first.stop", "bytes")
+    again = cut.join(firsts.filter("n > 1").select("hash", "bytes", "first"), ["hash", "bytes"])
+    again = again.filter("struct(rank, rid, start) <> struct(first.rank, first.rid, first.start)")
+    nothing = [F.lit(None).cast("long").alias("hash"), "part", "rid", "rank", "start", "stop", F.lit(None).cast("binary").alias("bytes")]
+    return store(distinct.union(again.select(*nothing)), "split-segments")
+
+
 def repeats(cut: DataFrame, length: int, crowd: int) -> DataFrame:
     """``part, rid, start, stop``: spans of strings that start earlier in the corpus."""
-    early = cut.filter("bytes IS NULL").select("part", "rid", "start", "stop")
-    rows = cut.filter("bytes IS NOT NULL")
-    crowded = store(rows.groupBy("hash").count().filter(F.col("count") > crowd).select("hash"), "crowded")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -333,27 +382,20 @@ def repeats(cut: DataFrame, length: int, crowd: int) -> DataFrame:
             for at, end in _group_blocks(rows.column("hash").to_numpy()):
                 yield _span_batch(*group_spans(rows.slice(at, end - at), length))
 
-    calm = rows.join(crowded, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash")
-    found = early.union(calm.mapInArrow(search, SPAN))
-    if crowded.isEmpty():
-        return found
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                piece = row["bytes"]
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(piece[at : at + length]) for at in range(len(piece) - length + 1)), "<i8")
-                n = len(digests) // 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[0::2]), pa.array(digests[1::2]), *(pa.array(np.full(n, row[name])) for name in ("part", "rid", "rank")),
-                     pa.array(np.arange(n) + row["start"])],
-                    names=["high", "low", "part", "rid", "rank", "start"],
-                )
-
-    each = store(rows.join(crowded, "hash", "left_semi").mapInArrow(strings, "high long, low long, part long, rid long, rank long, start long"), "strings")
-    firsts = store(each.groupBy("high", "low").agg(F.min(F.struct("rank", "rid", "start")).alias("first")), "first-strings")
-    later = each.join(firsts, ["high", "low"]).filter("struct(rank, rid, start) <> first")
-    return found.union(later.select("part", "rid", "start", (F.col("start") + length).alias("stop")))
+    found, further = None, 1
+    while True:
+        early = cut.filter("bytes IS NULL").select("part", "rid", "start", "stop")
+        found = early if found is None else found.union(early)
+        rows = cut.filter("bytes IS NOT NULL")
+        crowded = store(rows.groupBy("hash").count().filter(F.col("count") > crowd).select("hash"), "crowded")
+        calm = rows if further < 0 else rows.join(crowded, "hash", "left_anti")  # told by all bytes, a group has one distinct segment
+        calm = calm.repartition("hash").sortWithinPartitions("hash")
+        found = found.union(calm.mapInArrow(search, SPAN))
+        if further < 0 or crowded.isEmpty():
+            return found
+        further = further if further <= FURTHER else -1
+        cut = _resplit(rows.join(crowded, "hash", "left_semi"), length, further)
+        further = further + 1 if further > 0 else further
 
 
 def _group_blocks(groups: np.ndarray) -> Iterator[tuple[int, int]]:

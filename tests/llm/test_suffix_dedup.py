@@ -57,6 +57,30 @@ def test_equals_brute_force(spark, monkeypatch, length, crowd, starts):
     assert sorted(rows_of(sd.deduplicated(frame, length, crowd))) == sorted(brute(docs, length))
 
 
+def test_crowds_are_split_into_small_groups(spark, monkeypatch):
+    """A passage in very many documents, each with other words around it: no sorted group exceeds the limit."""
+    rng = np.random.default_rng(11)
+    passage = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400))
+    around = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 150))
+    docs = [(n, around() + passage + around()) for n in range(300)]
+    largest = []
+    cut = sd.segments(*_segments_of(spark, docs))
+    for further in (1, 2, -1):
+        rows = cut.filter("bytes IS NOT NULL")
+        largest.append(rows.groupBy("hash").count().agg({"count": "max"}).first()[0])
+        cut = sd._resplit(rows, 100, further)
+    largest.append(cut.filter("bytes IS NOT NULL").groupBy("hash").count().agg({"count": "max"}).first()[0])
+    assert largest == sorted(largest, reverse=True) and largest[0] > 100 and largest[-1] == 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted(rows_of(sd.deduplicated(frame, 100, 20))) == sorted(brute(docs, 100))
+
+
+def _segments_of(spark, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    texts = sd.numbered_parts(frame).select("part", "rid", "rank", sd.F.col("row.text").alias("text"))
+    return texts, sd.in_folders(sd.repeated_anchors(texts, 100), "repeated"), 100
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 600).astype(np.uint8)
