@@ -8,15 +8,18 @@ word and extended to both sides, and counts if ``WINDOW`` words are equal.
 Benchmark items of fewer words are looked up whole. Which words are hit and
 which items occur is thus exact.
 
-Documents are read once and not shuffled: the benchmark's fingerprints are
-broadcast, in blocks of at most ``BLOCK``, one pass over the documents for each
-block. Equal surroundings of different items are one row of such a block. Only
-hits and one short row for each document are shuffled.
+Documents are not shuffled. Where the benchmark's fingerprints and the words around
+them are few bytes, they are broadcast and met in one pass over the documents. Where
+they are more, only their keys are, as numbers, ``KEYS`` at a time and a pass for
+each; the documents' fingerprints with such a key, a small part of all, are stored
+with the words around them and joined by shuffle. Equal surroundings of different
+items are one row. Only hits and one short row for each document are shuffled.
 
 Null texts have no words, and no item occurs in them. Items without words never
 occur; an item with a null id hits words but is not listed. Repeated rows are
 separate documents; a repeated item id is listed once. Other columns are carried
-along. Empty tables give no rows, or documents without hits.
+along. A very long text is one row, as any other. Empty tables give no rows, or
+documents without hits.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.common import numbered, store
+from codelens.plans.layout import MAX_BROADCAST_BYTES
 
 WINDOW, GRAM = 13, 8
 REACH = WINDOW - GRAM
-BLOCK = 200_000
+KEYS = 1 << 22
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 HEADER = 0  # the window size under which every document gives its word count
 
@@ -123,15 +127,15 @@ def _equal_run(one: str, other: str) -> Column:
     return F.when(first_other == 0, F.size(same)).otherwise(first_other - 1).cast("int")
 
 
-def _hits(rows: DataFrame, block: DataFrame, short_sizes: list[int]) -> DataFrame:
-    """``rid, doc_id, n_words, start, stop, anchor``: every checked hit, and a row without anchor for each document."""
+def _fingerprints(rows: DataFrame, short_sizes: list[int], more: list[Column]) -> DataFrame:
+    """``rid, doc_id, words, n_words, size, key, at`` of every fingerprint, whole run of a short size, and of ``more``."""
     cut = winnowed(rows.select("rid", F.col("row.doc_id").alias("doc_id"), words(F.col("row.text")).alias("words")))
-    header = F.array(F.struct(F.lit(HEADER).alias("size"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("at")))
-    places = F.concat(header, _places(F.col("marks")), *(_whole(size) for size in short_sizes))
-    each = cut.select("rid", "doc_id", "words", F.size("words").alias("n_words"), F.inline(places))
-    known = block.withColumnsRenamed({"gram": "gram2", "left": "left2", "right": "right2"})
-    met = each.join(F.broadcast(known), ["size", "key"])
-    met = met.select("rid", "doc_id", "n_words", "anchor", "size", "at", "gram2", "left2", "right2", *_around(F.col("at"), F.col("size")))
+    places = F.concat(*more, _places(F.col("marks")), *(_whole(size) for size in short_sizes))
+    return cut.select("rid", "doc_id", "words", F.size("words").alias("n_words"), F.inline(places))
+
+
+def _checked(met: DataFrame) -> DataFrame:
+    """``rid, doc_id, n_words, start, stop, anchor`` of what has enough equal words, and of headers."""
     met = met.filter((F.col("size") == HEADER) | (F.col("gram") == F.col("gram2")))
     met = met.withColumns({"before": _equal_run("left", "left2"), "after": _equal_run("right", "right2")})
     met = met.filter((F.col("size") < WINDOW) | (F.col("before") + GRAM + F.col("after") >= WINDOW))
@@ -145,24 +149,42 @@ def _hits(rows: DataFrame, block: DataFrame, short_sizes: list[int]) -> DataFram
     )
 
 
-def contamination(rows: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+def _in_one_pass(rows: DataFrame, known: DataFrame, short_sizes: list[int]) -> DataFrame:
+    """Every checked hit, and a row without anchor for each document."""
+    header = rows.sparkSession.range(1).selectExpr(
+        f"{HEADER} AS size", "0L AS key", "array('') AS gram2", "array('') AS left2", "array('') AS right2", "CAST(NULL AS BIGINT) AS anchor"
+    )
+    mark = F.array(F.struct(F.lit(HEADER).alias("size"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("at")))
+    met = _fingerprints(rows, short_sizes, [mark]).join(F.broadcast(known.unionByName(header)), ["size", "key"])
+    return _checked(met.select("rid", "doc_id", "n_words", "anchor", "size", "at", "gram2", "left2", "right2", *_around(F.col("at"), F.col("size"))))
+
+
+def _by_keys(rows: DataFrame, known: DataFrame, short_sizes: list[int], n_keys: int) -> DataFrame:
+    """The same, with no more than keys in memory."""
+    rows = store(rows, "documents")  # read for each block of keys, with the same row numbers
+    number = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 32) - 1))).alias("number")
+    keys = store(known.select(number).distinct(), "keys")
+    n_blocks = -(-keys.count() // n_keys)
+    each = _fingerprints(rows, short_sizes, []).withColumn("number", number)
+    candidates = None
+    for block in range(n_blocks):
+        own = keys.filter(F.pmod(F.xxhash64("number"), F.lit(n_blocks)) == block)
+        met = each.join(F.broadcast(own), "number", "left_semi")
+        met = store(met.select("rid", "doc_id", "n_words", "size", "key", "at", *_around(F.col("at"), F.col("size"))), "candidates")
+        candidates = met if candidates is None else candidates.unionByName(met)
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("start", "int"), ("stop", "int"), ("anchor", "long"))]
+    headers = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.size(words(F.col("row.text"))).alias("n_words"), *nothing)
+    return headers.unionByName(_checked(candidates.join(known.hint("merge"), ["size", "key"])))
+
+
+def contamination(rows: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES, n_keys: int = KEYS) -> DataFrame:
     """``rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of ``numbered`` documents."""
-    spark = rows.sparkSession
     anchors, items = benchmark_anchors(benchmark)
-    # At most twelve sizes, and the number of blocks: all that the driver gets.
+    # At most twelve sizes, and the number of bytes: all that the driver gets.
     short_sizes = sorted(row.size for row in anchors.filter(F.col("size") < WINDOW).select("size").distinct().collect())
-    n_blocks = -(-anchors.count() // block)
-    header = spark.range(1).selectExpr(
-        f"{HEADER} AS size", "0L AS key", "array('') AS gram", "array('') AS left", "array('') AS right", "CAST(NULL AS BIGINT) AS anchor"
-    )
-    if n_blocks <= 1:
-        hits = _hits(rows, anchors.unionByName(header), short_sizes)
-    else:
-        rows = store(rows, "documents")  # read once for each block, with the same row numbers
-        part = F.pmod(F.xxhash64("anchor"), F.lit(2 * n_blocks))  # about half of a block in each
-        hits = _hits(rows, header, [])
-        for number in range(2 * n_blocks):
-            hits = hits.unionByName(_hits(rows, anchors.filter(part == number), short_sizes))
+    size = anchors.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    known = anchors.withColumnsRenamed({"gram": "gram2", "left": "left2", "right": "right2"})
+    hits = _in_one_pass(rows, known, short_sizes) if size <= max_bytes else _by_keys(rows, known, short_sizes, n_keys)
     hits = store(hits, "hits")
     spans = hits.filter("anchor IS NOT NULL").select("rid", "start", "stop").distinct()
     reached = "max(stop) OVER (PARTITION BY rid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

@@ -57,12 +57,12 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [200_000, 60])
-def test_equals_all_windows(spark, block):
+@pytest.mark.parametrize("max_bytes, n_keys", [(1 << 25, 1 << 22), (0, 1 << 22), (0, 60)])
+def test_equals_all_windows(spark, max_bytes, n_keys):
     docs, items = cases()
     left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     right = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(numbered(left), right, block).drop("rid").collect()
+    got = decontaminate.contamination(numbered(left), right, max_bytes, n_keys).drop("rid").collect()
     expected = brute(docs, items)
     assert sorted(map(tuple, got), key=repr) == expected
     assert 10 < sum(row[5] for row in expected) < len(expected) - 10
