@@ -13,8 +13,8 @@ added token, such as ``<|endoftext|>``, has that token's id there.
 Only narrow rows are sorted: running totals of the token counts give each text
 its place in the stream; the ids move once, to be cut. Null text counts as empty
 and is the end id alone. Texts on one place of the curve are ordered by id, null
-first; repeated rows are packed each. Long texts cover many sequences. An empty
-table gives no pieces.
+first; repeated rows are packed each. Long texts cover many sequences. Only the named
+columns are read, so others may have any names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.llm.common import few_rows, running_totals, store
-from codelens.llm.tokens import encode, vocabulary
+from codelens.llm.common import few_rows, running_totals, spans, store
+from codelens.llm.tokens import encode, id_kind, vocabulary
 
 LENGTH, END = 2048, 1
+PIECES = 4096  # handed on at a time
 BUCKETS, AXES, BITS = 1024, 4, 12
 DIRECTIONS = np.random.default_rng(2048).normal(size=(BUCKETS, AXES))
 
@@ -73,13 +74,14 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """Stored: ``rid, doc_id, curve, n_tokens, ids`` (little-endian unsigned 16-bit, with the end id)."""
+    """Stored: ``rid, doc_id, curve, n_tokens, ids`` (of ``id_kind``, with the end id)."""
+    kind = id_kind(path, end)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("curve", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
-            ids = [np.append(encode(text.as_py() or "", path, added=True), end).astype("<u2") for text in batch.column(2)]
+            ids = [np.append(encode(text.as_py() or "", path, added=True), end).astype(kind) for text in batch.column(2)]
             places = np.array([project(own[:-1]) for own in ids]).reshape(len(ids), AXES)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,35 +102,45 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, end:
     ``ids`` holds little-endian unsigned 32-bit numbers. A sequence is its
     pieces in the order of their offsets.
     """
-    texts = encoded(docs, path or vocabulary(), end)
+    path = path or vocabulary()
+    kind = id_kind(path, end)
+    texts = encoded(docs, path, end)
     places = running_totals(texts.select("rid", "curve", "doc_id", "n_tokens"), ["curve", "doc_id", "rid"], "n_tokens", "place")
     rows = texts.select("rid", "doc_id", "n_tokens", "ids").join(places.select("rid", "place"), "rid")
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
-            size, place = (batch.column(at).to_numpy() for at in (2, 4))
-            sequence = place // length
-            counts = (place + size - 1) // length - sequence + 1
-            doc = np.repeat(np.arange(len(size)), counts)
-            sequence = np.repeat(sequence, counts) + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-            begin = np.maximum(sequence * length, place[doc])
-            stop = np.minimum((sequence + 1) * length, (place + size)[doc])
-            ids = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").astype("<u4")  # a text's pieces are in its order
-            edges = (np.concatenate([[0], np.cumsum(stop - begin)]) * 4).astype(np.int32)
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size, place = (batch.column(at).to_numpy() for at in (2, 4))
+        sequence = place // length
+        counts = (place + size - 1) // length - sequence + 1
+        doc = np.repeat(np.arange(len(size)), counts)
+        sequence = np.repeat(sequence, counts) + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = np.maximum(sequence * length, place[doc])
+        stop = np.minimum((sequence + 1) * length, (place + size)[doc])
+        ids = np.frombuffer(b"".join(batch.column(3).to_pylist()), kind)  # a text's pieces are in its order
+        edges = np.concatenate([[0], np.cumsum(stop - begin)])
+        for first in range(0, len(doc), PIECES):
+            own = slice(first, min(first + PIECES, len(doc)))
+            at = edges[own.start : own.stop + 1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(1).take(pa.array(doc)),
-                    pa.array(begin - place[doc]),
-                    pa.array(stop - begin),
-                    pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edges), pa.py_buffer(ids)]),
-                    pa.array(size[doc]),
-                    pa.array(sequence),
-                    pa.array(begin - sequence * length),
+                    batch.column(1).take(pa.array(doc[own])),
+                    pa.array((begin - place[doc])[own]),
+                    pa.array((stop - begin)[own]),
+                    pa.Array.from_buffers(pa.binary(), own.stop - own.start, [None, pa.py_buffer(((at - at[0]) * 4).astype(np.int32)), pa.py_buffer(ids[at[0] : at[-1]].astype("<u4"))]),
+                    pa.array(size[doc[own]]),
+                    pa.array(sequence[own]),
+                    pa.array((begin - sequence * length)[own]),
                 ],
                 names=names,
-            )
+            )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())])
+            for first, last in spans(starts):
+                yield from pieces(batch.slice(first, last - first))
 
     return rows.mapInArrow(cut, schema)
 

@@ -1,7 +1,8 @@
 """Token counts from flat token files that have no index.
 
 ``write_token_files`` makes such files: the ids of one text after another, each
-followed by the end-of-document id, as little-endian unsigned 16-bit numbers.
+followed by the end-of-document id, as little-endian unsigned numbers of 16 bits, or
+of 32 where the vocabulary has more ids.
 ``scan`` reads fixed-size blocks in parallel, finds the separators of each block
 at once, and stitches texts that cross blocks: a prefix scan over the blocks'
 counts numbers the separators, and the block whose count ends where another's
@@ -11,7 +12,8 @@ any number of blocks.
 Null text counts as empty: no ids and a separator. Rows repeated are counted
 each. A last text without separator counts, with ``terminated`` false. Texts
 that hold the separator's name are encoded as ordinary text, so the separator
-comes from ends of texts only. An empty table gives no files and no rows.
+comes from ends of texts only. Only the named columns are read, so others may have
+any names. An empty table gives no files and no rows.
 Files are named by attempt and count only if their task's rows were stored, so
 a lost executor leaves nothing but an unused file.
 """
@@ -27,17 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.common import running_totals, spread_out, store
-from codelens.llm.tokens import encode, vocabulary
+from codelens.llm.tokens import encode, id_kind, vocabulary
 from codelens.plans.layout import shared_folder
 
 END = 50256  # free in the rank file, so no text has it
 BLOCK_TOKENS = 1 << 21
-KIND = np.dtype("<u2")
 
 
 def write_token_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Writes one file for each task; ``file, file_no, ordinal, doc_id`` of every text in it."""
-    folder = shared_folder(docs.sparkSession, "token-files")
+    folder, kind = shared_folder(docs.sparkSession, "token-files"), id_kind(path, end)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -54,7 +55,7 @@ def write_token_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 out = files.open_output_stream(f"{inner}/{name}")
             for text in batch.column(1):
                 ids = encode(text.as_py() or "", path)
-                out.write(np.append(ids, end).astype(KIND).tobytes())
+                out.write(np.append(ids, end).astype(kind).tobytes())
             count = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -74,7 +75,7 @@ def write_token_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     return store(rows.mapInArrow(write, schema), "token-file-rows")
 
 
-def _blocks(files: DataFrame, block_tokens: int) -> DataFrame:
+def _blocks(files: DataFrame, block_tokens: int, kind: np.dtype) -> DataFrame:
     """``file, block, n_tokens`` (of the whole file), one row for each block."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,7 @@ def _blocks(files: DataFrame, block_tokens: int) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 store_of, inner = FileSystem.from_uri(uri)
-                n_tokens = store_of.get_file_info(inner).size // KIND.itemsize
+                n_tokens = store_of.get_file_info(inner).size // kind.itemsize
                 blocks = np.arange(-(-n_tokens // block_tokens))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uri] * len(blocks), pa.string()), pa.array(blocks), pa.array(np.full(len(blocks), n_tokens, np.int64))],
@@ -93,7 +94,7 @@ def _blocks(files: DataFrame, block_tokens: int) -> DataFrame:
     return files.mapInArrow(sizes, "file string, block long, n_tokens long")
 
 
-def scan(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def scan(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS, kind: np.dtype = np.dtype("<u2")) -> DataFrame:
     """``file, ordinal, start, n_tokens, terminated`` of every text in the files of column ``file``."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,7 @@ def scan(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS) ->
                 first = block * block_tokens
                 count = min(block_tokens, n_tokens - first)
                 with store_of.open_input_file(inner) as file:
-                    ids = np.frombuffer(file.read_at(count * KIND.itemsize, first * KIND.itemsize), KIND)
+                    ids = np.frombuffer(file.read_at(count * kind.itemsize, first * kind.itemsize), kind)
                 ends = np.flatnonzero(ids == end) + first
                 is_open = bool(first + count == n_tokens and ids[-1] != end)
                 ends = np.append(ends, n_tokens) if is_open else ends
@@ -114,7 +115,7 @@ def scan(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS) ->
                     names=["file", "block", "is_open", "n_ends", "ends"],
                 )
 
-    blocks = _blocks(files.select("file").distinct(), block_tokens)
+    blocks = _blocks(files.select("file").distinct(), block_tokens, kind)
     found = store(spread_out(blocks, "file", "block").mapInArrow(search, "file string, block long, is_open boolean, n_ends long, ends array<long>"), "separators")
     # Blocks without a separator are part of a text; the numbers pass over them.
     counts = running_totals(found.select("file", "block", "n_ends"), ["file", "block"], "n_ends", "before")
@@ -144,5 +145,6 @@ def scan(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOKENS) ->
 
 def token_counts(docs: DataFrame, path: str | None = None, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, n_tokens, file_no, ordinal, start``: counted by scanning the files, not while encoding."""
-    written = write_token_files(docs, path or vocabulary(), end)
-    return scan(written, end, block_tokens).join(written, ["file", "ordinal"]).select("doc_id", "n_tokens", "file_no", "ordinal", "start")
+    path = path or vocabulary()
+    written = write_token_files(docs, path, end)
+    return scan(written, end, block_tokens, id_kind(path, end)).join(written, ["file", "ordinal"]).select("doc_id", "n_tokens", "file_no", "ordinal", "start")

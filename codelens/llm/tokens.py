@@ -55,3 +55,16 @@ def encode(text: str, path: str, added: bool = False) -> np.ndarray:
         if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
         return np.array(_slow(path, added).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@lru_cache(maxsize=4)
+def n_ids(path: str) -> int:
+    """One more than the vocabulary's largest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(f"{path}.json").get_vocab(with_added_tokens=True).values()) + 1
+
+
+def id_kind(path: str, *others: int) -> np.dtype:
+    """The little-endian numbers that hold every id of the vocabulary, and ``others``."""
+    return np.dtype("<u2" if max(n_ids(path), *(other + 1 for other in others)) <= 1 << 16 else "<u4")

@@ -79,3 +79,13 @@ def test_added_tokens_have_their_ids(spark):
     assert expected[0] == [64, 220, 50256, 275]
     assert got == {at: [*ids, packing.END] for at, ids in expected.items()}
     assert [tokens._slow(tokens.vocabulary(), True).encode(text, add_special_tokens=False).ids for text in texts] == list(expected.values())
+
+
+def test_ids_beyond_16_bits_are_kept(spark, monkeypatch):
+    assert tokens.id_kind(tokens.vocabulary(), 1).itemsize == 2 and tokens.n_ids(tokens.vocabulary()) < 1 << 16
+    assert tokens.id_kind(tokens.vocabulary(), 1 << 16).itemsize == 4
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    monkeypatch.setattr(packing, "PIECES", 3)
+    pieces = sorted(packing.packed(docs, 500, end=70_000).collect(), key=lambda p: (p.sequence_id, p.offset))
+    stream = np.concatenate([np.frombuffer(bytes(p.ids), "<u4") for p in pieces])
+    assert (stream == 70_000).sum() == len(TEXTS) and len(stream) == sum(len(ids_of(text)) for _, text in TEXTS)

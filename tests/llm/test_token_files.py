@@ -52,3 +52,9 @@ def test_empty_table_and_other_columns(spark):
     assert token_files.token_counts(frame).collect() == []
     frame = spark.createDataFrame([(1, "a", "f", 0)], "doc_id long, text string, file string, ordinal int")
     assert [r.n_tokens for r in token_files.token_counts(frame).collect()] == [1]
+
+
+def test_ids_beyond_16_bits_are_kept(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "more")], "doc_id long, text string")
+    small, large = (sorted(map(tuple, token_files.token_counts(docs, end=end).select("doc_id", "n_tokens").collect())) for end in (token_files.END, 1 << 20))
+    assert small == large and small[1] == (2, 0)
