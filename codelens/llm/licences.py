@@ -12,10 +12,16 @@ against rules: a licence's sentences in their order, with no other known
 sentence and at most ``GAP`` unknown ones between two. A match within a longer
 one is dropped. Places are numbers of sentences.
 
+Sentences and rules are tables; those of the usual licences come with the library
+(``licence_texts``). A ``{}`` in a sentence stands for a holder's name or an address
+of at most ``NAME_WORDS`` words. There may be ``MAX_SENTENCES`` sentences, which bounds
+what is broadcast; rules are measured.
+
 The result has a row for each match; texts without one have none. Null and empty
-texts have no sentences; repeated rows are scanned each; a null id is kept. The
-tables of sentences and rules are fixed, which bounds what is broadcast. A
-text's hits are gathered in one row, of which there are no more than sentences.
+texts have no sentences; repeated rows are scanned each; a null id is kept. A text's
+hits are gathered in one row, of which there are no more than sentences, also of a
+very long text. Only the named columns are read, so others may have any names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,105 +31,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GAP = 3
+from codelens.llm.licence_texts import RULES, SENTENCES
+from codelens.plans.layout import broadcast_if_small
 
-# Sentences of public licences and of common notices.
-SENTENCES = {
-    "mit_title": "MIT License",
-    "mit_title_long": "The MIT License (MIT)",
-    "mit_grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
-        ' files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,'
-        " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the"
-        " Software is furnished to do so, subject to the following conditions"
-    ),
-    "mit_notice_kept": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "mit_as_is": (
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
-        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
-    ),
-    "mit_liability": (
-        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION"
-        " OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
-    ),
-    "mit_released": "Released under the MIT License",
-    "mit_licensed": "Licensed under the MIT License",
-    "apache_licensed": 'Licensed under the Apache License, Version 2.0 (the "License")',
-    "apache_compliance": "you may not use this file except in compliance with the License",
-    "apache_obtain": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "apache_obtain_secure": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
-    "apache_basis": (
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
-        ' "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'
-    ),
-    "apache_see": "See the License for the specific language governing permissions and limitations under the License",
-    "apache_notice": "Licensed under the Apache License, Version 2.0",
-    "gpl_free": "This program is free software",
-    "gpl3_modify": (
-        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
-        " Foundation, either version 3 of the License, or (at your option) any later version"
-    ),
-    "gpl2_modify": (
-        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
-        " Foundation; either version 2 of the License, or (at your option) any later version"
-    ),
-    "gpl_hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
-    "gpl_implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
-    "gpl_see": "See the GNU General Public License for more details",
-    "gpl3_notice": "This work is licensed under the GNU General Public License, version 3",
-    "bsd_conditions": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
-    ),
-    "bsd_source": (
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"
-    ),
-    "bsd_binary": (
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
-        " in the documentation and/or other materials provided with the distribution"
-    ),
-    "bsd_endorse": (
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived"
-        " from this software without specific prior written permission"
-    ),
-    "bsd_as_is": (
-        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,'
-        " BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"
-    ),
-    "isc_grant": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
-        " provided that the above copyright notice and this permission notice appear in all copies"
-    ),
-    "isc_as_is": (
-        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED'
-        " WARRANTIES OF MERCHANTABILITY AND FITNESS"
-    ),
-    "cc_by_notice": "Licensed under CC BY 4.0",
-    "cc_by_sa_notice": "Licensed under CC BY-SA 4.0",
-    "cc_by_nc_notice": "Licensed under CC BY-NC 4.0",
-    "cc_by_long": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-}
-
-# Licences, the rule's name, and the sentences it asks for in order.
-RULES = [
-    ("MIT", "full text", ["mit_grant", "mit_notice_kept", "mit_as_is", "mit_liability"]),
-    ("MIT", "titled text", ["mit_title", "mit_grant", "mit_notice_kept", "mit_as_is", "mit_liability"]),
-    ("MIT", "long-titled text", ["mit_title_long", "mit_grant", "mit_notice_kept", "mit_as_is", "mit_liability"]),
-    ("MIT", "released notice", ["mit_released"]),
-    ("MIT", "licensed notice", ["mit_licensed"]),
-    ("Apache-2.0", "file header", ["apache_licensed", "apache_compliance", "apache_obtain", "apache_basis", "apache_see"]),
-    ("Apache-2.0", "file header, secure address", ["apache_licensed", "apache_compliance", "apache_obtain_secure", "apache_basis", "apache_see"]),
-    ("Apache-2.0", "notice", ["apache_notice"]),
-    ("GPL-3.0-or-later", "file header", ["gpl_free", "gpl3_modify", "gpl_hope", "gpl_implied", "gpl_see"]),
-    ("GPL-2.0-or-later", "file header", ["gpl_free", "gpl2_modify", "gpl_hope", "gpl_implied", "gpl_see"]),
-    ("GPL-3.0-only", "notice", ["gpl3_notice"]),
-    ("BSD-2-Clause", "full text", ["bsd_conditions", "bsd_source", "bsd_binary", "bsd_as_is"]),
-    ("BSD-3-Clause", "full text", ["bsd_conditions", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is"]),
-    ("ISC", "full text", ["isc_grant", "isc_as_is"]),
-    ("CC-BY-4.0", "notice", ["cc_by_notice"]),
-    ("CC-BY-4.0", "long notice", ["cc_by_long"]),
-    ("CC-BY-SA-4.0", "notice", ["cc_by_sa_notice"]),
-    ("CC-BY-NC-4.0", "notice", ["cc_by_nc_notice"]),
-]
+GAP = 3
+NAME_WORDS = 12  # that a name or an address can have
+MAX_SENTENCES = 20_000
 
 BLANK = r"[\x20\x09-\x0D]"
 MARK_OR_EMPTY_LINE = rf"[.;:!?]{BLANK}+|\n{BLANK}*\n"
@@ -136,31 +49,38 @@ def normalise(sentence: str) -> str:
     return re.sub("[^A-Za-z0-9]+", " ", sentence).strip().lower()
 
 
-def known_sentences(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{normalise(text)}', '{name}')" for name, text in SENTENCES.items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(sentence, id)")
+def sentence_table(spark: SparkSession) -> DataFrame:
+    """``id, text`` of the sentences that come with the library."""
+    return spark.createDataFrame(list(SENTENCES.items()), "id string, text string")
 
 
-def known_rules(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{licence}', '{rule}', '{ids[0]}', array({', '.join(map(repr, ids))}))" for licence, rule, ids in RULES)
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(licence, rule, first, ids)")
+def rule_table(spark: SparkSession) -> DataFrame:
+    """``licence, rule, ids`` that come with the library."""
+    return spark.createDataFrame(RULES, "licence string, rule string, ids array<string>")
 
 
-def longest() -> int:
-    """Words of the longest known sentence."""
-    return max(len(normalise(text).split()) for text in SENTENCES.values())
+def pattern(text: str) -> str | None:
+    """What a sentence with names in it matches, followed by a blank; None if it has none."""
+    parts = [normalise(part) for part in text.split("{}")]
+    names = f" (?:[a-z0-9]+ ){{0,{NAME_WORDS}}}?"
+    return f"^({names.join(parts).rstrip()}) " if len(parts) > 1 else None
 
 
-def beginnings() -> str:
-    """A pattern for what a known sentence can begin with: its first words, up to all."""
-    words = [normalise(text).split() for text in SENTENCES.values()]
+def longest(texts: list[str]) -> int:
+    """Words of the longest sentence."""
+    return max((len(normalise(text).split()) + text.count("{}") * NAME_WORDS for text in texts), default=0)
+
+
+def beginnings(texts: list[str]) -> str:
+    """A pattern for what a sentence can begin with: its first words, up to all, and anything from a name on."""
+    words = [[word for at, part in enumerate(text.split("{}")) for word in (["{}"] if at else []) + normalise(part).split()] for text in texts]
 
     def following(depth: int, own: list[list[str]]) -> str:
         nexts: dict[str, list[list[str]]] = {}
         for sentence in own:
             if len(sentence) > depth:
                 nexts.setdefault(sentence[depth], []).append(sentence)
-        each = [(" " if depth else "") + word + following(depth + 1, those) for word, those in nexts.items()]
+        each = ["(?: .*)?" if word == "{}" else (" " if depth else "") + word + following(depth + 1, those) for word, those in nexts.items()]
         return f"(?:{'|'.join(each)}){'?' if depth else ''}" if each else ""
 
     return f"^{following(0, words)}$"
@@ -179,31 +99,46 @@ def lines(text):
     return F.filter(F.flatten(F.transform(cut, own_lines)), lambda line: line["line"] != "")
 
 
-def licence_matches(docs: DataFrame) -> DataFrame:
-    """``doc_id, licence, rule, first_sentence, last_sentence, n_known`` of every match."""
+def licence_matches(docs: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """``doc_id, licence, rule, first_sentence, last_sentence, n_known`` of every match.
+
+    ``sentences`` has ``id, text``, where ``{}`` in a text stands for a name, not at its
+    beginning or end; ``rules`` has ``licence, rule, ids``.
+    """
     spark = docs.sparkSession
+    known = (sentences or sentence_table(spark)).select("id", "text").limit(MAX_SENTENCES + 1).collect()
+    if len(known) > MAX_SENTENCES:
+        raise ValueError(f"more than {MAX_SENTENCES} sentences")
+    known = [row for row in known if normalise(row["text"] or "")]
+    texts = [row["text"] for row in known]
+    reach = longest(texts)
     cut = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", lines(F.col("text")).alias("lines"))
     # Only lines that a known sentence can begin with get a row, with as many lines as the longest can have.
-    numbers = F.transform("lines", lambda line, k: F.when(line["line"].rlike(beginnings()), k))
+    numbers = F.transform("lines", lambda line, k: F.when(line["line"].rlike(beginnings(texts)), k))
     places = F.filter(numbers, lambda k: k.isNotNull())
-    ahead = F.transform(places, lambda k: F.struct(k.alias("k"), F.slice("lines", k + 1, F.lit(longest())).alias("ahead")))
+    ahead = F.transform(places, lambda k: F.struct(k.alias("k"), F.slice("lines", k + 1, F.lit(reach)).alias("ahead")))
     each = cut.select("rid", "doc_id", F.inline(ahead))
     each = each.withColumn("tail", F.concat_ws(" ", "ahead.line")).withColumn("word", F.substring_index("tail", " ", 1))
-    known = known_sentences(spark).withColumn("word", F.substring_index("sentence", " ", 1))
-    hits = each.join(F.broadcast(known), "word").filter("startswith(concat(tail, ' '), concat(sentence, ' '))")
-    n_lines = "array_position(transform(sequence(1, size(ahead)), n -> length(concat_ws(' ', slice(ahead.line, 1, n)))), length(sentence))"
+    rows = [(row["id"], normalise(row["text"].replace("{}", " ")), normalise(row["text"]).split()[0], pattern(row["text"])) for row in known]
+    table = spark.createDataFrame(rows, "id string, sentence string, word string, pattern string")
+    plain = F.when(F.expr("startswith(concat(tail, ' '), concat(sentence, ' '))"), F.col("sentence"))
+    named = F.expr("nullif(regexp_extract(concat(tail, ' '), pattern, 1), '')")
+    hits = each.join(F.broadcast(table), "word").withColumn("said", F.when(F.col("pattern").isNull(), plain).otherwise(named)).filter("said IS NOT NULL")
+    n_lines = "array_position(transform(sequence(1, size(ahead)), n -> length(concat_ws(' ', slice(ahead.line, 1, n)))), length(said))"
     hits = hits.withColumn("n", F.expr(f"cast({n_lines} AS int)")).filter("n > 0")
-    hits = hits.select("rid", "doc_id", "k", "n", "id", F.expr("ahead[0].at").alias("at"), F.expr("ahead[n - 1].at").alias("last"))
-    found = hits.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "n", "id", "at", "last"))).alias("hits"))
+    # Of two sentences with the same words the one without names counts.
+    hits = hits.select("rid", "doc_id", "k", "n", F.col("pattern").isNull().alias("exact"), "id", F.expr("ahead[0].at").alias("at"), F.expr("ahead[n - 1].at").alias("last"))
+    found = hits.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "n", "exact", "id", "at", "last"))).alias("hits"))
     # Sorted by place and length, the longest at a place is the last there.
     ending = F.expr("filter(hits, (hit, i) -> i = size(hits) - 1 OR get(hits, i + 1).k <> hit.k)")
     found = found.select("rid", "doc_id", ending.alias("hits"))
     # A hit that another one holds begins at most the longest sentence's lines after it.
-    held = f"slice(hits, greatest(i - {longest()} + 1, 1), least(i, {longest()}))"
+    held = f"slice(hits, greatest(i - {reach} + 1, 1), least(i, {reach}))"
     outer = F.expr(f"filter(hits, (hit, i) -> i = 0 OR NOT exists({held}, before -> before.k + before.n >= hit.k + hit.n))")
     found = found.select("rid", "doc_id", outer.alias("hits"))
     starts = found.select("rid", "doc_id", "hits", F.posexplode("hits").alias("i", "hit")).withColumn("first", F.col("hit.id"))
-    matches = starts.join(F.broadcast(known_rules(spark)), "first").filter("transform(slice(hits, i + 1, size(ids)), hit -> hit.id) = ids").filter(
+    asked = (rules or rule_table(spark)).select("licence", "rule", "ids").withColumn("first", F.get("ids", F.lit(0)))
+    matches = starts.join(broadcast_if_small(asked), "first").filter("transform(slice(hits, i + 1, size(ids)), hit -> hit.id) = ids").filter(
         f"""forall(zip_with(slice(hits, i + 2, size(ids) - 1), slice(hits, i + 1, size(ids) - 1),
                             (later, hit) -> later.k >= hit.k + hit.n AND later.at - hit.last - 1 <= {GAP}), fits -> fits)"""
     )

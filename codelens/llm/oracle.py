@@ -130,48 +130,72 @@ SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive
 
 def _licences() -> str:
     """The sentences and rules are the operator's fixed values; the steps are written anew."""
-    known = ", ".join(f"('{licences.normalise(text)}', '{name}')" for name, text in licences.SENTENCES.items())
-    rules = ", ".join(f"('{licence}', '{rule}', {ids!r})" for licence, rule, ids in licences.RULES)
+    known = ", ".join(
+        f"({name!r}, {licences.normalise(text.replace('{}', ' '))!r}, {'{}' not in text}, "
+        f"'^(' || {' (?:[a-z0-9]+ ){{0,12}}?'.replace('{{', '{').replace('}}', '}').join(licences.normalise(part) for part in text.split('{}'))!r} || ') ')"
+        for name, text in licences.SENTENCES.items()
+    )
+    rules = ", ".join(f"('{licence}', '{rule.replace(chr(39), chr(39) * 2)}', {ids!r})" for licence, rule, ids in licences.RULES)
+    reach = licences.longest(list(licences.SENTENCES.values()))
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
+WITH known(id, sentence, exact, pattern) AS (VALUES {known}),
 rules(licence, rule, ids) AS (VALUES {rules}),
-texts AS (
+cut AS (
     SELECT row_number() OVER () AS rid, doc_id,
-           list_filter(list_transform(string_split(lower(regexp_replace(
-               regexp_replace(
+           list_filter(string_split(lower(regexp_replace(
+               translate(regexp_replace(
                    regexp_replace(coalesce(text, ''), '[.;:!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n', chr(1), 'g'),
-                   '\n[\x20\x09-\x0D]*([A-Z][a-z]|[0-9*-])', chr(1) || '\1', 'g'),
-               '[^A-Za-z0-9\x01]+', ' ', 'g')), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS sentences
+                   '\n[\x20\x09-\x0D]*([A-Z][a-z]|[0-9*-])', chr(1) || '\1', 'g'), chr(10) || chr(13), chr(2) || chr(2)),
+               '[^A-Za-z0-9\x01\x02]+', ' ', 'g')), chr(1)), lambda x: regexp_matches(x, '[a-z0-9]')) AS sentences
     FROM documents
 ),
-places AS (SELECT rid, doc_id, sentences, unnest(range(0, len(sentences))) AS place FROM texts),
+-- Each line with its number in the text and the number of its sentence.
+listed AS (
+    SELECT rid, doc_id, list_filter(flatten(list_transform(range(1, len(sentences) + 1), lambda i: list_transform(
+               string_split(sentences[i], chr(2)), lambda l: struct_pack(line := trim(l), at := i - 1)))), lambda x: x.line <> '') AS lines
+    FROM cut
+),
+places AS (SELECT rid, doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM listed),
+ahead AS (
+    SELECT rid, doc_id, k - 1 AS k, lines[k : k + {reach} - 1] AS ahead,
+           array_to_string(list_transform(lines[k : k + {reach} - 1], lambda x: x.line), ' ') || ' ' AS tail
+    FROM places WHERE split_part(lines[k].line, ' ', 1) IN (SELECT split_part(sentence, ' ', 1) FROM known)
+),
 tried AS (
-    SELECT rid, doc_id, place, n, array_to_string(sentences[place + 1 : place + n], ' ') AS sentence
-    FROM places, (VALUES (1), (2), (3)) AS sizes(n)
-    WHERE place + n <= len(sentences)
+    SELECT rid, doc_id, k, id, exact, ahead, regexp_extract(tail, pattern, 1) AS said
+    FROM ahead JOIN known ON split_part(sentence, ' ', 1) = split_part(tail, ' ', 1)
+),
+ended AS (
+    SELECT rid, doc_id, k, id, exact, ahead, list_position(list_transform(range(1, len(ahead) + 1),
+               lambda n: length(array_to_string(list_transform(ahead[1 : n], lambda x: x.line), ' '))), length(said)) AS n
+    FROM tried WHERE said <> ''
+),
+longest AS (
+    SELECT rid, doc_id, k, max(n) AS n, arg_max(id, struct_pack(n := n, exact := exact, id := id)) AS id, any_value(ahead) AS ahead
+    FROM ended WHERE n > 0 GROUP BY rid, doc_id, k
 ),
 hits AS (
-    SELECT rid, doc_id, place, max(n) AS n, arg_max(id, n) AS id,
-           row_number() OVER (PARTITION BY rid ORDER BY place) AS i
-    FROM tried JOIN known USING (sentence)
-    GROUP BY rid, doc_id, place
+    SELECT rid, doc_id, k, n, id, ahead[1].at AS at, ahead[n].at AS last, row_number() OVER (PARTITION BY rid ORDER BY k) AS i
+    FROM longest h
+    WHERE NOT EXISTS (SELECT 1 FROM longest o WHERE o.rid = h.rid AND o.k < h.k AND o.k + o.n >= h.k + h.n)
 ),
 matches AS (
-    SELECT h.rid, h.doc_id, licence, rule, h.place AS first_sentence, max(e.place + e.n - 1) AS last_sentence, len(ids) AS n_known
+    SELECT h.rid, h.doc_id, licence, rule, h.at AS first_sentence, max(e.last) AS last_sentence, len(ids) AS n_known,
+           h.k AS first_line, max(e.k + e.n - 1) AS last_line
     FROM hits h
     JOIN rules ON ids[1] = h.id
     JOIN hits e ON e.rid = h.rid AND e.i BETWEEN h.i AND h.i + len(ids) - 1
     LEFT JOIN hits f ON f.rid = e.rid AND f.i = e.i + 1 AND e.i < h.i + len(ids) - 1
-    GROUP BY h.rid, h.doc_id, licence, rule, h.place, ids
-    HAVING list(e.id ORDER BY e.i) = ids AND coalesce(min(f.place - e.place - e.n), 0) >= 0 AND coalesce(max(f.place - e.place - e.n), 0) <= 3
+    GROUP BY h.rid, h.doc_id, licence, rule, h.at, h.k, ids
+    HAVING list(e.id ORDER BY e.i) = ids AND coalesce(bool_and(f.k >= e.k + e.n), true) AND coalesce(max(f.at - e.last - 1), 0) <= 3
 )
 SELECT doc_id, licence, rule, CAST(first_sentence AS INT) AS first_sentence,
        CAST(last_sentence AS INT) AS last_sentence, CAST(n_known AS INT) AS n_known
 FROM matches m
 WHERE NOT EXISTS (
     SELECT 1 FROM matches o
-    WHERE o.rid = m.rid AND o.first_sentence <= m.first_sentence AND o.last_sentence >= m.last_sentence
-      AND (o.first_sentence < m.first_sentence OR o.last_sentence > m.last_sentence)
+    WHERE o.rid = m.rid AND o.first_line <= m.first_line AND o.last_line >= m.last_line
+      AND (o.first_line < m.first_line OR o.last_line > m.last_line)
 )
 """
 
