@@ -68,5 +68,5 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert "pipeline" not in __spark_entry__.oracle_sql()
-    assert sum(name.startswith("op") for name in __spark_entry__.queries()) == 10
+    assert sum(name.startswith("op") for name in __spark_entry__.queries()) == 13
     assert simhash.BUDGET == 4 and "corpus_pipeline" in sys.modules
