@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelens.sources import files
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -45,7 +51,27 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="codelens-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the shared folders that were made within it.
+
+    For steps whose results are written elsewhere: no frame that reads what they
+    stored on their way may be used afterwards.
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for folder in _made.get():
+            files.delete(spark, folder)
+        _made.reset(token)
 
 
 def settle(df: DataFrame) -> DataFrame:

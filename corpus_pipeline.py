@@ -2,8 +2,9 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents``;
 the last returns the pieces of packed sequences. Stages are written and read
-again, so a lost executor never costs more than one of them. Null texts and
-repeated rows are treated as each operator says; empty documents give no pieces.
+again, so a lost executor never costs more than one of them, and what a stage stored
+on its way goes when its result is written. Null texts and repeated rows are treated
+as each operator says; an empty document gives one piece, the end id.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codelens.llm import crf_quality, decontaminate, exact_dedup, packing, simhash
-from codelens.llm.common import store, table
+from codelens.llm.common import table
+from codelens.plans.layout import shared_folder, workspace
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        folder = shared_folder(spark, name.replace(" ", "-"))
+        with workspace(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(folder)
+        docs = spark.read.schema(kept.schema).parquet(folder)
     return docs

@@ -133,3 +133,23 @@ def test_candidates(spark):
     merged = {r["row_id"]: r["m"] for r in frame.select("row_id", candidates.merge(F.col("candidates")).alias("m")).collect()}
     assert merged[1] == "\n\n" + "=" * 50 + "Output 1:\na\n\nOutput 2:\nb"
     assert merged[2] == "c"
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_first_rows_by_any_keys(spark, monkeypatch, few):
+    import random
+
+    monkeypatch.setattr(rows, "_FEW", few)
+    monkeypatch.setattr(rows, "_SPLITTERS", 4)
+    pick = random.Random(1)
+    words = ["", "a", "B", "é", "zz", "中", "hot", "hot", "hot", "hot", None]
+    data = [(at, pick.choice(words), pick.choice([None, 1.5, -2.0, 3.0])) for at in range(500)]
+    frame = spark.createDataFrame(data, "row_id long, word string, size double").repartition(4)
+    for keys in (("word",), ("word", "row_id"), ("size", "word")):
+        at = [frame.columns.index(name) for name in keys]
+        key = lambda row: tuple(row[i] for i in at)
+        known = sorted(key(row) for row in data if None not in key(row))
+        for n in (1, 7, 150, 400, 1000):
+            got = sorted(key(row) for row in rows.first_rows_by(frame, n, *keys).collect())
+            assert got == known[:n]
+    assert rows.first_rows_by(frame, None, "word").count() == 500

@@ -433,6 +433,7 @@ def build() -> dict[str, str]:
         "sft_prompt": pairs + f"SELECT row_id, {PROMPT} AS prompt FROM pairs",
         "sft_sample": pairs + "SELECT row_id, instruction, input, output FROM pairs ORDER BY row_id LIMIT 10",
         "sft_max_samples": pairs + "SELECT row_id, instruction, input, output FROM pairs ORDER BY row_id LIMIT 150",
+        "sft_sample_by_text_key": pairs + "SELECT row_id, instruction, input, output FROM pairs ORDER BY instruction, row_id LIMIT 150",
         "sft_preview": pairs + """, one AS (SELECT * FROM pairs ORDER BY row_id LIMIT 1)
             SELECT 'instruction' AS field, left(instruction, 100) AS preview FROM one
             UNION ALL SELECT 'input', left(input, 100) FROM one

@@ -69,6 +69,11 @@ def sft_max_samples(spark, folder):
     return rows.first_rows(inputs.pairs(spark, folder), 150)
 
 
+def sft_sample_by_text_key(spark, folder):
+    """The first rows by their text, and where texts are equal by number."""
+    return rows.first_rows_by(inputs.pairs(spark, folder), 150, "instruction", "row_id")
+
+
 def sft_preview(spark, folder):
     return rows.preview(inputs.pairs(spark, folder))
 
@@ -623,6 +628,7 @@ QUERIES: dict[str, Query] = {
     "sft_prompt": sft_prompt,
     "sft_sample": sft_sample,
     "sft_max_samples": sft_max_samples,
+    "sft_sample_by_text_key": sft_sample_by_text_key,
     "sft_preview": sft_preview,
     "sft_count": sft_count,
     "sft_length": sft_length,
