@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import sys
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
 from codelens.llm import crf_quality, simhash
+from codelens.llm.common import store
 from test_decontaminate import brute as contaminated
 from test_exact_dedup import BLANKS
 from test_packing import ids_of
@@ -37,7 +39,7 @@ def test_every_stage(spark, kept):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.dtypes
     for (_, stage), expected in zip(corpus_pipeline.STAGES, kept):
-        docs = corpus_pipeline.store(stage(spark, docs, FOLDER), "stage")
+        docs = store(stage(spark, docs, FOLDER), "stage")
         assert docs.dtypes == columns
         assert sorted((r.doc_id, r.text) for r in docs.collect()) == expected
     sizes = [200, *map(len, kept)]
@@ -45,7 +47,11 @@ def test_every_stage(spark, kept):
 
 
 def test_run_packs_what_is_left(spark, kept):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
     pieces = corpus_pipeline.run(spark, FOLDER).collect()
+    left = {path.name.rpartition("-")[0] for path in set(shared.iterdir()) - before if path.is_dir()}
+    assert left == {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES}
     sizes = {doc_id: len(ids_of(text)) for doc_id, text in kept[-1]}
     got = {}
     for piece in pieces:
@@ -61,7 +67,7 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
     for rows in ([], odd):
         docs = spark.createDataFrame(rows, kind)
         for _, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.store(stage(spark, docs, FOLDER), "stage")
+            docs = store(stage(spark, docs, FOLDER), "stage")
         assert (docs.count() > 0) == bool(rows)
 
 
