@@ -12,6 +12,7 @@ from codelens.operators.analysis import ANALYSIS, analyse
 from codelens.operators.lines import add_line_facts
 
 COUNTS = ("syntax_valid", "keyword_match", "execution_success")
+PART = "case_part"  # of a case that stored tables split (``sources.bucketed``)
 
 
 def add_quality(
@@ -47,6 +48,10 @@ def add_quality(
     return df.drop(*[name for name in df.columns if name.startswith("_") and name not in own])
 
 
+def _join_keys(runs: DataFrame, cases: DataFrame) -> list[str]:
+    return ["case_id", PART] if PART in runs.columns and PART in cases.columns else ["case_id"]
+
+
 def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
     """One judged row per run whose case exists; ``unmatched`` has the others.
 
@@ -56,9 +61,12 @@ def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
 
     No join hint is given here: Spark broadcasts cases it knows to be small, as
     the built-in ones, and otherwise splits the skewed keys of a shuffled join.
+    Tables stored by case (``sources.bucketed``) join in place.
     """
-    wanted = cases.select("case_id", "category", "instruction", "difficulty", "expected_keywords")
-    judged = add_quality(analyse(runs.select(*schemas.RUNS.names).join(wanted, "case_id")))
+    keys = _join_keys(runs, cases)
+    wanted = cases.select(*keys, "category", "instruction", "difficulty", "expected_keywords")
+    asked = runs.select(*schemas.RUNS.names, *keys[1:]).join(wanted, keys)
+    judged = add_quality(analyse(asked))
     status = F.col(f"{ANALYSIS}.status")
     problem = F.coalesce(
         F.col("generation_error"), F.when(status == python_ast.OTHER, F.col(f"{ANALYSIS}.error"))
@@ -96,7 +104,8 @@ def evaluate(runs: DataFrame, cases: DataFrame) -> DataFrame:
 def unmatched(runs: DataFrame, cases: DataFrame) -> DataFrame:
     """Runs that cannot be judged, with the reason."""
     reason = F.when(F.col("case_id").isNull(), "no case number").otherwise("unknown case")
-    rest = runs.select("result_id", "case_id").join(cases.select("case_id"), "case_id", "left_anti")
+    keys = _join_keys(runs, cases)
+    rest = runs.select("result_id", *keys).join(cases.select(*keys), keys, "left_anti")
     return rest.select("result_id", "case_id", reason.alias("reason"))
 
 

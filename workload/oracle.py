@@ -464,6 +464,7 @@ def build() -> dict[str, str]:
               {names('attributes')} AS attributes FROM submissions""",
         "security_scan": scan("violation"),
         "security_scan_networking": scan("violation_networking"),
+        "security_scan_stored": scan("violation_networking"),
         "security_scan_allowed": scan("violation_allowed"),
         "blocked_imports": submissions
         + f"SELECT seq, {names('imports', BLOCKED_IMPORTS)} AS blocked FROM submissions",
@@ -507,6 +508,7 @@ def build() -> dict[str, str]:
         + """SELECT result_id, valid AS syntax_valid, success AS execution_success,
               output AS execution_output, err AS execution_error, notes FROM judged""",
         "eval_detail": judged + DETAILS,
+        "eval_bucketed": judged + DETAILS,
         "eval_unmatched": f"WITH {RUNS} SELECT result_id, case_id, 'unknown case' AS reason FROM runs"
         " WHERE case_id NOT IN (SELECT case_id FROM cases)",
         "eval_summary": judged + SUMMARY,

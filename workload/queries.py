@@ -6,6 +6,7 @@ results compare exactly with those of another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -29,7 +30,7 @@ from codelens.operators import (
 )
 from codelens.plans import jobs
 from codelens.plans.layout import shared_folder
-from codelens.sources import files, history, reports, tables
+from codelens.sources import analyses, bucketed, files, history, reports, tables
 from codelens.streaming import live
 from workload import inputs
 
@@ -157,6 +158,16 @@ def security_scan(spark, folder):
     return _scanned(spark, folder)
 
 
+def security_scan_stored(spark, folder):
+    """One job stores the analyses, another scans them under its own policy."""
+    path = shared_folder(spark, "analyses")
+    submissions = _submissions(spark, folder).select("seq", "generated_code")
+    analyses.add(submissions, path)
+    kept = analyses.analyse_stored(submissions, path)
+    policy = analysis.Policy(enable_networking=True)
+    return analysis.scan(kept, policy).select("seq", "is_safe", "violation", "scan_error")
+
+
 def security_scan_networking(spark, folder):
     return _scanned(spark, folder, analysis.Policy(enable_networking=True))
 
@@ -293,6 +304,14 @@ def eval_quality(spark, folder):
     return evaluation.quality_distribution(_cells(spark, folder))
 
 
+def eval_bucketed(spark, folder):
+    """Runs and cases stored by case, most cases in several parts, and judged where they lie."""
+    name = f"judging_{uuid.uuid4().hex}"
+    stored = bucketed.save_by_case(inputs.runs(spark, folder), inputs.cases(spark), name, shared_folder(spark, name), 16)
+    runs, cases = stored
+    return evaluation.details(evaluation.evaluate(runs, cases.hint("merge")))
+
+
 def eval_expectation(spark, folder):
     judged = _judged(spark, folder).select("execution_success", (F.col("result_id") % 2 == 0).alias("expected"))
     return evaluation.expectation_check(judged, "execution_success", "expected")
@@ -642,6 +661,7 @@ QUERIES: dict[str, Query] = {
     "code_inventory": code_inventory,
     "security_scan": security_scan,
     "security_scan_networking": security_scan_networking,
+    "security_scan_stored": security_scan_stored,
     "security_scan_allowed": security_scan_allowed,
     "blocked_imports": blocked_imports,
     "blocked_calls": blocked_calls,
@@ -672,6 +692,7 @@ QUERIES: dict[str, Query] = {
     "eval_rates": eval_rates,
     "eval_quality": eval_quality,
     "eval_expectation": eval_expectation,
+    "eval_bucketed": eval_bucketed,
     "stats_overall": stats_overall,
     "grade_distribution": grade_distribution,
     "category_performance": category_performance,
