@@ -54,12 +54,13 @@ def _last_run(log: RunLog) -> int:
 
 def add(df: DataFrame, path: str, code: str = "generated_code") -> int:
     """Parses and stores the texts that the store lacks; how many."""
+    # Distinct before the join: a text that many rows share moves once from each task.
     keyed = _keyed(df, code).select(HASH, TEXT)
+    wanted = keyed.dropDuplicates([HASH, TEXT])
     log = store(df.sparkSession, path)
     while True:
         seen = _last_run(log)
-        lacking = keyed.join(_stored_for(keyed, path), [HASH, TEXT], "left_anti") if seen else keyed
-        fresh = settle(lacking.dropDuplicates([HASH, TEXT]))
+        fresh = settle(wanted.join(_stored_for(keyed, path), [HASH, TEXT], "left_anti") if seen else wanted)
         n_fresh = fresh.count()
         if not n_fresh or log.add(analyse(fresh, TEXT), f"after-{seen}"):
             return n_fresh
