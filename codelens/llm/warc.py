@@ -19,8 +19,9 @@ among rows with the largest id the one with the last address is the response,
 and among repeated rows the first written. A null address
 leaves its header out; control characters and spaces in one are percent-encoded.
 Other columns are not written. A single record may exceed ``file_bytes``. Repeated
-rows (equal page, address and content) share one place, so all of them lie in one
-shard, as revisits of a few hundred bytes each. An
+rows (equal page, address and content) are counted, not moved: each ``COPIES`` of them
+have a place of their own, so a page that holds a third of all rows lies in many
+shards, and a revisit is written from its digests without its payload. An
 empty table gives an empty manifest and no files.
 """
 
@@ -44,6 +45,8 @@ from codelens.plans.layout import shared_folder
 
 SHARD_BYTES, FILE_BYTES = 16 << 20, 8 << 20
 HEADER_BYTES = 512  # a record's weight besides its payload
+COPIES = 4096  # repeated rows with one place
+SEEN = 1 << 16  # rows a task remembers so as not to hand on a payload again
 DATE = "1970-01-01T00:00:00Z"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace of addresses
 MANIFEST = "shard long, seq long, temporary string, file string, n_bytes long, n_records long, sha256 string"
@@ -81,11 +84,11 @@ def file_record(name: str) -> bytes:
     return framed(fields, block)
 
 
-def record(page_id, url, payload: bytes, digest: str, response: tuple | None) -> bytes:
-    """A response, or a revisit of the ``response`` with that page id and address."""
+def record(page_id, url, payload: bytes, n_bytes: int, digest: str, response: tuple | None) -> bytes:
+    """A response, or a revisit of the ``response`` with that page id and address, whose payload is not needed."""
     is_revisit = response is not None
     refers_to, refers_to_url = response or (None, None)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     fields = [
         ("WARC-Type", "revisit" if is_revisit else "response"),
@@ -106,48 +109,77 @@ def record(page_id, url, payload: bytes, digest: str, response: tuple | None) ->
     return framed(fields, block)
 
 
+def members(row: dict) -> Iterator[tuple[bytes, int]]:
+    """The compressed records of a planned row, and how often each is written."""
+    about = row["page_id"], row["url"]
+    digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
+    responses = 0
+    if row["has_payload"]:
+        payload = zstandard.decompress(row["payload"], max_output_size=row["n_bytes"])
+        if digest32(payload) != digest:
+            raise OSError(f"page {row['page_id']} changed while it was written")
+        responses = 1 if row["repeats"] else row["copies"]
+        yield gzip.compress(record(*about, payload, row["n_bytes"], digest, None), 6, mtime=0), responses
+    if row["copies"] > responses:
+        revisit = record(*about, b"", row["n_bytes"], digest, (row["last_id"], row["last_url"]))
+        yield gzip.compress(revisit, 6, mtime=0), row["copies"] - responses
+
+
 def planned(pages: DataFrame, least_bytes: int, shard_bytes: int) -> tuple[DataFrame, int]:
-    """The number of shards, and each row with its payload, its kind of record and its place in the archive.
+    """The number of shards, and the rows to write: each stands for ``copies`` records at one place.
 
     Pages are read twice: for the order, which needs digests only, and for the
-    payloads, which find their place by page, address and digest. They move
-    compressed, once to be joined and once to their shard. Repeated rows have
-    one place, where the first is what ``is_revisit`` says and the others
-    are revisits of ``last_id``.
+    payloads, which find their place by page, address and digest. Payloads move
+    compressed, to be joined, and those of responses to their shard. A row with a
+    payload is ``copies`` responses, or with ``repeats`` one and revisits of it. It may
+    come several times, once for each task that met a copy.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(html, 256).alias("content"), F.octet_length(html).cast("long").alias("n_bytes"), "html"
-    )
+    page = [F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(html, 256).alias("content")]
     keys = ["page_id", "url", "content"]
-    distinct = store(rows.groupBy(*keys, "n_bytes").agg(F.count("*").alias("copies")), "page-keys")
+    counted = pages.select(*page, F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
+    distinct = store(counted.groupBy(*keys, "digest", "n_bytes").agg(F.count("*").alias("all_copies")), "page-keys")
     equal = distinct.filter(F.col("n_bytes") >= least_bytes).groupBy("content", "n_bytes")
-    equal = equal.agg(F.max(F.struct("page_id", "url")).alias("last"), F.sum("copies").alias("n")).filter("n > 1")
+    equal = equal.agg(F.max(F.struct("page_id", "url")).alias("last"), F.sum("all_copies").alias("n")).filter("n > 1")
     is_last = F.col("last.page_id").eqNullSafe(F.col("page_id")) & F.col("last.url").eqNullSafe(F.col("url"))
-    kinds = distinct.join(equal, ["content", "n_bytes"], "left").select(
-        *keys,
-        (F.col("last").isNotNull() & ~is_last).alias("is_revisit"),
-        F.col("last").isNotNull().alias("has_equals"),
-        F.col("last.page_id").alias("last_id"),
-        F.when(~is_last, F.col("last.url")).alias("last_url"),
-        (F.col("copies") * HEADER_BYTES + F.when(F.col("last").isNotNull() & ~is_last, 0).otherwise(F.col("n_bytes"))).alias("weight"),
+    grouped = F.col("last").isNotNull()
+    parts = distinct.join(equal, ["content", "n_bytes"], "left").select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all_copies - 1) div {COPIES}"))).alias("copy_part")
     )
-    places = running_totals(kinds, keys, "weight", "place").withColumn("shard", F.floor(F.col("place") / shard_bytes))
-    places = places.drop("weight").withColumnsRenamed({name: f"{name}2" for name in keys})
+    kinds = parts.select(
+        *keys, "digest", "n_bytes", "copy_part",
+        F.least(F.lit(COPIES), F.col("all_copies") - F.col("copy_part") * COPIES).alias("copies"),
+        (~grouped | (is_last & (F.col("copy_part") == 0))).alias("has_payload"),
+        grouped.alias("repeats"),
+        F.col("last.page_id").alias("last_id"),
+        F.col("last.url").alias("last_url"),
+    )
+    payloads = F.when(F.col("has_payload"), F.when(F.col("repeats"), 1).otherwise(F.col("copies"))).otherwise(0)
+    weighed = kinds.withColumn("weight", F.col("copies") * HEADER_BYTES + payloads * F.col("n_bytes"))
+    places = running_totals(weighed, [*keys, "copy_part"], "weight", "place").withColumn("shard", F.floor(F.col("place") / shard_bytes))
+    places = places.drop("weight", "copy_part")
 
-    schema = "page_id long, url string, content string, n_bytes long, payload binary"
+    schema = "page_id2 long, url2 string, content2 string, payload binary"
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(3)
+        compressor, seen = zstandard.ZstdCompressor(3), set()
         for batch in batches:
-            payloads = [compressor.compress((text.as_py() or "").encode()) for text in batch.column(4)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(payloads, pa.binary())], names=["page_id", "url", "content", "n_bytes", "payload"]
-            )
+            found = list(zip(*(column.to_pylist() for column in batch.columns[:3])))
+            new = []
+            for at, key in enumerate(found):
+                if key not in seen:
+                    seen = seen if len(seen) < SEEN else set()
+                    seen.add(key)
+                    new.append(at)
+            batch = batch.take(pa.array(new, pa.int64()))
+            shrunk = [compressor.compress((text.as_py() or "").encode()) for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shrunk, pa.binary())], names=["page_id2", "url2", "content2", "payload"])
 
     same = [F.col(name).eqNullSafe(F.col(f"{name}2")) for name in keys]
     last = places.agg(F.max("shard")).first()[0]
-    return rows.mapInArrow(shrink, schema).join(places, same).drop(*(f"{name}2" for name in keys)), (last or 0) + 1
+    responses = places.filter("has_payload").join(pages.select(*page, "html").mapInArrow(shrink, schema), same)
+    revisits = places.filter("NOT has_payload").withColumn("payload", F.lit(None).cast("binary"))
+    return responses.select(revisits.columns).union(revisits), (last or 0) + 1
 
 
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -175,26 +207,24 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
                             ("n_bytes", pa.int64()), ("n_records", pa.int64()), ("sha256", pa.string())])
         for batch in batches:
             for row in batch.to_pylist():
-                payload = zstandard.decompress(row["payload"], max_output_size=row["n_bytes"])
-                key = row["page_id"], row["url"], row["content"]
-                is_revisit, before = row["has_equals"] and (row["is_revisit"] or key == before), key
-                # A repeated row is a revisit of its own first copy, or of what that one is a revisit of.
-                response = (row["last_id"], row["last_url"] if row["is_revisit"] else row["url"]) if is_revisit else None
-                raw = record(row["page_id"], row["url"], payload, digest32(payload), response)
-                member = gzip.compress(raw, 6, mtime=0)
-                full = out is not None and at["n_bytes"] + len(member) > file_bytes
-                if now != row["shard"] or full:
-                    if out is not None:
-                        yield close()
-                    seq = at["seq"] + 1 if now == row["shard"] else 0
-                    now = row["shard"]
-                    files.create_dir(f"{inner}/_temporary", recursive=True)
-                    temporary = f"_temporary/{now:08d}-{seq:05d}-{attempt}"
-                    out = files.open_output_stream(f"{inner}/{temporary}")
-                    at = {"shard": now, "seq": seq, "temporary": temporary, "n_bytes": 0, "n_records": 0, "sha256": hashlib.sha256()}
-                    put(gzip.compress(file_record(name_of(at)), 6, mtime=0))
-                put(member)
-                at["n_records"] += 1
+                if row["place"] == before:
+                    continue
+                before = row["place"]
+                for member, times in members(row):
+                    for _ in range(times):
+                        full = out is not None and at["n_bytes"] + len(member) > file_bytes
+                        if now != row["shard"] or full:
+                            if out is not None:
+                                yield close()
+                            seq = at["seq"] + 1 if now == row["shard"] else 0
+                            now = row["shard"]
+                            files.create_dir(f"{inner}/_temporary", recursive=True)
+                            temporary = f"_temporary/{now:08d}-{seq:05d}-{attempt}"
+                            out = files.open_output_stream(f"{inner}/{temporary}")
+                            at = {"shard": now, "seq": seq, "temporary": temporary, "n_bytes": 0, "n_records": 0, "sha256": hashlib.sha256()}
+                            put(gzip.compress(file_record(name_of(at)), 6, mtime=0))
+                        put(member)
+                        at["n_records"] += 1
         if out is not None:
             yield close()
 

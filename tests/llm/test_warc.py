@@ -92,3 +92,19 @@ def test_files_are_what_the_standard_says(spark, tmp_path):
             assert meant.get("WARC-Target-URI") == fields.get("WARC-Refers-To-Target-URI")
             assert meant.get("WARC-Page-ID") == fields.get("WARC-Refers-To-Page-ID")
             assert fields["WARC-Profile"].endswith("/revisit/identical-payload-digest")
+
+
+def test_a_page_that_is_most_rows_lies_in_many_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 50)
+    rows = [(7, None, "copied")] * 1_000 + [(n, "u", f"own {n}") for n in range(20)] + [(3, "v", "copied")] * 200
+    for name, parts in (("one", 1), ("two", 5)):
+        made = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        manifest = warc.write_warc(made, f"{tmp_path}/{name}", least_bytes=5, shard_bytes=60_000)
+        assert rows_of(warc.read_warc(manifest, f"{tmp_path}/{name}")) == brute(rows, 5)
+        counts = [r.n_records for r in manifest.collect()]
+        assert sum(counts) == len(rows) and len(counts) > 8 and max(counts) <= 200
+        planned, _ = warc.planned(made, 5, 60_000)
+        assert planned.filter("payload IS NOT NULL").count() <= 21 * parts
+    assert content(f"{tmp_path}/one") == content(f"{tmp_path}/two")
+    manifest = warc.write_warc(made, f"{tmp_path}/small", least_bytes=100, shard_bytes=60_000)
+    assert rows_of(warc.read_warc(manifest, f"{tmp_path}/small")) == brute(rows, 100)
