@@ -45,6 +45,7 @@ from codelens.sources import files
 
 _RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 FILE_BYTES = 128 * 1024 * 1024
+SORT_BYTES = 512 * 1024 * 1024  # of rows that one task of a compaction sorts
 VERSION, REPLACED = "_version", "_replaced"
 
 # Workers get these functions by value, so they need not have the package.
@@ -211,7 +212,6 @@ class RunLog:
         generation, entries = self.state(as_of)
         if not entries:
             return False
-        size = sum(entry["bytes"] for entry in entries) + (generation["bytes"] if generation else 0)
         rows = self._merged(generation, as_of).unionByName(self._runs(entries, True))
         corrections = self._corrections(entries)
         if corrections is None:
@@ -223,7 +223,10 @@ class RunLog:
             judged = judged.withColumn(REPLACED, first).drop("_key", "_versions")
             current, replaced = judged.filter(F.col(REPLACED).isNull()), judged.filter(F.col(REPLACED).isNotNull())
         attempt = f"generation-{uuid.uuid4().hex}"
-        parts = max(1, round(size / file_bytes))
+        # Tasks sort rows as they are in memory, which take many times the bytes of their files.
+        size = current.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+        stored = sum(entry["bytes"] for entry in entries) + (generation["bytes"] if generation else 0)
+        parts = max(1, round(stored / file_bytes), -(-size // SORT_BYTES))
         names, written = self._write(current.repartitionByRange(parts, self.key).sortWithinPartitions(self.key), attempt)
         old = list(generation["replaced"]) if generation else []
         if replaced is not None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from codelens.plans.layout import shared_folder
-from codelens.sources import files
+from codelens.sources import files, runlog
 from codelens.sources.runlog import RunLog
 
 SCHEMA = StructType([StructField("seq", LongType()), StructField("said", StringType())])
@@ -160,3 +160,13 @@ def test_corrections_of_corrections(spark):
     log.add(rows(spark, 0, 1, "v5"), "four", corrects=True)
     log.compact()
     assert seen(log) == [(0, "v5"), *views[3][1:]] and seen(log, 2) == views[2]
+
+
+def test_a_compaction_sorts_a_bounded_part_in_a_task(spark, monkeypatch):
+    """Rows that take few bytes in a file and many in memory."""
+    monkeypatch.setattr(runlog, "SORT_BYTES", 100_000)
+    log = runlog.RunLog(spark, shared_folder(spark, "packed"), StructType.fromDDL("seq long, word string"))
+    rows = spark.range(1000).selectExpr("id as seq", "repeat('x', 1000) as word")
+    assert log.add(rows, "one") and log.compact()
+    assert 8 <= len(log.state()[0]["files"]) <= 12
+    assert sorted(log.rows().collect()) == sorted(rows.collect())
