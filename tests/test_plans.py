@@ -141,3 +141,15 @@ def test_pairs_cross_blocks_of_turns(spark, monkeypatch):
 def test_unknown_categories_are_not_parsed(spark):
     text = plan(jobs.performance_by_category(stored(spark, schemas.SUBMISSIONS)))
     assert text.index("ArrowEvalPython") < text.rindex("Filter")
+
+
+def test_a_large_split_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_ROWS", 100)
+    path = shared_folder(spark, "uneven")
+    for rows in (1, 2, 3, 2000):
+        spark.range(rows).coalesce(1).write.mode("append").parquet(path)
+    with_one_large = spark.read.parquet(path)
+    dealt = spread(with_one_large, "id")
+    assert dealt.rdd.getNumPartitions() == 21
+    assert max(dealt.rdd.glom().map(len).collect()) < 200 and dealt.count() == 2006
+    assert spread(with_one_large.limit(0), "id").count() == 0
