@@ -24,11 +24,21 @@ from codelens.plans.layout import shared_folder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _sorted(scored: DataFrame) -> DataFrame:
+    """``seq, total_score`` in sorted ranges.
+
+    Stored first: ranges are found by a sample, which would score every row a second time.
+    """
+    spark, place = scored.sparkSession, shared_folder(scored.sparkSession, "totals")
+    scored.select("seq", "total_score").write.parquet(place)
+    totals = spark.read.schema("seq long, total_score double").parquet(place)
+    return totals.repartitionByRange("seq").sortWithinPartitions("seq")
+
+
 def _placed(scored: DataFrame) -> DataFrame:
     """``seq, total_score`` and the number of the range they lie in, stored."""
     spark, place = scored.sparkSession, shared_folder(scored.sparkSession, "ranges")
-    rows = scored.select("seq", "total_score").repartitionByRange("seq").sortWithinPartitions("seq")
-    rows.withColumn("_part", F.spark_partition_id()).write.parquet(place)
+    _sorted(scored).withColumn("_part", F.spark_partition_id()).write.parquet(place)
     return spark.read.schema("seq long, total_score double, _part int").parquet(place)
 
 
@@ -96,8 +106,7 @@ def high_score_entries(scored: DataFrame, k: int = vocab.TOP_SCORES) -> DataFram
 
     place = shared_folder(spark, "candidates")
     schema = "seq long, total_score double, _part int"
-    rows = scored.select("seq", "total_score").repartitionByRange("seq").sortWithinPartitions("seq")
-    rows.mapInArrow(candidates, schema).write.parquet(place)
+    _sorted(scored).mapInArrow(candidates, schema).write.parquet(place)
     found = spark.read.schema(schema).parquet(place)
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("total_score"), "seq"))
     best, before = [], {}

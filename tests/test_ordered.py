@@ -51,3 +51,19 @@ def test_no_window_without_partitions(spark):
     for result in (ordered.trend_history(frame), ordered.high_score_entries(frame)):
         plan = result._jdf.queryExecution().toString()
         assert "SinglePartition" not in plan
+
+
+def test_rows_are_scored_once(spark):
+    """Ranges are found by a sample, which must not score again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for view in (ordered.trend_history, ordered.high_score_entries):
+        seen.value = 0
+        rows = spark.range(500).selectExpr("id as seq", "cast(id as double) as total_score").repartition(5)
+        assert view(rows.mapInArrow(score, "seq long, total_score double")).count() == 500
+        assert seen.value == 500
