@@ -29,7 +29,7 @@ from codelens.operators import (
     stats,
 )
 from codelens.plans import jobs
-from codelens.plans.layout import shared_folder
+from codelens.plans.layout import shared_folder, stored_once
 from codelens.sources import analyses, bucketed, files, history, jsonlists, reports, tables
 from codelens.streaming import live
 from workload import inputs
@@ -543,7 +543,7 @@ def history_interrupted(spark, folder):
     """Saves that end after writing their files, then are made again."""
     path = shared_folder(spark, "interrupted")
     log = history.run_log(spark, path)
-    for number, part in enumerate(_parts(spark, folder)):
+    for number, part in enumerate(map(stored_once, _parts(spark, folder))):  # scored once, written twice
         part.write.parquet(f"{log.folder}/data/job-{number}-cut-off")
         history.append_history(part, path, f"job-{number}")
     return rounded(history.read_history(spark, path), "total_score").select("seq", "total_score", "grade")
