@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 from codelens import schemas
 from codelens.functions import vocab
 from codelens.operators import board, rows, scoring, stats
+from codelens.plans.layout import tasks_for
 from codelens.sources import files, history as stored
 from codelens.sources.history import read_or_empty
 from codelens.sources.runlog import RunLog, RunLogSource
@@ -60,8 +61,8 @@ def score_stream(
 
     The runs it adds are named after the checkpoint folder and the micro-batch:
     a stream that starts anew needs a new checkpoint folder, not an emptied one.
-    With ``tasks``, each micro-batch is spread over that many tasks by ``seq``;
-    give it if batches consist of fewer files than there are cores.
+    With ``tasks``, each micro-batch is spread over that many tasks by ``seq``, or
+    more if it is large; give it if batches consist of fewer files than there are cores.
     """
     reader = spark.readStream.schema(schemas.SUBMISSIONS).option("maxFileAge", ANY_AGE)
     if files_per_batch:
@@ -72,7 +73,7 @@ def score_stream(
         named = batch.withColumn("category", rows.category_or_default(batch["category"]))
         kept, refused = rows.split_blank(named, "generated_code")
         if tasks:
-            kept = kept.repartition(tasks, "seq")
+            kept = kept.repartition(tasks_for(batch.count(), tasks), "seq")
         run = f"stream-{name}-{batch_id}"
         stored.append_refused(refused, history, run)
         stored.append_history(scoring.score_rows(kept), history, run)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codelens import schemas
 from codelens.operators import board, scoring, stats
-from codelens.plans import jobs
+from codelens.plans import jobs, layout
 from codelens.plans.layout import shared_folder
 from codelens.sources import history
 from codelens.streaming import live
@@ -181,3 +181,13 @@ def test_corrections_reach_running_views(spark):
     assert sorted(history.read_history(spark, path, 1).collect()) == sorted(wrong.filter("seq < 40").collect())
     third = scored.filter("seq % 4 != 0 OR seq < 20").union(wrong.filter("seq % 4 = 0 AND seq >= 20"))
     assert sorted(history.read_history(spark, path, 3).collect()) == sorted(third.collect())
+
+
+def test_a_large_micro_batch_is_scored_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_ROWS", 10)
+    base = shared_folder(spark, "large")
+    rows = spark.range(200).selectExpr("id as seq", "'say' as instruction", "concat('x = ', id) as generated_code", "'general' as category", "'t' as timestamp")
+    rows.select(*schemas.SUBMISSIONS.names).coalesce(1).write.parquet(f"{base}/arriving")
+    live.score_stream(spark, f"{base}/arriving", f"{base}/history", f"{base}/state", available_now=True, tasks=2).awaitTermination()
+    log = history.run_log(spark, f"{base}/history")
+    assert log.rows().count() == 200 and len(log.state()[1][0]["files"]) > 10
