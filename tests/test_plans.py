@@ -150,6 +150,6 @@ def test_a_large_split_is_dealt_out(spark, monkeypatch):
         spark.range(rows).coalesce(1).write.mode("append").parquet(path)
     with_one_large = spark.read.parquet(path)
     dealt = spread(with_one_large, "id")
-    assert dealt.rdd.getNumPartitions() == 21
+    assert dealt.rdd.getNumPartitions() == 24
     assert max(dealt.rdd.glom().map(len).collect()) < 200 and dealt.count() == 2006
     assert spread(with_one_large.limit(0), "id").count() == 0
