@@ -1,11 +1,12 @@
 """Analyses kept across jobs: each distinct text is parsed once, ever.
 
 The store is a table of runs (``runlog``) with one row for each text: its hash, the
-text and the analysis. Texts meet by hash and text, so equal hashes of different
-texts cost nothing but a comparison. A job first parses the texts the store lacks,
-then attaches analyses by a join, whose plan has no Python. A Bloom filter of the
-job's texts, if it is small enough to broadcast, keeps the rest of the store from
-being shuffled; the results are the same without it.
+text and the analysis. Texts meet by hash and SHA-256 digest, so equal hashes of
+different texts cost nothing but a comparison, and only texts to parse are moved. A job
+first parses the texts the store lacks, then attaches analyses by a join, whose plan has
+no Python. Where the store is much larger than the job, a Bloom filter of the job's
+texts, if it is small enough to broadcast, keeps the rest of the store from being
+shuffled; the results are the same without it.
 
 No text is stored twice: a run is named after the run before it, so of two jobs that
 saw the same store one is refused, and looks again.
@@ -19,10 +20,11 @@ from pyspark.sql.types import StructType
 
 from codelens.functions import bloom, python_ast, text
 from codelens.operators.analysis import ANALYSIS, analyse
-from codelens.plans.layout import settle
+from codelens.plans.layout import broadcast_if_small, settle, tasks_for
 from codelens.sources.runlog import RunLog
 
-HASH, TEXT = "_code_hash", "_code_text"
+HASH, TEXT, DIGEST = "_code_hash", "_code_text", "_code_digest"
+FILTER_FROM = 4  # store rows for each row of the job; asking the filter costs as much as moving a row
 _COLUMNS = f"{HASH} long, {TEXT} string, {ANALYSIS} {python_ast.ANALYSIS_TYPE}"
 
 
@@ -36,13 +38,18 @@ def _keyed(df: DataFrame, code: str) -> DataFrame:
     return df.withColumns({TEXT: known, HASH: F.xxhash64(known)})
 
 
-def _stored_for(keyed: DataFrame, path: str) -> DataFrame:
-    """The stored rows that the keyed rows may ask for."""
+def _with_digest(df: DataFrame) -> DataFrame:
+    """Keyed or stored rows; the digest is made from the text, so a store needs no column for it."""
+    return df.withColumn(DIGEST, F.unhex(F.sha2(TEXT, 256)))
+
+
+def _stored_for(keyed: DataFrame, n_rows: int, path: str) -> DataFrame:
+    """The stored rows that so many keyed rows may ask for, with digests."""
     stored = store(keyed.sparkSession, path).rows()
-    blocks = bloom.blocks_for(keyed.count())
-    if blocks is None:
-        return stored
-    return bloom.may_hold(stored, F.col(HASH), bloom.build(keyed, F.col(HASH), blocks), blocks)
+    blocks = bloom.blocks_for(n_rows)
+    if blocks is not None and stored.count() > FILTER_FROM * n_rows:
+        stored = bloom.may_hold(stored, F.col(HASH), bloom.build(keyed, F.col(HASH), blocks), blocks)
+    return _with_digest(stored)
 
 
 def _last_run(log: RunLog) -> int:
@@ -54,16 +61,26 @@ def _last_run(log: RunLog) -> int:
 
 def add(df: DataFrame, path: str, code: str = "generated_code") -> int:
     """Parses and stores the texts that the store lacks; how many."""
-    # Distinct before the join: a text that many rows share moves once from each task.
     keyed = _keyed(df, code).select(HASH, TEXT)
+    # Distinct before it moves: a text that many rows share moves once from each task.
     wanted = keyed.dropDuplicates([HASH, TEXT])
+    n_rows, cores = keyed.count(), df.sparkSession.sparkContext.defaultParallelism
     log = store(df.sparkSession, path)
-    while True:
+    while n_rows:
         seen = _last_run(log)
-        fresh = settle(wanted.join(_stored_for(keyed, path), [HASH, TEXT], "left_anti") if seen else wanted)
-        n_fresh = fresh.count()
-        if not n_fresh or log.add(analyse(fresh, TEXT), f"after-{seen}"):
-            return n_fresh
+        fresh, most = wanted, n_rows
+        if seen:
+            keys = _with_digest(keyed).select(HASH, DIGEST).distinct()
+            lacking = settle(keys.join(_stored_for(keyed, n_rows, path), [HASH, DIGEST], "left_anti"))
+            most = lacking.count()
+            if not most:
+                return 0
+            fresh = _with_digest(wanted).join(broadcast_if_small(lacking), [HASH, DIGEST], "left_semi").select(HASH, TEXT)
+        # Dealt out by rows: Spark sizes tasks by bytes, of which small ones can be long to parse.
+        fresh = settle(fresh.repartition(tasks_for(most, cores), HASH))
+        if log.add(analyse(fresh, TEXT), f"after-{seen}"):
+            return fresh.count()
+    return 0
 
 
 def attach(df: DataFrame, path: str, code: str = "generated_code") -> DataFrame:
@@ -72,7 +89,8 @@ def attach(df: DataFrame, path: str, code: str = "generated_code") -> DataFrame:
     A text that many rows share makes one side of the join skewed, which Spark splits.
     """
     keyed = _keyed(df, code)
-    return keyed.join(_stored_for(keyed, path), [HASH, TEXT], "left").select(*df.columns, ANALYSIS)
+    stored = _stored_for(keyed, keyed.count(), path).select(HASH, DIGEST, ANALYSIS)
+    return _with_digest(keyed).join(stored, [HASH, DIGEST], "left").select(*df.columns, ANALYSIS)
 
 
 def analyse_stored(df: DataFrame, path: str, code: str = "generated_code") -> DataFrame:

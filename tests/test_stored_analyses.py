@@ -9,6 +9,7 @@ import pytest
 from codelens import schemas
 from codelens.functions import bloom
 from codelens.operators import analysis, evaluation
+from codelens.plans import layout
 from codelens.plans.layout import shared_folder
 from codelens.sources import analyses, bucketed, tables
 from pyspark.sql import functions as F
@@ -57,6 +58,46 @@ def test_texts_with_equal_hashes_are_told_apart(spark, monkeypatch):
     assert found == {at: "syntax_error" if at == 2 else "ok" for at in range(len(CODES))}
 
 
+def test_parse_tasks_are_bounded_and_come_in_whole_rounds(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_ROWS", 10)
+    path, rows = shared_folder(spark, "analyses"), frame(spark, [f"x = {n}" for n in range(100)])
+    log = analyses.store(spark, path)
+    assert analyses.add(rows.limit(60), path) == 60 and len(log.entry(1)["files"]) == 8
+    assert analyses.add(rows, path) == 40 and len(log.entry(2)["files"]) == 4
+    assert sorted(row[0] for row in log.rows().select(analyses.TEXT).collect()) == sorted(f"x = {n}" for n in range(100))
+
+
+def test_stored_texts_are_not_moved(spark):
+    path, rows = shared_folder(spark, "analyses"), frame(spark, CODES)
+    analyses.add(rows, path)
+    lines = plan(analyses.attach(rows.hint("merge"), path).select("seq", "analysis")).splitlines()
+    moved = [line for line in lines if "hashpartitioning" in line or "SortMergeJoin" in line]
+    assert any("SortMergeJoin" in line for line in moved) and not any(analyses.TEXT in line for line in moved)
+
+
+@pytest.mark.parametrize("limit", [layout.MAX_BROADCAST_BYTES, -1])
+def test_repeated_texts_and_a_store_with_some_of_them(spark, monkeypatch, limit):
+    monkeypatch.setattr(layout, "MAX_BROADCAST_BYTES", limit)
+    path = shared_folder(spark, "analyses")
+    assert analyses.add(frame(spark, ["a = 1"] * 50 + ["b = 1", None]), path) == 3
+    rows = frame(spark, ["a = 1", "c = 1", "", "d ="] * 30)
+    assert analyses.add(rows, path) == 2
+    assert analyses.store(spark, path).rows().count() == 5
+    statuses = analyses.attach(rows, path).groupBy("generated_code", "analysis.status").count().collect()
+    assert sorted(map(tuple, statuses)) == [
+        ("", "ok", 30), ("a = 1", "ok", 30), ("c = 1", "ok", 30), ("d =", "syntax_error", 30)
+    ]
+
+
+def test_the_filter_is_for_stores_larger_than_the_job(spark):
+    path, rows = shared_folder(spark, "analyses"), frame(spark, [f"x = {n}" for n in range(100)])
+    analyses.add(rows, path)
+    few = rows.filter("seq < 5")
+    assert "bitmap_construct_agg" in plan(analyses.attach(few, path))
+    assert "bitmap_construct_agg" not in plan(analyses.attach(rows, path))
+    assert analyses.add(few, path) == 0 and analyses.attach(few, path).filter("analysis is not null").count() == 5
+
+
 def test_a_writer_that_saw_an_older_store_looks_again(spark, monkeypatch):
     path = shared_folder(spark, "analyses")
     real, late = analyses.settle, []
