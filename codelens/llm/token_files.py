@@ -147,4 +147,5 @@ def token_counts(docs: DataFrame, path: str | None = None, end: int = END, block
     """``doc_id, n_tokens, file_no, ordinal, start``: counted by scanning the files, not while encoding."""
     path = path or vocabulary()
     written = write_token_files(docs, path, end)
-    return scan(written, end, block_tokens, id_kind(path, end)).join(written, ["file", "ordinal"]).select("doc_id", "n_tokens", "file_no", "ordinal", "start")
+    # The rows of all documents take few bytes in files, many in memory: they must not look small enough to broadcast.
+    return scan(written, end, block_tokens, id_kind(path, end)).join(written.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file_no", "ordinal", "start")

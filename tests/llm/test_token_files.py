@@ -58,3 +58,11 @@ def test_ids_beyond_16_bits_are_kept(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "more")], "doc_id long, text string")
     small, large = (sorted(map(tuple, token_files.token_counts(docs, end=end).select("doc_id", "n_tokens").collect())) for end in (token_files.END, 1 << 20))
     assert small == large and small[1] == (2, 0)
+
+
+def test_rows_of_all_documents_are_not_broadcast(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    got = token_files.token_counts(docs)
+    assert got.count() == 2000
+    plan = got._jdf.queryExecution().executedPlan().toString()  # the topmost join is the one with the documents' rows
+    assert next(line for line in plan.splitlines() if "Join [" in line).strip(" +-").startswith("SortMergeJoin [file")
