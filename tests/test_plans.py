@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
+import time
 
 from codelens import schemas
 from codelens.operators import analysis, evaluation, rows, scoring, stats
@@ -153,3 +155,20 @@ def test_a_large_split_is_dealt_out(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 24
     assert max(dealt.rdd.glom().map(len).collect()) < 200 and dealt.count() == 2006
     assert spread(with_one_large.limit(0), "id").count() == 0
+
+
+def test_shuffled_rows_leave_the_disk_with_their_job(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        return set(re.findall(r"shuffle_\d+", disk.getAllFiles().mkString(" ")))
+
+    before, setting, path = shuffled(), spark.conf.get(name), shared_folder(spark, "dealt")
+    with layout.shuffles_removed(spark):
+        spark.range(1000).repartition(4, "id").write.parquet(path)
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(name) == setting == "false"
+    assert spark.read.parquet(path).count() == 1000
